@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standmap.llm import decontaminate, line_dedup, quality, secrets, sharding, simhash
+from standmap.llm import decontaminate, hmm, line_dedup, piece_dropout, quality, secrets, sharding, simhash, token_rollup
+from standmap.llm.common import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,15 @@ def _spans_text(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
 
 
+def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = piece_dropout.encode_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_pieces", "lossless", "ids")
+
+
 def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     order = [r for r, _, _ in quality.calibrate(docs)]
@@ -93,6 +103,20 @@ FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN left_ USING (doc_id)
 """
 
 
+def op8_delta_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load all documents, then take out those whose text an earlier id has; each batch comes twice and counts once."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    address = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
+    first = address.groupBy("blob").agg(F.min("doc_id").alias("first"))
+    copies = address.join(first, "blob").where("doc_id > first").select("doc_id")
+    rollup = token_rollup.Rollup(spark, scratch(spark))
+    load = docs.withColumn("op", F.lit("insert"))
+    gone = copies.select("doc_id", F.lit("delete").alias("op"), *(F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")))
+    for batch, changes in (("load", load), ("copies", gone), ("load", load), ("copies", gone)):
+        rollup.commit(batch, changes)
+    return rollup.totals()
+
+
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -122,6 +146,6 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_quality_cascade, op5_pigeonring_simhash, op6_blob_ledger_secrets, op7_line_windows, op9_hypergeometric_shards, op10_aho_corasick)
+    for f in (op2_hidden_markov, op3_merge_dropout, op4_quality_cascade, op5_pigeonring_simhash, op6_blob_ledger_secrets, op7_line_windows, op8_delta_rollup, op9_hypergeometric_shards, op10_aho_corasick)
 }
 ORACLE = {"op4_quality_cascade": OP4_SQL, "op6_blob_ledger_secrets": _sql_secrets(), "op7_line_windows": OP7_SQL, "op10_aho_corasick": OP10_SQL}
