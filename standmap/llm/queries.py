@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from standmap.llm import decontaminate, hmm, line_dedup, piece_dropout, quality, secrets, sharding, simhash, token_rollup
+from standmap.llm import decontaminate, hmm, line_dedup, piece_dropout, quality, secrets, sharding, simhash, substring_dedup, token_rollup
 from standmap.llm.common import scratch
 
 
@@ -17,6 +17,16 @@ def _spans_text(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
 
 
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By document and the document that keeps the passages: how many units they share, and the words they cover.
+
+    A document that keeps passages for others has a row of its own, with itself as the first.
+    """
+    found = substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("lo", "hi"))), lambda s: F.concat_ws(":", s["lo"].cast("string"), s["hi"].cast("string"))), ",")
+    return found.groupBy("doc_id", "first_doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.count_if("removed").alias("n_removed"), spans.alias("word_spans"))
+
+
 def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -146,6 +156,6 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_hidden_markov, op3_merge_dropout, op4_quality_cascade, op5_pigeonring_simhash, op6_blob_ledger_secrets, op7_line_windows, op8_delta_rollup, op9_hypergeometric_shards, op10_aho_corasick)
+    for f in (op1_paragraph_minhash, op2_hidden_markov, op3_merge_dropout, op4_quality_cascade, op5_pigeonring_simhash, op6_blob_ledger_secrets, op7_line_windows, op8_delta_rollup, op9_hypergeometric_shards, op10_aho_corasick)
 }
 ORACLE = {"op4_quality_cascade": OP4_SQL, "op6_blob_ledger_secrets": _sql_secrets(), "op7_line_windows": OP7_SQL, "op10_aho_corasick": OP10_SQL}
