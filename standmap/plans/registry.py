@@ -21,7 +21,8 @@ def query(views: str = "", sql: str | None = None):
             body = sql.strip()
             head = ctes(*views.split())
             if head:
-                body = f"WITH {head},\n{body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head}\n{body}"
+                start = "WITH RECURSIVE" if body.startswith("WITH RECURSIVE ") else "WITH"
+                body = f"{start} {head},\n{body[len(start) + 1 :]}" if body.startswith("WITH ") else f"WITH {head}\n{body}"
             ORACLE[f.__name__] = body
         return f
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from standmap.functions import geometry as geo
 from standmap.functions import spectral as sp
-from standmap.operators import annotate, raster, select, spatial
+from standmap.operators import annotate, select, spatial
 from standmap.plans.registry import query
 from standmap.sources import io
 from standmap.sources.fixtures import Views
@@ -439,5 +439,3 @@ def bucket_clash(v: Views):
 def seen_set(v: Views):
     return select.seen_set(v.annotations, v.buckets.where("bucket is not null"))
 
-
-_ = raster
