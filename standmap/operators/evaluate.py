@@ -48,6 +48,12 @@ def iou_dice(px: DataFrame, pred: Column | str, gt: Column | str = "gt", valid:
     return c.select("tile_id", _iou(empty).alias("iou"), _dice(empty).alias("dice"))
 
 
+def tile_scores(px: DataFrame, pred: Column | str, gt: Column | str = "gt", valid: Column | str = VALID) -> DataFrame:
+    """(tile_id, iou, recall, silent) in one pass; iou and recall are null on tiles without label."""
+    c = _counts(px, pred, gt, valid, ["tile_id"])
+    return c.select("tile_id", _iou().alias("iou"), _ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), (F.col("tp") + F.col("fp") == 0).alias("silent"))
+
+
 def region_iou(px: DataFrame, pred: Column | str, gt: str = "gt", valid: str = VALID, k: int = 4) -> DataFrame:
     """IoU after the prediction is dilated and closed with a k x k square; 0 where both are empty."""
     p = px.withColumn("__p", F.expr(pred) if isinstance(pred, str) else pred)
@@ -153,7 +159,7 @@ def threshold_ab(px: DataFrame, tuned: DataFrame, fixed: float = 0.5, prob: str
     t = p.groupBy(fold, "tile_id").agg(*aggs).where("tp_a + fn_a > 0")
     iou = lambda x: F.avg(F.col(f"tp_{x}") / (F.col(f"tp_{x}") + F.col(f"fp_{x}") + F.col(f"fn_{x}")))
     rec = lambda x: F.avg(F.col(f"tp_{x}") / (F.col(f"tp_{x}") + F.col(f"fn_{x}")))
-    out = t.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), iou("a").alias("iou_tuned"), iou("b").alias("iou_fixed"), rec("a").alias("recall_tuned"), rec("b").alias("recall_fixed"), F.count_if("tp_a + fp_a = 0").alias("silent_tuned"), F.count_if("tp_b + fp_b = 0").alias("silent_fixed"))
+    out = t.groupBy(fold).agg(F.count(F.lit(1)).alias("n"), iou("a").alias("iou_tuned"), iou("b").alias("iou_fixed"), rec("a").alias("recall_tuned"), rec("b").alias("recall_fixed"), F.count_if(F.expr("tp_a + fp_a = 0")).alias("silent_tuned"), F.count_if(F.expr("tp_b + fp_b = 0")).alias("silent_fixed"))
     return out.withColumn("delta", F.col("iou_tuned") - F.col("iou_fixed"))
 
 
@@ -289,7 +295,7 @@ def zone_contrast(px: DataFrame, orig: str, corr: str) -> DataFrame:
 def paired_improvement(a: DataFrame, b: DataFrame, metric: str = "iou") -> DataFrame:
     """(n, median_a, median_b, mean_a, mean_b, improved): two models on the same tiles."""
     x = a.select("tile_id", F.col(metric).alias("a")).join(b.select("tile_id", F.col(metric).alias("b")), "tile_id").where("a is not null and b is not null")
-    return x.agg(F.count(F.lit(1)).alias("n"), F.median("a").alias("median_a"), F.median("b").alias("median_b"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.count_if("b > a").alias("improved"))
+    return x.agg(F.count(F.lit(1)).alias("n"), F.median("a").alias("median_a"), F.median("b").alias("median_b"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.count_if(F.expr("b > a")).alias("improved"))
 
 
 def dice_focal(px: DataFrame, prob: str = "prob", gt: str = "gt", valid: str = VALID, alpha: float = 0.25, gamma: float = 2.0, eps: float = 1e-6) -> DataFrame:
