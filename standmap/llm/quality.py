@@ -15,6 +15,11 @@ from standmap.llm.common import free_name, words
 SAMPLE_ROWS, SAMPLE_SHARE = 1000, 0.1
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, computed once for a row however often ``then`` reads it, and wherever a plan moves it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def n_words(w: Column, text: Column) -> Column:
     return F.size(w).cast("long")
 
@@ -47,7 +52,9 @@ def n_repeat_words(w: Column, text: Column) -> Column:
 
     Windows are sorted by hash, those with an equal neighbour kept, and the words that their starts cover counted.
     """
-    starts = F.sort_array(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p"))))
+
+    def starts(v: Column) -> Column:
+        return F.sort_array(F.transform(F.slice(v, 1, F.greatest(F.size(v) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(v, i + 1), F.get(v, i + 2)).alias("h"), i.alias("p"))))
 
     def repeated(s: Column) -> Column:
         equal = lambda x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
@@ -57,8 +64,7 @@ def n_repeat_words(w: Column, text: Column) -> Column:
         zero = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
         return F.aggregate(r, zero, lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
 
-    # bound once by a one-element array, so that the sorted windows are not computed again for each neighbour
-    return F.get(F.transform(F.array(starts), lambda s: covered(repeated(s))), F.lit(0)).cast("long")
+    return once(w, lambda v: once(starts(v), lambda t: covered(repeated(t)))).cast("long")
 
 
 FEATURES: dict[str, Callable[[Column, Column], Column]] = {
@@ -137,10 +143,9 @@ def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: lis
     called ``into`` is replaced, all others stay.
     """
     order = order or [r for r, _, _ in calibrate(docs, rules, text=text)]
-    w = free_name(docs, "words")
-    held = docs.drop(*({into} - {text})).withColumn(w, words(F.col(text)))
-    features = {n: FEATURES[n](F.col(w), F.col(text)) for r in order for n in r.features}
-    return held.withColumn(into, first_failure(order, features)).drop(w)
+    needed = [n for r in order for n in r.features]
+    failed = once(words(F.col(text)), lambda w: first_failure(order, {n: FEATURES[n](w, F.col(text)) for n in needed}))
+    return docs.drop(*({into} - {text})).withColumn(into, failed)
 
 
 def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
