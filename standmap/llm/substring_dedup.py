@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from standmap.llm.common import materialize
+from standmap.llm.common import free_name, materialize
 from standmap.llm.components import components
 
 MIN_WORDS, ANCHORS, SHINGLE, SIMILARITY = 24, 24, 5, 0.8
@@ -234,6 +234,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     occurrences = materialize(occurrences, "occurrences")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t", "lo", "hi")
     first = occurrences.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    first = materialize(first)  # so that both sides of the join are shuffled, and a hot component can be split
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
     out = occurrences.join(first, "component")
     return out.select(
@@ -245,21 +246,21 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the removed passages: words of them go, with the white space before each."""
     passages = repeated_passages(docs, doc_id, text).where("removed and cut_from < hi")
-    # a list has no more entries than its document has units
-    spans = passages.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("cut_from", "hi"))).alias("spans"))
     key = lambda d, t: F.concat_ws("|", d.isNull().cast("string"), d.cast("string"), t.cast("string"))
-    spans = spans.select(key(F.col("doc_id"), F.col("t")).alias("__place"), "spans")
+    at, spans = free_name(docs, "place"), free_name(docs, "spans")
+    # a list has no more entries than its document has units
+    gone = passages.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("cut_from", "hi"))).alias(spans))
+    gone = gone.select(key(F.col("doc_id"), F.col("t")).alias(at), spans)
     names = docs.columns
 
     def cut(batches):
         for b in batches:
-            at, texts = b.schema.get_field_index(text), b.column(b.schema.get_field_index(text)).to_pylist()
+            i, texts = b.schema.get_field_index(text), b.column(b.schema.get_field_index(text)).to_pylist()
             left = [t if not s or t is None else without(t, [(x["cut_from"], x["hi"]) for x in s]) for t, s in zip(texts, b.column(b.num_columns - 1).to_pylist(), strict=True)]
-            columns = [pa.array(left, pa.string()) if i == at else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()) if j == i else b.column(j) for j in range(len(names))], names)
 
-    held = docs.withColumn("__place", key(F.col(doc_id).cast("long"), F.xxhash64(F.col(text)))).join(spans, "__place", "left")
-    return held.select(*names, "spans").mapInArrow(cut, docs.schema)
+    held = docs.withColumn(at, key(F.col(doc_id).cast("long"), F.xxhash64(F.col(text)))).join(gone, at, "left")
+    return held.select(*names, spans).mapInArrow(cut, docs.schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

@@ -119,7 +119,8 @@ def test_hidden_markov(docs, none):
 
 def test_substring_dedup(docs, none):
     got = substring_dedup.repeated_passages(docs).collect()
-    assert {r.doc_id for r in got} == {4, 5, 6, None} and {r.first_doc_id for r in got} == {4}
+    assert {r.doc_id for r in got if r.first_doc_id == 4} == {4, 5, 6, None}
+    assert {r.doc_id for r in got if r.first_doc_id != 4} == {3}  # whose words go round
     assert not any(r.removed for r in got if r.doc_id == 4)
     cut = {r.doc_id: r.text for r in substring_dedup.cut_repeats(docs).collect()}
     assert len(cut[5].split()) < 30 and cut[4] == rows()[4][1] and cut[0] is None
