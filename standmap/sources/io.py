@@ -107,7 +107,7 @@ def read_raster_layers(spark: SparkSession, root: str, layers: Sequence[str] = (
     out = None
     for layer in layers:
         raw = spark.read.format("image").option("dropInvalid", True).load(f"{root}/{layer}").select("image.*")
-        ints = F.transform(F.sequence(F.lit(1), F.length(F.hex("data")) / 2), lambda i: F.conv(F.substring(F.hex("data"), (2 * i - 1).cast("int"), 2), 16, 10).cast("int"))
+        ints = F.transform(F.sequence(F.lit(1), (F.length(F.hex("data")) / 2).cast("int")), lambda i: F.conv(F.substring(F.hex("data"), (2 * i - 1).cast("int"), 2), 16, 10).cast("int"))
         px = raw.select(F.regexp_extract("origin", r"([^/]+)\.\w+$", 1).alias("tile_id"), "width", "nChannels", ints.alias("v"))
         px = px.select("tile_id", "width", "nChannels", "v", F.explode(F.sequence(F.lit(0), (F.size("v") / F.col("nChannels")).cast("int") - 1)).alias("i"))
         at = lambda c: F.get("v", F.col("i") * F.col("nChannels") + F.least(F.lit(c), F.col("nChannels") - 1))
