@@ -2,13 +2,16 @@
 
 Symbols merge best score first, leftmost first among equals, from an agenda. A candidate that comes up is skipped if
 a hash keyed by seed, variant, the run of text and the place of the candidate in it falls below the dropout rate, so
-a document always gets the same pieces, and documents of another variant other ones.
+a document always gets the same pieces, and documents of another variant other ones. The hash is a look-up in a table
+of XXH32 values, at a place that XXH64 of the run and the candidate's bounds decide.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
+from array import array
+from heapq import heapify, heappop, heappush
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +24,22 @@ from pyspark.sql import types as T
 #: Where the model is by default; every function takes another path.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Runs of text that a worker remembers, in all variants together, and the longest that it remembers.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 1_200_000, 64
+#: Longest run whose agenda advances in step with others, and characters of text that are looked at together.
+IN_STEP, TOGETHER = 32, 1_500_000
 
 _MASK = (1 << 64) - 1
+_NEVER = 1 << 40
 _RUN = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 
 
 class Pieces:
-    """The vocabulary with spaces as spaces: ``score`` and ``id`` of merged pieces, ``raw`` bytes by id."""
+    """The vocabulary with spaces as spaces: ``rank`` (best score first) and ``id`` of pieces, ``raw`` bytes by id."""
 
     def __init__(self, model: bytes):
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.id: dict[str, int] = {}
-        self.score: dict[str, float] = {}
+        score: dict[str, float] = {}
         self.byte, self.raw = [0] * 256, []
         for i in range(sp.vocab_size()):
             piece = sp.id_to_piece(i)
@@ -44,33 +50,109 @@ class Pieces:
                 self.raw.append(b"")
             else:
                 piece = piece.replace("▁", " ")
-                self.id[piece], self.score[piece] = i, sp.get_score(i)
+                self.id[piece], score[piece] = i, sp.get_score(i)
                 self.raw.append(piece.encode())
+        order = {x: k for k, x in enumerate(sorted(set(score.values()), reverse=True))}
+        self.rank = {piece: order[x] for piece, x in score.items()}
+        self._pairs()
         # no piece crosses into a new run, so runs are encoded by themselves
         self.runs = all("\n" not in p and " " not in p.lstrip(" ") for p in self.id)
 
-    def encode_run(self, run: str, key: int, rate: float) -> list[int]:
-        """Pieces of one run. ``key``: the hash key of the run."""
-        score = self.score
-        n = len(run)
+    def _pairs(self) -> None:
+        """What merges with what, as sorted arrays: symbols are the pieces and the characters that they hold."""
+        symbols = list(dict.fromkeys([*self.id, *(c for p in self.id for c in p)]))
+        number = {x: i for i, x in enumerate(symbols)}
+        self.n_symbols = len(symbols)
+        self.symbol_id = np.array([self.id.get(x, -1) for x in symbols], np.int32)
+        self.symbol_of = np.full(0x110000, -1, np.int64)
+        for x, i in number.items():
+            if len(x) == 1:
+                self.symbol_of[ord(x)] = i
+        found = [(number[p[:i]] * len(symbols) + number[p[i:]], self.rank[p], number[p]) for p in self.id for i in range(1, len(p)) if p[:i] in number and p[i:] in number]
+        found.sort()
+        pairs, ranks, merged = (np.array(x, np.int64) for x in zip(*found, strict=True))
+        self.pairs, self.pair_rank, self.pair_merged = pairs, np.append(ranks, _NEVER), np.append(merged, -1)
+
+    def encode_in_step(self, runs: list[str], keys: list[int], limit: int, table: np.ndarray) -> list[bytes]:
+        """:func:`encode_run` of runs of one length, as int32 bytes: all agendas take their best candidate at a time."""
+        n, out = len(runs[0]), [b""] * len(runs)
+        codes = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+        sym, key = self.symbol_of[codes], np.array(keys, np.int64)
+        row, ends = np.arange(len(runs)), np.broadcast_to(np.arange(n + 1, dtype=np.int64), (len(runs), n + 1))
+
+        def candidates(a, b, key, lo, mid, hi):
+            """Index of each pair's merge; the last index stands for none, or for one that is skipped."""
+            k = a * self.n_symbols + b
+            at = np.searchsorted(self.pairs, k)
+            none = (a < 0) | (b < 0) | (self.pairs[np.minimum(at, len(self.pairs) - 1)] != k)
+            if limit:
+                none |= table[key + lo * 40_503 + mid * 9_973 + hi * 1_009 & 65_535] < limit
+            return np.where(none, len(self.pairs), at)
+
+        cand = candidates(sym[:, :-1], sym[:, 1:], key[:, None], ends[:, :-2], ends[:, 1:-1], ends[:, 2:])
+        while True:
+            m = sym.shape[1]
+            rank = self.pair_rank[cand]
+            best = rank.argmin(axis=1) if m > 1 else np.zeros(len(row), np.int64)
+            go = rank[np.arange(len(row)), best] < _NEVER if m > 1 else np.zeros(len(row), bool)
+            if not go.all():
+                stop = ~go
+                ids, where = self.symbol_id[sym[stop]], ends[stop]
+                ids[sym[stop] < 0] = -1
+                whole, raw = (ids >= 0).all(axis=1), ids.tobytes()
+                for i, r in enumerate(row[stop].tolist()):
+                    out[r] = raw[4 * m * i : 4 * m * (i + 1)] if whole[i] else self._bytes(runs[r], ids[i].tolist(), where[i].tolist())
+                row, sym, ends, cand, key, best = (x[go] for x in (row, sym, ends, cand, key, best))
+            if not len(row):
+                return out
+            i = np.arange(len(row))
+            new = self.pair_merged[cand[i, best]]
+            cols = np.arange(m - 1)
+            sym = np.take_along_axis(sym, cols + (cols > best[:, None]), 1)
+            sym[i, best] = new
+            cols = np.arange(m)
+            ends = np.take_along_axis(ends, cols + (cols > best[:, None]), 1)
+            cols = np.arange(m - 2)
+            cand = np.take_along_axis(cand, cols + (cols >= best[:, None]), 1)
+            for at, of in ((best - 1, best > 0), (best, best < m - 2)):
+                r, a = i[of], at[of]
+                if len(r):
+                    cand[r, a] = candidates(sym[r, a], sym[r, a + 1], key[r], ends[r, a], ends[r, a + 1], ends[r, a + 2])
+
+    def _bytes(self, run: str, ids: list[int], ends: list[int]) -> bytes:
+        """Ids of a run of which some symbols (-1) are no pieces."""
+        out = array("i")
+        for x, lo, hi in zip(ids, ends, ends[1:], strict=False):
+            out.extend([x] if x >= 0 else [self.byte[b] for b in run[lo:hi].encode("utf-8", "surrogatepass")])
+        return out.tobytes()
+
+    def encode_run(self, run: str, key: int, limit: int, table: list[int]) -> list[int]:
+        """Pieces of one run. A candidate is skipped if its place in ``table``, by ``key`` and its bounds, is below ``limit``.
+
+        A candidate is one integer: its rank, then where it begins, meets and ends.
+        """
+        rank, n = self.rank.get, len(run)
         end = list(range(1, n + 1))  # of the symbol that begins here; 0: none does
         before = list(range(-1, n - 1))
-        agenda = [(-s, i, i + 1, i + 2) for i in range(n - 1) if (s := score.get(run[i : i + 2])) is not None]
-        heapq.heapify(agenda)
-        limit = int(rate * (1 << 32))
+        b = n.bit_length()
+        b2, b3, mask = 2 * b, 3 * b, (1 << b) - 1
+        agenda = [(r << b3) | (i << b2) | (i + 1 << b) | i + 2 for i in range(n - 1) if (r := rank(run[i : i + 2])) is not None]
+        heapify(agenda)
         while agenda:
-            _, lo, mid, hi = heapq.heappop(agenda)
-            if end[lo] != mid or mid >= n or end[mid] != hi:
+            c = heappop(agenda)
+            lo, mid, hi = c >> b2 & mask, c >> b & mask, c & mask
+            if end[lo] != mid or end[mid] != hi:
                 continue
-            if limit and ((((key ^ (lo * 0x9E3779B97F4A7C15 + mid * 0xC2B2AE3D27D4EB4F + hi * 0x165667B19E3779F9)) & _MASK) * 0xFF51AFD7ED558CCD & _MASK) >> 32) < limit:
+            if limit and table[key + lo * 40_503 + mid * 9_973 + hi * 1_009 & 65_535] < limit:
                 continue
             end[lo], end[mid] = hi, 0
             if hi < n:
                 before[hi] = lo
-                if (s := score.get(run[lo : end[hi]])) is not None:
-                    heapq.heappush(agenda, (-s, lo, hi, end[hi]))
-            if (prev := before[lo]) >= 0 and (s := score.get(run[prev:hi])) is not None:
-                heapq.heappush(agenda, (-s, prev, lo, hi))
+                to = end[hi]
+                if (r := rank(run[lo:to])) is not None:
+                    heappush(agenda, (r << b3) | (lo << b2) | (hi << b) | to)
+            if (prev := before[lo]) >= 0 and (r := rank(run[prev:hi])) is not None:
+                heappush(agenda, (r << b3) | (prev << b2) | (lo << b) | hi)
         out, i = [], 0
         while i < n:
             piece = run[i : end[i]]
@@ -90,28 +172,59 @@ class Encoder:
     """Encodes texts as int32 bytes, remembering the runs that it has met lately."""
 
     def __init__(self, pieces: Pieces, rate: float, seed: int, variants: int):
-        self.pieces, self.rate, self.seed, self.variants = pieces, rate, seed, max(1, variants)
+        self.pieces, self.seed, self.variants = pieces, seed, max(1, variants)
+        self.limit = int(rate * (1 << 32))
+        self.table: list[int] = [xxhash.xxh32_intdigest(i.to_bytes(2, "little"), seed & 0xFFFFFFFF) for i in range(1 << 16)]
+        self.table_array = np.array(self.table, np.int64)
         self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
     def variant(self, key: object) -> int:
         return xxhash.xxh64_intdigest(str(key).encode(), self.seed) % self.variants
 
     def encode(self, text: str, variant: int) -> bytes:
-        if not text:
-            return b""
-        known, text = self.known[variant], f" {text}"
-        out = []
-        for run in _RUN.findall(text) if self.pieces.runs else [text]:
-            ids = known.get(run)
-            if ids is None:
-                key = xxhash.xxh64_intdigest(run.encode("utf-8", "surrogatepass"), (self.seed * 1_000_003 + variant) & _MASK)
-                ids = np.array(self.pieces.encode_run(run, key, self.rate), np.int32).tobytes()
-                if len(run) <= LONGEST:
-                    if len(known) >= REMEMBERED // self.variants:
-                        known.clear()
-                    known[run] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_all([text], [variant])[0]
+
+    def encode_all(self, texts: list[str], variants: list[int]) -> list[bytes]:
+        split = [(_RUN.findall(f" {t}") if self.pieces.runs else [f" {t}"]) if t else [] for t in texts]
+        out = [b""] * len(texts)
+        for v in set(variants):
+            mine = [i for i, x in enumerate(variants) if x == v]
+            known = self.known[v]
+            every = set().union(*(split[i] for i in mine))
+            new = every - known.keys()
+            if len(known) + len(new) > REMEMBERED // self.variants:
+                known.clear()
+                new = every
+            known.update(self._fresh(sorted(new, key=len), v))
+            for i in mine:
+                out[i] = b"".join(map(known.__getitem__, split[i]))
+            for r in new:
+                if len(r) > LONGEST:
+                    del known[r]
+        return out
+
+    def _fresh(self, runs: list[str], variant: int) -> dict[str, bytes]:
+        """Ids of runs that aren't remembered, by length together."""
+        seed, out = (self.seed * 1_000_003 + variant) & _MASK, {}
+        hashed = lambda r: xxhash.xxh64_intdigest(r.encode("utf-8", "surrogatepass"), seed) & 0x3FFFFFFF
+        for n, same in groupby(runs, key=len):
+            group = list(same)
+            if 1 < n <= IN_STEP and len(group) > 8:
+                out.update(zip(group, self.pieces.encode_in_step(group, [hashed(r) for r in group], self.limit, self.table_array), strict=True))
+            else:
+                out.update((r, array("i", self.pieces.encode_run(r, hashed(r), self.limit, self.table)).tobytes()) for r in group)
+        return out
+
+
+def _portions(texts: list) -> list[tuple[int, int]]:
+    """Ranges of ``texts`` of about TOGETHER characters, one text at least."""
+    out, lo, size = [], 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= TOGETHER:
+            out.append((lo, i + 1))
+            lo, size = i + 1, 0
+    return [*out, (lo, len(texts))] if lo < len(texts) else out
 
 
 _HELD: dict[tuple, Encoder] = {}
@@ -143,7 +256,10 @@ def encode_pieces(docs: DataFrame, model: str = MODEL, rate: float = 0.1, seed:
         encoder = _encoder(held.value, rate, seed, variants)
         for b in batches:
             keys, texts = (b.column(b.schema.get_field_index(c)).to_pylist() for c in (doc_id, text))
-            found = [None if t is None else encoder.encode(t, encoder.variant(k)) for k, t in zip(keys, texts, strict=True)]
+            found = []
+            for lo, hi in _portions(texts):
+                ids = encoder.encode_all([t or "" for t in texts[lo:hi]], [encoder.variant(k) for k in keys[lo:hi]])
+                found += [None if t is None else x for t, x in zip(texts[lo:hi], ids, strict=True)]
             lengths = np.array([len(x or b"") // 4 for x in found], np.int64)
             values = np.frombuffer(b"".join(x or b"" for x in found), np.int32)
             ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)

@@ -211,3 +211,15 @@ def test_repeat_words_equal_a_loop(spark):
 
     got = quality.with_features(spark.createDataFrame([(t,) for t in texts], "text string"), ("n_repeat_words",)).collect()
     assert {r.text: r.n_repeat_words for r in got} == {t: loop(t) for t in texts}
+
+
+def test_agendas_in_step_equal_single_ones(texts):
+    pieces = piece_dropout.Pieces(open(piece_dropout.MODEL, "rb").read())
+    every = [*texts.values(), "日本 🎉 ▁x \x00\x00 ab\x00 ɐɐɐbɐ" * 3]
+    for rate in (0.0, 0.3, 1.0):
+        e = piece_dropout.Encoder(pieces, rate, 9, 1)
+        runs = sorted({r for t in every for r in piece_dropout._RUN.findall(f" {t}")}, key=len)
+        got = e._fresh(runs, 0)
+        for r in runs[::7]:
+            key = xxhash.xxh64_intdigest(r.encode(), 9 * 1_000_003) & 0x3FFFFFFF
+            assert np.frombuffer(got[r], np.int32).tolist() == pieces.encode_run(r, key, e.limit, e.table)
