@@ -230,7 +230,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     again = found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
     wanted = again.join(near, "h1", "full")
     g = F.when(F.col("component").isNull(), F.concat(F.hex("h1"), F.hex("h2"))).otherwise(F.hex("component"))
-    occurrences = found.drop("bands").distinct().join(wanted, "h1").select("doc_id", "t", "kind", "lo", "hi", g.alias("component"))
+    # repeated rows of the input are dropped where few units are left
+    occurrences = found.drop("bands").join(wanted, "h1").select("doc_id", "t", "kind", "lo", "hi", g.alias("component")).distinct()
     occurrences = materialize(occurrences, "occurrences")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t", "lo", "hi")
     first = occurrences.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
