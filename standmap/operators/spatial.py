@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from standmap.operators.raster import rasterize
+from standmap.operators.raster import polygon_spans
 from standmap.sources.store import materialize
 
 
@@ -111,15 +111,13 @@ def confirmed_negatives(cand: DataFrame, regions: DataFrame, feat: DataFrame, ce
 def polygon_overlap(vert_a: DataFrame, vert_b: DataFrame, cells: int = 64, id_: str = "poly_id") -> DataFrame:
     """(id, iou_raw, iou_shift, iou_scaled, shift_m, area_ratio) of polygon pairs.
 
-    Both are rasterised on a grid of ``cells`` squares over the pair's box, padded by half; so the figures are as exact as
-    the grid. Shifted: b moved onto a's vertex mean; scaled: and to a's area (in cells).
+    Both are cut into spans on a grid of ``cells`` squares over the pair's box, so the figures are as exact as
+    the grid. Shifted: b moved onto a's vertex mean; scaled: and to a's area.
     """
     both = vert_a.select(id_, F.lit("a").alias("part"), "k", "x", "y").unionByName(vert_b.select(id_, F.lit("b").alias("part"), "k", "x", "y"))
-    w, own = Window.partitionBy(id_), Window.partitionBy(id_, "part")
     e = _edges(both, [id_, "part"])
     m = e.groupBy(id_, "part").agg(F.abs(F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y")) / 2).alias("area"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
     m = m.groupBy(id_).agg(*(F.max(F.when(F.col("part") == p, F.col(c))).alias(f"{c}_{p}") for p in "ab" for c in ("area", "mx", "my")))
-    del own
     v = both.join(m, id_)
     s = F.sqrt(F.col("area_a") / F.col("area_b"))
     moved = {
@@ -133,8 +131,13 @@ def polygon_overlap(vert_a: DataFrame, vert_b: DataFrame, cells: int = 64, id_:
     x0, y0 = F.min("px").over(w), F.min("py").over(w)
     side = F.greatest(F.max("px").over(w) - F.min("px").over(w), F.max("py").over(w) - F.min("py").over(w))
     v = v.withColumns({"x": (F.col("px") - x0) / side * cells, "y": (F.col("py") - y0) / side * cells})
-    px = rasterize(v.select(id_, "how", "part", "k", "x", "y"), cells, cells, keys=(id_, "how", "part"))
-    c = px.groupBy(id_, "how", "y", "x").agg(F.count(F.lit(1)).alias("n")).groupBy(id_, "how").agg((F.count_if(F.col("n") == 2) / F.count(F.lit(1))).alias("iou"))
+    spans = polygon_spans(v.select(id_, "how", "part", "k", "x", "y"), cells, cells, keys=(id_, "how", "part"))
+    sizes = spans.groupBy(id_, "how").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("both"))
+    other = spans.where("part = 'b'").select(id_, "how", "y", F.col("x0").alias("u0"), F.col("x1").alias("u1"))
+    shared = F.greatest(F.lit(0), F.least("x1", "u1") - F.greatest("x0", "u0") + 1)
+    c = spans.where("part = 'a'").join(other, [id_, "how", "y"]).groupBy(id_, "how").agg(F.sum(shared).alias("shared"))
+    c = sizes.join(c, [id_, "how"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    c = c.select(id_, "how", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("iou"))
     iou = c.groupBy(id_).agg(*(F.max(F.when(F.col("how") == h, F.col("iou"))).alias(f"iou_{h}") for h in moved))
     dx, dy = F.col("mx_a") - F.col("mx_b"), F.col("my_a") - F.col("my_b")
     return m.join(iou, id_).select(id_, "iou_raw", "iou_shift", "iou_scaled", F.sqrt(dx * dx + dy * dy).alias("shift_m"), (F.col("area_b") / F.col("area_a")).alias("area_ratio"))
