@@ -269,9 +269,9 @@ def terrain_proxy(v: Views):
     return rounded(ev.terrain_proxy(v.pixels))
 
 
-@query("pixels", "SELECT tile_id, round(avg(prob) FILTER (prior), 6) AS inside, round(avg(prob) FILTER (NOT prior), 6) AS outside, bool_or(prob > 0.5) AS fired, round(avg(prob) FILTER (prior) - avg(prob) FILTER (NOT prior), 6) AS contrast FROM pixels GROUP BY tile_id")
+@query("pixels", "SELECT tile_id, round(avg(prob) FILTER (prior), 9) AS inside, round(avg(prob) FILTER (NOT prior), 9) AS outside, bool_or(prob > 0.5) AS fired, round(avg(prob) FILTER (prior) - avg(prob) FILTER (NOT prior), 9) AS contrast FROM pixels GROUP BY tile_id")
 def density_contrast(v: Views):
-    return rounded(ev.density_contrast(v.pixels, "prior"))
+    return rounded(ev.density_contrast(v.pixels, "prior"), n=9)
 
 
 @query("pixels", "SELECT CASE WHEN gt THEN 'corrected' WHEN prior THEN 'rejected' ELSE 'background' END AS zone, count(*) AS pixels, round(avg((g/255.0::DOUBLE - r/255.0::DOUBLE)/(g/255.0::DOUBLE + r/255.0::DOUBLE + 1e-6)), 6) AS greenness FROM pixels GROUP BY 1")
