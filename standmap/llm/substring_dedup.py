@@ -36,9 +36,20 @@ _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _WordHashes(dict):
+    """XXH64 of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
+    """``x`` mixed in place."""
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def _runs(h: np.ndarray, size: int) -> np.ndarray:
@@ -69,9 +80,14 @@ def paragraphs(text: str) -> tuple[list[bytes], list[tuple[int, int]]]:
     return words, ranges
 
 
-def _content(words: list[bytes], lo: int, hi: int) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(b" ".join(words[lo:hi]))
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def _content(words: list[bytes], lo: int, hi: int) -> bytes:
+    """128 bits that stand for words [lo, hi)."""
+    return xxhash.xxh3_128_digest(b" ".join(words[lo:hi]))
+
+
+def _halves(digests: list[bytes]) -> np.ndarray:
+    """Digests as two columns of integers."""
+    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
 
 
 def _band_keys(h: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
@@ -88,9 +104,9 @@ def _band_keys(h: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
 
 
 def _units(batches) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, int] = {}
+    known = _WordHashes()
     for b in batches:
-        row, kind, lo, hi, h1, h2, bands = [], [], [], [], [], [], []
+        row, kind, lo, hi, digests, bands = [], [], [], [], [], []
         for i, t in enumerate(b.column(2).to_pylist()):
             words, ranges = paragraphs(t or "")
             ranges = [r for r in ranges if r[1] - r[0] >= MIN_WORDS]
@@ -98,22 +114,21 @@ def _units(batches) -> Iterator[pa.RecordBatch]:
                 continue
             if len(known) > REMEMBERED:
                 known.clear()
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
             h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
             starts = anchors(h)
             every = [*ranges, *((a, a + MIN_WORDS) for a in starts[starts + MIN_WORDS <= len(words)].tolist())]
-            hashes = [_content(words, a, z) for a, z in every]
             row += [i] * len(every)
             kind += [0] * len(ranges) + [1] * (len(every) - len(ranges))
             lo += [a for a, _ in every]
             hi += [z for _, z in every]
-            h1 += [x for x, _ in hashes]
-            h2 += [x for _, x in hashes]
-            bands += [*(_band_keys(h, ranges).tolist() if ranges else ()), *itertools.repeat(None, len(every) - len(ranges))]
-        at = pa.array(row, pa.int32())
-        columns = [b.column(0).take(at), b.column(1).take(at), *(pa.array(x, k) for x, k in ((kind, pa.int32()), (lo, pa.int32()), (hi, pa.int32()), (h1, pa.int64()), (h2, pa.int64()), (bands, pa.list_(pa.int64()))))]
+            digests += [_content(words, a, z) for a, z in every]
+            if ranges:
+                bands.append(_band_keys(h, ranges))
+        at, (h1, h2) = pa.array(row, pa.int32()), _halves(digests).T.copy()
+        runs = np.array(kind, np.int32)
+        ends = np.concatenate(([0], np.cumsum(runs == 0) * BANDS)).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *(k.ravel() for k in bands)])), mask=pa.array(runs == 1))
+        columns = [b.column(0).take(at), b.column(1).take(at), pa.array(runs), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(h1), pa.array(h2), keys]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "kind", "lo", "hi", "h1", "h2", "bands"])
 
 
@@ -153,14 +168,14 @@ def candidates(found: DataFrame) -> DataFrame:
 
 def _line_texts(batches) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        h1, text = [], []
+        digests, text = [], []
         for t in b.column(0).to_pylist():
             words, ranges = paragraphs(t or "")
             for lo, hi in ranges:
                 if hi - lo >= MIN_WORDS:
-                    h1.append(_content(words, lo, hi)[0])
+                    digests.append(_content(words, lo, hi))
                     text.append(b" ".join(words[lo:hi]))
-        yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(text, pa.binary())], ["h1", "line"])
+        yield pa.RecordBatch.from_arrays([pa.array(_halves(digests)[:, 0].copy()), pa.array(text, pa.binary())], ["h1", "line"])
 
 
 def shingles(line: bytes) -> frozenset:
