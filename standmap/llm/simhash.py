@@ -5,6 +5,9 @@ segment starts a chain of consecutive segments whose first l segments differ in
 every l: none in the first two, one in five, two in seven, three in all. Candidates must agree in the first two
 segments of a chain and in two of the next three (one bit spoils one segment), which makes 24 keys of 32 bits; the
 rest of the chain is checked before the full Hamming distance.
+
+:func:`keep_one` looks wider: texts whose five-word shingles have a Jaccard similarity of 0.8 differ in about eight
+bits, so its chains run at twelve (budgets 1, 3, 4, 6 and so on), and each candidate is verified by exact Jaccard.
 """
 
 from __future__ import annotations
@@ -23,10 +26,14 @@ from standmap.llm.common import free_name, materialize
 from standmap.llm.components import components
 
 BITS, SEGMENTS, DISTANCE = 64, 8, 3
+#: Near-duplicates of :func:`keep_one`: the bits within which candidates lie, and the shingles and similarity that decide.
+WIDE, SHINGLE, SIMILARITY = 12, 5, 0.8
 #: Fingerprints of one key that a task compares; larger buckets are cut into blocks, and each pair of blocks compared.
 BLOCK = 4096
 #: Of the third to fifth segment of a chain, the two that agree.
 _PAIRS = ((2, 3), (2, 4), (3, 4))
+#: Texts of one size class that a task compares at a wide distance, and pairs that it looks at together.
+WIDE_BLOCK, TOGETHER = 131_072, 2_000_000
 
 
 def shingle_hashes(words: list[bytes], size: int = 3, seed: int = 42) -> np.ndarray:
@@ -38,9 +45,13 @@ def shingle_hashes(words: list[bytes], size: int = 3, seed: int = 42) -> np.ndar
     return np.fromiter((h(r, seed) for r in runs), np.uint64)
 
 
-def fingerprint(text: str | None) -> int:
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def fingerprint(text: str | None, size: int = 3) -> int:
     """A bit is 1 if it is set in more than half of the shingle hashes. No words: zero."""
-    h = shingle_hashes((text or "").encode("utf-8", "surrogatepass").lower().split())
+    h = shingle_hashes(_words(text), size)
     if not len(h):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -154,13 +165,150 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates, with its columns as they are: the least id, then the least hash.
+def shingle_set(text: str | None, size: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    """The distinct runs of ``size`` words; the whole sequence if it is shorter; nothing without words."""
+    w = _words(text)
+    return set(zip(*(w[i:] for i in range(size)), strict=False)) if len(w) >= size else {tuple(w)} if w else set()
+
+
+def _sized(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """(doc_id, text_hash, fp, n): :func:`fingerprints` with the number of distinct five-word shingles."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            fps = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array([len(shingle_set(t)) for t in texts], pa.int64())], ["doc_id", "text_hash", "fp", "n"])
+
+    held = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    return held.mapInArrow(run, T.StructType([*held.schema.fields[:2], T.StructField("fp", T.LongType()), T.StructField("n", T.LongType())]))
+
+
+def chained(x: np.ndarray, start: int, distance: int) -> np.ndarray:
+    """Whether differences ``x`` keep the budget floor(l * distance / 8) in the first l segments from ``start``, for every l."""
+    turned = x if not start else (x << np.uint64(8 * start)) | (x >> np.uint64(BITS - 8 * start))
+    ok = np.bitwise_count(x) <= distance
+    for i in range(1, SEGMENTS):
+        ok &= np.bitwise_count(turned >> np.uint64(BITS - 8 * i)) <= distance * i // SEGMENTS
+    return ok
+
+
+def _within(fp: np.ndarray, left: np.ndarray, right: np.ndarray, start: int, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ``left`` and ``right`` (places in ``fp``) with a chain from ``start``; each pair once if both are the same."""
+    turned = fp if not start else (fp << np.uint64(8 * start)) | (fp >> np.uint64(BITS - 8 * start))
+    segment = (turned >> np.uint64(BITS - 8)).astype(np.int64)
+    one = left is right
+    by = []
+    for side in (left, right):
+        side = side[np.argsort(segment[side], kind="stable")]
+        by.append((side, np.searchsorted(segment[side], np.arange(257))))
+    (ls, lat), (rs, rat) = by
+    masks = [m for m in range(256) if m.bit_count() <= distance // SEGMENTS]
+    for v in np.flatnonzero(np.diff(lat)).tolist():
+        mine = ls[lat[v] : lat[v + 1]]
+        others = [rs[rat[v ^ m] : rat[(v ^ m) + 1]] for m in masks if not one or v ^ m >= v]
+        other = np.concatenate(others)
+        step = max(1, TOGETHER // max(1, len(other)))
+        for lo in range(0, len(mine), step):
+            a, b = np.nonzero(np.bitwise_count(fp[mine[lo : lo + step], None] ^ fp[other][None, :]) <= distance)
+            a, b = mine[lo : lo + step][a], other[b]
+            ok = chained(fp[a] ^ fp[b], start, distance)
+            if one:
+                ok &= (segment[a] != segment[b]) | (a < b)
+            yield a[ok], b[ok]
+
+
+def wide_candidates(nodes: DataFrame, distance: int = WIDE, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b), a < b: every pair of texts (text_hash, fp, n) within ``distance`` bits whose sizes allow ``similarity``.
+
+    Texts are dealt to classes by size, so that a text can be similar to those of its class and the next ones only; a
+    class beyond WIDE_BLOCK is cut into blocks, and each pair of blocks compared by a task for each start of a chain.
+    """
+    width = np.log(1.001 / similarity)
+    class_ = F.when(F.col("n") == 0, -2).otherwise(F.floor(F.log("n") / F.lit(float(width)))).cast("long")
+    places = F.explode(F.array(*(F.struct((class_ + k).alias("g"), F.lit(bool(k)).alias("guest")) for k in (0, 1))))
+    rows = nodes.select("text_hash", "fp", "n", places.alias("p")).select("text_hash", "fp", "n", "p.g", "p.guest")
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("guest")).alias("homes")).where("homes > 0 and m > 1")
+    sizes = sizes.select("g", F.ceil(F.col("m") / WIDE_BLOCK).cast("long").alias("blocks"))  # a row for each class
+    rows = rows.join(F.broadcast(sizes), "g").withColumn("mine", F.pmod(F.xxhash64("text_hash", F.lit(1)), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("start", F.explode(F.array(*map(F.lit, range(SEGMENTS)))))
+    rows = rows.select("g", F.col("start").cast("long").alias("start"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", F.col("guest").cast("long").alias("guest"), "text_hash", "fp", "n")
+    rows = rows.repartition("g", "start", "i", "j").sortWithinPartitions("g", "start", "i", "j")
+
+    def compare(m: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start, i, j = (int(x) for x in m[1:4, 0])
+        guest, t, fp, n = m[5] > 0, m[6], m[7].view(np.uint64), m[8]
+        left = np.flatnonzero(m[4] == i)
+        right = left if i == j else np.flatnonzero(m[4] == j)
+        for a, b in _within(fp, left, right, start, distance):
+            ok = ~(guest[a] & guest[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])) & (t[a] != t[b])
+            if ok.any():
+                x, y = t[a[ok]], t[b[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        for b in itertools.chain(batches, [None]):
+            new = None if b is None else np.stack([b.column(k).to_numpy() for k in range(9)])
+            edge = [] if new is None else (np.flatnonzero((np.diff(new[:4], axis=1) != 0).any(axis=0)) + 1).tolist()
+            for part in [None] if new is None else np.split(new, edge, axis=1):
+                if held and (part is None or (held[0][:4, 0] != part[:4, 0]).any()):
+                    yield from compare(np.ascontiguousarray(np.concatenate(held, axis=1)))
+                    held = []
+                if part is not None and part.shape[1]:
+                    held.append(part)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose texts have an exact five-word Jaccard similarity of ``similarity`` or more."""
+
+    def run(batches):
+        last, mine = None, set()
+        for b in batches:
+            out = []
+            for a, z, x, y in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                if a != last:
+                    last, mine = a, shingle_set(x)
+                other = shingle_set(y)
+                both = len(mine & other)
+                if both >= similarity * (len(mine) + len(other) - both):
+                    out.append((a, z))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([z for _, z in out], pa.int64())], ["a", "b"])
+
+    named = lambda c: texts.select(F.col("text_hash").alias(c), F.col("text").alias(f"text_{c}"))
+    rows = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "text_a", "text_b")
+    return rows.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+
+
+def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, distance: int = WIDE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, text_hash, root) for every row: texts of one root are joined by links.
+
+    Texts link if their fingerprints over ``size`` words differ in ``distance`` bits or fewer and the exact Jaccard
+    similarity of their five-word shingles is ``similarity`` or more. Texts without words, null ones too, are alike.
+    """
+    rows = materialize(_sized(docs, doc_id, text, size), "sized")
+    pairs = materialize(wide_candidates(rows.select("text_hash", "fp", "n").distinct(), distance, similarity), "pairs")
+    wanted = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct()
+    texts = docs.select(F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text")).join(wanted, "text_hash", "left_semi")
+    texts = materialize(texts.groupBy("text_hash").agg(F.first("text").alias("text")), "texts")
+    # one pair of each text first, so that of a large group few pairs are left to verify
+    sure = materialize(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")), texts, similarity), "sure")
+    near = materialize(components(sure), "near")
+    at = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    rest = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+    found = components(sure.unionByName(_verified(rest, texts, similarity)))
+    return rows.join(found, rows.text_hash == found.node, "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("root"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, distance: int = WIDE, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of :func:`similar_texts`, with its columns as they are: the least id, then the least hash.
 
     Null ids come last. Rows with equal id and text count as one, of which one row stays.
     """
     place = lambda d, t: F.concat_ws("|", F.col(d).isNull().cast("string"), F.col(d).cast("string"), F.col(t).cast("string"))
-    groups = near_duplicates(docs, doc_id, text)
+    groups = materialize(similar_texts(docs, doc_id, text, size, distance, similarity), "groups")
     best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("k"))
     key, hash_ = free_name(docs, "key"), free_name(docs, "hash")
     rows = materialize(groups.groupBy("doc_id", "text_hash").count(), "rows")

@@ -67,6 +67,37 @@ def test_simhash_links_in_a_dense_group(spark, monkeypatch):
     assert components(fps, close) == components(fps, lambda a, b: (a, b) in pairs)
 
 
+def test_wide_candidates_equal_all_pairs(spark, monkeypatch):
+    """Pigeonring chains at 12 bits miss no pair that sizes allow, in blocks too."""
+    monkeypatch.setattr(simhash, "WIDE_BLOCK", 40)
+    monkeypatch.setattr(simhash, "TOGETHER", 50)
+    rng = np.random.default_rng(1)
+    fps = [0x0123456789ABCDEF ^ int(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 12), replace=False))) for _ in range(200)]
+    rows = [(k, x if x < 1 << 63 else x - (1 << 64), int(rng.integers(0, 40))) for k, x in enumerate(fps)]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and ((a[1] ^ b[1]) % (1 << 64)).bit_count() <= 12 and min(a[2], b[2]) >= 0.8 * max(a[2], b[2])}
+    got = [(r.a, r.b) for r in simhash.wide_candidates(spark.createDataFrame(rows, "text_hash long, fp long, n long")).collect()]
+    assert len(want) > 300 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_copies_go_and_others_stay(spark):
+    """Copies of five-word similarity 0.8 or more go, though more than three bits apart; close fingerprints alone don't link."""
+    rng = np.random.default_rng(2)
+    rows, similar, apart = [], 0, 0
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        copy = [f"z{k}" if i in (20, 90, 160) else x for i, x in enumerate(words)]
+        far = [f"y{i}" if i % 20 == 0 else x for i, x in enumerate(words)]
+        a, b = " ".join(words), " ".join(copy)
+        sets = simhash.shingle_set(a), simhash.shingle_set(b)
+        similar += len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+        apart += (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count() > 3
+        rows += [(3 * k, a), (3 * k + 1, b), (3 * k + 2, " ".join(far))]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert similar == 40 and apart > 20
+    assert {k for k in kept if k % 3 != 1} == {3 * k + d for k in range(40) for d in (0, 2)}
+    assert sum(k % 3 == 1 for k in kept) <= 1
+
+
 def test_repeated_passages_hold_every_shared_run(docs, texts):
     runs = {}
     for k, t in texts.items():
