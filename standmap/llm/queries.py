@@ -22,7 +22,7 @@ def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A document that keeps passages for others has a row of its own, with itself as the first.
     """
-    found = substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    found = substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"), least=1)
     spans = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("lo", "hi"))), lambda s: F.concat_ws(":", s["lo"].cast("string"), s["hi"].cast("string"))), ",")
     return found.groupBy("doc_id", "first_doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.count_if("removed").alias("n_removed"), spans.alias("word_spans"))
 

@@ -1,8 +1,9 @@
 """Substring dedup: paragraph MinHash banding with exact Jaccard, and content-anchored passages.
 
-Paragraphs are lines of MIN_WORDS words or more. Paragraphs that agree in a band of their MinHash signatures meet, and
-link if the Jaccard similarity of their five-word shingles is 0.8 or more; linked ones make up components. Eight bands
-of three rows find a pair of similarity 0.8 with probability 0.997.
+Paragraphs are lines of ``least`` words or more, MIN_WORDS unless the caller says otherwise. Paragraphs that agree in a
+band of their MinHash signatures meet, and link if the Jaccard similarity of their five-word shingles is 0.8 or more;
+linked ones make up components. Eight bands of three rows find a pair of similarity 0.8 with probability 0.997.
+Paragraphs of fewer than SHINGLE words have no signature and meet by the 128-bit hash of their words alone.
 
 A passage inside a longer paragraph shares none of its signature, so runs of MIN_WORDS words that begin at anchors
 count as units too, compared by a 128-bit hash of their words. Anchors are the least of each ANCHORS consecutive
@@ -92,6 +93,8 @@ def _halves(digests: list[bytes]) -> np.ndarray:
 
 def _band_keys(h: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
     """The band keys of each paragraph, (n, BANDS)."""
+    if not ranges:
+        return np.empty((0, BANDS), np.int64)
     s = _runs(h, SHINGLE)
     at = np.concatenate([np.arange(lo, hi - SHINGLE + 1) for lo, hi in ranges])
     sizes = np.array([hi - lo - SHINGLE + 1 for lo, hi in ranges])
@@ -103,14 +106,14 @@ def _band_keys(h: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _units(batches) -> Iterator[pa.RecordBatch]:
+def _units(batches, least: int) -> Iterator[pa.RecordBatch]:
     known = _WordHashes()
     for b in batches:
         row, kind, lo, hi, digests, bands = [], [], [], [], [], []
         for i, t in enumerate(b.column(2).to_pylist()):
             words, ranges = paragraphs(t or "")
-            ranges = [r for r in ranges if r[1] - r[0] >= MIN_WORDS]
-            if len(words) < MIN_WORDS:
+            ranges = [r for r in ranges if r[1] - r[0] >= least]
+            if len(words) < min(least, MIN_WORDS):
                 continue
             if len(known) > REMEMBERED:
                 known.clear()
@@ -122,20 +125,20 @@ def _units(batches) -> Iterator[pa.RecordBatch]:
             lo += [a for a, _ in every]
             hi += [z for _, z in every]
             digests += [_content(words, a, z) for a, z in every]
-            if ranges:
-                bands.append(_band_keys(h, ranges))
+            bands.append(_band_keys(h, [r for r in ranges if r[1] - r[0] >= SHINGLE]))
         at, (h1, h2) = pa.array(row, pa.int32()), _halves(digests).T.copy()
         runs = np.array(kind, np.int32)
-        ends = np.concatenate(([0], np.cumsum(runs == 0) * BANDS)).astype(np.int32)
-        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *(k.ravel() for k in bands)])), mask=pa.array(runs == 1))
+        signed = (runs == 0) & (np.array(hi, np.int32) - np.array(lo, np.int32) >= SHINGLE)
+        ends = np.concatenate(([0], np.cumsum(signed) * BANDS)).astype(np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *(k.ravel() for k in bands)])), mask=pa.array(~signed))
         columns = [b.column(0).take(at), b.column(1).take(at), pa.array(runs), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(h1), pa.array(h2), keys]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "kind", "lo", "hi", "h1", "h2", "bands"])
 
 
-def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """One row for each paragraph (kind 0) and anchored run (kind 1): its document, words [lo, hi), hashes and band keys."""
     held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
-    return held.mapInArrow(_units, "doc_id long, t long, kind int, lo int, hi int, h1 long, h2 long, bands array<long>")
+    return held.mapInArrow(lambda batches: _units(batches, max(1, least)), "doc_id long, t long, kind int, lo int, hi int, h1 long, h2 long, bands array<long>")
 
 
 def _shared_bands(batches) -> Iterator[pa.RecordBatch]:
@@ -161,18 +164,18 @@ def _shared_bands(batches) -> Iterator[pa.RecordBatch]:
 
 def candidates(found: DataFrame) -> DataFrame:
     """(key, h1): paragraphs that share a band key with another one."""
-    lines = found.where("kind = 0").groupBy("h1").agg(F.first("bands").alias("bands"))
+    lines = found.where("kind = 0 and bands is not null").groupBy("h1").agg(F.first("bands").alias("bands"))
     rows = lines.select(F.explode("bands").alias("key"), "h1")
     return rows.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(_shared_bands, "key long, h1 long")
 
 
-def _line_texts(batches) -> Iterator[pa.RecordBatch]:
+def _line_texts(batches, least: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         digests, text = [], []
         for t in b.column(0).to_pylist():
             words, ranges = paragraphs(t or "")
             for lo, hi in ranges:
-                if hi - lo >= MIN_WORDS:
+                if hi - lo >= max(least, SHINGLE):
                     digests.append(_content(words, lo, hi))
                     text.append(b" ".join(words[lo:hi]))
         yield pa.RecordBatch.from_arrays([pa.array(_halves(digests)[:, 0].copy()), pa.array(text, pa.binary())], ["h1", "line"])
@@ -217,11 +220,11 @@ def _forest(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
-def links(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """(a, b): links between similar paragraphs, by hash, that join every component."""
     keyed = materialize(candidates(found), "candidates")
     wanted = keyed.select("h1").distinct()
-    lines = docs.select(F.col(text).alias("text")).mapInArrow(_line_texts, "h1 long, line binary").join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
+    lines = docs.select(F.col(text).alias("text")).mapInArrow(lambda batches: _line_texts(batches, least), "h1 long, line binary").join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
     sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
     # a bucket beyond BLOCK is dealt to blocks by hash; a block meets every block in a task of its own
     rows = keyed.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("h1"), F.col("blocks")))
@@ -231,17 +234,17 @@ def links(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     return rows.mapInArrow(_forest, "a long, b long").distinct()
 
 
-def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """Every occurrence of a paragraph or anchored run that occurs more than once, alike or (paragraphs) nearly alike.
 
     Columns: doc_id, t (Spark's xxhash64 of the text), kind, lo and hi (words), component (hex), first_doc_id, removed,
     cut_from. The first occurrence of a component, by document id (null last), text hash and place, stays; others are
-    removed, words [cut_from, hi) of them, which spares what overlaps the first one in the same document. Texts of
-    fewer than MIN_WORDS words, null ones too, have no units. Rows with equal id and text count as one document. An
+    removed, words [cut_from, hi) of them, which spares what overlaps the first one in the same document. Paragraphs
+    of fewer than ``least`` words are no units of their own, so that shorter texts, null ones too, have none. Rows with equal id and text count as one document. An
     empty table gives an empty result.
     """
-    found = materialize(units(docs, doc_id, text), "units")
-    near = components(links(docs, found, text)).withColumnRenamed("node", "h1")
+    found = materialize(units(docs, doc_id, text, least), "units")
+    near = components(links(docs, found, text, least)).withColumnRenamed("node", "h1")
     again = found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
     wanted = again.join(near, "h1", "full")
     g = F.when(F.col("component").isNull(), F.concat(F.hex("h1"), F.hex("h2"))).otherwise(F.hex("component"))
@@ -259,9 +262,9 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     )
 
 
-def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """``docs`` without the removed passages: words of them go, with the white space before each."""
-    passages = repeated_passages(docs, doc_id, text).where("removed and cut_from < hi")
+    passages = repeated_passages(docs, doc_id, text, least).where("removed and cut_from < hi")
     key = lambda d, t: F.concat_ws("|", d.isNull().cast("string"), d.cast("string"), t.cast("string"))
     at, spans = free_name(docs, "place"), free_name(docs, "spans")
     # a list has no more entries than its document has units

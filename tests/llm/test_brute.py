@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 import xxhash
 
-from standmap.llm import hmm, piece_dropout, quality, sharding, simhash, substring_dedup
+from standmap.llm import hmm, piece_dropout, quality, queries, sharding, simhash, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -132,6 +132,27 @@ def test_paragraph_blocks_keep_every_link(spark, monkeypatch):
     assert {r.doc_id for r in got} == set(range(30)) and {r.first_doc_id for r in got} == {0}
 
 
+def test_short_paragraphs_are_units(spark, docs, texts, tmp_path):
+    """Every repeated line has a unit however short, near copies of five words or more link, and the query asks for both."""
+    words = [f"w{i}" for i in range(20)]
+    rows = [(1, "a b\n" + " ".join(words)), (2, "c d e\nA  b"), (3, " ".join([*words[:19], "other"])), (4, "x y z q r"), (5, "x y z q r\nx y z q s")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.repeated_passages(frame, least=1).collect()
+    assert sorted((r.doc_id, r.first_doc_id, r.lo, r.hi, r.removed) for r in got) == [(1, 1, 0, 2, False), (1, 1, 2, 22, False), (2, 1, 3, 5, True), (3, 1, 0, 20, True), (4, 4, 0, 5, False), (5, 4, 0, 5, True)]
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.doc_id, r.first_doc_id, r.n_units) for r in queries.op1_paragraph_minhash(spark, str(tmp_path)).collect()) == [(1, 1, 2), (2, 1, 1), (3, 1, 1), (4, 4, 1), (5, 4, 1)]
+    lines = {}
+    for k, t in texts.items():
+        for line in (t or "").encode().lower().split(b"\n"):
+            if line.split():
+                lines.setdefault(b" ".join(line.split()), set()).add(k)
+    want = {(a, b) for s in lines.values() for a in s for b in s if a < b}
+    found = {}
+    for r in substring_dedup.repeated_passages(docs, least=1).collect():
+        found.setdefault(r.component, set()).add(r.doc_id)
+    assert want <= {(a, b) for s in found.values() for a in s for b in s if a < b}
+
+
 def naive_forward(model, seq):
     a = model.start * model.emit[:, seq[0]]
     for x in seq[1:]:
