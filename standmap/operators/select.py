@@ -168,7 +168,7 @@ def capped_negatives(crops: DataFrame, per_source: int, ratio: float = 0.41, see
     most = int(ratio * crops.where("role = 'damage'").count())
     neg = crops.where("role = 'negative'").withColumn("__o", seeded(id_, seed))
     neg = _ranked(neg, source, [F.col("__o"), F.col(id_)], "__r").where(F.col("__r") <= per_source)
-    return neg.orderBy("__o", id_).limit(most).drop("__o", "__r")
+    return row_numbers(neg, ["__o", id_], "__n").where(F.col("__n") <= most).orderBy("__n").drop("__o", "__r", "__n")
 
 
 def even_subsample(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -184,7 +184,7 @@ def even_subsample(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
 def ratio_sample(df: DataFrame, label: str, ratio: float = 0.25, seed: int = 42, id_: str = "tile_id") -> DataFrame:
     """All positives and at most ``ratio`` x as many negatives, in seeded order."""
     n = int(df.where(label).count() * ratio)
-    neg = df.where(~F.col(label)).orderBy(seeded(id_, seed), id_).limit(n)
+    neg = row_numbers(df.where(~F.col(label)), [seeded(id_, seed), F.col(id_)], "__n").where(F.col("__n") <= n).drop("__n")
     return df.where(label).unionByName(neg)
 
 

@@ -44,7 +44,7 @@ def group_holdout(df: DataFrame, group: str, frac: float = 0.15, seed: int = 42)
     """``df`` with ``part``: a share of groups (one at least), by seeded order, is ``val``; no group is on both sides."""
     g = df.select(group).distinct()
     n = max(1, round(frac * g.count()))
-    val = g.orderBy(seeded(group, seed), group).limit(n).withColumn("__v", F.lit(True))
+    val = row_numbers(g, [seeded(group, seed), F.col(group)], "__n").where(F.col("__n") <= n).select(group, F.lit(True).alias("__v"))
     return df.join(val, group, "left").withColumn("part", F.when(F.col("__v"), "val").otherwise("train")).drop("__v")
 
 

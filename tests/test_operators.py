@@ -257,3 +257,20 @@ def test_plans_of_spatial_joins_have_no_nested_loops(spark):
     for df in (spatial.clear_of_features(cand, 5, feat), spatial.min_spacing_to(cand, cand.selectExpr("cx as x", "cy as y"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_shares_are_taken_without_one_task(spark):
+    """Samples whose size is a share of the table equal a sort and a cut, and no limit merges them in one task."""
+    rows = [(i, i % 50, "damage" if i % 4 == 0 else "negative", i % 4 == 0) for i in range(400)]
+    t = spark.createDataFrame(rows, "tile_id long, source_id long, role string, pos boolean")
+    key = lambda i: ((i * 7919 + 42 * 104729) % 1000003, i)
+    negatives = sorted((i for i in range(400) if i % 4), key=key)
+    capped = select.capped_negatives(t, 400, 0.25, 42, "tile_id")
+    sample = select.ratio_sample(t, "pos", 0.25)
+    held = splits.group_holdout(t, "source_id")
+    assert [r.tile_id for r in capped.collect()] == negatives[:25]
+    assert {r.tile_id for r in sample.where("not pos").collect()} == set(negatives[:25]) and sample.where("pos").count() == 100
+    assert {r.source_id for r in held.where("part = 'val'").collect()} == set(sorted(range(50), key=key)[:8])
+    for df in (capped, sample, held):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "GlobalLimit" not in plan and "LocalLimit" not in plan
