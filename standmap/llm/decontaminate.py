@@ -1,18 +1,26 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark windows."""
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark windows.
+
+The automaton reads words, not characters: the benchmark's words have numbers, all other words are 0. A window of ten
+words takes ten nodes at most, which bounds its size by the number of words that go into it.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from itertools import repeat
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from standmap.llm.common import free_name
 
-#: Benchmark characters that one automaton holds; a larger benchmark is scanned in blocks of whole items.
-BLOCK_CHARS = 8_000_000
+#: Nodes that one automaton may have, WINDOW for each word of the benchmark; a benchmark beyond is scanned in blocks of whole items.
+MAX_NODES = 4_000_000
 WINDOW = 10
 
 # Bytes that separate words become a space and A-Z become a-z; what is left is 0-9, a-z and all of UTF-8's other characters.
@@ -34,27 +42,37 @@ def normal_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_NORMAL).split()
 
 
-def windows(text: str, window: int = WINDOW) -> list[bytes]:
-    """The windows of an item: ``window`` consecutive words, or all of its words if fewer."""
-    w = normal_words(text)
-    return [b" ".join(w[i : i + window]) for i in range(max(1, len(w) - window + 1))] if w else []
+@dataclass
+class Automaton:
+    """``trie`` over word numbers; a value holds the number of words and the items that have this window."""
 
+    number: dict[bytes, int] = field(default_factory=dict)
+    trie: ahocorasick.Automaton = field(default_factory=lambda: ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE))
 
-def automaton(items: list[tuple[str, str]], window: int = WINDOW) -> ahocorasick.Automaton:
-    """Over `` w1 w2 ... `` with a space on either side, so that only whole words match.
 
-    A value holds the number of words and the items that have this window.
-    """
-    found: dict[bytes, set[str]] = {}
+def automaton(items: list[tuple[str, str]], window: int = WINDOW) -> Automaton:
+    """Over the windows of items: ``window`` consecutive words, or all of an item's words if fewer."""
+    out, found = Automaton(), {}
     for item, text in items:
-        for w in windows(text, window):
-            found.setdefault(w, set()).add(item)
-    a = ahocorasick.Automaton()
+        w = tuple(out.number.setdefault(x, len(out.number) + 1) for x in normal_words(text))
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            found.setdefault(w[i : i + window], set()).add(item)
     for w, ids in found.items():
-        a.add_word(f" {w.decode('utf-8', 'surrogatepass')} ", (w.count(b" ") + 1, sorted(ids)))
+        out.trie.add_word(w, (len(w), sorted(ids)))
     if found:
-        a.make_automaton()
-    return a
+        out.trie.make_automaton()
+    return out
+
+
+_HELD: dict[tuple, Automaton] = {}
+
+
+def _held(key: str, items: list[tuple[str, str]], window: int) -> Automaton:
+    """The worker's automaton, kept from task to task."""
+    if (key, window) not in _HELD:
+        _HELD.clear()
+        _HELD[key, window] = automaton(items, window)
+    return _HELD[key, window]
 
 
 def char_offsets(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -66,34 +84,29 @@ def char_offsets(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
     return [[int(chars[starts[a]]), int(chars[ends[b - 1]])] for a, b in spans]
 
 
-def scan(text: str, a: ahocorasick.Automaton) -> tuple[int, int, set[str], list[list[int]]]:
+def scan(text: str, a: Automaton) -> tuple[int, int, set[str], list[list[int]]]:
     """Number of words, words hit, items that occur, and the hit spans in characters of the original text."""
     w = normal_words(text)
-    if not w or not len(a):
-        return len(w), 0, set(), []
-    line = f" {b' '.join(w).decode('utf-8', 'surrogatepass')} "
-    found = [(end, *value) for end, value in a.iter(line)]
-    if not found:
-        return len(w), 0, set(), []
-    spaces = {at: k for k, at in enumerate(i for i, c in enumerate(line) if c == " ")}
+    found = list(a.trie.iter(tuple(map(a.number.get, w, repeat(0))))) if w and len(a.trie) else []
     merged: list[list[int]] = []
-    for lo, hi in sorted((spaces[end] - n, spaces[end]) for end, n, _ in found):
+    for lo, hi in sorted((end + 1 - n, end + 1) for end, (n, _) in found):
         if merged and lo <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], hi)
         else:
             merged.append([lo, hi])
-    return len(w), sum(hi - lo for lo, hi in merged), {i for _, _, ids in found for i in ids}, char_offsets(text, merged)
+    return len(w), sum(hi - lo for lo, hi in merged), {i for _, (_, ids) in found for i in ids}, char_offsets(text, merged) if merged else []
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str):
-    """The benchmark in blocks of whole items, streamed, ``BLOCK_CHARS`` characters each (one item may be longer)."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int):
+    """The benchmark in blocks of whole items, streamed, each of ``MAX_NODES`` nodes at most (one item may have more)."""
     block, size = [], 0
     for r in benchmark.select(F.col(item_id).cast("string"), text).where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
-        if block and size + len(r[1]) > BLOCK_CHARS:
+        nodes = window * len(normal_words(r[1]))
+        if block and size + nodes > MAX_NODES:
             yield block
             block, size = [], 0
         block.append((r[0], r[1]))
-        size += len(r[1])
+        size += nodes
     if block:
         yield block
 
@@ -106,22 +119,23 @@ def benchmark_hits(
     Words are lower-cased in A-Z and hold ASCII letters, digits and all characters beyond ASCII. A word is hit if an
     occurrence of any window of an item covers it. Null texts and texts without words have no hits, as have all texts
     if the benchmark is empty; items without id, text or words are passed over; equal items count under each id.
-    Documents are scanned once against each block of the benchmark (one block up to ``BLOCK_CHARS`` characters), and
-    the blocks' spans and items are merged. A column of ``docs`` called ``into`` is replaced.
+    A benchmark of up to ``MAX_NODES / window`` words makes one automaton; documents are scanned once against each block
+    of a larger one, and the blocks' spans and items are merged. A column of ``docs`` called ``into`` is replaced.
     """
     docs = docs.drop(into)
     context, prior, out = docs.sparkSession.sparkContext, free_name(docs, "prior"), None
-    for block in _blocks(benchmark, item_id, text):
-        items = context.broadcast(block)  # BLOCK_CHARS characters, or one item
+    for block in _blocks(benchmark, item_id, text, window):
+        items = context.broadcast(block)  # MAX_NODES / window words, or one item
         out = _scan_block(docs if out is None else out.withColumnRenamed(into, prior), items, window, text, into, out is not None and prior)
     return _scan_block(docs, context.broadcast([]), window, text, into, None) if out is None else out
 
 
 def _scan_block(docs: DataFrame, items, window: int, text: str, into: str, prior: str | None) -> DataFrame:
     names = [c for c in docs.columns if c != prior]
+    key = xxhash.xxh3_128_hexdigest(repr(items.value).encode("utf-8", "surrogatepass"))
 
     def run(batches):
-        a = automaton(items.value, window)
+        a = _held(key, items.value, window)
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
             before = b.column(b.schema.get_field_index(prior)).to_pylist() if prior else [None] * len(texts)
