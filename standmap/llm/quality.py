@@ -9,15 +9,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standmap.llm.common import free_name, words
+from standmap.llm.common import free_name, once, words
 
-#: Rows on which costs and selectivities are estimated, and the share of rows that the sample is drawn from.
-SAMPLE_ROWS, SAMPLE_SHARE = 1000, 0.1
-
-
-def once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of ``value``, computed once for a row however often ``then`` reads it, and wherever a plan moves it."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+#: Rows on which costs and selectivities are estimated, the share of rows that the sample is drawn from, and the
+#: characters that a text of the sample may have: they bound what reaches the driver, and decide the order of rules alone.
+SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_CHARS = 500, 0.1, 20_000
 
 
 def n_words(w: Column, text: Column) -> Column:
@@ -67,9 +63,29 @@ def n_repeat_words(w: Column, text: Column) -> Column:
     return once(w, lambda v: once(starts(v), lambda t: covered(repeated(t)))).cast("long")
 
 
+def n_letterless(w: Column, text: Column) -> Column:
+    """Words without a letter."""
+    return F.size(F.filter(w, lambda x: ~x.rlike(r"\p{L}"))).cast("long")
+
+
+def top_word(w: Column, text: Column) -> Column:
+    """How often the most frequent word occurs: the longest run of equal hashes in their order."""
+
+    def step(a: Column, h: Column) -> Column:
+        run = F.when(a["h"].eqNullSafe(h), a["run"] + 1).otherwise(F.lit(1))
+        return F.struct(h.alias("h"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
+
+    zero = F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+    return F.aggregate(F.sort_array(F.transform(w, lambda x: F.xxhash64(x))), zero, step, lambda a: a["most"]).cast("long")
+
+
 FEATURES: dict[str, Callable[[Column, Column], Column]] = {
-    f.__name__: f for f in (n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words)
+    f.__name__: f for f in (n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_letterless, top_word)
 }
+#: The features of the first rules, which cost a pass over the text each.
+BASE_FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+#: Words from which a share of the words says something about a text.
+ENOUGH = 50
 
 
 @dataclass(frozen=True)
@@ -81,13 +97,20 @@ class Rule:
     fails: Callable[[dict[str, Column]], Column]
 
 
-RULES = (
-    Rule("few_words", ("n_words",), lambda f: f["n_words"] < 50),
-    Rule("repeated_windows", ("n_repeat_words", "n_words"), lambda f: 100 * f["n_repeat_words"] > 50 * f["n_words"]),
-    Rule("many_symbols", ("n_symbols", "n_words"), lambda f: f["n_symbols"] > f["n_words"]),
-    Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda f: 10 * f["n_dup_lines"] > 3 * f["n_lines"]),
-    Rule("odd_word_length", ("word_chars", "n_words"), lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 25 * f["n_words"])),
-)
+def rules(least_words: int = 50) -> tuple[Rule, ...]:
+    """The rules, for texts of ``least_words`` words or more."""
+    return (
+        Rule("few_words", ("n_words",), lambda f: f["n_words"] < least_words),
+        Rule("repeated_windows", ("n_repeat_words", "n_words"), lambda f: 100 * f["n_repeat_words"] > 50 * f["n_words"]),
+        Rule("many_symbols", ("n_symbols", "n_words"), lambda f: f["n_symbols"] > f["n_words"]),
+        Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda f: 10 * f["n_dup_lines"] > 3 * f["n_lines"]),
+        Rule("odd_word_length", ("word_chars", "n_words"), lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 25 * f["n_words"])),
+        Rule("letterless_words", ("n_words", "n_letterless"), lambda f: (f["n_words"] >= ENOUGH) & (10 * f["n_letterless"] > 3 * f["n_words"])),
+        Rule("one_word", ("n_words", "top_word"), lambda f: (f["n_words"] >= ENOUGH) & (5 * f["top_word"] > f["n_words"])),
+    )
+
+
+RULES = rules()
 
 
 def with_features(docs: DataFrame, names: list[str] | tuple[str, ...] = tuple(FEATURES), text: str = "text") -> DataFrame:
@@ -97,18 +120,22 @@ def with_features(docs: DataFrame, names: list[str] | tuple[str, ...] = tuple(FE
     return held.select(*(c for c in held.columns if c != w), *(FEATURES[n](F.col(w), F.col(text)).alias(n) for n in names))
 
 
-def calibrate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, text: str = "text") -> list[tuple[Rule, float, float]]:
+def calibrate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, text: str = "text", given: tuple[str, ...] = ()) -> list[tuple[Rule, float, float]]:
     """Rules with their rejected share and seconds per row on a sample, by rejection per cost, best first.
 
-    The sample has ``rows`` rows at most, drawn from a seeded tenth of the table's first partitions. It decides
-    only the order of evaluation: a document is kept if no rule fails it, in any order. An empty sample leaves
-    the order as given.
+    Features that are ``given`` cost nothing. The sample has ``rows`` rows at most, of SAMPLE_CHARS characters at most,
+    drawn from a seeded tenth of the table's first partitions. It decides only the order of evaluation: a document is
+    kept if no rule fails it, in any order. An empty sample leaves the order as given.
     """
     spark = docs.sparkSession
-    drawn = docs.select(F.col(text).alias("text")).sample(False, SAMPLE_SHARE, 17).take(rows) or docs.select(F.col(text).alias("text")).take(rows)
+    short = docs.select(F.col(text).alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
+    drawn = short.sample(False, SAMPLE_SHARE, 17).take(rows) or short.take(rows)
     if not drawn:
         return [(r, 0.0, 0.0) for r in rules]
     sample = spark.createDataFrame(drawn, "text string").coalesce(1)
+    if given:
+        known = with_features(sample, given)
+        sample = spark.createDataFrame(known.collect(), known.schema).coalesce(1)
 
     def seconds(frame: DataFrame) -> tuple[float, int]:
         best, hit = float("inf"), 0
@@ -121,7 +148,7 @@ def calibrate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMP
     idle, _ = seconds(sample.select(F.sum(F.length("text"))))
     found = []
     for r in rules:
-        f = with_features(sample, r.features)
+        f = with_features(sample, tuple(n for n in r.features if n not in given))
         took, hit = seconds(f.select(F.sum(r.fails({n: F.col(n) for n in r.features}).cast("int"))))
         found.append((r, hit / len(drawn), max(took - idle, 1e-4) / len(drawn)))
     return sorted(found, key=lambda x: (-x[1] / x[2], x[0].name))
@@ -135,16 +162,18 @@ def first_failure(order: list[Rule] | tuple[Rule, ...], features: dict[str, Colu
     return out
 
 
-def quality_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[Rule] | None = None, text: str = "text", into: str = "failed_rule") -> DataFrame:
+def quality_cascade(
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[Rule] | None = None, text: str = "text", into: str = "failed_rule", given: tuple[str, ...] = ()
+) -> DataFrame:
     """``docs`` with ``into``: the first rule that fails a document, null if it passes all of them.
 
-    Each feature is computed in the branch that needs it, so a document leaves the cascade at its first failure.
-    Null and empty texts have no words; equal rows fare alike; an empty table gives an empty result. A column
-    called ``into`` is replaced, all others stay.
+    Each feature is computed in the branch that needs it, so a document leaves the cascade at its first failure; those
+    ``given`` are columns of ``docs`` already. Null and empty texts have no words; equal rows fare alike; an empty table
+    gives an empty result. A column called ``into`` is replaced, all others stay.
     """
-    order = order or [r for r, _, _ in calibrate(docs, rules, text=text)]
+    order = order or [r for r, _, _ in calibrate(docs, rules, text=text, given=given)]
     needed = [n for r in order for n in r.features]
-    failed = once(words(F.col(text)), lambda w: first_failure(order, {n: FEATURES[n](w, F.col(text)) for n in needed}))
+    failed = once(words(F.col(text)), lambda w: first_failure(order, {n: F.col(n) if n in given else FEATURES[n](w, F.col(text)) for n in needed}))
     return docs.drop(*({into} - {text})).withColumn(into, failed)
 
 
