@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standmap.llm.common import free_name
+from standmap.llm.common import free_name, materialize
 
 WINDOW = 3
 _WORDLESS = r"[^\x20\x09-\x0D]"
@@ -44,6 +44,7 @@ def later_occurrences(occurrences: DataFrame) -> DataFrame:
     An occurrence that overlaps the first one of the same window, in the same document, covers only what lies behind it.
     """
     first = occurrences.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("place", "at")).alias("first")).where("n > 1").drop("n")
+    first = materialize(first, "first")  # so that both sides of the join are shuffled, and a hot window can be split
     later = occurrences.join(first, "key").where(F.struct("place", "at") > F.col("first"))
     lo = F.when(F.col("place") == F.col("first.place"), F.greatest("at", F.col("first.at") + WINDOW)).otherwise(F.col("at"))
     # a list has no more entries than its document has lines
@@ -65,10 +66,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", int
     key = lambda p: F.concat_ws("|", p["n"].cast("string"), p["d"].cast("string"), p["t"].cast("string"))
     cut = cut.select(key(F.col(place)).alias(place), spans)
     out = docs.withColumn(place, key(_place(docs, doc_id, text))).join(cut, place, "left")
-    # cut lines by their places among all lines; spans are sorted, so that one fold merges them
-    zero = F.struct(F.lit(0).alias("to"), F.array().cast("array<int>").alias("out"))
-    merge = lambda a, s: F.struct(F.greatest(a["to"], s["hi"]).alias("to"), F.concat(a["out"], F.when(s["hi"] > F.greatest(a["to"], s["lo"]), F.sequence(F.greatest(a["to"], s["lo"]), s["hi"] - 1)).otherwise(F.array().cast("array<int>"))).alias("out"))
-    covered = F.aggregate(spans, zero, merge, lambda a: a["out"])
+    # the places, among lines with words, that the spans cover, each once
+    covered = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.when(s["hi"] > s["lo"], F.sequence(s["lo"], s["hi"] - 1)).otherwise(F.array().cast("array<int>")))))
     at = F.transform(_lines(F.col(text)), lambda x: x["at"])
     out = out.withColumn(gone, F.when(F.col(spans).isNotNull(), F.get(F.transform(F.array(at), lambda w: F.transform(covered, lambda i: F.get(w, i))), F.lit(0))))
     keep = F.array_join(F.get(F.transform(F.array(F.split(text, "\n", -1)), lambda every: F.transform(F.array_except(F.sequence(F.lit(0), F.size(every) - 1), F.col(gone)), lambda i: F.get(every, i))), F.lit(0)), "\n")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standmap.llm import decontaminate, hmm, line_dedup, piece_dropout, quality, secrets, sharding, simhash, substring_dedup, token_rollup
-from standmap.llm.common import scratch
+from standmap.llm.common import materialize, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +37,14 @@ def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    order = [r for r, _, _ in quality.calibrate(docs)]
-    f = quality.with_features(docs.select("doc_id", "text"))
-    failed = quality.first_failure(order, {n: F.col(n) for n in quality.FEATURES})
+    """The cascade finds the base features at hand, computes those of its other rules only for texts that come so far, and decides.
+
+    Which rule fails a text first depends on measured costs, so that the operator's ``failed_rule`` is no column here.
+    """
+    docs = quality.with_features(_table(spark, sf_dir, "documents").select("doc_id", "text"), quality.BASE_FEATURES)
+    f = quality.quality_cascade(docs, given=quality.BASE_FEATURES)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), failed.isNull().alias("kept"), "n_lines")
+    return f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.col("failed_rule").isNull().alias("kept"), "n_lines")
 
 
 OP4_SQL = r"""
@@ -50,13 +52,15 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
 win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) AS v(k) GROUP BY doc_id),
-f AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+top AS (SELECT doc_id, max(n) AS top_word FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY ALL) GROUP BY doc_id),
+f AS (SELECT d.doc_id, len(w) AS n_words, len(list_filter(w, lambda x: NOT regexp_matches(x, '\p{L}'))) AS n_letterless, coalesce(top_word, 0) AS top_word, length(array_to_string(w, '')) AS word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l, coalesce(n, 0) AS n_repeat_words
-  FROM d LEFT JOIN cov USING (doc_id)),
+  FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN top USING (doc_id)),
 g AS (SELECT *, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
- NOT (base_failed OR n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept, n_lines
+ NOT (base_failed OR n_symbols > n_words OR 10 * n_dup_lines > 3 * n_lines OR word_chars < 2 * n_words OR word_chars > 25 * n_words
+  OR n_words >= 50 AND (10 * n_letterless > 3 * n_words OR 5 * top_word > n_words)) AS kept, n_lines
 FROM g
 """
 
@@ -67,8 +71,14 @@ def op5_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two commits: some documents under the rules of an earlier version, then all of them under the rules as they are.
+
+    The second one scans the blobs that are new, and those of the first for what changed between the versions.
+    """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = secrets.materialize_ledger(secrets.update_ledger(None, secrets.scan_unseen(docs)))
+    earlier = docs.where(F.xxhash64("doc_id") < 0)  # the history's first commit; the second has every row
+    ledger = secrets.commit(None, earlier, secrets.EARLIER_RULES)
+    ledger = secrets.commit(ledger, docs, secrets.RULES)
     found = secrets.findings_by_path(docs, ledger)
     base = F.filter("findings", lambda f: f["kind"].isin([r.kind for r in secrets.BASE_RULES]))
     n = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
@@ -114,16 +124,23 @@ FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN left_ USING (doc_id)
 
 
 def op8_delta_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load all documents, then take out those whose text an earlier id has; each batch comes twice and counts once."""
+    """Load all documents, take out those whose text an earlier id has, and store what had copies again, tidied.
+
+    The three batches are inserts, deletes and revisions; each comes twice and counts once.
+    """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     address = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
-    first = address.groupBy("blob").agg(F.min("doc_id").alias("first"))
+    # written once, so that both sides of the join are shuffled and Spark can split a hot text
+    first = materialize(address.groupBy("blob").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
     copies = address.join(first, "blob").where("doc_id > first").select("doc_id")
-    rollup = token_rollup.Rollup(spark, scratch(spark))
     load = docs.withColumn("op", F.lit("insert"))
     gone = copies.select("doc_id", F.lit("delete").alias("op"), *(F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")))
-    for batch, changes in (("load", load), ("copies", gone), ("load", load), ("copies", gone)):
-        rollup.commit(batch, changes)
+    tidy = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    revised = docs.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").withColumn("text", tidy).withColumn("op", F.lit("revise"))
+    rollup = token_rollup.Rollup(spark, scratch(spark))
+    for _ in range(2):
+        for batch, changes in (("load", load), ("copies", gone), ("tidied", revised)):
+            rollup.commit(batch, changes)
     return rollup.totals()
 
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standmap.llm.common import free_name, materialize
+from standmap.llm.common import free_name, materialize, once
 
 
 def _either_case(word: str) -> str:
@@ -46,32 +46,57 @@ RULES = (
     SecretRule("code_host", "gh[pousr]_[A-Za-z0-9]{36,}"),
     SecretRule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
+#: The rules of an earlier version: without the last kind, and with long hexadecimal strings only.
+EARLIER_RULES = (BASE_RULES[0], BASE_RULES[1], SecretRule("hex", "[0-9a-f]{40,}", version=0), *RULES[3:-1])
 
 SPANS = "array<struct<start:long,end:long>>"
 LEDGER = f"blob string, rule string, version int, spans {SPANS}"
 
 
+def _ends(lengths: Column) -> Column:
+    """Running sums of an array of integers.
+
+    Spark's folds copy the array that they append to, so the sums run in blocks of about the root of its size, and
+    then over the blocks' totals.
+    """
+    none = F.array().cast("array<long>")
+
+    def sums(of: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+        step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out"))
+        return F.aggregate(of, zero, step, lambda a: a["out"])
+
+    def blocks(v: Column) -> Column:
+        width = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda i: sums(F.slice(v, i * width + 1, width)))
+
+    def joined(b: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("long")), sums(F.transform(b, lambda x: F.element_at(x, -1))))
+        return once(before, lambda s: F.flatten(F.transform(b, lambda x, i: once(F.get(s, i), lambda o: F.transform(x, lambda n: n + o)))))
+
+    return once(lengths, lambda v: F.when(F.size(v) > 0, once(blocks(v), joined)).otherwise(none))
+
+
 def spans(text: Column, rule: SecretRule) -> Column:
     """Code-point offsets, end exclusive, of a rule's matches, in order.
 
-    The text splits into gaps around its matches, so a match starts at the length of all gaps and matches before it.
+    The text splits into gaps around its matches, so a match ends at the length of all gaps and matches up to it.
     """
     none = F.array().cast(SPANS)
+
+    def placed(p: Column) -> Column:
+        """Of (gap, hit, held) the spans of hits that are long enough; what follows the last hit is no hit."""
+        hits = F.filter(p, lambda x: x["hit"].isNotNull())
+        ends = _ends(F.transform(hits, lambda x: (x["gap"] + x["hit"]).cast("long")))
+        found = F.zip_with(hits, ends, lambda x, end: F.struct((end - x["hit"]).alias("start"), end.alias("end"), x["held"].alias("held")))
+        return F.transform(F.filter(found, lambda x: x["held"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
     pieces = F.arrays_zip(
         F.transform(F.split(text, rule.pattern, -1), F.length).alias("gap"),
         F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length).alias("hit"),
         F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length).alias("held"),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-
-    def step(a: Column, p: Column) -> Column:
-        lo = a["at"] + p["gap"]
-        hi = lo + F.coalesce(p["hit"], F.lit(0))
-        add = F.when(p["held"] >= rule.least, F.array(F.struct(lo.alias("start"), hi.alias("end")))).otherwise(none)
-        return F.struct(hi.alias("at"), F.concat(a["out"], add).alias("out"))
-
-    found = F.aggregate(pieces, start, step, lambda a: a["out"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+    return F.when(text.rlike(rule.pattern), once(pieces, placed).cast(SPANS)).otherwise(none)
 
 
 def address(text: Column) -> Column:
@@ -106,9 +131,9 @@ def update_ledger(ledger: DataFrame | None, fresh: DataFrame) -> DataFrame:
     return fresh if ledger is None else ledger.unionByName(fresh.join(ledger, ["blob", "rule", "version"], "left_anti"))
 
 
-def materialize_ledger(ledger: DataFrame) -> DataFrame:
-    """The ledger as a table in the shared folder."""
-    return materialize(ledger, "ledger")
+def commit(ledger: DataFrame | None, versions: DataFrame, rules: tuple[SecretRule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The ledger with a batch of versions scanned under ``rules``; what it had already is neither scanned nor written again."""
+    return update_ledger(ledger, materialize(scan_unseen(versions, ledger, rules, text), "ledger"))
 
 
 def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[SecretRule, ...] = RULES, text: str = "text", into: str = "findings") -> DataFrame:

@@ -1,20 +1,25 @@
 """Delta-maintained token totals by source, language and tokenizer version.
 
 A batch of changes (insert, delete, revise) becomes signed rows; totals are their sums, so a batch adds to them
-without a look at the rest of the corpus. A batch is committed once: its totals are written last, and a batch whose
-totals are there is passed over when it comes again, after a crash or a replay.
+without a look at the rest of the corpus. The rows are kept by a hash of the document id, and what a deleted or revised
+document has added so far is looked up in its own bucket only. A batch is committed once: its totals are written last,
+and a batch whose totals are there is passed over when it comes again, after a crash or a replay. Commits of one store
+come one after the other.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from standmap.llm.common import materialize
+
 #: Where the vocabulary is by default; every function takes another path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenizer that the vocabulary was made with.
@@ -22,9 +27,18 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 KEYS = ["source", "lang", "tokenizer_version"]
 SUMS = ["n_docs", "n_tokens", "n_chars"]
+#: Buckets of the ledger, by document.
+BUCKETS = 64
 LEDGER = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(k, T.StringType()) for k in KEYS), *(T.StructField(s, T.LongType()) for s in SUMS)])
 
 
+_PLACE = [T.StructField("batch", T.StringType()), T.StructField("bucket", T.IntegerType())]
+
+
+def _bucket(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(doc_id)), F.lit(BUCKETS)).cast("int")
+
+
 def load_encoding(vocabulary: bytes) -> tiktoken.Encoding:
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -66,37 +80,45 @@ class Rollup:
         found = [s.getPath() for s in fs.listStatus(top)]
         return sorted(p.getName() for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
-    def _read(self, what: str, schema: T.StructType) -> DataFrame:
-        paths = [f"{self.store}/{what}/{b}" for b in self._committed()]
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
-
-    def documents(self) -> DataFrame:
-        """What each document adds to the totals now, by id, source, language and tokenizer version."""
-        now = self._read("ledger", LEDGER).groupBy("doc_id", *KEYS).agg(*(F.sum(s).alias(s) for s in SUMS))
+    def documents(self, buckets: list[int] | None = None) -> DataFrame:
+        """What each document adds to the totals now, by id, source, language and tokenizer version; of some buckets only."""
+        committed = self._committed()
+        if not committed:
+            return self.spark.createDataFrame([], LEDGER)
+        rows = self.spark.read.schema(T.StructType([*LEDGER.fields, *_PLACE])).parquet(f"{self.store}/ledger").where(F.col("batch").isin(committed))
+        if buckets is not None:
+            rows = rows.where(F.col("bucket").isin(buckets))
+        now = rows.groupBy("doc_id", *KEYS).agg(*(F.sum(s).alias(s) for s in SUMS))
         return now.where("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0")
 
     def totals(self) -> DataFrame:
         """KEYS with n_docs, n_tokens and n_chars, over all committed batches; groups of no documents are left out."""
         schema = T.StructType([LEDGER[c] for c in (*KEYS, *SUMS)])
-        return self._read("totals", schema).groupBy(*KEYS).agg(*(F.sum(s).alias(s) for s in SUMS)).where("n_docs <> 0")
+        paths = [f"{self.store}/totals/{b}" for b in self._committed()]
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return rows.groupBy(*KEYS).agg(*(F.sum(s).alias(s) for s in SUMS)).where("n_docs <> 0")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply ``changes`` (op, doc_id, source, lang, text); false if ``batch`` has been committed before.
 
         ``delete`` takes away all that the document adds now, once however often it is named; ``insert`` adds a row;
         ``revise`` does both. Rows that repeat an insert count again. Deleting an unknown document changes nothing.
-        Null ids are one document. Further columns are passed over.
+        Null ids are one document. Further columns are passed over. Batch names are letters, digits, ``_`` and ``-``.
         """
+        if not re.fullmatch(r"[\w-]+", batch, re.ASCII):
+            raise ValueError(f"no name for a batch: {batch!r}")
         if batch in self._committed():
             return False
+        gone = materialize(changes.where("op in ('delete', 'revise')").select(F.col("doc_id").cast("long").alias("gone")).distinct(), "gone")
+        touched = [r[0] for r in gone.select(_bucket("gone").alias("b")).distinct().collect()]  # BUCKETS numbers at most
         signed = self.spark.createDataFrame([], LEDGER)
-        gone = changes.where("op in ('delete', 'revise')").select(F.col("doc_id").cast("long").alias("gone")).distinct()
-        now = self.documents()
-        lost = now.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_semi")
-        signed = lost.select("doc_id", *KEYS, *((-F.col(s)).alias(s) for s in SUMS))
+        if touched:
+            lost = self.documents(touched).join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_semi")
+            signed = lost.select("doc_id", *KEYS, *((-F.col(s)).alias(s) for s in SUMS))
         for version, path in self.vocabularies.items():
             signed = signed.unionByName(counted(changes.where("op in ('insert', 'revise')"), version, path))
-        signed.write.mode("overwrite").parquet(f"{self.store}/ledger/{batch}")
-        kept = self.spark.read.schema(LEDGER).parquet(f"{self.store}/ledger/{batch}")
+        at = f"{self.store}/ledger/batch={batch}"
+        signed.withColumn("bucket", _bucket("doc_id")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        kept = self.spark.read.schema(T.StructType([*LEDGER.fields, _PLACE[1]])).parquet(at)
         kept.groupBy(*KEYS).agg(*(F.sum(s).alias(s) for s in SUMS)).write.mode("overwrite").parquet(f"{self.store}/totals/{batch}")
         return True
