@@ -8,13 +8,13 @@ from standmap.llm.common import materialize
 from standmap.llm.decontaminate import drop_contaminated
 from standmap.llm.line_dedup import keep_first_lines
 from standmap.llm.piece_dropout import encode_pieces
-from standmap.llm.quality import keep_quality
+from standmap.llm.quality import keep_quality, rules
 from standmap.llm.simhash import keep_one
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that some rule rejects go."""
-    return keep_quality(docs)
+    """Documents that some rule rejects go; short ones stay, if they have a word."""
+    return keep_quality(docs, rules(least_words=1))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
