@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from standmap.functions.spectral import redness, ngrdi
+from standmap.functions.spectral import excess_green, ngrdi
 from standmap.functions.tails import normal_two_sided, student_two_sided
 from standmap.operators.raster import KEY, connected_components, morphology
-from standmap.sources.store import running_sums
+from standmap.sources.store import quantiles, row_numbers, running_sums
 
 #: Damage beats ignore: a pixel counts unless it is ignored and not damage.
 VALID = "gt or not ign"
@@ -68,12 +68,12 @@ def confusion_micro(px: DataFrame, pred: Column | str, gt: Column | str = "gt",
 
 
 def macro_scores(px: DataFrame, pred: Column | str, gt: Column | str = "gt", valid: Column | str = VALID) -> DataFrame:
-    """Mean Dice and recall over tiles with label, and the painted share of tiles without."""
+    """Mean Dice and recall over tiles with label, and the painted share of all pixels of tiles without."""
     c = _counts(px, pred, gt, valid, ["tile_id"])
     has = F.col("tp") + F.col("fn") > 0
     return c.agg(
         F.count_if(has).alias("n_damage"), F.avg(F.when(has, _dice())).alias("dice"), F.avg(F.when(has, F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0)))).alias("recall"),
-        F.avg(F.when(~has, _ratio(F.col("fp"), F.col("n")))).alias("false_positive_rate"),
+        _ratio(F.sum(F.when(~has, F.col("fp"))), F.sum(F.when(~has, F.col("n")))).alias("false_positive_rate"),
     )
 
 
@@ -86,24 +86,35 @@ def object_recall(px: DataFrame, pred: Column | str, gt: str = "gt", connectivit
 
 
 def recall_precision(px: DataFrame, pred: Column | str, gt: Column | str = "gt", valid: Column | str = VALID) -> DataFrame:
-    """Per damage tile: recall, precision (null if silent), painted / labelled area, silent and paint-everything flags."""
+    """Per damage tile: recall, precision (null if silent), painted / labelled area, silent and paint-everything flags.
+
+    A tile paints everything if its recall is above 0.95 while its precision is below 0.1.
+    """
     c = _counts(px, pred, gt, valid, ["tile_id"]).where("tp + fn > 0")
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return c.select("tile_id", (tp / (tp + fn)).alias("recall"), _ratio(tp, tp + fp).alias("precision"), ((tp + fp) / (tp + fn)).alias("area_ratio"), (tp + fp == 0).alias("silent"), (tp + fp >= 0.95 * F.col("n")).alias("paints_all"))
+    recall, precision = tp / (tp + fn), _ratio(tp, tp + fp)
+    paints = F.coalesce((recall > 0.95) & (precision < 0.10), F.lit(False))
+    return c.select("tile_id", recall.alias("recall"), precision.alias("precision"), ((tp + fp) / (tp + fn)).alias("area_ratio"), (tp + fp == 0).alias("silent"), paints.alias("paints_all"))
 
 
 def recall_precision_summary(per_tile: DataFrame) -> DataFrame:
-    """Means over tiles; like-for-like precision leaves out silent tiles on both sides."""
-    return per_tile.agg(F.count(F.lit(1)).alias("n"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"), F.avg(F.when(~F.col("silent"), F.col("recall"))).alias("recall_if_loud"), F.count_if("silent").alias("silent"), F.count_if("paints_all").alias("paints_all"), F.median("area_ratio").alias("area_ratio"))
+    """Means over tiles: ``precision`` leaves silent tiles out, ``precision_like`` counts them as 0, ``recall_clean`` leaves out
+    tiles that paint everything; with the medians of recall and area ratio."""
+    s = per_tile.agg(
+        F.count(F.lit(1)).alias("n"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"), F.avg(F.coalesce("precision", F.lit(0.0))).alias("precision_like"),
+        F.avg(F.when(~F.col("paints_all"), F.col("recall"))).alias("recall_clean"), F.count_if("silent").alias("silent"), F.count_if("paints_all").alias("paints_all"),
+    )
+    for c in ("recall", "area_ratio"):
+        s = s.crossJoin(quantiles(per_tile, c, [0.5]).select(F.get("q", F.lit(0)).alias(f"{c}_median")))  # one row
+    return s
 
 
-def baselines(px: DataFrame, model: str, prior: str, zero_shot: str) -> DataFrame:
-    """(model, prior_echo, zero_shot, gain_prior, gain_zero): mean IoU of each on damage tiles, and the model's gains."""
-    parts = None
-    for name, p in (("model", model), ("prior_echo", prior), ("zero_shot", zero_shot)):
-        one = iou_dice(px, p).select("tile_id", F.col("iou").alias(name))
-        parts = one if parts is None else parts.join(one, "tile_id")
-    m = parts.agg(*(F.avg(c).alias(c) for c in ("model", "prior_echo", "zero_shot")))
+def baselines(px: DataFrame, model: str, prior: str, zero_shot: str, gt: str = "gt", valid: str = VALID) -> DataFrame:
+    """(model, prior_echo, zero_shot, gain_prior, gain_zero): mean IoU of each on damage tiles, and the model's gains, in one pass."""
+    names = {"model": model, "prior_echo": prior, "zero_shot": zero_shot}
+    n = lambda c: F.count_if(F.expr(f"({valid}) and ({c})"))
+    t = px.groupBy("tile_id").agg(n(gt).alias("g"), *(n(f"({p}) and {gt}").alias(f"i_{k}") for k, p in names.items()), *(n(f"({p}) or {gt}").alias(f"u_{k}") for k, p in names.items())).where("g > 0")
+    m = t.agg(*(F.avg(F.col(f"i_{k}") / F.col(f"u_{k}")).alias(k) for k in names))
     return m.withColumns({"gain_prior": F.col("model") - F.col("prior_echo"), "gain_zero": F.col("model") - F.col("zero_shot")})
 
 
@@ -132,16 +143,17 @@ def threshold_sweep(px: DataFrame, prob: str, thresholds: Sequence[float], gt: s
 
 
 def choose_threshold(px: DataFrame, grid: Sequence[float], prob: str = "prob", fold: str = "fold", gt: str = "gt", valid: str = VALID) -> DataFrame:
-    """(fold, thr, mean_iou, usable, spread): per fold the threshold of best mean IoU (lowest of equals) and how many come close."""
+    """(fold, thr, mean_iou, usable, spread): per fold the threshold of best mean IoU (lowest of equals), and what it rests on.
+
+    ``px`` holds each fold's inner tiles; ``usable`` ones have a label. ``spread`` is the grid's best less its worst.
+    """
     t = F.explode(F.array(*(F.lit(float(x)) for x in grid)))
     c = px.where(valid).groupBy(fold, "tile_id", prob).agg(F.count_if(gt).alias("g"), F.count(F.lit(1)).alias("n")).withColumn("thr", t)
     on = F.col(prob) > F.col("thr")
     s = c.groupBy(fold, "thr", "tile_id").agg(F.sum(F.when(on, F.col("g")).otherwise(0)).alias("tp"), F.sum(F.when(on, F.col("n") - F.col("g")).otherwise(0)).alias("fp"), F.sum(F.when(~on, F.col("g")).otherwise(0)).alias("fn"))
-    m = s.groupBy(fold, "thr").agg(F.avg(_iou()).alias("m"))
+    m = s.groupBy(fold, "thr").agg(F.avg(_iou()).alias("m"), F.count_if(F.expr("tp + fn > 0")).alias("n"))
     best = F.max(F.struct(F.round("m", 9).alias("r"), (-F.col("thr")).alias("t"), F.col("m").alias("m")))
-    w = Window.partitionBy(fold)
-    m = m.withColumn("top", F.max("m").over(w))
-    return m.groupBy(fold).agg((-best["t"]).alias("thr"), best["m"].alias("mean_iou"), F.count_if(F.col("m") >= F.col("top") - 0.01).alias("usable"), (F.max("m") - F.min("m")).alias("spread"))
+    return m.groupBy(fold).agg((-best["t"]).alias("thr"), best["m"].alias("mean_iou"), F.max("n").alias("usable"), (F.max("m") - F.min("m")).alias("spread"))
 
 
 def deployment_threshold(chosen: DataFrame) -> DataFrame:
@@ -174,19 +186,32 @@ def select_epoch(log: DataFrame, min_frac: float = 0.25, margin: float = 0.005,
     return rows.withColumn("b", F.aggregate("e", start, step)).select("fold", "b.epoch", F.col("b.s").alias(score))
 
 
-def convergence_check(log: DataFrame, rise: float = 1.02) -> DataFrame:
-    """(fold, last, before, rising): mean loss of the last tenth of epochs against the tenth before."""
-    n = log.groupBy("fold").agg(F.max("epoch").alias("n")).withColumn("d", F.greatest(F.lit(1), F.floor(F.col("n") / 10)))
-    x = log.join(n, "fold")
-    out = x.groupBy("fold").agg(F.avg(F.when(F.col("epoch") > F.col("n") - F.col("d"), F.col("loss"))).alias("last"), F.avg(F.when((F.col("epoch") <= F.col("n") - F.col("d")) & (F.col("epoch") > F.col("n") - 2 * F.col("d")), F.col("loss"))).alias("before"))
-    return out.withColumn("rising", F.col("last") > rise * F.col("before"))
+def convergence_check(log: DataFrame, rise: float = 1.02, min_frac: float = 0.25, margin: float = 0.005) -> DataFrame:
+    """(fold, last, before, rising, epoch, at_ceiling): mean loss of the last tenth of epochs (three at least) against as many before.
 
+    Nulls if a run hasn't twice as many epochs. ``epoch`` is the one that :func:`select_epoch` keeps; it is at the
+    ceiling if it is one of the last two.
+    """
+    n = log.groupBy("fold").agg(F.max("epoch").alias("n")).withColumn("d", F.greatest(F.lit(3), F.floor(F.col("n") / 10)))
+    x = log.join(n, "fold").withColumn("back", F.col("n") - F.col("epoch")).withColumn("long", F.col("n") >= 2 * F.col("d"))
+    mean = lambda c: F.avg(F.when(F.col("long") & c, F.col("loss")))
+    out = x.groupBy("fold").agg(mean(F.col("back") < F.col("d")).alias("last"), mean((F.col("back") >= F.col("d")) & (F.col("back") < 2 * F.col("d"))).alias("before"), F.max("n").alias("n"))
+    out = out.join(select_epoch(log, min_frac, margin).select("fold", "epoch"), "fold")
+    return out.select("fold", "last", "before", (F.col("last") > rise * F.col("before")).alias("rising"), "epoch", (F.col("epoch") >= F.col("n") - 1).alias("at_ceiling"))
 
-def fold_health(scores: DataFrame, fold: str = "fold", metric: str = "iou", collapsed: float = 0.5) -> DataFrame:
-    """(fold, n, mean, share, plain_mean, weighted_mean, collapsed): a fold collapses below half of the folds' median."""
+
+def epoch_budget(checked: DataFrame) -> DataFrame:
+    """(folds, at_ceiling, truncating): whether half of the folds, two at least, kept an epoch at the ceiling."""
+    s = checked.agg(F.count(F.lit(1)).alias("folds"), F.count_if("at_ceiling").alias("at_ceiling"))
+    return s.withColumn("truncating", F.col("at_ceiling") >= F.greatest(F.lit(2), F.floor(F.col("folds") / 2)))
+
+
+def fold_health(scores: DataFrame, fold: str = "fold", metric: str = "iou", share: float = 0.4, least: float = 0.05) -> DataFrame:
+    """(fold, n, mean, share, plain_mean, weighted_mean, collapsed): a fold collapses below ``share`` of the folds' median, or ``least``."""
     f = scores.where(F.col(metric).isNotNull()).groupBy(fold).agg(F.count(F.lit(1)).alias("n"), F.avg(metric).alias("mean"), F.sum(metric).alias("s"))
-    a = f.agg(F.avg("mean").alias("plain_mean"), (F.sum("s") / F.sum("n")).alias("weighted_mean"), F.median("mean").alias("__m"), F.sum("n").alias("__n"))
-    return f.crossJoin(F.broadcast(a)).select(fold, "n", "mean", (F.col("n") / F.col("__n")).alias("share"), "plain_mean", "weighted_mean", (F.col("mean") < collapsed * F.col("__m")).alias("collapsed"))  # one row
+    a = f.agg(F.avg("mean").alias("plain_mean"), (F.sum("s") / F.sum("n")).alias("weighted_mean"), F.median("mean").alias("__m"), F.sum("n").alias("__n"))  # folds are few
+    collapsed = F.col("mean") < F.greatest(F.lit(least), share * F.col("__m"))
+    return f.crossJoin(F.broadcast(a)).select(fold, "n", "mean", (F.col("n") / F.col("__n")).alias("share"), "plain_mean", "weighted_mean", collapsed.alias("collapsed"))  # one row
 
 
 # --- rank statistics -------------------------------------------------------------------------------------------
@@ -213,7 +238,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 def mann_whitney(df: DataFrame, value: str, group: str) -> DataFrame:
     """(n1, n2, u, z, p) of rows where ``group`` is true against false; normal with ties and continuity."""
     x = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(value).alias("v"), F.col(group).alias("g"))
-    ties = x.groupBy("v").agg(F.count(F.lit(1)).alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double").alias("ties"))
+    ties = x.groupBy("v").agg(F.count(F.lit(1)).alias("t")).agg(F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
     s = average_ranks(x, "v", "r").agg(F.count_if("g").alias("n1"), F.count_if(~F.col("g")).alias("n2"), F.sum(F.when(F.col("g"), F.col("r"))).alias("s"))
     s = s.crossJoin(ties).withColumn("u", F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2)
     n = (F.col("n1") + F.col("n2")).cast("double")
@@ -231,14 +256,20 @@ def detection_auc(scores: DataFrame, score: str, label: str) -> DataFrame:
     return s.select(F.col("n_pos").cast("long"), F.col("n_neg").cast("long"), _ratio(F.col("above"), F.col("n_pos") * F.col("n_neg")).alias("roc_auc"), _ratio(F.col("ap"), F.col("n_pos")).alias("average_precision"))
 
 
-def quartile_report(scores: DataFrame, driver: str, metric: str = "iou", silent: str = "silent") -> DataFrame:
-    """(quartile, n, low, high, mean, silent_share) by quartiles of ``driver``; nothing if it has no spread."""
+def quartile_report(scores: DataFrame, driver: str, metric: str = "iou", silent: str = "silent", min_rows: int = 10, min_ratio: float = 1.05) -> DataFrame:
+    """(quartile, n, low, high, mean, silent_share) by quartiles [low, high) of ``driver``, the last one closed.
+
+    Nothing if there are fewer than ``min_rows`` or the largest value is less than ``min_ratio`` times the least.
+    """
     x = scores.where(F.col(driver).isNotNull() & F.col(metric).isNotNull())
-    cut = x.agg(F.percentile(driver, F.array(F.lit(0.0), F.lit(0.25), F.lit(0.5), F.lit(0.75), F.lit(1.0))).alias("c")).where(F.get("c", F.lit(0)) < F.get("c", F.lit(4)))
+    n = x.agg(F.count(F.lit(1)).alias("rows"))
+    c = lambda i: F.get("c", F.lit(i))
+    cut = quantiles(x, driver, (0.0, 0.25, 0.5, 0.75, 1.0), "c").crossJoin(n).where((F.col("rows") >= min_rows) & (c(4) >= min_ratio * c(0)))  # one row
     d = F.col(driver)
-    q = F.when(d <= F.get("c", F.lit(1)), 1).when(d <= F.get("c", F.lit(2)), 2).when(d <= F.get("c", F.lit(3)), 3).otherwise(4)
-    x = x.crossJoin(F.broadcast(cut)).withColumn("quartile", q)  # one row
-    return x.groupBy("quartile").agg(F.count(F.lit(1)).alias("n"), F.min(driver).alias("low"), F.max(driver).alias("high"), F.avg(metric).alias("mean"), F.avg(F.col(silent).cast("int")).alias("silent_share"))
+    q = F.when(d >= c(3), 4).when(d >= c(2), 3).when(d >= c(1), 2).otherwise(1)
+    x = x.crossJoin(F.broadcast(cut)).withColumn("quartile", q)
+    edge = lambda k: F.min(F.get("c", F.col("quartile") - 1 + k))
+    return x.groupBy("quartile").agg(F.count(F.lit(1)).alias("n"), edge(0).alias("low"), edge(1).alias("high"), F.avg(metric).alias("mean"), F.avg(F.col(silent).cast("int")).alias("silent_share"))
 
 
 def coverage_bins(scores: DataFrame, edges: Sequence[float], coverage: str = "coverage") -> DataFrame:
@@ -252,38 +283,67 @@ def coverage_bins(scores: DataFrame, edges: Sequence[float], coverage: str = "co
     return s.withColumn("iou_from_here", F.sum("s").over(w) / F.sum("n").over(w)).drop("s")
 
 
-def confidence_signals(px: DataFrame, prob: str = "prob", prior: str = "prior", thr: float = 0.5) -> DataFrame:
-    """(tile_id, peak, decisive, agreement): label-free signals: 99th percentile, share far from the threshold, IoU with the prior."""
-    on = F.col(prob) > thr
-    s = px.groupBy("tile_id").agg(F.percentile(prob, F.lit(0.99)).alias("peak"), F.avg((F.abs(F.col(prob) - thr) > 0.25).cast("int")).alias("decisive"), F.count_if(on & F.col(prior)).alias("i"), F.count_if(on | F.col(prior)).alias("u"))
-    return s.select("tile_id", "peak", "decisive", _ratio(F.col("i"), F.col("u")).alias("agreement"))
+def confidence_signals(px: DataFrame, prob: str = "prob", prior: str = "prior", thr: Column | float = 0.5, valid: str = VALID) -> DataFrame:
+    """(tile_id, peak, decisive, agreement): label-free signals over valid pixels, 0 where there are none.
 
+    The 99th percentile, the share farther than 0.25 from the tile's threshold ``thr``, and the IoU with the prior.
+    """
+    t = thr if isinstance(thr, Column) else F.lit(float(thr))
+    x = px.withColumn("__t", t).withColumn("__v", F.expr(valid))
+    on, v = F.col(prob) > F.col("__t"), F.col("__v")
+    s = x.groupBy("tile_id").agg(F.percentile(F.when(v, F.col(prob)), F.lit(0.99)).alias("peak"), F.avg(F.when(v, (F.abs(F.col(prob) - F.col("__t")) > 0.25).cast("int"))).alias("decisive"), F.count_if(v & on & F.col(prior)).alias("i"), F.count_if(v & (on | F.col(prior))).alias("u"))
+    return s.select("tile_id", *(F.coalesce(c, F.lit(0.0)).alias(n) for c, n in ((F.col("peak"), "peak"), (F.col("decisive"), "decisive"), (_ratio(F.col("i"), F.col("u")), "agreement"))))
 
-def selective_curve(scores: DataFrame, signal: str, fracs: Sequence[float], model: str = "iou", prior: str = "prior_iou") -> DataFrame:
-    """(frac, n_model, system_iou): the most confident tiles use the model, the rest keep the prior."""
-    from standmap.sources.store import row_numbers
 
-    x = row_numbers(scores.where(F.col(model).isNotNull()).select("tile_id", signal, model, prior), [F.desc_nulls_last(signal), "tile_id"])
+def selective_curve(scores: DataFrame, signal: str, fracs: Sequence[float], model: str = "iou", prior: str = "prior_iou") -> DataFrame:
+    """(frac, n_model, system_iou): the most confident tiles, one at least, use the model, the rest keep the prior."""
+    x = row_numbers(scores.where(F.col(model).isNotNull() & F.col(prior).isNotNull()).select("tile_id", signal, model, prior), [F.desc_nulls_last(signal), "tile_id"])
     n = x.agg(F.count(F.lit(1)).alias("n"))
     x = x.crossJoin(F.broadcast(n)).withColumn("frac", F.explode(F.array(*(F.lit(float(f)) for f in fracs))))  # one row
-    on = F.col("rn") <= F.bround(F.col("frac") * F.col("n"))
+    on = F.col("rn") <= F.greatest(F.lit(1), F.bround(F.col("frac") * F.col("n")))
     return x.groupBy("frac").agg(F.count_if(on).alias("n_model"), F.avg(F.when(on, F.col(model)).otherwise(F.col(prior))).alias("system_iou"))
 
 
 def terrain_proxy(px: DataFrame) -> DataFrame:
-    """(tile_id, bare): the share of pixels that are redder than green by both indices: open ground."""
-    return px.groupBy("tile_id").agg(F.avg(((redness() > 0.05) & (ngrdi() < 0)).cast("int")).alias("bare"))
+    """(tile_id, bare): the share of pixels whose excess green is below 0.05: open ground."""
+    return px.groupBy("tile_id").agg(F.avg((excess_green() < 0.05).cast("int")).alias("bare"))
 
 
-def density_contrast(px: DataFrame, region: str, prob: str = "prob", thr: float = 0.5) -> DataFrame:
-    """(tile_id, inside, outside, contrast, fired): mean probability inside a region minus outside."""
+def terrain_tests(tiles: DataFrame, min_group: int = 5, min_healthy: int = 20) -> DataFrame:
+    """One row: does open ground explain the failures? ``tiles``: tile_id, bare, iou, silent, painted (share, healthy tiles).
+
+    Openness against IoU (n, rho_iou, p_iou); of silent against other tiles with a label (medians, z, p_silent; null
+    below ``min_group`` of either); against the painted share of healthy tiles (n_healthy, rho_painted, p_painted, and
+    the means of the open and the closed half; null below ``min_healthy``).
+    """
+    scored = tiles.where("iou is not null")
+    one = spearman(scored, "bare", "iou").select("n", F.col("rho").alias("rho_iou"), F.col("p").alias("p_iou"))
+    medians = [quantiles(scored.where(c), "bare", [0.5]).select(F.get("q", F.lit(0)).alias(f"median_{n}")) for n, c in (("silent", "silent"), ("fired", "not silent"))]
+    two = mann_whitney(scored, "bare", "silent").crossJoin(medians[0]).crossJoin(medians[1])  # one row each
+    enough = (F.col("n1") >= min_group) & (F.col("n2") >= min_group)
+    two = two.select(*(F.when(enough, F.col(c)).alias(n) for c, n in (("median_silent", "median_silent"), ("median_fired", "median_fired"), ("z", "z_silent"), ("p", "p_silent"))))
+    healthy = tiles.where("iou is null and painted is not null")
+    half = healthy.crossJoin(F.broadcast(quantiles(healthy, "bare", [0.5]))).withColumn("open", F.col("bare") >= F.get("q", F.lit(0)))
+    halves = half.agg(F.avg(F.when(F.col("open"), F.col("painted"))).alias("open"), F.avg(F.when(~F.col("open"), F.col("painted"))).alias("closed"))
+    three = spearman(healthy, "bare", "painted").withColumnRenamed("n", "n_healthy").crossJoin(halves)
+    many = F.col("n_healthy") >= min_healthy
+    three = three.select("n_healthy", *(F.when(many, F.col(c)).alias(n) for c, n in (("rho", "rho_painted"), ("p", "p_painted"), ("open", "open_painted"), ("closed", "closed_painted"))))
+    return one.crossJoin(two).crossJoin(three)
+
+
+def density_contrast(px: DataFrame, region: str, prob: str = "prob") -> DataFrame:
+    """(tile_id, inside, outside, contrast, fired): mean probability inside a region minus outside; fired if there is any at all."""
     r = F.col(region)
-    s = px.groupBy("tile_id").agg(F.avg(F.when(r, F.col(prob))).alias("inside"), F.avg(F.when(~r, F.col(prob))).alias("outside"), F.bool_or(F.col(prob) > thr).alias("fired"))
-    return s.withColumn("contrast", F.col("inside") - F.col("outside"))
+    s = px.groupBy("tile_id").agg(F.avg(F.when(r, F.col(prob))).alias("inside"), F.avg(F.when(~r, F.col(prob))).alias("outside"))
+    return s.withColumns({"contrast": F.col("inside") - F.col("outside"), "fired": F.coalesce(F.col("inside") + F.col("outside") > 1e-6, F.lit(False))})
 
 
-def density_summary(contrast: DataFrame) -> DataFrame:
-    return contrast.agg(F.count(F.lit(1)).alias("n"), F.count_if("fired").alias("fired"), F.count_if(F.col("contrast") > 0).alias("concentrating"), F.median("inside").alias("inside"), F.median("outside").alias("outside"), F.median("contrast").alias("contrast"))
+def density_summary(contrast: DataFrame, margin: float = 0.02) -> DataFrame:
+    """(n, fired, silent, concentrating, inside, outside, contrast): those that fired concentrate above ``margin``; medians."""
+    s = contrast.agg(F.count(F.lit(1)).alias("n"), F.count_if("fired").alias("fired"), F.count_if(~F.col("fired")).alias("silent"), F.count_if(F.col("fired") & (F.col("contrast") > margin)).alias("concentrating"))
+    for c in ("inside", "outside", "contrast"):
+        s = s.crossJoin(quantiles(contrast, c, [0.5]).select(F.get("q", F.lit(0)).alias(c)))  # one row
+    return s
 
 
 def zone_contrast(px: DataFrame, orig: str, corr: str) -> DataFrame:
@@ -295,24 +355,34 @@ def zone_contrast(px: DataFrame, orig: str, corr: str) -> DataFrame:
 def paired_improvement(a: DataFrame, b: DataFrame, metric: str = "iou") -> DataFrame:
     """(n, median_a, median_b, mean_a, mean_b, improved): two models on the same tiles."""
     x = a.select("tile_id", F.col(metric).alias("a")).join(b.select("tile_id", F.col(metric).alias("b")), "tile_id").where("a is not null and b is not null")
-    return x.agg(F.count(F.lit(1)).alias("n"), F.median("a").alias("median_a"), F.median("b").alias("median_b"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.count_if(F.expr("b > a")).alias("improved"))
+    s = x.agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.count_if(F.expr("b > a")).alias("improved"))
+    for c in ("a", "b"):
+        s = s.crossJoin(quantiles(x, c, [0.5]).select(F.get("q", F.lit(0)).alias(f"median_{c}")))  # one row
+    return s
 
 
 def dice_focal(px: DataFrame, prob: str = "prob", gt: str = "gt", valid: str = VALID, alpha: float = 0.25, gamma: float = 2.0, eps: float = 1e-6) -> DataFrame:
-    """(tile_id, dice_loss, focal, total) over valid pixels."""
+    """(tile_id, n, dice_loss, focal, total) over valid pixels. ``alpha`` scales the whole focal term, whatever the class."""
     p = F.least(F.greatest(F.col(prob), F.lit(eps)), F.lit(1 - eps))
     g = F.col(gt)
-    pt, a = F.when(g, p).otherwise(1 - p), F.when(g, alpha).otherwise(1 - alpha)
-    t = px.where(valid).groupBy("tile_id").agg(F.sum(F.when(g, F.col(prob)).otherwise(0.0)).alias("i"), F.sum(prob).alias("sp"), F.count_if(g).alias("sg"), F.avg(a * F.pow(1 - pt, F.lit(gamma)) * -F.log(pt)).alias("focal"))
+    pt = F.when(g, p).otherwise(1 - p)
+    t = px.where(valid).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(g, F.col(prob)).otherwise(0.0)).alias("i"), F.sum(prob).alias("sp"), F.count_if(g).alias("sg"), F.avg(alpha * F.pow(1 - pt, F.lit(gamma)) * -F.log(pt)).alias("focal"))
     t = t.withColumn("dice_loss", 1 - (2 * F.col("i") + 1) / (F.col("sp") + F.col("sg") + 1))
-    return t.select("tile_id", "dice_loss", "focal", (F.col("dice_loss") + F.col("focal")).alias("total"))
+    return t.select("tile_id", "n", "dice_loss", "focal", (F.col("dice_loss") + F.col("focal")).alias("total"))
+
+
+def dice_focal_overall(per_tile: DataFrame) -> DataFrame:
+    """(tiles, dice_loss, focal, total): Dice averaged over tiles, the focal term over all their pixels."""
+    s = per_tile.agg(F.count(F.lit(1)).alias("tiles"), F.avg("dice_loss").alias("dice_loss"), _ratio(F.sum(F.col("focal") * F.col("n")), F.sum("n")).alias("focal"))
+    return s.withColumn("total", F.col("dice_loss") + F.col("focal"))
 
 
 def affine_errors(pairs: DataFrame, width: int = 384, height: int = 384) -> DataFrame:
     """(pair_id, regime, corner_px, shift_px, turn_deg, scale, shear_deg, idle_px): predicted against true affines.
 
-    Affines (g*, p*) are in units where the raster is [-1, 1]. The shift averages |dx| and |dy|; ``idle_px`` is the
-    corner error of doing nothing. Nine points: corners, middles of sides, centre.
+    Affines (g*, p*) are in units where the raster is [-1, 1]. The shift averages |dx| and |dy|, the scale the errors of
+    both diagonal entries; turns wrap at 180 degrees; shear is the angle whose tangent is b. ``idle_px`` is the corner
+    error of doing nothing. Nine points: corners, middles of sides, centre.
     """
     pts = F.explode(F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1))))
     at = lambda m: (F.col(f"{m}a") * F.col("q.x") + F.col(f"{m}b") * F.col("q.y") + F.col(f"{m}tx"), F.col(f"{m}c") * F.col("q.x") + F.col(f"{m}d") * F.col("q.y") + F.col(f"{m}ty"))
@@ -320,18 +390,21 @@ def affine_errors(pairs: DataFrame, width: int = 384, height: int = 384) -> Data
     x = pairs.withColumn("q", pts)
     x = x.groupBy("pair_id").agg(F.avg(far(at("g"), at("p"))).alias("corner_px"), F.avg(far(at("g"), (F.col("q.x"), F.col("q.y")))).alias("idle_px"))
 
-    def parts(m: str) -> tuple[Column, Column, Column]:
-        a, b, c, d = (F.col(f"{m}{k}") for k in "abcd")
-        scale = F.sqrt(F.abs(a * d - b * c))
-        return F.degrees(F.atan2(c, a)), scale, F.degrees(F.atan2(a * b + c * d, a * d - b * c))
-
-    (ta, sa, ha), (tb, sb, hb) = parts("g"), parts("p")
-    one = pairs.select("pair_id", "regime", ((F.abs(F.col("gtx") - F.col("ptx")) * width / 2 + F.abs(F.col("gty") - F.col("pty")) * height / 2) / 2).alias("shift_px"), F.abs(ta - tb).alias("turn_deg"), F.abs(sa - sb).alias("scale"), F.abs(ha - hb).alias("shear_deg"))
+    g, p = ({k: F.col(f"{m}{k}") for k in ("a", "b", "c", "d", "tx", "ty")} for m in "gp")
+    turn = F.degrees(F.atan2(p["c"], p["a"])) - F.degrees(F.atan2(g["c"], g["a"]))
+    one = pairs.select(
+        "pair_id", "regime", ((F.abs(g["tx"] - p["tx"]) * width / 2 + F.abs(g["ty"] - p["ty"]) * height / 2) / 2).alias("shift_px"),
+        F.abs(F.pmod(turn + 180, F.lit(360.0)) - 180).alias("turn_deg"), ((F.abs(p["a"] - g["a"]) + F.abs(p["d"] - g["d"])) / 2).alias("scale"), F.abs(F.degrees(F.atan(p["b"]) - F.atan(g["b"]))).alias("shear_deg"),
+    )
     return one.join(x, "pair_id")
 
 
-def recoverability(errors: DataFrame, by: str = "regime", full: float = 0.8, partial: float = 0.3) -> DataFrame:
-    """(regime, n, error, idle, closed, verdict, largest): how much of the do-nothing error is closed, and how far it reaches."""
-    s = errors.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("corner_px").alias("error"), F.avg("idle_px").alias("idle"), F.max(F.when(F.col("corner_px") < 0.5 * F.col("idle_px"), F.col("idle_px"))).alias("largest"))
-    closed = 1 - F.col("error") / F.nullif(F.col("idle"), F.lit(0.0))
-    return s.withColumn("closed", closed).withColumn("verdict", F.when(F.col("closed") >= full, "recovered").when(F.col("closed") >= partial, "partial").otherwise("not recovered"))
+def recoverability(errors: DataFrame, by: str = "regime", magnitude: str = "idle_px", left: float = 0.4, partial: float = 0.3) -> DataFrame:
+    """(regime, n, error, idle, closed, verdict, largest): how much of the do-nothing error is closed, and how far it reaches.
+
+    Recovered means that less than ``left`` of the error of doing nothing remains, for the mean as for the largest
+    ``magnitude``; more than ``partial`` closed is partly recovered.
+    """
+    s = errors.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("corner_px").alias("error"), F.avg("idle_px").alias("idle"), F.max(F.when(F.col("corner_px") < left * F.col("idle_px"), F.col(magnitude))).alias("largest"))
+    s = s.withColumn("closed", 1 - F.col("error") / F.greatest(F.col("idle"), F.lit(1e-9)))
+    return s.withColumn("verdict", F.when(F.col("error") < left * F.col("idle"), "recovered").when(F.col("closed") > partial, "partial").otherwise("not recovered"))

@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from standmap.sources.store import quantiles
+
 
 def slice_report(scores: DataFrame, by: str, metrics: Sequence[str]) -> DataFrame:
     """(by, n, mean of each metric) with overall rows' mean and median beside; worst first by the first metric."""
-    over = scores.agg(*(F.avg(m).alias(f"{m}_overall") for m in metrics), *(F.median(m).alias(f"{m}_median") for m in metrics))
+    over = scores.agg(*(F.avg(m).alias(f"{m}_overall") for m in metrics))
+    for m in metrics:
+        over = over.crossJoin(quantiles(scores, m, [0.5]).select(F.get("q", F.lit(0)).alias(f"{m}_median")))  # one row
     out = scores.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *(F.avg(m).alias(m) for m in metrics))
     return out.crossJoin(F.broadcast(over)).orderBy(metrics[0], by)  # one row
 
@@ -22,11 +26,11 @@ def run_stability(runs: DataFrame, config: Sequence[str], score: str = "iou") ->
 
 
 def version_comparison(runs: DataFrame, current: str, version: str = "train_ver", score: str = "iou") -> DataFrame:
-    """(version, n, mean, diff, beyond): each other version against ``current``, and whether they differ by more than 2 sd."""
+    """(version, n, mean, diff, beyond): ``current`` against each other version of two runs or more: is it outside that one's 2 sd?"""
     g = runs.where(F.col(score).isNotNull()).groupBy(version).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.stddev_samp(score).alias("sd"))
-    now = g.where(F.col(version) == current).select(F.col("mean").alias("m"), F.col("sd").alias("s"))
-    out = g.where(F.col(version) != current).crossJoin(F.broadcast(now))  # one row
-    return out.select(version, "n", "mean", (F.col("m") - F.col("mean")).alias("diff"), (F.abs(F.col("m") - F.col("mean")) > 2 * F.greatest("sd", "s")).alias("beyond"))
+    now = g.where(F.col(version) == current).select(F.col("mean").alias("m"))
+    out = g.where((F.col(version) != current) & (F.col("n") >= 2)).crossJoin(F.broadcast(now))  # one row
+    return out.select(version, "n", "mean", (F.col("m") - F.col("mean")).alias("diff"), (F.abs(F.col("m") - F.col("mean")) > 2 * F.col("sd")).alias("beyond"))
 
 
 def learning_curve(runs: DataFrame, size: str = "n_damage", score: str = "iou") -> DataFrame:

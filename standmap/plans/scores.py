@@ -82,7 +82,7 @@ def _features(v: Views):
 @query()
 def pixel_classifier(v: Views):
     px = _features(v)
-    scored = learn.pixel_classifier(px.where("tile_id % 2 = 0"), px.where("tile_id % 2 = 1"), trees=10, depth=6)
+    scored = learn.pixel_classifier(px.where("tile_id % 2 = 0"), px.where("tile_id % 2 = 1"))
     return rounded(scored.groupBy("tile_id").agg(F.avg(F.when(F.col("gt"), F.col("score"))).alias("inside"), F.avg(F.when(~F.col("gt"), F.col("score"))).alias("outside")), n=4)
 
 
@@ -124,7 +124,7 @@ def confusion_micro(v: Views):
     return rounded(ev.confusion_micro(v.pixels, HOT))
 
 
-@query("pixels", f"WITH {counts(HOT)} SELECT count(*) FILTER (tp+fn > 0) AS n_damage, round(avg({DICE}), 6) AS dice, round(avg(CASE WHEN tp+fn > 0 THEN tp/(tp+fn) END), 6) AS recall, round(avg(CASE WHEN tp+fn = 0 THEN fp/n END), 6) AS false_positive_rate FROM c")
+@query("pixels", f"WITH {counts(HOT)} SELECT count(*) FILTER (tp+fn > 0) AS n_damage, round(avg({DICE}), 6) AS dice, round(avg(CASE WHEN tp+fn > 0 THEN tp/(tp+fn) END), 6) AS recall, round(sum(CASE WHEN tp+fn = 0 THEN fp END) / sum(CASE WHEN tp+fn = 0 THEN n END), 6) AS false_positive_rate FROM c")
 def macro_scores(v: Views):
     return rounded(ev.macro_scores(v.pixels, HOT))
 
@@ -134,7 +134,7 @@ def object_recall(v: Views):
     return rounded(ev.object_recall(v.pixels, HOT))
 
 
-@query("pixels", f"WITH {counts(HOT)} SELECT tile_id, round(tp/(tp+fn), 6) AS recall, round(tp/nullif(tp+fp, 0), 6) AS precision, round((tp+fp)/(tp+fn), 6) AS area_ratio, tp+fp = 0 AS silent, tp+fp >= 0.95*n AS paints_all FROM c WHERE tp+fn > 0")
+@query("pixels", f"WITH {counts(HOT)} SELECT tile_id, round(tp/(tp+fn), 6) AS recall, round(tp/nullif(tp+fp, 0), 6) AS precision, round((tp+fp)/(tp+fn), 6) AS area_ratio, tp+fp = 0 AS silent, coalesce(tp/(tp+fn) > 0.95 AND tp/nullif(tp+fp, 0) < 0.1, false) AS paints_all FROM c WHERE tp+fn > 0")
 def recall_precision(v: Views):
     return rounded(ev.recall_precision(v.pixels, HOT))
 
@@ -167,40 +167,49 @@ def threshold_sweep(v: Views):
     return rounded(ev.threshold_sweep(v.pixels, "prob", GRID), "thr")
 
 
-CHOOSE = f"""c AS (SELECT tile_id % 5 AS fold, thr, tile_id, count(*) FILTER (prob > thr AND gt) AS tp, count(*) FILTER (prob > thr AND NOT gt) AS fp, count(*) FILTER (NOT prob > thr AND gt) AS fn FROM pixels, {THR} WHERE {V} GROUP BY 1, 2, 3),
-m AS (SELECT fold, thr, avg({IOU}) AS m FROM c GROUP BY 1, 2),
+INNER = f"""tr AS (SELECT o.fold, tile_id, row_number() OVER (PARTITION BY o.fold ORDER BY {RAND.format(id='tile_id')}, tile_id) AS r, count(*) OVER (PARTITION BY o.fold) AS n FROM tiles, (SELECT DISTINCT tile_id % 5 AS fold FROM tiles) o WHERE tile_id % 5 <> o.fold),
+inn AS (SELECT fold, tile_id FROM tr WHERE r <= greatest(4, CAST(round_even(n * 0.15, 0) AS BIGINT)))"""
+CHOOSE = f"""{INNER}, c AS (SELECT fold, thr, tile_id, count(*) FILTER (prob > thr AND gt) AS tp, count(*) FILTER (prob > thr AND NOT gt) AS fp, count(*) FILTER (NOT prob > thr AND gt) AS fn FROM pixels JOIN inn USING (tile_id), {THR} WHERE {V} GROUP BY 1, 2, 3),
+m AS (SELECT fold, thr, avg({IOU}) AS m, count(*) FILTER (tp + fn > 0) AS n FROM c GROUP BY 1, 2),
 b AS (SELECT fold, thr, m AS mean_iou FROM m QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(m, 9) DESC, thr) = 1),
-u AS (SELECT fold, count(*) FILTER (m >= top - 0.01) AS usable, max(m) - min(m) AS spread FROM (SELECT *, max(m) OVER (PARTITION BY fold) AS top FROM m) GROUP BY fold)"""
+u AS (SELECT fold, max(n) AS usable, max(m) - min(m) AS spread FROM m GROUP BY fold)"""
 
 
 def _folded(v: Views):
     return v.pixels.withColumn("fold", F.col("tile_id") % 5)
 
 
-@query("pixels", f"WITH {CHOOSE} SELECT fold, thr, round(mean_iou, 6) AS mean_iou, usable, round(spread, 6) AS spread FROM b JOIN u USING (fold)")
+def _inner(v: Views):
+    """Pixels of each fold's inner tiles: those of its training tiles that choose the threshold."""
+    inner = splits.nested_inner_split(v.tiles.selectExpr("tile_id", "tile_id % 5 as fold")).where("inner").select(F.col("outer_fold").alias("fold"), "tile_id")
+    return v.pixels.join(inner, "tile_id")
+
+
+@query("tiles pixels", f"WITH {CHOOSE} SELECT fold, thr, round(mean_iou, 6) AS mean_iou, usable, round(spread, 6) AS spread FROM b JOIN u USING (fold)")
 def choose_threshold(v: Views):
-    return rounded(ev.choose_threshold(_folded(v), GRID), "thr")
+    return rounded(ev.choose_threshold(_inner(v), GRID), "thr")
 
 
-@query("pixels", f"WITH {CHOOSE}, t AS (SELECT b.fold, tile_id, count(*) FILTER ({V} AND prob > thr AND gt) AS tpa, count(*) FILTER ({V} AND prob > thr AND NOT gt) AS fpa, count(*) FILTER ({V} AND NOT prob > thr AND gt) AS fna, count(*) FILTER ({V} AND prob > 0.5 AND gt) AS tpb, count(*) FILTER ({V} AND prob > 0.5 AND NOT gt) AS fpb, count(*) FILTER ({V} AND NOT prob > 0.5 AND gt) AS fnb FROM pixels JOIN b ON tile_id % 5 = fold GROUP BY 1, 2) SELECT fold, count(*) AS n, round(avg(tpa/(tpa+fpa+fna)), 6) AS iou_tuned, round(avg(tpb/(tpb+fpb+fnb)), 6) AS iou_fixed, round(avg(tpa/(tpa+fna)), 6) AS recall_tuned, round(avg(tpb/(tpb+fnb)), 6) AS recall_fixed, count(*) FILTER (tpa+fpa = 0) AS silent_tuned, count(*) FILTER (tpb+fpb = 0) AS silent_fixed, round(avg(tpa/(tpa+fpa+fna)) - avg(tpb/(tpb+fpb+fnb)), 6) AS delta FROM t WHERE tpa + fna > 0 GROUP BY fold")
+@query("tiles pixels", f"WITH {CHOOSE}, t AS (SELECT b.fold, tile_id, count(*) FILTER ({V} AND prob > thr AND gt) AS tpa, count(*) FILTER ({V} AND prob > thr AND NOT gt) AS fpa, count(*) FILTER ({V} AND NOT prob > thr AND gt) AS fna, count(*) FILTER ({V} AND prob > 0.5 AND gt) AS tpb, count(*) FILTER ({V} AND prob > 0.5 AND NOT gt) AS fpb, count(*) FILTER ({V} AND NOT prob > 0.5 AND gt) AS fnb FROM pixels JOIN b ON tile_id % 5 = fold GROUP BY 1, 2) SELECT fold, count(*) AS n, round(avg(tpa/(tpa+fpa+fna)), 6) AS iou_tuned, round(avg(tpb/(tpb+fpb+fnb)), 6) AS iou_fixed, round(avg(tpa/(tpa+fna)), 6) AS recall_tuned, round(avg(tpb/(tpb+fnb)), 6) AS recall_fixed, count(*) FILTER (tpa+fpa = 0) AS silent_tuned, count(*) FILTER (tpb+fpb = 0) AS silent_fixed, round(avg(tpa/(tpa+fpa+fna)) - avg(tpb/(tpb+fpb+fnb)), 6) AS delta FROM t WHERE tpa + fna > 0 GROUP BY fold")
 def threshold_ab(v: Views):
-    px = _folded(v)
-    return rounded(ev.threshold_ab(px, ev.choose_threshold(px, GRID)))
+    return rounded(ev.threshold_ab(_folded(v), ev.choose_threshold(_inner(v), GRID)))
+
+
+EPOCH = """n AS (SELECT fold, max(epoch) AS n FROM epochs GROUP BY fold),
+w AS (SELECT fold, 0::BIGINT AS e, NULL::BIGINT AS epoch, -1e9::DOUBLE AS s FROM n UNION ALL SELECT w.fold, w.e + 1, CASE WHEN x.epoch >= ceil(n.n * 0.25) AND x.inner_iou > w.s + 0.005 THEN x.epoch ELSE w.epoch END, CASE WHEN x.epoch >= ceil(n.n * 0.25) AND x.inner_iou > w.s + 0.005 THEN x.inner_iou ELSE w.s END FROM w JOIN n USING (fold) JOIN epochs x ON x.fold = w.fold AND x.epoch = w.e + 1)"""
 
 
-@query("epochs", """WITH RECURSIVE n AS (SELECT fold, max(epoch) AS n FROM epochs GROUP BY fold),
-w AS (SELECT fold, 0::BIGINT AS e, NULL::BIGINT AS epoch, -1e9::DOUBLE AS s FROM n UNION ALL SELECT w.fold, w.e + 1, CASE WHEN x.epoch >= ceil(n.n * 0.25) AND x.inner_iou > w.s + 0.005 THEN x.epoch ELSE w.epoch END, CASE WHEN x.epoch >= ceil(n.n * 0.25) AND x.inner_iou > w.s + 0.005 THEN x.inner_iou ELSE w.s END FROM w JOIN n USING (fold) JOIN epochs x ON x.fold = w.fold AND x.epoch = w.e + 1)
-SELECT fold, epoch, round(s, 6) AS inner_iou FROM w WHERE e = 60""")
+@query("epochs", f"WITH RECURSIVE {EPOCH} SELECT fold, epoch, round(s, 6) AS inner_iou FROM w WHERE e = 60")
 def select_epoch(v: Views):
     return rounded(ev.select_epoch(v.epochs))
 
 
-@query("epochs", "SELECT fold, round(avg(CASE WHEN epoch > 54 THEN loss END), 6) AS last, round(avg(CASE WHEN epoch > 48 AND epoch <= 54 THEN loss END), 6) AS before, avg(CASE WHEN epoch > 54 THEN loss END) > 1.02 * avg(CASE WHEN epoch > 48 AND epoch <= 54 THEN loss END) AS rising FROM epochs GROUP BY fold")
+@query("epochs", f"WITH RECURSIVE {EPOCH}, a AS (SELECT fold, avg(CASE WHEN n.n - epochs.epoch < greatest(3, n.n // 10) THEN loss END) AS last, avg(CASE WHEN n.n - epochs.epoch >= greatest(3, n.n // 10) AND n.n - epochs.epoch < 2 * greatest(3, n.n // 10) THEN loss END) AS before, max(n.n) AS n FROM epochs JOIN n USING (fold) GROUP BY fold) SELECT fold, round(last, 6) AS last, round(before, 6) AS before, last > 1.02 * before AS rising, w.epoch, w.epoch >= a.n - 1 AS at_ceiling FROM a JOIN w USING (fold) WHERE e = 60")
 def convergence_check(v: Views):
     return rounded(ev.convergence_check(v.epochs))
 
 
-@query("pixels", f"WITH {counts(HOT)}, s AS (SELECT tile_id % 5 AS fold, {IOU} AS iou FROM c), f AS (SELECT fold, count(*) AS n, avg(iou) AS mean, sum(iou) AS s FROM s WHERE iou IS NOT NULL GROUP BY fold), a AS (SELECT avg(mean) AS p, sum(s)/sum(n) AS w, median(mean) AS m, sum(n) AS t FROM f) SELECT fold, n, round(mean, 6) AS mean, round(n/t, 6) AS share, round(p, 6) AS plain_mean, round(w, 6) AS weighted_mean, mean < 0.5*m AS collapsed FROM f, a")
+@query("pixels", f"WITH {counts(HOT)}, s AS (SELECT tile_id % 5 AS fold, {IOU} AS iou FROM c), f AS (SELECT fold, count(*) AS n, avg(iou) AS mean, sum(iou) AS s FROM s WHERE iou IS NOT NULL GROUP BY fold), a AS (SELECT avg(mean) AS p, sum(s)/sum(n) AS w, median(mean) AS m, sum(n) AS t FROM f) SELECT fold, n, round(mean, 6) AS mean, round(n/t, 6) AS share, round(p, 6) AS plain_mean, round(w, 6) AS weighted_mean, mean < greatest(0.05, 0.4*m) AS collapsed FROM f, a")
 def fold_health(v: Views):
     return rounded(ev.fold_health(ev.iou_dice(v.pixels, HOT).withColumn("fold", F.col("tile_id") % 5)))
 
@@ -244,7 +253,7 @@ def mann_whitney(v: Views):
     return rounded(ev.mann_whitney(_tiles(v), "peak", "damaged").drop("p"))
 
 
-@query("pixels", f"WITH {TILE}, x AS (SELECT * FROM tm WHERE iou IS NOT NULL), q AS (SELECT quantile_cont(window_m, [0.25, 0.5, 0.75]) AS c FROM x) SELECT CASE WHEN window_m <= c[1] THEN 1 WHEN window_m <= c[2] THEN 2 WHEN window_m <= c[3] THEN 3 ELSE 4 END AS quartile, count(*) AS n, min(window_m) AS low, max(window_m) AS high, round(avg(iou), 6) AS mean, round(avg(CASE WHEN silent THEN 1 ELSE 0 END), 6) AS silent_share FROM x, q GROUP BY 1")
+@query("pixels", f"WITH {TILE}, x AS (SELECT * FROM tm WHERE iou IS NOT NULL), q AS (SELECT quantile_cont(window_m, [0.0, 0.25, 0.5, 0.75, 1.0]) AS c, count(*) AS rows FROM x), y AS (SELECT *, CASE WHEN window_m >= c[4] THEN 4 WHEN window_m >= c[3] THEN 3 WHEN window_m >= c[2] THEN 2 ELSE 1 END AS quartile FROM x, q WHERE rows >= 10 AND c[5] >= 1.05 * c[1]) SELECT quartile, count(*) AS n, round(any_value(c[quartile]), 6) AS low, round(any_value(c[quartile + 1]), 6) AS high, round(avg(iou), 6) AS mean, round(avg(CASE WHEN silent THEN 1 ELSE 0 END), 6) AS silent_share FROM y GROUP BY 1")
 def quartile_report(v: Views):
     return rounded(ev.quartile_report(_tiles(v), "window_m"))
 
@@ -254,24 +263,37 @@ def coverage_bins(v: Views):
     return rounded(ev.coverage_bins(_tiles(v), (0.0, 0.02, 0.05, 0.1)))
 
 
-@query("pixels", "SELECT tile_id, round(quantile_cont(prob, 0.99), 6) AS peak, round(avg(CASE WHEN abs(prob - 0.5) > 0.25 THEN 1 ELSE 0 END), 6) AS decisive, round(count(*) FILTER (prob > 0.5 AND prior) / nullif(count(*) FILTER (prob > 0.5 OR prior), 0), 6) AS agreement FROM pixels GROUP BY tile_id")
+@query("tiles pixels", f"WITH {CHOOSE}, p AS (SELECT pixels.*, thr, {V} AS v FROM pixels JOIN b ON tile_id % 5 = fold) SELECT tile_id, round(coalesce(quantile_cont(prob, 0.99) FILTER (v), 0), 6) AS peak, round(coalesce(avg(CASE WHEN abs(prob - thr) > 0.25 THEN 1 ELSE 0 END) FILTER (v), 0), 6) AS decisive, round(coalesce(count(*) FILTER (v AND prob > thr AND prior) / nullif(count(*) FILTER (v AND (prob > thr OR prior)), 0), 0), 6) AS agreement FROM p GROUP BY tile_id")
 def confidence_signals(v: Views):
-    return rounded(ev.confidence_signals(v.pixels))
+    px = _folded(v).join(F.broadcast(ev.choose_threshold(_inner(v), GRID).select("fold", "thr")), "fold")  # a row per fold
+    return rounded(ev.confidence_signals(px, thr=F.col("thr")))
 
 
-@query("pixels", f"WITH {TILE}, x AS (SELECT *, row_number() OVER (ORDER BY peak DESC NULLS LAST, tile_id) AS rn, count(*) OVER () AS n FROM tm WHERE iou IS NOT NULL), f AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS frac) SELECT frac, count(*) FILTER (rn <= round_even(frac*n, 0)) AS n_model, round(avg(CASE WHEN rn <= round_even(frac*n, 0) THEN iou ELSE prior_iou END), 6) AS system_iou FROM x, f GROUP BY frac")
+@query("pixels", f"WITH {TILE}, x AS (SELECT *, row_number() OVER (ORDER BY peak DESC NULLS LAST, tile_id) AS rn, count(*) OVER () AS n FROM tm WHERE iou IS NOT NULL AND prior_iou IS NOT NULL), f AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 1.0]::DOUBLE[]) AS frac) SELECT frac, count(*) FILTER (rn <= greatest(1, round_even(frac*n, 0))) AS n_model, round(avg(CASE WHEN rn <= greatest(1, round_even(frac*n, 0)) THEN iou ELSE prior_iou END), 6) AS system_iou FROM x, f GROUP BY frac")
 def selective_curve(v: Views):
     return rounded(ev.selective_curve(_tiles(v), "peak", (0.1, 0.25, 0.5, 0.75, 1.0)), "frac")
 
 
-@query("pixels", "SELECT tile_id, round(avg(CASE WHEN (r/255.0::DOUBLE - g/255.0::DOUBLE)/(r/255.0::DOUBLE + g/255.0::DOUBLE + 1e-6) > 0.05 AND (g/255.0::DOUBLE - r/255.0::DOUBLE)/(g/255.0::DOUBLE + r/255.0::DOUBLE + 1e-6) < 0 THEN 1 ELSE 0 END), 6) AS bare FROM pixels GROUP BY tile_id")
+BARE = "bare AS (SELECT tile_id, avg(CASE WHEN 2*(g/255.0::DOUBLE) - r/255.0::DOUBLE - b/255.0::DOUBLE < 0.05 THEN 1 ELSE 0 END) AS bare, count(*) FILTER (prob > 0.5 AND (gt OR NOT ign)) / nullif(count(*) FILTER (gt OR NOT ign), 0) AS painted FROM pixels GROUP BY tile_id)"
+
+
+@query("pixels", f"""WITH {TILE}, {BARE}, t AS (SELECT * FROM tm JOIN bare USING (tile_id)), s AS (SELECT *, {ranks('bare', '', 'rb')}, {ranks('iou', '', 'ri')}, count(*) OVER (PARTITION BY bare) AS tie FROM t WHERE iou IS NOT NULL),
+a AS (SELECT count(*) AS n, corr(rb, ri) AS rho, median(bare) FILTER (silent) AS m1, median(bare) FILTER (NOT silent) AS m2, count(*) FILTER (silent) AS n1, count(*) FILTER (NOT silent) AS n2, sum(rb) FILTER (silent) AS sr, sum(tie*tie - 1) AS ties, CAST(count(*) AS DOUBLE) AS k FROM s),
+z AS (SELECT *, sr - n1*(n1+1)/2 - n1*n2/2 AS d, sqrt(n1*n2/12.0::DOUBLE*(k + 1 - ties/(k*(k-1)))) AS sd FROM a),
+h AS (SELECT *, {ranks('bare', '', 'rb')}, {ranks('painted', '', 'rp')}, median(bare) OVER () AS m FROM t WHERE iou IS NULL AND painted IS NOT NULL),
+e AS (SELECT count(*) AS n_healthy, corr(rb, rp) AS rho, avg(painted) FILTER (bare >= m) AS op, avg(painted) FILTER (bare < m) AS cl FROM h)
+SELECT z.n, round(z.rho, 6) AS rho_iou, round(CASE WHEN n1 >= 5 AND n2 >= 5 THEN m1 END, 6) AS median_silent, round(CASE WHEN n1 >= 5 AND n2 >= 5 THEN m2 END, 6) AS median_fired, round(CASE WHEN n1 >= 5 AND n2 >= 5 THEN sign(d)*greatest(0.0, abs(d) - 0.5)/nullif(sd, 0) END, 6) AS z_silent,
+ n_healthy, round(CASE WHEN n_healthy >= 20 THEN e.rho END, 6) AS rho_painted, round(CASE WHEN n_healthy >= 20 THEN op END, 6) AS open_painted, round(CASE WHEN n_healthy >= 20 THEN cl END, 6) AS closed_painted FROM z, e""")
 def terrain_proxy(v: Views):
-    return rounded(ev.terrain_proxy(v.pixels))
+    px = v.pixels
+    painted = px.groupBy("tile_id").agg((F.count_if(F.expr(f"{V} and {HOT}")) / F.nullif(F.count_if(F.expr(V)), F.lit(0))).alias("painted"))
+    tiles = ev.tile_scores(px, HOT).join(ev.terrain_proxy(px), "tile_id").join(painted, "tile_id")
+    return rounded(ev.terrain_tests(tiles).drop("p_iou", "p_silent", "p_painted"))
 
 
-@query("pixels", "SELECT tile_id, round(avg(prob) FILTER (prior), 9) AS inside, round(avg(prob) FILTER (NOT prior), 9) AS outside, bool_or(prob > 0.5) AS fired, round(avg(prob) FILTER (prior) - avg(prob) FILTER (NOT prior), 9) AS contrast FROM pixels GROUP BY tile_id")
+@query("pixels", "WITH c AS (SELECT avg(prob) FILTER (prior) AS inside, avg(prob) FILTER (NOT prior) AS outside FROM pixels GROUP BY tile_id), d AS (SELECT *, inside - outside AS contrast, coalesce(inside + outside > 1e-6, false) AS fired FROM c) SELECT count(*) AS n, count(*) FILTER (fired) AS fired, count(*) FILTER (NOT fired) AS silent, count(*) FILTER (fired AND contrast > 0.02) AS concentrating, round(median(inside), 9) AS inside, round(median(outside), 9) AS outside, round(median(contrast), 9) AS contrast FROM d")
 def density_contrast(v: Views):
-    return rounded(ev.density_contrast(v.pixels, "prior"), n=9)
+    return rounded(ev.density_summary(ev.density_contrast(v.pixels, "prior")), n=9)
 
 
 @query("pixels", "SELECT CASE WHEN gt THEN 'corrected' WHEN prior THEN 'rejected' ELSE 'background' END AS zone, count(*) AS pixels, round(avg((g/255.0::DOUBLE - r/255.0::DOUBLE)/(g/255.0::DOUBLE + r/255.0::DOUBLE + 1e-6)), 6) AS greenness FROM pixels GROUP BY 1")
@@ -284,14 +306,14 @@ def paired_improvement(v: Views):
     return rounded(ev.paired_improvement(ev.iou_dice(v.pixels, "prior"), ev.iou_dice(v.pixels, HOT)))
 
 
-@query("pixels", f"WITH p AS (SELECT tile_id, gt, prob, least(greatest(prob, 1e-6), 1 - 1e-6) AS q FROM pixels WHERE {V}), t AS (SELECT tile_id, sum(CASE WHEN gt THEN prob ELSE 0 END) AS i, sum(prob) AS sp, count(*) FILTER (gt) AS sg, avg(CASE WHEN gt THEN 0.25 * pow(1 - q, 2) * -ln(q) ELSE 0.75 * pow(q, 2) * -ln(1 - q) END) AS focal FROM p GROUP BY tile_id) SELECT tile_id, round(1 - (2*i + 1)/(sp + sg + 1), 5) AS dice_loss, round(focal, 5) AS focal, round(1 - (2*i + 1)/(sp + sg + 1) + focal, 5) AS total FROM t")
+@query("pixels", f"WITH p AS (SELECT tile_id, gt, prob, least(greatest(prob, 1e-6), 1 - 1e-6) AS q FROM pixels WHERE {V}), t AS (SELECT tile_id, sum(CASE WHEN gt THEN prob ELSE 0 END) AS i, sum(prob) AS sp, count(*) FILTER (gt) AS sg, count(*) AS n, avg(CASE WHEN gt THEN 0.25 * pow(1 - q, 2) * -ln(q) ELSE 0.25 * pow(q, 2) * -ln(1 - q) END) AS focal FROM p GROUP BY tile_id) SELECT tile_id, n, round(1 - (2*i + 1)/(sp + sg + 1), 5) AS dice_loss, round(focal, 5) AS focal, round(1 - (2*i + 1)/(sp + sg + 1) + focal, 5) AS total FROM t")
 def dice_focal(v: Views):
     return rounded(ev.dice_focal(v.pixels), n=5)
 
 
 AFF = """q AS (SELECT a.v AS x, b.v AS y FROM (SELECT unnest([-1.0, 0.0, 1.0]::DOUBLE[]) AS v) a, (SELECT unnest([-1.0, 0.0, 1.0]::DOUBLE[]) AS v) b),
 e AS (SELECT pair_id, avg(192*sqrt(pow((ga-pa)*x + (gb-pb)*y + gtx-ptx, 2) + pow((gc-pc)*x + (gd-pd)*y + gty-pty, 2))) AS corner_px, avg(192*sqrt(pow((ga-1)*x + gb*y + gtx, 2) + pow(gc*x + (gd-1)*y + gty, 2))) AS idle_px FROM affine_pairs, q GROUP BY pair_id),
-o AS (SELECT pair_id, regime, 192*(abs(gtx-ptx) + abs(gty-pty))/2 AS shift_px, abs(degrees(atan2(gc, ga)) - degrees(atan2(pc, pa))) AS turn_deg, abs(sqrt(abs(ga*gd-gb*gc)) - sqrt(abs(pa*pd-pb*pc))) AS scale, abs(degrees(atan2(ga*gb+gc*gd, ga*gd-gb*gc)) - degrees(atan2(pa*pb+pc*pd, pa*pd-pb*pc))) AS shear_deg FROM affine_pairs)"""
+o AS (SELECT pair_id, regime, 192*(abs(gtx-ptx) + abs(gty-pty))/2 AS shift_px, least(abs(degrees(atan2(gc, ga) - atan2(pc, pa))), 360 - abs(degrees(atan2(gc, ga) - atan2(pc, pa)))) AS turn_deg, (abs(ga - pa) + abs(gd - pd))/2 AS scale, abs(degrees(atan(gb) - atan(pb))) AS shear_deg FROM affine_pairs)"""
 
 
 @query("affine_pairs", f"WITH {AFF} SELECT pair_id, regime, round(shift_px, 5) AS shift_px, round(turn_deg, 5) AS turn_deg, round(scale, 5) AS scale, round(shear_deg, 5) AS shear_deg, round(corner_px, 5) AS corner_px, round(idle_px, 5) AS idle_px FROM o JOIN e USING (pair_id)")
@@ -299,7 +321,7 @@ def affine_errors(v: Views):
     return rounded(ev.affine_errors(v.affine_pairs), n=5)
 
 
-@query("affine_pairs", f"WITH {AFF}, s AS (SELECT regime, count(*) AS n, avg(corner_px) AS error, avg(idle_px) AS idle, max(CASE WHEN corner_px < 0.5*idle_px THEN idle_px END) AS largest FROM o JOIN e USING (pair_id) GROUP BY regime) SELECT regime, n, round(error, 5) AS error, round(idle, 5) AS idle, round(largest, 5) AS largest, round(1 - error/idle, 5) AS closed, CASE WHEN 1 - error/idle >= 0.8 THEN 'recovered' WHEN 1 - error/idle >= 0.3 THEN 'partial' ELSE 'not recovered' END AS verdict FROM s")
+@query("affine_pairs", f"WITH {AFF}, s AS (SELECT regime, count(*) AS n, avg(corner_px) AS error, avg(idle_px) AS idle, max(CASE WHEN corner_px < 0.4*idle_px THEN idle_px END) AS largest FROM o JOIN e USING (pair_id) GROUP BY regime) SELECT regime, n, round(error, 5) AS error, round(idle, 5) AS idle, round(largest, 5) AS largest, round(1 - error/idle, 5) AS closed, CASE WHEN error < 0.4*idle THEN 'recovered' WHEN 1 - error/idle > 0.3 THEN 'partial' ELSE 'not recovered' END AS verdict FROM s")
 def recoverability(v: Views):
     return rounded(ev.recoverability(ev.affine_errors(v.affine_pairs)), n=5)
 
@@ -317,7 +339,7 @@ def run_stability(v: Views):
     return rounded(report.run_stability(v.runs, ["train_ver", "n_damage", "grouped_cv"]))
 
 
-@query("runs", "WITH g AS (SELECT train_ver, count(*) AS n, avg(iou) AS mean, stddev_samp(iou) AS sd FROM runs WHERE iou IS NOT NULL GROUP BY 1), c AS (SELECT mean AS m, sd AS s FROM g WHERE train_ver = 'v5') SELECT train_ver, n, round(mean, 6) AS mean, round(m - mean, 6) AS diff, abs(m - mean) > 2*greatest(sd, s) AS beyond FROM g, c WHERE train_ver <> 'v5'")
+@query("runs", "WITH g AS (SELECT train_ver, count(*) AS n, avg(iou) AS mean, stddev_samp(iou) AS sd FROM runs WHERE iou IS NOT NULL GROUP BY 1), c AS (SELECT mean AS m FROM g WHERE train_ver = 'v5') SELECT train_ver, n, round(mean, 6) AS mean, round(m - mean, 6) AS diff, abs(m - mean) > 2*sd AS beyond FROM g, c WHERE train_ver <> 'v5' AND n >= 2")
 def version_comparison(v: Views):
     return rounded(report.version_comparison(v.runs, "v5"))
 

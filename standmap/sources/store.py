@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,19 @@ def running_sums(df: DataFrame, order: list[Column | str], sums: dict[str, Colum
 def row_numbers(df: DataFrame, order: list[Column | str], name: str = "rn") -> DataFrame:
     """``df`` with ``name``: 1, 2, ... in the global order ``order``."""
     return running_sums(df, order, {name: F.lit(1).cast("long")})
+
+
+def quantiles(df: DataFrame, value: str, at: Sequence[float], into: str = "q") -> DataFrame:
+    """One row: ``into``, the quantiles ``at`` of the known values of ``value``, interpolated linearly; nulls if there are none.
+
+    Equal values are counted first and the counts summed up in order, so no task holds all values.
+    """
+    g = running_sums(df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")), ["v"], {"c": F.col("n")})
+    last = g.agg((F.max("c") - 1).alias("last"))
+    rows = g.crossJoin(F.broadcast(last))  # one row
+    found = []
+    for x in at:
+        place = F.col("last") * F.lit(float(x))
+        low, high = (F.min(F.when(F.col("c") > f(place), F.col("v"))) for f in (F.floor, F.ceil))
+        found.append(low + (high - low) * F.max(place - F.floor(place)))
+    return rows.agg(F.array(*found).alias(into))
