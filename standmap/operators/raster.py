@@ -1,20 +1,47 @@
-"""Raster operators on pixel tables (tile_id, y, x, ...); each keeps the distribution by ``tile_id``."""
+"""Raster operators on pixel tables (tile_id, y, x, ...), one row for each pixel of a tile.
+
+A tile's height and width are those of its own pixels. Operators on neighbourhoods deal pixels out by ``tile_id`` once;
+their windows along rows and columns reuse that. What isn't a window (distances, blobs, the search for a shift) takes a
+tile as a group, which is as large as one raster.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from standmap.functions.spectral import brightness, ndvi, ngrdi
-from standmap.sources.store import materialize
+from standmap.functions.spectral import brightness, excess_green
 
 KEY = ["tile_id", "y", "x"]
 
 
+def _tile():
+    return Window.partitionBy("tile_id")
+
+
+def _by_tile(px: DataFrame) -> DataFrame:
+    return px.repartition("tile_id")
+
+
+def _height() -> Column:
+    return F.max("y").over(_tile()) + 1
+
+
+def _width() -> Column:
+    return F.max("x").over(_tile()) + 1
+
+
+def _clip(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    return F.least(F.lit(high), F.greatest(F.lit(low), c))
+
+
 # --- polygons to pixels ----------------------------------------------------------------------------------------
 
 
@@ -114,48 +141,55 @@ def resample_bilinear(px: DataFrame, size: int, source: int, columns: Sequence[s
 # --- windows ---------------------------------------------------------------------------------------------------
 
 
-def _mirrored(px: DataFrame, axis: str, pad: int, size: Column) -> DataFrame:
-    """``px`` with ``pad`` more lines on both sides of ``axis``, mirrored with the edge pixel repeated; __real marks its own."""
-    i = F.col(axis)
-    copies = F.array(*(F.struct(c.cast("int").alias("at"), F.lit(n).alias("n")) for n, c in enumerate((i, -1 - i, 2 * size - 1 - i))))
-    out = px.withColumn("__c", F.explode(copies)).where((F.col("__c.at") >= -pad) & (F.col("__c.at") < size + pad))
-    return out.withColumn(axis, F.col("__c.at")).withColumn("__real", F.col("__c.n") == 0).drop("__c")
+def _mirrored(px: DataFrame, axis: str, pad: int, size: str) -> DataFrame:
+    """``px`` with ``pad`` more lines on both sides of ``axis``, mirrored with the edge pixel repeated; __real marks its own.
+
+    Mirrors repeat every two sizes, so that ``pad`` may be larger than the raster (column ``size``).
+    """
+    i, n = F.col(axis), F.col(size)
+    turns = F.ceil((F.lit(pad) + n) / (2 * n)).cast("int")
+    pair = lambda m: F.array(F.struct((i + 2 * n * m).cast("int").alias("at"), (m == 0).alias("own")), F.struct((2 * n * m - 1 - i).cast("int").alias("at"), F.lit(False).alias("own")))
+    copies = F.filter(F.flatten(F.transform(F.sequence(-turns, turns), pair)), lambda c: (c["at"] >= -pad) & (c["at"] < n + pad))
+    return px.withColumn("__c", F.explode(copies)).withColumn(axis, F.col("__c.at")).withColumn("__real", F.col("__c.own")).drop("__c")
 
 
-def box_mean(px: DataFrame, columns: dict[str, Column], k: int, size: int) -> DataFrame:
+def box_mean(px: DataFrame, columns: dict[str, Column], k: int) -> DataFrame:
     """``px`` with the mean of each expression in a k x k window, edges reflected: two passes of k values."""
     lo, hi = -(k // 2), k - 1 - k // 2
-    out = px.withColumns({n: c.cast("double") for n, c in columns.items()})
-    for axis, other in (("x", "y"), ("y", "x")):
+    out = _by_tile(px).withColumns({n: c.cast("double") for n, c in columns.items()} | {"__h": _height(), "__w": _width()})
+    for axis, other, size in (("x", "y", "__w"), ("y", "x", "__h")):
         w = Window.partitionBy("tile_id", other).orderBy(axis).rowsBetween(lo, hi)
-        padded = _mirrored(out, axis, k // 2, F.lit(size))
+        padded = _mirrored(out, axis, k // 2, size)
         out = padded.withColumns({n: F.avg(n).over(w) for n in columns}).where("__real").drop("__real")
-    return out
+    return out.drop("__h", "__w")
 
 
-def box_stats(px: DataFrame, col: Column | str, k: int, size: int = 16, prefix: str = "box") -> DataFrame:
-    """``px`` with {prefix}_mean and {prefix}_std of a k x k window."""
+def box_stats(px: DataFrame, col: Column | str, k: int, prefix: str = "box", least_var: float = 0.0) -> DataFrame:
+    """``px`` with {prefix}_mean and {prefix}_std of a k x k window, edges reflected."""
     c = (F.col(col) if isinstance(col, str) else col).cast("double")
-    out = box_mean(px, {f"{prefix}_mean": c, "__q": c * c}, k, size)
+    out = box_mean(px, {f"{prefix}_mean": c, "__q": c * c}, k)
     var = F.col("__q") - F.col(f"{prefix}_mean") * F.col(f"{prefix}_mean")
-    return out.withColumn(f"{prefix}_std", F.sqrt(F.greatest(F.lit(0.0), var))).drop("__q")
-
-
-def stress_map(px: DataFrame, k: int = 31, size: int = 16) -> DataFrame:
-    """``px`` with ``stress`` in [0, 1]: NGRDI stress, an NDVI boost where there is near infrared, and local brightness."""
-    out = box_mean(px, {"__b": brightness()}, k, size)
-    clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    a, c = clip((0.1 - ngrdi()) / 0.4), clip((brightness() - F.col("__b")) / 0.2)
-    nd = clip((0.4 - ndvi()) / 0.6)
-    return out.withColumn("stress", F.when(F.col("nir").isNotNull(), 0.4 * a + 0.4 * nd + 0.2 * c).otherwise(0.7 * a + 0.3 * c)).drop("__b")
-
-
-def gap_and_damage_map(px: DataFrame, crown: str, k: int = 15, size: int = 16) -> DataFrame:
-    """``px`` with ``gap`` (no crown, little green around) and ``damage_map``, half gap and half stress."""
-    green = F.col("g") / (F.col("r") + F.col("g") + F.col("b") + 1e-6)
-    out = box_mean(stress_map(px, size=size), {"__g": green}, k, size)
-    clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
-    out = out.withColumn("gap", F.when(F.col(crown), 0.0).otherwise(clip(1 - F.col("__g") / 0.4)))
+    return out.withColumn(f"{prefix}_std", F.sqrt(F.greatest(F.lit(least_var), var))).drop("__q")
+
+
+def stress_map(px: DataFrame, k: int = 31) -> DataFrame:
+    """``px`` with ``stress`` in [0, 1], from bands 0 to 255: brown over green, an NDVI boost where there is near infrared, and how
+    far brightness is from that of its surroundings, in units of their spread."""
+    brown = (F.col("r") - F.col("g")) / (F.col("r") + F.col("g") + 1.0)
+    first = _clip((brown + 1) / 2 - 0.4, 0.0, 0.6) / 0.6
+    boost = _clip((0.2 - (F.col("nir") - F.col("r")) / (F.col("nir") + F.col("r") + 1.0)) / 0.15)
+    bright = (F.col("r") + F.col("g") + F.col("b")) / 3.0
+    out = box_stats(px, bright, k, "__b", 1.0)
+    odd = _clip(F.abs(bright - F.col("__b_mean")) / F.col("__b_std") / 3.0)
+    stress = F.when(F.col("nir").isNotNull(), 0.8 * (0.7 * first + 0.3 * boost) + 0.2 * odd).otherwise(0.7 * first + 0.3 * odd)
+    return out.withColumn("stress", stress).drop("__b_mean", "__b_std")
+
+
+def gap_and_damage_map(px: DataFrame, crown: str, k: int = 15, stress_k: int = 31) -> DataFrame:
+    """``px`` with ``gap`` (no crown, by the share of green ground around) and ``damage_map``, half gap and half stress."""
+    green = (F.col("g") / (F.col("r") + F.col("g") + F.col("b") + 1.0) > 0.33).cast("double")
+    out = box_mean(stress_map(px, stress_k), {"__g": green}, k)
+    out = out.withColumn("gap", F.when(F.col(crown), 0.0).otherwise(_clip(F.col("__g"))))
     return out.withColumn("damage_map", 0.5 * F.col("gap") + 0.5 * F.col("stress")).drop("__g")
 
 
@@ -168,25 +202,46 @@ def percentile_mask(px: DataFrame, score: str, pct: float, region: str | None =
     return out.withColumn("selected", F.coalesce(ok & (F.col(score) > floor) if floor is not None else ok, F.lit(False))).drop("__p")
 
 
-def morphology(px: DataFrame, mask: str, op: str, element: str = "cross", n: int = 1, k: int = 3) -> DataFrame:
+def _near(mask: str, axis: str, other: str, back: Column, ahead: Column) -> Column:
+    """Whether ``mask`` (0 or 1) holds somewhere from ``back`` lines before to ``ahead`` lines behind, along ``axis``."""
+    w = Window.partitionBy("tile_id", other).orderBy(axis)
+    at = F.when(F.col(mask) == 1, F.col(axis))
+    last, next_ = F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return F.coalesce(F.col(axis) - last <= back, F.lit(False)) | F.coalesce(next_ - F.col(axis) <= ahead, F.lit(False))
+
+
+def _step(px: DataFrame, mask: str, grow: bool, element: str, k: Column | int, when: Column | None = None) -> DataFrame:
+    """One dilation or erosion of ``mask`` (0 or 1) of tiles with __h and __w; an erosion is what dilating the rest, and all beyond the raster, leaves."""
+    old = F.col(mask)
+    new = px.withColumn("__m", old if grow else 1 - old)
+    if element == "square":
+        k = k if isinstance(k, Column) else F.lit(k)
+        before, behind = F.floor(k / 2), k - 1 - F.floor(k / 2)
+        for axis, other, size in (("x", "y", "__w"), ("y", "x", "__h")):
+            hit = _near("__m", axis, other, before, behind)
+            if not grow:
+                hit = hit | (F.col(axis) - before < 0) | (F.col(axis) + behind >= F.col(size))
+            new = new.withColumn("__m", hit.cast("int"))
+    else:
+        one = lambda axis, other, by: F.lag("__m", by, 0 if grow else 1).over(Window.partitionBy("tile_id", other).orderBy(axis))
+        new = new.withColumn("__m", F.greatest("__m", one("x", "y", 1), one("x", "y", -1), one("y", "x", 1), one("y", "x", -1)))
+    done = F.col("__m") if grow else 1 - F.col("__m")
+    return new.withColumn(mask, done if when is None else F.when(when, done).otherwise(old)).drop("__m")
+
+
+def morphology(px: DataFrame, mask: str, op: str, element: str = "cross", n: int = 1, k: Column | int = 3) -> DataFrame:
     """``px`` with ``mask`` dilated, eroded, opened or closed ``n`` times; outside the raster is false.
 
-    ``square``: k x k, anchored at k // 2, by separable windows. ``cross``: the four neighbours, by windows of three.
+    ``square``: k x k, anchored at k // 2, ``k`` a number or a column of the tile; ``cross``: the four neighbours. The
+    distance to the last and to the next pixel of a row or column decides, so the cost doesn't depend on ``k``.
     """
-    steps = {"dilate": ["d"] * n, "erode": ["e"] * n, "open": ["e"] * n + ["d"] * n, "close": ["d"] * n + ["e"] * n}[op]
-    out = px.withColumn(mask, F.coalesce(mask, F.lit(False)).cast("int"))
-    for s in steps:
-        lo, hi = (-(k // 2), k - 1 - k // 2) if element == "square" else (-1, 1)
-        across = Window.partitionBy("tile_id", "y").orderBy("x").rowsBetween(lo, hi)
-        down = Window.partitionBy("tile_id", "x").orderBy("y").rowsBetween(lo, hi)
-        full = lambda c, w, lo=lo, hi=hi: F.when(F.count(F.lit(1)).over(w) == hi - lo + 1, F.min(c).over(w)).otherwise(0)
-        take = (lambda c, w: F.max(c).over(w)) if s == "d" else full
-        if element == "square":
-            out = out.withColumn(mask, take(mask, across)).withColumn(mask, take(mask, down))
-        else:
-            both = F.greatest if s == "d" else F.least
-            out = out.withColumns({"__a": take(mask, across), "__d": take(mask, down)}).withColumn(mask, both("__a", "__d")).drop("__a", "__d")
-    return out.withColumn(mask, F.col(mask) == 1)
+    steps = {"dilate": [True] * n, "erode": [False] * n, "open": [False] * n + [True] * n, "close": [True] * n + [False] * n}[op]
+    out = _by_tile(px).withColumn(mask, F.coalesce(mask, F.lit(False)).cast("int"))
+    if False in steps and element == "square":
+        out = out.withColumns({"__h": _height(), "__w": _width()})
+    for grow in steps:
+        out = _step(out, mask, grow, element, k)
+    return out.withColumn(mask, F.col(mask) == 1).drop("__h", "__w")
 
 
 def mask_contour(px: DataFrame, mask: str) -> DataFrame:
@@ -195,38 +250,64 @@ def mask_contour(px: DataFrame, mask: str) -> DataFrame:
     return out.withColumn("contour", F.coalesce(mask, F.lit(False)) & ~F.col("contour"))
 
 
-def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
-    r = int(truncate * sigma + 0.5)
-    w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
-    return [x / sum(w) for x in w]
+def gaussian_blur(px: DataFrame, col: str, sigma: Column | float, into: str = "blur", most: float | None = None, truncate: float = 4.0) -> DataFrame:
+    """``px`` with ``into``: a separable Gaussian, cut at four sigma, edges reflected (also beyond one width).
+
+    ``sigma`` is a number, or a column of the tile that is ``most`` at most.
+    """
+    most = most if isinstance(sigma, Column) else float(sigma)
+    s = sigma if isinstance(sigma, Column) else F.lit(float(sigma))
+    reach = int(truncate * most + 0.5)
+    weight = lambda i: F.when(F.floor(truncate * s + 0.5) >= abs(i), F.exp(-0.5 * (i / s) * (i / s))).otherwise(0.0)
+    out = _by_tile(px).withColumns({into: F.col(col).cast("double"), "__h": _height(), "__w": _width(), "__k": F.array(*(weight(i) for i in range(reach + 1)))})
+    k = lambda i: F.get("__k", F.lit(abs(i)))
+    total = sum((k(i) for i in range(-reach, reach + 1)), F.lit(0.0))
+    for axis, other, size in (("x", "y", "__w"), ("y", "x", "__h")):
+        w = Window.partitionBy("tile_id", other).orderBy(axis)
+        mean = sum((F.lag(into, -i).over(w) * k(i) for i in range(-reach, reach + 1)), F.lit(0.0)) / total
+        out = _mirrored(out, axis, reach, size).withColumn(into, mean).where("__real").drop("__real")
+    return out.drop("__h", "__w", "__k")
+
+
+def _placed(pdf: pd.DataFrame, column: str) -> np.ndarray:
+    """A tile's column as its raster."""
+    out = np.zeros((int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1), pdf[column].dtype)
+    out[pdf["y"], pdf["x"]] = pdf[column]
+    return out
+
 
+def _distances(mask: np.ndarray) -> np.ndarray:
+    """Distance of each pixel to the nearest one of ``mask``, which has some: down the columns first, then along the rows.
 
-def gaussian_blur(px: DataFrame, col: str, sigma: float, size: int = 16, into: str = "blur") -> DataFrame:
-    """``px`` with ``into``: a separable Gaussian, cut at four sigma, edges reflected (also beyond one width)."""
-    weights = gaussian_weights(sigma)
-    r = len(weights) // 2
-    # what each line receives from each source line once reflections are folded back: size^2 numbers at most
-    folded = [[0.0] * size for _ in range(size)]
-    for o in range(size):
-        for i, w in enumerate(weights):
-            s = (o + i - r) % (2 * size)
-            folded[o][s if s < size else 2 * size - 1 - s] += w
-    kernel = F.broadcast(px.sparkSession.createDataFrame([(o, s, w) for o, row in enumerate(folded) for s, w in enumerate(row) if w], "__o int, __s int, __w double"))
-    v = px.select(*KEY, F.col(col).cast("double").alias("__v"))
-    for axis, keep in (("x", "y"), ("y", "x")):
-        v = v.join(kernel, F.col(axis) == F.col("__s")).groupBy("tile_id", keep, "__o").agg(F.sum(F.col("__v") * F.col("__w")).alias("__v")).withColumnRenamed("__o", axis)
-    return px.join(v.select(*KEY, F.col("__v").alias(into)), KEY)
+    A row takes ever farther columns into account until none of them can be nearer than what has been found.
+    """
+    height, width = mask.shape
+    far = height + width
+    rows = np.arange(height)[:, None]
+    above = np.maximum.accumulate(np.where(mask, rows, -far), axis=0)
+    below = np.minimum.accumulate(np.where(mask, rows, 2 * far)[::-1], axis=0)[::-1]
+    g = np.minimum(rows - above, below - rows).astype(np.int64) ** 2
+    best = g.copy()
+    for o in range(1, width):
+        if o * o >= best.max():
+            break
+        best[:, o:] = np.minimum(best[:, o:], g[:, :-o] + o * o)
+        best[:, :-o] = np.minimum(best[:, :-o], g[:, o:] + o * o)
+    return np.sqrt(best)
 
 
 def distance_transform(px: DataFrame, mask: str, into: str = "dist") -> DataFrame:
     """``px`` with the exact Euclidean distance to the nearest pixel where ``mask`` holds; null if there is none."""
-    up = Window.partitionBy("tile_id", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("tile_id", "x").orderBy("y").rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col(mask), F.col("y"))
-    g = F.least(F.col("y") - F.last(at, True).over(up), F.first(at, True).over(down) - F.col("y"))
-    cols = px.select(*KEY, g.alias("g")).where("g is not null").select("tile_id", "y", F.col("x").alias("sx"), "g")
-    d = px.select(*KEY).join(cols, ["tile_id", "y"]).groupBy(*KEY).agg(F.min((F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + F.col("g") * F.col("g")).alias("d2"))
-    return px.join(d, KEY, "left").withColumn(into, F.sqrt("d2")).drop("d2")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = _placed(pdf.assign(__m=pdf[mask].fillna(False).astype(bool)), "__m")
+        pdf[into] = _distances(held)[pdf["y"], pdf["x"]] if held.any() else None
+        return pdf[names]
+
+    px = px.drop(into)
+    schema = T.StructType([*px.schema.fields, T.StructField(into, T.DoubleType())])
+    names = schema.names
+    return px.groupBy("tile_id").applyInPandas(run, schema)
 
 
 def soft_prior(px: DataFrame, mask: str, tau: float = 16) -> DataFrame:
@@ -238,43 +319,72 @@ def soft_prior(px: DataFrame, mask: str, tau: float = 16) -> DataFrame:
     return out.withColumn("soft", soft).drop("__out", "__in")
 
 
-def proximity_map(px: DataFrame, signal: str, pct: float = 65, sigma: float = 2, least_px: int = 20, size: int = 16) -> DataFrame:
-    """``px`` with ``proximity``: blurred distance to the boundary of the strong signal, 50 where that is too small."""
-    out = mask_contour(percentile_mask(px, signal, pct), "selected")
-    out = gaussian_blur(distance_transform(out, "contour").withColumn("dist", F.coalesce("dist", F.lit(50.0))), "dist", sigma, size)
-    n = F.sum(F.col("selected").cast("int")).over(Window.partitionBy("tile_id"))
-    return out.withColumn("proximity", F.when(n < least_px, 50.0).otherwise(F.col("blur"))).drop("selected", "contour", "dist", "blur")
+def proximity_map(px: DataFrame, signal: str, pct: float = 65, sigma: float = 2, least_px: int = 100, least_boundary: int = 10) -> DataFrame:
+    """``px`` with ``proximity``: the blurred distance to the boundary, inside and outside, of the strong signal.
+
+    Strong is what exceeds the percentile of the signal's values above 0.01, opened once. 50 where fewer than
+    ``least_px`` values are above 0.01, or the boundary has fewer than ``least_boundary`` pixels.
+    """
+    out = px.withColumn("__pos", F.col(signal) > 0.01)
+    cut = out.where("__pos").groupBy("tile_id").agg(F.percentile(signal, F.lit(pct / 100)).alias("__cut"), F.count(F.lit(1)).alias("__n"))
+    out = out.join(cut, "tile_id", "left").withColumn("__b", F.coalesce(F.col(signal) > F.col("__cut"), F.lit(False)))
+    out = morphology(out, "__b", "open")
+    out = morphology(morphology(out.withColumns({"__d": F.col("__b"), "__e": F.col("__b")}), "__d", "dilate"), "__e", "erode")
+    out = out.withColumn("__edge", F.col("__d") & ~F.col("__e"))
+    out = gaussian_blur(distance_transform(out, "__edge", "__dist").withColumn("__dist", F.coalesce("__dist", F.lit(50.0))), "__dist", sigma, "__blur")
+    enough = (F.coalesce("__n", F.lit(0)) >= least_px) & (F.sum(F.col("__edge").cast("int")).over(_tile()) >= least_boundary)
+    return out.withColumn("proximity", F.when(enough, F.col("__blur")).otherwise(50.0)).drop("__pos", "__cut", "__n", "__b", "__d", "__e", "__edge", "__dist", "__blur")
 
 
 # --- blobs -----------------------------------------------------------------------------------------------------
 
 
+def _labels(mask: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (y, x0, x1) of a mask and, for each, the number of the first run that it hangs together with."""
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    y, x0 = np.nonzero(edge == 1)
+    x1 = np.nonzero(edge == -1)[1] - 1
+    up = list(range(len(y)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    first = np.searchsorted(y, np.arange(mask.shape[0] + 1)).tolist()
+    lo, hi = x0.tolist(), x1.tolist()
+    for row in range(1, mask.shape[0]):
+        i, j = first[row - 1], first[row]
+        while i < first[row] and j < first[row + 1]:
+            if lo[i] <= hi[j] + gap and lo[j] <= hi[i] + gap:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+            if hi[i] < hi[j]:
+                i += 1
+            else:
+                j += 1
+    return y, x0, x1, np.array([root(i) for i in range(len(up))], np.int64)
+
+
 def connected_components(px: DataFrame, mask: str, connectivity: int = 4) -> DataFrame:
     """(tile_id, y, x, blob, blob_px) of the mask's pixels; ``blob`` is its least y * 2^20 + x.
 
-    Runs of a row are labelled, not pixels; labels spread between touching runs of neighbouring rows, with pointer
-    jumps, until none changes. Tables of each round are written to the shared folder.
+    Runs of a row are joined with those that they touch in the row before, tile by tile.
     """
-    on = px.where(F.col(mask)).select(*KEY)
-    w = Window.partitionBy("tile_id", "y").orderBy("x")
-    runs = on.withColumn("i", F.col("x") - F.row_number().over(w)).groupBy("tile_id", "y", "i").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    runs = materialize(runs.select("tile_id", "y", "x0", "x1", (F.col("y").cast("long") * (1 << 20) + F.col("x0")).alias("run")))
     gap = 1 if connectivity == 8 else 0
-    a, b = runs.alias("a"), runs.select("tile_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("run").alias("to"))
-    touch = a.join(b, ["tile_id", "y"]).where((F.col("x0") <= F.col("u1") + gap) & (F.col("u0") <= F.col("x1") + gap)).select("tile_id", "run", "to")
-    touch = materialize(touch.unionByName(touch.select("tile_id", F.col("to").alias("run"), F.col("run").alias("to"))))
-    labels = runs.select("tile_id", "run", F.col("run").alias("blob"))
-    while True:
-        near = touch.join(labels.withColumnRenamed("run", "to"), ["tile_id", "to"]).groupBy("tile_id", "run").agg(F.min("blob").alias("m"))
-        step = labels.join(near, ["tile_id", "run"], "left").select("tile_id", "run", "blob", F.least("blob", "m").alias("m"))
-        jump = labels.select("tile_id", F.col("run").alias("m"), F.col("blob").alias("j"))
-        step = materialize(step.join(jump, ["tile_id", "m"]).select("tile_id", "run", F.least("m", "j").alias("m"), (F.least("m", "j") < F.col("blob")).alias("changed")))
-        labels = step.select("tile_id", "run", F.col("m").alias("blob"))
-        if step.where("changed").isEmpty():
-            break
-    sized = runs.join(labels, ["tile_id", "run"])
-    n = sized.groupBy("tile_id", "blob").agg(F.sum(F.col("x1") - F.col("x0") + 1).cast("long").alias("blob_px"))
-    return sized.join(n, ["tile_id", "blob"]).select("tile_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "blob", "blob_px")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x0, x1, first = _labels(_placed(pdf.assign(__m=True), "__m"), gap)
+        n = x1 - x0 + 1
+        total = np.bincount(first, weights=n, minlength=len(y)).astype(np.int64)
+        x = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(x0, n)
+        blob = y[first].astype(np.int64) * (1 << 20) + x0[first]
+        return pd.DataFrame({"tile_id": pdf["tile_id"].iloc[0], "y": np.repeat(y, n), "x": x, "blob": np.repeat(blob, n), "blob_px": np.repeat(total[first], n)})
+
+    kinds = dict(px.dtypes)
+    schema = f"tile_id {kinds['tile_id']}, y {kinds['y']}, x {kinds['x']}, blob long, blob_px long"
+    return px.where(F.col(mask)).select(*KEY).groupBy("tile_id").applyInPandas(run, schema)
 
 
 def drop_small_blobs(px: DataFrame, mask: str, min_frac: float, connectivity: int = 4) -> DataFrame:
@@ -284,10 +394,8 @@ def drop_small_blobs(px: DataFrame, mask: str, min_frac: float, connectivity: in
     return px.join(big.select(*KEY, F.lit(True).alias("__k")), KEY, "left").withColumn(mask, F.col("__k").isNotNull()).drop("__k")
 
 
-def _rings(pdf, simplify: float):
+def _rings(pdf: pd.DataFrame, simplify: float, share: float) -> pd.DataFrame:
     """Outer ring of one blob's pixels: boundary edges walked with the blob on the left, then simplified."""
-    import pandas as pd
-
     cells = set(zip(pdf["y"].tolist(), pdf["x"].tolist(), strict=True))
     follow: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for y, x in cells:
@@ -304,6 +412,7 @@ def _rings(pdf, simplify: float):
         if at == start:
             break
         ring.append(at)
+    simplify = max(simplify, share * len(ring))  # edges have length 1
     corner = [p for i, p in enumerate(ring) if (p[0] - ring[i - 1][0]) * (ring[(i + 1) % len(ring)][1] - p[1]) != (p[1] - ring[i - 1][1]) * (ring[(i + 1) % len(ring)][0] - p[0])]
 
     def thin(points):
@@ -321,80 +430,165 @@ def _rings(pdf, simplify: float):
     return pd.DataFrame({"tile_id": pdf["tile_id"].iloc[0], "blob": pdf["blob"].iloc[0], "blob_px": len(cells), "points": [[[float(x), float(y)] for x, y in corner]]})
 
 
-def mask_to_polygons(px: DataFrame, mask: str, simplify: float = 0.0, min_area: int = 1, connectivity: int = 4) -> DataFrame:
-    """(tile_id, blob, blob_px, points): the outer boundary of each blob along pixel edges; holes are left out."""
+def mask_to_polygons(px: DataFrame, mask: str, simplify: float = 0.0, min_area: int = 1, connectivity: int = 4, simplify_frac: float = 0.0, min_frac: float = 0.0) -> DataFrame:
+    """(tile_id, blob, blob_px, points): the outer boundary of each blob along pixel edges; holes are left out.
+
+    Outlines are simplified by ``simplify`` pixels or ``simplify_frac`` of their length; blobs below ``min_area`` pixels
+    or ``min_frac`` of their tile are left out.
+    """
     blobs = connected_components(px, mask, connectivity).where(F.col("blob_px") >= min_area)
+    if min_frac:
+        area = px.groupBy("tile_id").agg(F.count(F.lit(1)).alias("__n"))
+        blobs = blobs.join(area, "tile_id").where(F.col("blob_px") >= min_frac * F.col("__n")).drop("__n")
     # a group is one blob of one tile, so no larger than a raster
-    return blobs.groupBy("tile_id", "blob").applyInPandas(lambda pdf: _rings(pdf, simplify), "tile_id long, blob long, blob_px long, points array<array<double>>")
+    return blobs.groupBy("tile_id", "blob").applyInPandas(lambda pdf: _rings(pdf, simplify, simplify_frac), f"tile_id {dict(px.dtypes)['tile_id']}, blob long, blob_px long, points array<array<double>>")
 
 
 # --- compositions ----------------------------------------------------------------------------------------------
 
 
-def draft_regions(px: DataFrame, score: str, prior: str, pct: float = 65, floor: float = 0.005, near: int = 2, min_area: int = 4) -> DataFrame:
-    """Polygons of strong scores near the prior: percentile in the dilated prior, opened, closed, traced."""
-    out = morphology(px.withColumn("__near", F.col(prior)), "__near", "dilate", n=near)
-    out = percentile_mask(out, score, pct, "__near", floor)
-    out = morphology(morphology(out, "selected", "open", "square"), "selected", "close", "square")
-    return mask_to_polygons(out.select(*KEY, "selected"), "selected", min_area=min_area, connectivity=8)
+def near_prior(px: DataFrame, prior: str, into: str, frac: float = 0.15) -> DataFrame:
+    """``px`` with ``into``: the prior dilated by a square of ``frac`` of the tile's longer side (3 at least); all of a tile without prior."""
+    side = F.greatest(F.lit(3), F.floor(frac * F.greatest(_height(), _width())))
+    out = _by_tile(px).withColumns({into: F.col(prior), "__side": side, "__any": F.max(F.coalesce(prior, F.lit(False)).cast("int")).over(_tile()) == 1})
+    out = morphology(out, into, "dilate", "square", k=F.col("__side"))
+    return out.withColumn(into, F.col(into) | ~F.col("__any")).drop("__side", "__any")
+
+
+def draft_regions(
+    px: DataFrame, score: str, prior: str, pct: float = 65, floor: float = 0.005, near: float = 0.15, min_frac: float = 0.004, simplify_frac: float = 0.006, opened: int = 2, closed: int = 3
+) -> DataFrame:
+    """Polygons of strong scores near the prior: above the percentile there and above ``floor``, opened, closed and traced.
+
+    Blobs below ``min_frac`` of the tile are left out; outlines are simplified by ``simplify_frac`` of their length.
+    """
+    out = percentile_mask(near_prior(px, prior, "__near", near), score, pct, "__near", floor)
+    out = morphology(morphology(out, "selected", "open", n=opened), "selected", "close", n=closed)
+    return mask_to_polygons(out.select(*KEY, "selected"), "selected", simplify_frac=simplify_frac, min_frac=min_frac, connectivity=8)
+
 
+def weak_label(px: DataFrame, stress: str, pct: float = 88, seed: int = 42, turn: float = 15, shift: float = 40, looser: float = 0.7, cut: float = 0.3) -> DataFrame:
+    """``px`` with ``weak`` (stress percentile, dilated once) and ``corrupt``: turned, shifted, mostly grown, blurred and cut.
 
-def weak_label(px: DataFrame, stress: str, pct: float = 88, seed: int = 42, size: int = 16, sigma: float = 1.0) -> DataFrame:
-    """``px`` with ``weak`` (stress percentile, dilated once) and ``corrupt``: turned, shifted, dilated, blurred, cut at 0.5."""
+    By tile, drawn by a seeded hash: up to ``turn`` degrees and ``shift`` pixels either way, each resampled by the
+    nearest pixel; with probability ``looser`` 2 to 7 dilations; a Gaussian of sigma 1 to 4; then above ``cut``.
+    """
     out = percentile_mask(px, stress, pct)
     out = morphology(out.withColumn("weak", F.col("selected")), "weak", "dilate").drop("selected")
-    u = lambda what: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "tile_id"), F.lit(1 << 30)) / float(1 << 30) * 2 - 1
-    turn, c = F.radians(u("turn") * 20), (size - 1) / 2
-    dy, dx = F.col("y") - c - F.floor(u("dy") * 3), F.col("x") - c - F.floor(u("dx") * 3)
-    sy, sx = F.bround(F.cos(turn) * dy - F.sin(turn) * dx + c).cast("int"), F.bround(F.sin(turn) * dy + F.cos(turn) * dx + c).cast("int")
-    source = out.select("tile_id", F.col("y").alias("__sy"), F.col("x").alias("__sx"), F.col("weak").alias("corrupt"))
-    moved = out.withColumns({"__sy": sy, "__sx": sx}).join(source, ["tile_id", "__sy", "__sx"], "left").drop("__sy", "__sx").withColumn("corrupt", F.coalesce("corrupt", F.lit(False)))
-    moved = morphology(moved, "corrupt", "dilate").withColumn("__v", F.col("corrupt").cast("double"))
-    return gaussian_blur(moved, "__v", sigma, size).withColumn("corrupt", F.col("blur") > 0.5).drop("__v", "blur")
+    u = lambda what: F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "tile_id"), F.lit(1 << 30)) / float(1 << 30)
+    out = out.withColumns({"__h": _height(), "__w": _width(), "__a": F.radians((2 * u("turn") - 1) * turn), "__dy": (2 * u("dy") - 1) * shift, "__dx": (2 * u("dx") - 1) * shift})
+    # the turned raster's pixel that the shift reads, and the original's pixel that the turn reads there
+    y1, x1 = F.floor(F.col("y") - F.col("__dy") + 0.5), F.floor(F.col("x") - F.col("__dx") + 0.5)
+    inside = (y1 >= 0) & (y1 < F.col("__h")) & (x1 >= 0) & (x1 < F.col("__w"))
+    cy, cx = (F.col("__h") - 1) / 2, (F.col("__w") - 1) / 2
+    sy = F.floor(F.cos("__a") * (y1 - cy) + F.sin("__a") * (x1 - cx) + cy + 0.5)
+    sx = F.floor(-F.sin("__a") * (y1 - cy) + F.cos("__a") * (x1 - cx) + cx + 0.5)
+    source = out.select("tile_id", F.col("y").cast("long").alias("__sy"), F.col("x").cast("long").alias("__sx"), F.col("weak").alias("corrupt"))
+    out = out.withColumns({"__sy": F.when(inside, sy).cast("long"), "__sx": F.when(inside, sx).cast("long")}).join(source, ["tile_id", "__sy", "__sx"], "left").drop("__sy", "__sx", "__a", "__dy", "__dx")
+    out = _by_tile(out).withColumn("corrupt", F.coalesce("corrupt", F.lit(False)).cast("int")).withColumn("__n", F.when(u("looser") < looser, 2 + F.floor(u("grow") * 6)).otherwise(0))
+    for i in range(7):
+        out = _step(out, "corrupt", True, "cross", 3, F.col("__n") > i)
+    out = gaussian_blur(out.drop("__h", "__w"), "corrupt", 1 + 3 * u("blur"), "__v", 4.0)
+    return out.withColumn("corrupt", F.col("__v") > cut).drop("__v", "__n")
+
+
+def shift_mask(px: DataFrame, mask: str, dx: int, dy: int) -> DataFrame:
+    """Pixels (tile_id, y, x) of the mask moved by (dx, dy), cut at the border."""
+    out = px.select(*KEY, F.col(mask).alias("__m"), _height().alias("__h"), _width().alias("__w")).where("__m")
+    out = out.select("tile_id", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), "__h", "__w")
+    return out.where("y >= 0 and y < __h and x >= 0 and x < __w").drop("__h", "__w")
+
+
+def _best_shift(mask: np.ndarray, stress: np.ndarray, near: np.ndarray, radius: int, step: int, fine: int, weights: Sequence[float]) -> tuple[int, int, float]:
+    """(dx, dy, energy) of least energy, the first of equals in the order of rows and columns; energy 999 if no shift is allowed."""
+    height, width = mask.shape
+    inner = np.pad(mask, 1)
+    inner = inner[1:-1, 1:-1] & inner[:-2, 1:-1] & inner[2:, 1:-1] & inner[1:-1, :-2] & inner[1:-1, 2:]
+    every = max(1, int(mask.sum()) // 500) if mask.sum() > 500 else 1
+    parts = [(*(x[::every] for x in np.nonzero(mask)), stress), (*np.nonzero(mask & ~inner), near)]
+    if len(parts[1][0]) < 10:
+        return 0, 0, 0.5
+    mean = float(stress.mean())
+
+    def energy(dx: int, dy: int) -> float:
+        means, lost = [], 0.0
+        for y, x, values in parts:
+            at_y, at_x = y + dy, x + dx
+            ok = (at_y >= 0) & (at_y < height) & (at_x >= 0) & (at_x < width)
+            n = int(ok.sum())
+            if n < max(10, 0.3 * len(y)):
+                return 999.0
+            means.append(float(values[at_y[ok], at_x[ok]].mean()))
+            lost = max(lost, 1 - n / len(y))
+        return weights[0] * (mean - means[0]) + weights[1] * means[1] / 20 + weights[2] * lost * 2
+
+    best = (999.0, 0, 0)
+    for dy in range(-radius, radius + 1, step):
+        for dx in range(-radius, radius + 1, step):
+            e = energy(dx, dy)
+            if e < best[0]:
+                best = (e, dx, dy)
+    _, cx, cy = best
+    for dy in range(max(-radius, cy - fine), min(radius, cy + fine) + 1):
+        for dx in range(max(-radius, cx - fine), min(radius, cx + fine) + 1):
+            e = energy(dx, dy)
+            if e < best[0]:
+                best = (e, dx, dy)
+    return best[1], best[2], best[0]
+
+
+def alignment_search(
+    px: DataFrame, mask: str, stress: str, proximity: str = "proximity", radius: int = 250, step: int = 4, fine: int = 8, weights: Sequence[float] = (0.7, 0.2, 0.1), least_px: int = 50
+) -> DataFrame:
+    """(tile_id, dx, dy, energy, score): the shift of ``mask`` with the least energy, on a coarse grid and then a fine one.
 
+    Energy adds up, by ``weights``: the raster's mean stress less that under the mask (about 500 of its pixels, every
+    n-th), the mean :func:`proximity_map` under its contour over 20, and twice the share of pixels that leave the
+    raster. A shift that keeps less than 30% of either, or fewer than 10 pixels, isn't allowed. ``score`` is 0.5 less
+    the energy, in [0, 1]. A mask below ``least_px`` pixels, or a contour below 10, isn't moved and scores 0.
+    """
 
-def shift_mask(px: DataFrame, mask: str, dx: int, dy: int, size: int = 16) -> DataFrame:
-    """Pixels (tile_id, y, x) of the mask moved by (dx, dy), cut at the border."""
-    out = px.where(F.col(mask)).select("tile_id", (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"))
-    return out.where((F.col("y") >= 0) & (F.col("y") < size) & (F.col("x") >= 0) & (F.col("x") < size))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = _placed(pdf.assign(__m=pdf[mask].fillna(False).astype(bool)), "__m")
+        dx, dy, e = (0, 0, 0.5) if held.sum() < least_px else _best_shift(held, _placed(pdf, stress), _placed(pdf, proximity), radius, step, fine, weights)
+        return pd.DataFrame({"tile_id": [pdf["tile_id"].iloc[0]], "dx": [dx], "dy": [dy], "energy": [e], "score": [max(0.0, min(1.0, 0.5 - e))]})
 
+    kind = dict(px.dtypes)["tile_id"]
+    return px.select(*KEY, mask, stress, proximity).groupBy("tile_id").applyInPandas(run, f"tile_id {kind}, dx int, dy int, energy double, score double")
 
-def alignment_search(px: DataFrame, mask: str, stress: str, radius: int = 250, step: int = 4, fine: int = 8, sample: int = 500, seed: int = 42, size: int = 16) -> DataFrame:
-    """(tile_id, dx, dy, energy, score): the shift of ``mask`` with the least energy, on a coarse grid and then a fine one.
 
-    Energy is the mean stress outside minus inside, plus the share of sampled pixels that leave the raster. At most
-    ``sample`` pixels of a mask are used, by seeded order. ``score`` maps the energy to [0, 1].
+def veg_mask_clean(px: DataFrame, pred: str, bright: float = 0.60, exg: float = 0.10, min_frac: float = 0.001, opened: int = 1) -> DataFrame:
+    """``px`` with ``masked``: predictions that aren't bright and without green; and ``clean``: those opened, without small blobs."""
+    keep = ~((brightness() > bright) & (excess_green() < exg))
+    out = px.withColumn("masked", F.coalesce(F.col(pred) & keep, F.lit(False))).withColumn("clean", F.col("masked"))
+    return drop_small_blobs(morphology(out, "clean", "open", n=opened) if opened else out, "clean", min_frac)
+
+
+def veg_mask_scores(px: DataFrame, pred: str, gt: str = "gt", valid: str = "gt or not ign") -> DataFrame:
+    """(tile_id, iou and recall of the raw, masked and clean prediction, removed_px) of tiles of :func:`veg_mask_clean` with a label,
+    and ``painted`` shares of tiles without."""
+    v, g = F.expr(valid), F.col(gt)
+    stages = {"raw": F.col(pred), "masked": F.col("masked"), "clean": F.col("clean")}
+    n = px.groupBy("tile_id").agg(
+        F.count_if(v & g).alias("g"), F.count(F.lit(1)).alias("n"), F.count_if(v & F.col(pred) & ~F.col("masked")).alias("removed_px"),
+        *(F.count_if(v & p & g).alias(f"i_{k}") for k, p in stages.items()), *(F.count_if(v & (p | g)).alias(f"u_{k}") for k, p in stages.items()), *(F.count_if(p).alias(f"p_{k}") for k, p in stages.items()),
+    )
+    has = F.col("g") > 0
+    return n.select(
+        "tile_id", *(F.when(has, F.col(f"i_{k}") / F.col(f"u_{k}")).alias(f"iou_{k}") for k in stages), *(F.when(has, F.col(f"i_{k}") / F.col("g")).alias(f"recall_{k}") for k in stages),
+        *(F.when(~has, F.col(f"p_{k}") / F.col("n")).alias(f"painted_{k}") for k in stages), "removed_px",
+    )
+
+
+def veg_mask_colours(px: DataFrame, pred: str, gt: str = "gt") -> DataFrame:
+    """(hit, n, bright_p50, bright_p75, bright_p90, exg_p25, exg_p50) of predicted pixels outside and inside the label.
+
+    Bands are bytes, so that counts of equal colours are few; percentiles are interpolated.
     """
-    at = F.col("y") * 4096 + F.col("x")
-    w = Window.partitionBy("tile_id").orderBy((at * 7919 + seed * 104729) % 1000003, "y", "x")
-    pts = px.where(F.col(mask)).select("tile_id", "y", "x", F.row_number().over(w).alias("r")).where(F.col("r") <= sample)
-    n = pts.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"))
-    whole = px.groupBy("tile_id").agg(F.sum(stress).alias("total"), F.count(F.lit(1)).alias("px"))
-    values = px.select("tile_id", F.col("y").alias("sy"), F.col("x").alias("sx"), F.col(stress).alias("s"))
-
-    def best(moves: DataFrame) -> DataFrame:
-        moved = pts.join(moves, "tile_id").withColumns({"sy": F.col("y") + F.col("dy"), "sx": F.col("x") + F.col("dx")})
-        moved = moved.where((F.col("sy") >= 0) & (F.col("sy") < size) & (F.col("sx") >= 0) & (F.col("sx") < size)).join(values, ["tile_id", "sy", "sx"])
-        e = moved.groupBy("tile_id", "dx", "dy").agg(F.sum("s").alias("inside"), F.count(F.lit(1)).alias("hit")).join(n, "tile_id").join(whole, "tile_id")
-        outside = (F.col("total") - F.col("inside")) / F.greatest(F.col("px") - F.col("hit"), F.lit(1))
-        e = e.withColumn("energy", outside - F.col("inside") / F.col("hit") + 1 - F.col("hit") / F.col("n"))
-        key = F.struct(F.round("energy", 9).alias("e"), (F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("d"), "dx", "dy", "energy")
-        return e.groupBy("tile_id").agg(F.min(key).alias("b")).select("tile_id", "b.dx", "b.dy", "b.energy")
-
-    grid = F.sequence(F.lit(-radius), F.lit(radius), F.lit(step))
-    coarse = best(n.select("tile_id", F.explode(grid).alias("dx")).withColumn("dy", F.explode(grid)))
-    near = F.sequence(F.lit(-fine), F.lit(fine))
-    moves = coarse.select("tile_id", F.col("dx").alias("cx"), F.col("dy").alias("cy")).withColumn("i", F.explode(near)).withColumn("j", F.explode(near))
-    out = best(moves.select("tile_id", (F.col("cx") + F.col("i")).alias("dx"), (F.col("cy") + F.col("j")).alias("dy")))
-    return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 - F.col("energy") / 2)))
-
-
-def veg_mask_clean(px: DataFrame, pred: str, bright: float = 0.60, exg: float = 0.10, min_frac: float = 0.01) -> DataFrame:
-    """``px`` with ``clean``: predictions that aren't bright and without green, opened, without small blobs."""
-    from standmap.functions.spectral import excess_green
-
-    out = px.withColumn("clean", F.col(pred) & ~((brightness() > bright) & (excess_green() < exg)))
-    return drop_small_blobs(morphology(out, "clean", "open"), "clean", min_frac)
+    c = px.where(F.col(pred)).groupBy(F.col(gt).alias("hit"), (F.col("r") + F.col("g") + F.col("b")).alias("s"), (2 * F.col("g") - F.col("r") - F.col("b")).alias("e")).agg(F.count(F.lit(1)).alias("k"))
+    at = lambda col, x: F.percentile(col, F.lit(x), F.col("k"))  # noqa: E731  766 sums and 1,021 differences at most
+    out = c.groupBy("hit").agg(F.sum("k").cast("long").alias("n"), *((at("s", x / 100) / 765.0).alias(f"bright_p{x}") for x in (50, 75, 90)), *((at("e", x / 100) / 255.0).alias(f"exg_p{x}") for x in (25, 50)))
+    return out
 
 
 def green_channel_mask(px: DataFrame) -> DataFrame:
@@ -431,15 +625,19 @@ def box_coverage(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n_boxes")).join(n, "tile_id")
 
 
-def tta_average(views: DataFrame, size: int = 16) -> DataFrame:
-    """(tile_id, y, x, prob) of views (turns 0-3, flip, y, x, prob): each view undone, then averaged."""
-    last = size - 1
-    y, x = F.col("y"), F.col("x")
-    # a view is the raster turned counter-clockwise ``turns`` times, then mirrored left to right if ``flip``
-    x = F.when(F.col("flip"), last - x).otherwise(x)
-    ty = F.when(F.col("turns") == 0, y).when(F.col("turns") == 1, x).when(F.col("turns") == 2, last - y).otherwise(last - x)
-    tx = F.when(F.col("turns") == 0, x).when(F.col("turns") == 1, last - y).when(F.col("turns") == 2, last - x).otherwise(y)
-    return views.select("tile_id", ty.alias("y"), tx.alias("x"), "prob").groupBy(*KEY).agg(F.avg("prob").alias("prob"))
+def tta_average(views: DataFrame) -> DataFrame:
+    """(tile_id, y, x, prob) of views (turns 0-3, flip, y, x, prob): each view undone, then averaged.
+
+    A view is the raster turned counter-clockwise ``turns`` times, then mirrored left to right if ``flip``. Its own
+    height and width say where its pixels come from, so rasters needn't be square.
+    """
+    w = Window.partitionBy("tile_id", "turns", "flip")
+    own = _by_tile(views).withColumns({"__h": F.max("y").over(w), "__w": F.max("x").over(w)})
+    y, t, h, last = F.col("y"), F.col("turns"), F.col("__h"), F.col("__w")
+    x = F.when(F.col("flip"), last - F.col("x")).otherwise(F.col("x"))
+    ty = F.when(t == 0, y).when(t == 1, x).when(t == 2, h - y).otherwise(last - x)
+    tx = F.when(t == 0, x).when(t == 1, h - y).when(t == 2, last - x).otherwise(y)
+    return own.select("tile_id", ty.alias("y"), tx.alias("x"), "prob").groupBy(*KEY).agg(F.avg("prob").alias("prob"))
 
 
 def label_coverage(px: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from standmap.operators import annotate, raster
@@ -35,10 +37,9 @@ def rasterize(v: Views):
     return raster.rasterize(t, 25, 25).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") * 25 + F.col("x")).cast("long").alias("places"))
 
 
-# circles are left out: whether a crossing falls on a pixel centre depends on the last bit of a cosine
-@query("annotations", f"WITH {RINGS}, s AS (SELECT r.ann_id AS id, r.tile_id, kind, ring FROM rings r JOIN annotations a ON r.ann_id = a.ann_id WHERE kind IN ('damage', 'ignore') AND a.shape_type <> 'circle'), v AS (SELECT id, generate_subscripts(ring, 1) AS k, unnest(list_transform(ring, lambda q: q[1])) AS x, unnest(list_transform(ring, lambda q: q[2])) AS y FROM s), " + SPANS.format(n=16) + ", m AS (SELECT tile_id, y, x, bool_or(kind = 'damage') AS d, bool_or(kind = 'ignore') AS i FROM px JOIN s USING (id) GROUP BY 1, 2, 3) SELECT tile_id, count(*) FILTER (d) AS damage, count(*) FILTER (i AND NOT d) AS ignored FROM m GROUP BY tile_id")
+@query()
 def shapes_to_masks(v: Views):
-    s = annotate.shape_table(v.annotations.where("shape_type <> 'circle'")).withColumnRenamed("ann_id", "shape_id")
+    s = annotate.shape_table(v.annotations).withColumnRenamed("ann_id", "shape_id")
     return raster.shapes_to_masks(s, 16, 16).groupBy("tile_id").agg(F.count_if("damage").alias("damage"), F.count_if("ignore").alias("ignored"))
 
 
@@ -136,25 +137,23 @@ def box_stats(v: Views):
 
 
 CLIP = "least(1.0, greatest(0.0, {}))"
-STRESS = f"""{_box_sql('(r/255.0::DOUBLE + g/255.0::DOUBLE + b/255.0::DOUBLE)/3', 15)},
-st AS (SELECT p.*, 0.4*{CLIP.format('(0.1 - (g/255.0::DOUBLE - r/255.0::DOUBLE)/(g/255.0::DOUBLE + r/255.0::DOUBLE + 1e-6))/0.4')} + 0.4*{CLIP.format('(0.4 - (nir/255.0::DOUBLE - r/255.0::DOUBLE)/(nir/255.0::DOUBLE + r/255.0::DOUBLE + 1e-6))/0.6')} + 0.2*{CLIP.format('((r/255.0::DOUBLE + g/255.0::DOUBLE + b/255.0::DOUBLE)/3 - m)/0.2')} AS stress FROM pixels p JOIN boxed USING (tile_id, y, x))"""
-
-
-def _stress(v: Views):
-    return raster.stress_map(v.pixels, k=15)
+STRESS = f"""{_box_sql('(r + g + b)/3.0::DOUBLE', 31)},
+s0 AS (SELECT p.*, least(0.6, greatest(0.0, ((r - g)/(r + g + 1.0::DOUBLE) + 1)/2 - 0.4))/0.6 AS brown, {CLIP.format('(0.2 - (nir - r)/(nir + r + 1.0::DOUBLE))/0.15')} AS boost, {CLIP.format('abs((r + g + b)/3.0::DOUBLE - m)/sqrt(greatest(1.0, q - m*m))/3')} AS odd FROM pixels p JOIN boxed USING (tile_id, y, x)),
+st AS (SELECT *, 0.8*(0.7*brown + 0.3*boost) + 0.2*odd AS stress FROM s0)"""
 
 
 @query("pixels", f"WITH {STRESS} SELECT tile_id, round(avg(stress), 5) AS stress FROM st GROUP BY tile_id")
 def stress_map(v: Views):
-    return _stress(v).groupBy("tile_id").agg(R(F.avg("stress"), 5).alias("stress"))
+    return raster.stress_map(v.pixels).groupBy("tile_id").agg(R(F.avg("stress"), 5).alias("stress"))
 
 
-GREEN = "g / (r + g + b + 1e-6)"
+GREEN = "CASE WHEN g / (r + g + b + 1.0::DOUBLE) > 0.33 THEN 1 ELSE 0 END"
+GAP = _box_sql(GREEN, 15).replace("wk AS", "gk AS").replace("JOIN wk", "JOIN gk").replace("b0", "g0").replace("b1", "g1").replace("boxed", "greened")
 
 
-@query("pixels", f"WITH {_box_sql(GREEN, 15)} SELECT tile_id, round(avg(CASE WHEN prior THEN 0.0 ELSE {CLIP.format('1 - m/0.4')} END), 5) AS gap FROM pixels JOIN boxed USING (tile_id, y, x) GROUP BY tile_id")
+@query("pixels", f"WITH {STRESS}, {GAP}, d AS (SELECT st.*, CASE WHEN prior THEN 0.0 ELSE {CLIP.format('greened.m')} END AS gap FROM st JOIN greened USING (tile_id, y, x)) SELECT tile_id, round(avg(gap), 5) AS gap, round(avg(0.5*gap + 0.5*stress), 5) AS damage_map FROM d GROUP BY tile_id")
 def gap_and_damage_map(v: Views):
-    return raster.gap_and_damage_map(v.pixels, "prior").groupBy("tile_id").agg(R(F.avg("gap"), 5).alias("gap"))
+    return raster.gap_and_damage_map(v.pixels, "prior").groupBy("tile_id").agg(R(F.avg("gap"), 5).alias("gap"), R(F.avg("damage_map"), 5).alias("damage_map"))
 
 
 CUT = "cut AS (SELECT tile_id, quantile_cont(prob, 0.65) AS c FROM pixels WHERE prior GROUP BY tile_id), sel AS (SELECT p.*, coalesce(prior AND prob > c AND prob > 0.1, false) AS selected FROM pixels p LEFT JOIN cut USING (tile_id))"
@@ -189,8 +188,9 @@ def mask_contour(v: Views):
 
 
 def _blur_sql(sigma: float) -> str:
-    w = raster.gaussian_weights(sigma)
-    r = len(w) // 2
+    r = int(4 * sigma + 0.5)
+    w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
+    w = [x / sum(w) for x in w]
     cell = {}
     for o in range(16):
         for i, x in enumerate(w):
@@ -258,12 +258,12 @@ def mask_to_polygons(v: Views):
 
 @query()
 def draft_regions(v: Views):
-    return raster.draft_regions(v.pixels.select("tile_id", "y", "x", "prob", "prior"), "prob", "prior")
+    return raster.draft_regions(v.pixels.select("tile_id", "y", "x", "prob", "prior"), "prob", "prior", opened=1, closed=1)
 
 
 @query()
 def weak_label(v: Views):
-    out = raster.weak_label(v.pixels.select("tile_id", "y", "x", "prob"), "prob")
+    out = raster.weak_label(v.pixels.select("tile_id", "y", "x", "prob"), "prob", shift=2)
     return out.groupBy("tile_id").agg(F.count_if("weak").alias("weak"), F.count_if("corrupt").alias("corrupt"))
 
 
@@ -272,25 +272,41 @@ def shift_mask(v: Views):
     return digest(raster.shift_mask(v.pixels, "gt", 3, -2).withColumn("m", F.lit(True)), "m")
 
 
-ALIGN = """pt AS (SELECT tile_id, y, x FROM pixels WHERE gt), nn AS (SELECT tile_id, count(*) AS n FROM pt GROUP BY 1), tt AS (SELECT tile_id, sum(prob) AS t, count(*) AS c FROM pixels GROUP BY 1),
-mv1 AS (SELECT range - 6 AS d FROM range(13) WHERE range % 3 = 0), c1 AS (SELECT pt.tile_id, a.d AS dx, b.d AS dy, sum(prob) AS s, count(*) AS h FROM pt, mv1 a, mv1 b, pixels q WHERE q.tile_id = pt.tile_id AND q.y = pt.y + b.d AND q.x = pt.x + a.d GROUP BY 1, 2, 3),
-e1 AS (SELECT tile_id, dx, dy, (t - s) / greatest(c - h, 1) - s / h + 1 - h / n AS e FROM c1 JOIN nn USING (tile_id) JOIN tt USING (tile_id)), f1 AS (SELECT tile_id, dx, dy FROM e1 QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY round(e, 9), dx*dx + dy*dy, dx, dy) = 1),
-mv2 AS (SELECT range - 2 AS d FROM range(5)), c2 AS (SELECT pt.tile_id, f1.dx + a.d AS dx, f1.dy + b.d AS dy, sum(prob) AS s, count(*) AS h FROM pt JOIN f1 USING (tile_id), mv2 a, mv2 b, pixels q WHERE q.tile_id = pt.tile_id AND q.y = pt.y + f1.dy + b.d AND q.x = pt.x + f1.dx + a.d GROUP BY 1, 2, 3),
-e2 AS (SELECT tile_id, dx, dy, (t - s) / greatest(c - h, 1) - s / h + 1 - h / n AS e FROM c2 JOIN nn USING (tile_id) JOIN tt USING (tile_id))"""
+def _energies(moves: str, into: str) -> str:
+    """``into``: (tile_id, dx, dy, e) of the shifts in ``moves``; 999 where too little is left of the mask or its contour."""
+    side = lambda source, value: f"SELECT m.tile_id, m.dx, m.dy, count(q.y) AS n, avg(q.{value}) AS v FROM {moves} m JOIN {source} c ON c.tile_id = m.tile_id LEFT JOIN sig q ON q.tile_id = m.tile_id AND q.y = c.y + m.dy AND q.x = c.x + m.dx GROUP BY 1, 2, 3"
+    return f"""{into} AS (SELECT i.tile_id, i.dx, i.dy, CASE WHEN i.n < greatest(10, 0.3*np) OR k.n < greatest(10, 0.3*nc) THEN 999.0 ELSE round(0.7*(mean - i.v) + 0.2*k.v/20 + 0.2*greatest(1 - i.n/np, 1 - k.n/nc), 9) END AS e
+ FROM ({side('pt', 'prob')}) i JOIN ({side('con', 'near')}) k ON i.tile_id = k.tile_id AND i.dx = k.dx AND i.dy = k.dy JOIN ok ON ok.tile_id = i.tile_id)"""
+
+
+# the distance to a boundary is beyond a short statement, so red stands in for it on both sides
+ALIGN = f"""sig AS (SELECT tile_id, y, x, gt, prob, r/8.0::DOUBLE AS near FROM pixels), h AS (SELECT tile_id, y, x, gt AS m FROM pixels), {_morph('h', 'e', 'erode')},
+pt AS (SELECT tile_id, y, x FROM pixels WHERE gt), con AS (SELECT h.tile_id, h.y, h.x FROM h JOIN e USING (tile_id, y, x) WHERE h.m AND NOT e.m),
+al AS (SELECT tile_id, avg(prob) AS mean, count(*) FILTER (gt) AS np FROM pixels GROUP BY 1), ok AS (SELECT al.*, nc FROM al JOIN (SELECT tile_id, count(*) AS nc FROM con GROUP BY 1) USING (tile_id) WHERE np >= 50 AND nc >= 10),
+mv1 AS (SELECT tile_id, a.range*3 - 6 AS dx, b.range*3 - 6 AS dy FROM ok, range(5) a, range(5) b), {_energies('mv1', 'e1')},
+f1 AS (SELECT tile_id, CASE WHEN e < 999 THEN dx ELSE 0 END AS dx, CASE WHEN e < 999 THEN dy ELSE 0 END AS dy, e FROM e1 QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY e, dy, dx) = 1),
+mv2 AS (SELECT tile_id, dx + a.range - 2 AS dx, dy + b.range - 2 AS dy FROM f1, range(5) a, range(5) b WHERE abs(dx + a.range - 2) <= 6 AND abs(dy + b.range - 2) <= 6), {_energies('mv2', 'e2')},
+bst AS (SELECT tile_id, dx, dy, e FROM (SELECT *, 0 AS k FROM f1 UNION ALL SELECT *, 1 FROM e2) QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY e, k, dy, dx) = 1)"""
 
 
-@query("pixels", f"WITH {ALIGN} SELECT tile_id, dx, dy, round(e, 6) AS energy, round(greatest(0.0, least(1.0, 0.5 - e/2)), 6) AS score FROM e2 QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY round(e, 9), dx*dx + dy*dy, dx, dy) = 1")
+@query("pixels", f"WITH {ALIGN} SELECT al.tile_id, CAST(coalesce(dx, 0) AS INT) AS dx, CAST(coalesce(dy, 0) AS INT) AS dy, round(coalesce(e, 0.5), 6) AS energy, round(greatest(0.0, least(1.0, 0.5 - coalesce(e, 0.5))), 6) AS score FROM al LEFT JOIN bst USING (tile_id)")
 def alignment_search(v: Views):
-    out = raster.alignment_search(v.pixels.select("tile_id", "y", "x", "gt", "prob"), "gt", "prob", radius=6, step=3, fine=2)
+    px = v.pixels.select("tile_id", "y", "x", "gt", "prob", (F.col("r") / 8.0).alias("near"))
+    out = raster.alignment_search(px, "gt", "prob", "near", radius=6, step=3, fine=2)
     return out.withColumns({"energy": R("energy"), "score": R("score")})
 
 
-DULL = "NOT ((r/255.0::DOUBLE + g/255.0::DOUBLE + b/255.0::DOUBLE)/3 > 0.6 AND (2*g/255.0::DOUBLE - r/255.0::DOUBLE - b/255.0::DOUBLE)/(r/255.0::DOUBLE + g/255.0::DOUBLE + b/255.0::DOUBLE + 1e-6) < 0.1)"
+DULL = "NOT ((r/255.0::DOUBLE + g/255.0::DOUBLE + b/255.0::DOUBLE)/3 > 0.6 AND 2*(g/255.0::DOUBLE) - r/255.0::DOUBLE - b/255.0::DOUBLE < 0.1)"
 
 
-@query("pixels", f"WITH RECURSIVE h AS (SELECT tile_id, y, x, prob > 0.3 AND {DULL} AS m FROM pixels), {_morph('h', 'e', 'erode')}, {_morph('e', 'o', 'dilate')}, {blobs_sql('m').replace('FROM pixels WHERE m', 'FROM o WHERE m')}, k AS (SELECT p.tile_id, p.y, p.x, coalesce(blob_px >= 0.01 * 256, false) AS m FROM pixels p LEFT JOIN blobs USING (tile_id, y, x)) " + sql_digest("k", "m"))
+@query("pixels", f"""WITH RECURSIVE h AS (SELECT tile_id, y, x, prob > 0.3 AND {DULL} AS m FROM pixels), {_morph('h', 'e', 'erode')}, {_morph('e', 'o', 'dilate')}, {blobs_sql('m').replace('FROM pixels WHERE m', 'FROM o WHERE m')},
+j AS (SELECT p.*, (gt OR NOT ign) AS v, prob > 0.3 AS raw, h.m AS masked, coalesce(blob_px >= 0.01 * 256, false) AS clean FROM pixels p JOIN h USING (tile_id, y, x) LEFT JOIN blobs USING (tile_id, y, x)),
+n AS (SELECT tile_id, count(*) AS n, count(*) FILTER (v AND gt) AS g, count(*) FILTER (v AND raw AND NOT masked) AS removed_px, {', '.join(f"count(*) FILTER (v AND {k} AND gt) AS i_{k}, count(*) FILTER (v AND ({k} OR gt)) AS u_{k}, count(*) FILTER ({k}) AS p_{k}" for k in ('raw', 'masked', 'clean'))} FROM j GROUP BY 1)
+SELECT tile_id, {', '.join(f"round(CASE WHEN g > 0 THEN i_{k}/u_{k} END, 6) AS iou_{k}, round(CASE WHEN g > 0 THEN i_{k}/g END, 6) AS recall_{k}, round(CASE WHEN g = 0 THEN p_{k}/n END, 6) AS painted_{k}" for k in ('raw', 'masked', 'clean'))}, removed_px FROM n""")
 def veg_mask_clean(v: Views):
-    return digest(raster.veg_mask_clean(v.pixels.withColumn("pred", F.expr("prob > 0.3")), "pred"), "clean")
+    px = raster.veg_mask_clean(v.pixels.withColumn("pred", F.expr("prob > 0.3")), "pred", min_frac=0.01)
+    out = raster.veg_mask_scores(px, "pred")
+    return out.select(*((R(c).alias(c) if k == "double" else c) for c, k in out.dtypes))
 
 
 @query("pixels", "WITH a AS (SELECT tile_id, y, x, g > r AND g > avg(g) OVER (PARTITION BY tile_id) AS m FROM pixels) " + sql_digest("a", "m"))

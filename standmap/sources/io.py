@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,21 +40,21 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return out.select("tile_id", "version", "shape_no", "s.label", "s.shape_type", "s.points")
 
 
-def draft_documents(polys: DataFrame, existing: DataFrame | None, size: int, version: str = "5.5.0") -> DataFrame:
-    """(tile_id, value): a JSON document for each tile of ``polys`` (tile_id, shape_no, label, points) that has none yet."""
+def draft_documents(polys: DataFrame, existing: DataFrame | None, version: str = "5.5.0") -> DataFrame:
+    """(tile_id, value): a JSON document for each tile of ``polys`` (tile_id, shape_no, label, points, height, width) that has none yet."""
     if existing is not None:
         polys = polys.join(existing.select("tile_id"), "tile_id", "left_anti")
     shape = F.struct("shape_no", "label", F.lit("polygon").alias("shape_type"), "points")
-    docs = polys.groupBy("tile_id").agg(F.array_sort(F.collect_list(shape)).alias("shapes"))  # a tile's shapes
+    docs = polys.groupBy("tile_id").agg(F.array_sort(F.collect_list(shape)).alias("shapes"), F.max("height").alias("height"), F.max("width").alias("width"))  # a tile's shapes
     document = F.struct(
-        F.lit(version).alias("version"), F.concat(padded("tile_id"), F.lit(".png")).alias("imagePath"), F.lit(size).alias("imageHeight"), F.lit(size).alias("imageWidth"),
+        F.lit(version).alias("version"), F.concat(padded("tile_id"), F.lit(".png")).alias("imagePath"), F.col("height").alias("imageHeight"), F.col("width").alias("imageWidth"),
         F.transform("shapes", lambda s: F.struct(s["label"].alias("label"), s["shape_type"].alias("shape_type"), s["points"].alias("points"))).alias("shapes"),
     )
     return docs.select("tile_id", F.to_json(document).alias("value"))
 
 
-def write_draft_annotations(polys: DataFrame, existing: DataFrame | None, path: str, size: int = 16) -> None:
-    draft_documents(polys, existing, size).select("value").write.text(path)
+def write_draft_annotations(polys: DataFrame, existing: DataFrame | None, path: str) -> None:
+    draft_documents(polys, existing).select("value").write.text(path)
 
 
 def append_index(prev: DataFrame, new: DataFrame, order: Sequence[str], start_id: int | None = None, id_: str = "tile_id") -> DataFrame:
@@ -105,23 +107,27 @@ def read_raster_layers(spark: SparkSession, root: str, layers: Sequence[str] = (
     An absent layer is false (nir: null). Spark's image source gives rows of bytes in blue, green, red order.
     """
     out = None
+    flags = {"masks": "gt", "priors": "prior", "ignore": "ign"}
     for layer in layers:
         raw = spark.read.format("image").option("dropInvalid", True).load(f"{root}/{layer}").select("image.*")
-        ints = F.transform(F.sequence(F.lit(1), (F.length(F.hex("data")) / 2).cast("int")), lambda i: F.conv(F.substring(F.hex("data"), (2 * i - 1).cast("int"), 2), 16, 10).cast("int"))
-        px = raw.select(F.regexp_extract("origin", r"([^/]+)\.\w+$", 1).alias("tile_id"), "width", "nChannels", ints.alias("v"))
-        px = px.select("tile_id", "width", "nChannels", "v", F.explode(F.sequence(F.lit(0), (F.size("v") / F.col("nChannels")).cast("int") - 1)).alias("i"))
-        at = lambda c: F.get("v", F.col("i") * F.col("nChannels") + F.least(F.lit(c), F.col("nChannels") - 1))
-        key = [F.col("tile_id"), F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).alias("x")]
-        if layer == "images":
-            one = px.select(*key, at(2).alias("r"), at(1).alias("g"), at(0).alias("b"))
-        elif layer == "nir":
-            one = px.select(*key, at(0).alias("nir"))
-        else:
-            one = px.select(*key, (at(0) > 128).alias({"masks": "gt", "priors": "prior", "ignore": "ign"}[layer]))
+        names = ["r", "g", "b"] if layer == "images" else ["nir" if layer == "nir" else flags[layer]]
+        kind = "boolean" if layer in flags else "int"
+        files = raw.select(F.regexp_extract("origin", r"([^/]+)\.\w+$", 1).alias("tile_id"), "height", "width", "nChannels", "data")
+        one = files.mapInArrow(lambda batches, names=names, layer=layer: _pixels(batches, names, layer in flags), f"tile_id string, y int, x int, {', '.join(f'{n} {kind}' for n in names)}")
         out = one if out is None else out.join(one, ["tile_id", "y", "x"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("gt", "prior", "ign") if c in out.columns})
 
 
+def _pixels(batches, names: list[str], flag: bool) -> Iterator[pa.RecordBatch]:
+    """One row for each pixel of images (tile id, height, width, channels, bytes); a flag is a first channel above 128."""
+    for b in batches:
+        for tile, height, width, n, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            v = np.frombuffer(data, np.uint8).reshape(height * width, n)
+            at = np.arange(height * width, dtype=np.int32)
+            bands = [v[:, 0] > 128] if flag else [v[:, min(c, n - 1)].astype(np.int32) for c in ((2, 1, 0) if len(names) == 3 else (0,))]
+            yield pa.RecordBatch.from_arrays([pa.array([tile] * len(at), pa.string()), pa.array(at // width), pa.array(at % width), *map(pa.array, bands)], ["tile_id", "y", "x", *names])
+
+
 def tile_metrics_table(*per_tile: DataFrame) -> DataFrame:
     """Per-tile results joined into one table; tiles that a result lacks have nulls."""
     out = per_tile[0]
