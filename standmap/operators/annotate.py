@@ -39,28 +39,50 @@ def annotation_precedence(docs: DataFrame, source: str, order: Sequence[str], id
     return docs.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def tile_verdict(ann: DataFrame, label: str = "label") -> DataFrame:
-    """(tile_id, verdict): reject beats damage beats clean; otherwise untouched."""
+def tile_verdict(ann: DataFrame, job: str = "empty", label: str = "label") -> DataFrame:
+    """(tile_id, verdict): reject beats damage beats clean, which counts in the job ``empty`` alone; otherwise untouched."""
     kind = label_taxonomy(label)
     has = lambda k: F.bool_or(kind == k)
-    verdict = F.when(has("reject"), "reject").when(has("damage"), "damage").when(has("clean"), "clean").otherwise("untouched")
+    verdict = F.when(has("reject"), "reject").when(has("damage"), "damage").when(has("clean") & F.lit(job == "empty"), "clean").otherwise("untouched")
     return ann.groupBy("tile_id").agg(verdict.alias("verdict"))
 
 
-#: Buckets whose tiles don't enter training, and what a bucket makes of a tile's role.
-UNUSED = ("delete", "on_hold", "risky")
-NEGATIVE = ("no_damage",)
-
-
-def build_manifest(tiles: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(tile_id, bucket, role, use, warning) from index roles, buckets and masks; one bucket per tile is expected."""
-    b = buckets.groupBy("tile_id").agg(F.max("bucket").alias("bucket"), F.count_distinct("bucket").alias("n"), F.bool_or("has_mask").alias("has_mask"))
-    out = tiles.select("tile_id", F.col("role").alias("index_role")).join(b, "tile_id", "left")
-    role = F.when(F.col("bucket").isin(*NEGATIVE), "negative").otherwise(F.col("index_role"))
-    mask = F.coalesce("has_mask", F.lit(False))
-    use = ~F.coalesce(F.col("bucket").isin(*UNUSED), F.lit(False)) & ((role == "negative") | mask)
-    warning = F.when(F.coalesce("n", F.lit(0)) > 1, "several buckets").when((role == "damage") & ~mask, "damage without mask").when(F.col("bucket").isin(*NEGATIVE) & mask, "negative with mask")
-    return out.select("tile_id", "bucket", mask.alias("has_mask"), role.alias("role"), use.alias("use"), warning.alias("warning"))
+#: Buckets in the order of their lists, of which a later one wins, and those whose tiles don't enter training.
+BUCKETS = ("delete", "risky", "too_small", "no_damage", "treecut_ignore", "damage_ignore", "on_hold")
+UNUSED = ("delete", "risky", "too_small", "on_hold")
+
+
+def build_manifest(tiles: DataFrame, buckets: DataFrame, masks: DataFrame, ignored: DataFrame, reviewed: DataFrame | None = None) -> DataFrame:
+    """(tile_id, bucket, has_mask, damage, ignore, role, use, warning) of every tile.
+
+    ``tiles``: tile_id and the index's role. ``buckets``: tile_id and bucket, of which a later list wins. ``masks``:
+    tile_id and damage_px of tiles that have a mask. ``ignored``: tiles with an ignore region. ``reviewed``: negatives
+    of the index that may be trusted (None: all). Damage pixels decide, not that there is a mask.
+    """
+    rank = F.array_position(F.array(*map(F.lit, BUCKETS)), F.col("bucket"))
+    b = buckets.where("bucket is not null").groupBy("tile_id").agg(F.max_by("bucket", rank).alias("bucket"), F.count_distinct("bucket").alias("__n"))
+    out = tiles.select("tile_id", F.col("role").alias("__ix")).join(b, "tile_id", "left").join(masks.select("tile_id", "damage_px"), "tile_id", "left")
+    out = out.join(ignored.select("tile_id", F.lit(True).alias("__ign")).distinct(), "tile_id", "left")
+    if reviewed is not None:
+        out = out.join(reviewed.select("tile_id", F.lit(True).alias("__rev")).distinct(), "tile_id", "left")
+    trusted = F.lit(True) if reviewed is None else F.coalesce("__rev", F.lit(False))
+    px = F.coalesce("damage_px", F.lit(0))
+    out = out.select("tile_id", F.coalesce("bucket", F.lit("(unlisted)")).alias("bucket"), F.col("damage_px").isNotNull().alias("has_mask"), (px > 0).alias("damage"), F.coalesce("__ign", F.lit(False)).alias("ignore"), px.alias("__px"), F.coalesce("__ix", F.lit("")).alias("__ix"), F.coalesce("__n", F.lit(0)).alias("__n"), trusted.alias("__ok"))
+    bucket, damage, mask, empty = F.col("bucket"), F.col("damage"), F.col("has_mask"), F.col("__ix") == "negative"
+    unused, unlisted = bucket.isin(*UNUSED), bucket == "(unlisted)"
+    role = F.when(unused, "exclude").when(bucket == "no_damage", F.when(damage, "damage").otherwise("negative")).when(bucket == "treecut_ignore", F.when(damage, "damage").otherwise("exclude"))
+    role = role.when((bucket == "damage_ignore") | damage, "damage").when(empty, F.when(F.col("__ok"), "negative").otherwise("exclude")).when(mask, "exclude").otherwise("skip")
+    pixels = lambda text: F.concat(F.lit(text), F.col("__px").cast("string"), F.lit(" damage px"))
+    told = F.when((bucket == "no_damage") & damage, pixels("no_damage but ")).when((bucket == "no_damage") & ~mask, "no_damage without a mask").when((bucket == "damage_ignore") & ~damage, "damage_ignore without damage px")
+    told = told.when(unlisted & damage & empty, pixels("negative in the index but ")).when(unlisted & ~damage & ~empty & mask, "empty and unlisted")
+    warning = F.concat_ws("; ", F.when(F.col("__n") > 1, "several buckets"), told)
+    return out.select("tile_id", "bucket", "has_mask", "damage", "ignore", role.alias("role"), role.isin("damage", "negative").alias("use"), warning.alias("warning"))
+
+
+def manifest_totals(manifest: DataFrame) -> DataFrame:
+    """(damage, negative, ignore, excluded, skipped): tiles in use by role, those with an ignore region, and the rest."""
+    n = lambda c, name: F.count_if(F.expr(c)).alias(name)
+    return manifest.agg(n("use and role = 'damage'", "damage"), n("use and role = 'negative'", "negative"), n("use and ignore", "ignore"), n("role = 'exclude'", "excluded"), n("role = 'skip'", "skipped"))
 
 
 def shape_table(ann: DataFrame, points_json: str = "points_json") -> DataFrame:

@@ -136,24 +136,32 @@ def _ranked(feat: DataFrame, group: str, order: Sequence[Column], name: str) ->
     return feat.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
 
 
+def _turns(feat: DataFrame, group: str, order: Sequence[Column], name: str) -> DataFrame:
+    """``feat`` with ``name``: 1, 2, ... in ``order`` within each group. Rows are numbered over all groups, so none is a task's alone."""
+    rows = row_numbers(feat, [F.col(group), *order], "__n")
+    low = rows.groupBy(F.col(group).alias("__g")).agg((F.min("__n") - 1).alias("__low"))
+    return rows.join(low, F.col(group).eqNullSafe(F.col("__g"))).withColumn(name, F.col("__n") - F.col("__low")).drop("__n", "__g", "__low")
+
+
 def interleave_groups(feat: DataFrame, group: str, order: Sequence[Column], id_: str = "poly_id", drop_null_groups: bool = False) -> DataFrame:
     """Round-robin across groups in order of first appearance (least id), ``order`` within each; ``turn`` says which round."""
     if drop_null_groups:
         feat = feat.where(F.col(group).isNotNull())
-    first = feat.groupBy(group).agg(F.min(id_).alias("__first"))
-    out = _ranked(feat, group, order, "turn").join(first.withColumnRenamed(group, "__g"), F.col(group).eqNullSafe(F.col("__g")))
+    first = feat.groupBy(F.col(group).alias("__g")).agg(F.min(id_).alias("__first"))
+    out = _turns(feat, group, order, "turn").join(first, F.col(group).eqNullSafe(F.col("__g")))
     return out.orderBy("turn", "__first").drop("__g", "__first")
 
 
 def interleave_nested(feat: DataFrame, outer: str, inner: str, order: Sequence[Column], id_: str = "poly_id") -> DataFrame:
     """Round-robin across ``outer`` groups, smallest first, each of them interleaved by ``inner``; ``turn`` is the round."""
-    size = feat.groupBy(outer).agg(F.count(F.lit(1)).alias("__n"))
-    first = feat.groupBy(outer, inner).agg(F.min(id_).alias("__first"))
-    out = feat.withColumn("__i", F.row_number().over(Window.partitionBy(outer, inner).orderBy(*order)))
-    a, b = outer, inner
-    out = out.join(first.select(F.col(a).alias("__a"), F.col(b).alias("__b"), "__first"), F.col(a).eqNullSafe(F.col("__a")) & F.col(b).eqNullSafe(F.col("__b"))).drop("__a", "__b")
-    out = out.withColumn("turn", F.row_number().over(Window.partitionBy(outer).orderBy("__i", "__first")))
-    out = out.join(size.withColumnRenamed(outer, "__a"), F.col(outer).eqNullSafe(F.col("__a"))).drop("__a")
+    size = feat.groupBy(F.col(outer).alias("__a")).agg(F.count(F.lit(1)).alias("__n"))
+    first = feat.groupBy(F.col(outer).alias("__a"), F.col(inner).alias("__b")).agg(F.min(id_).alias("__first"))
+    rows = row_numbers(feat, [F.col(outer), F.col(inner), *order], "__k")
+    low = rows.groupBy(F.col(outer).alias("__a"), F.col(inner).alias("__b")).agg((F.min("__k") - 1).alias("__low"))
+    both = F.col(outer).eqNullSafe(F.col("__a")) & F.col(inner).eqNullSafe(F.col("__b"))
+    out = rows.join(low, both).drop("__a", "__b").join(first, both).withColumn("__i", F.col("__k") - F.col("__low")).drop("__a", "__b", "__k", "__low")
+    out = _turns(out, outer, [F.col("__i"), F.col("__first")], "turn")
+    out = out.join(size, F.col(outer).eqNullSafe(F.col("__a"))).drop("__a")
     return out.orderBy("turn", "__n", outer).drop("__i", "__first", "__n")
 
 
@@ -163,12 +171,19 @@ def take_until(ordered: DataFrame, ok: DataFrame, n: int, start_id: int, order:
     return passed.withColumn("new_id", F.row_number().over(Window.orderBy(*order)) + start_id - 1)
 
 
-def capped_negatives(crops: DataFrame, per_source: int, ratio: float = 0.41, seed: int = 42, id_: str = "crop_id", source: str = "source_id") -> DataFrame:
-    """Negatives, shuffled, at most ``per_source`` each and at most ``ratio`` x positives in all."""
-    most = int(ratio * crops.where("role = 'damage'").count())
-    neg = crops.where("role = 'negative'").withColumn("__o", seeded(id_, seed))
-    neg = _ranked(neg, source, [F.col("__o"), F.col(id_)], "__r").where(F.col("__r") <= per_source)
-    return row_numbers(neg, ["__o", id_], "__n").where(F.col("__n") <= most).orderBy("__n").drop("__o", "__r", "__n")
+def capped_negatives(crops: DataFrame, ratio: float = 0.41, seed: int = 42, id_: str = "crop_id", source: str = "source_id") -> DataFrame:
+    """Negatives, at most ``ratio`` x positives, rounded half to even; if there are more, shuffled and first capped per source.
+
+    The cap is the number wanted by the number of sources, rounded down, and one more, so that every source has a part.
+    """
+    n = crops.agg(F.count_if(F.col("role") == "damage").alias("p"), F.count_if(F.col("role") == "negative").alias("q"), F.count_distinct(F.when(F.col("role") == "negative", F.col(source))).alias("s")).first()
+    want = round(n["p"] * ratio)
+    neg = crops.where("role = 'negative'")
+    if n["q"] <= want:
+        return neg
+    neg = neg.withColumn("__o", seeded(id_, seed))
+    neg = _ranked(neg, source, [F.col("__o"), F.col(id_)], "__r").where(F.col("__r") <= max(1, want // max(1, n["s"]) + 1))
+    return row_numbers(neg, ["__o", id_], "__n").where(F.col("__n") <= want).orderBy("__n").drop("__o", "__r", "__n")
 
 
 def even_subsample(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -200,18 +215,36 @@ def stride_sample(df: DataFrame, order: Sequence[Column | str], n: int) -> DataF
     return row_numbers(df, list(order)).where((F.col("rn") - 1) % n == 0).drop("rn")
 
 
-def extremes_pages(scores: DataFrame, metric: str, n: int = 72, page: int = 36, id_: str = "tile_id") -> DataFrame:
-    """The best and worst ``n`` by ``metric`` with their rank and page number."""
-    parts = []
-    for kind, key in (("best", F.desc(metric)), ("worst", F.asc(metric))):
-        top = scores.where(F.col(metric).isNotNull()).orderBy(key, id_).limit(n)  # n rows: one task ranks them
-        parts.append(top.withColumn("rn", F.row_number().over(Window.orderBy(key, id_))).withColumn("kind", F.lit(kind)))
-    out = parts[0].unionByName(parts[1])
+def extremes_pages(scores: DataFrame, metric: str, source: str, floods: str, painted: str, n: int = 72, page: int = 36, id_: str = "tile_id") -> DataFrame:
+    """``n`` rows of each kind with rank and page: best and worst by ``metric``; those that flood (flag), by source and then best
+    first; and those without a metric, which have no label, by their ``painted`` share."""
+    known = F.col(metric).isNotNull()
+    kinds = {
+        "best": (known, [F.desc(metric), F.col(id_)]), "worst": (known, [F.asc(metric), F.col(id_)]),
+        "flooded": (known & F.col(floods), [F.asc(source), F.desc(metric), F.col(id_)]), "negative": (~known, [F.desc_nulls_last(painted), F.col(id_)]),
+    }
+    out = None
+    for kind, (rows, order) in kinds.items():
+        top = scores.where(rows).orderBy(*order).limit(n)  # n rows: one task ranks them
+        top = top.withColumn("rn", F.row_number().over(Window.orderBy(*order))).withColumn("kind", F.lit(kind))
+        out = top if out is None else out.unionByName(top)
     return out.withColumn("page", F.floor((F.col("rn") - 1) / page))
 
 
-def value_counts(df: DataFrame, by: str) -> DataFrame:
-    return df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, by: str, value: str | None = None, category: str | None = None) -> DataFrame:
+    """(by, n), with mean, low and high of ``value``, and ``mode``, the most frequent ``category`` (the least of equals)."""
+    spread = [F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high")] if value else []
+    out = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *spread)
+    if not category:
+        return out
+    k = df.groupBy(by, category).agg(F.count(F.lit(1)).alias("k"))  # counts first, so that no group is gathered
+    mode = k.groupBy(F.col(by).alias("__g")).agg(F.min(F.struct((-F.col("k")).alias("k"), F.col(category).alias("c"))).getField("c").alias("mode"))
+    return out.join(mode, F.col(by).eqNullSafe(F.col("__g"))).drop("__g")
+
+
+def queue_counts(queue: DataFrame, by: str = "dca") -> DataFrame:
+    """(agent, n): how many tiles of a queue an agent has, the most first; unknown agents are ``?``."""
+    return queue.groupBy(F.coalesce(by, F.lit("?")).alias(by)).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by)
 
 
 # --- sets of tile ids ------------------------------------------------------------------------------------------

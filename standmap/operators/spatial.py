@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from standmap.operators.raster import polygon_spans
-from standmap.sources.store import materialize
+from standmap.sources.store import materialize, quantiles
 
 
 def _edges(vert: DataFrame, keys: list[str]) -> DataFrame:
@@ -19,48 +19,102 @@ def _cells(lo: Column, hi: Column, cell: float) -> Column:
     return F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
 
 
-def within_region(cand: DataFrame, half_m: float, regions: DataFrame, cell: float = 10_000) -> DataFrame:
-    """Candidates (cand_id, cx, cy) whose box of half side ``half_m`` lies in one surveyed ring and meets no hole.
-
-    ``regions``: (region_id, kind, k, x, y), one ring each; kind ``surveyed`` or ``not_flown``. Parity: an edge counts for
-    a centre if it spans the centre's row to the right of it. Edges are spread over the rows of cells that they span, and
-    over the cells that they pass for the test of the box, so joins are on cells.
-    """
-    e = materialize(_edges(regions, ["region_id"]).select("region_id", "kind", "x", "y", "nx", "ny"))
-    c = cand.select("cand_id", "cx", "cy")
-    by_row = e.withColumn("row", _cells(F.least("y", "ny"), F.greatest("y", "ny"), cell))
-    at = F.col("x") + (F.col("cy") - F.col("y")) * (F.col("nx") - F.col("x")) / (F.col("ny") - F.col("y"))
-    spans = ((F.col("y") <= F.col("cy")) & (F.col("cy") < F.col("ny"))) | ((F.col("ny") <= F.col("cy")) & (F.col("cy") < F.col("y")))
-    inside = c.withColumn("row", F.floor(F.col("cy") / cell)).join(by_row, "row").where(spans & (F.when(F.col("y") != F.col("ny"), at) > F.col("cx")))
-    inside = inside.groupBy("cand_id", "region_id", "kind").agg((F.count(F.lit(1)) % 2 == 1).alias("odd")).where("odd")
-    # an edge meets a box if, cut by the box's sides in turn, something of it is left (Liang-Barsky)
-    by_cell = e.withColumn("row", _cells(F.least("y", "ny"), F.greatest("y", "ny"), cell))
+def _passed(e: DataFrame, cell: float) -> DataFrame:
+    """Edges (x, y, nx, ny) spread over the cells (row, col) that they pass: the rows that they span, and the columns in each row."""
+    rows = e.withColumn("row", _cells(F.least("y", "ny"), F.greatest("y", "ny"), cell))
     lo_y, hi_y = F.greatest(F.least("y", "ny"), F.col("row") * cell), F.least(F.greatest("y", "ny"), (F.col("row") + 1) * cell)
-    on = lambda v: F.when(F.col("y") == F.col("ny"), F.col("x")).otherwise(F.col("x") + (v - F.col("y")) * (F.col("nx") - F.col("x")) / (F.col("ny") - F.col("y")))
     flat = F.col("y") == F.col("ny")
+    on = lambda v: F.when(flat, F.col("x")).otherwise(F.col("x") + (v - F.col("y")) * (F.col("nx") - F.col("x")) / (F.col("ny") - F.col("y")))
     x0 = F.when(flat, F.least("x", "nx")).otherwise(F.least(on(lo_y), on(hi_y)))
     x1 = F.when(flat, F.greatest("x", "nx")).otherwise(F.greatest(on(lo_y), on(hi_y)))
-    by_cell = by_cell.withColumn("col", _cells(x0 - 1, x1 + 1, cell))
-    box = c.withColumn("row", _cells(F.col("cy") - half_m, F.col("cy") + half_m, cell)).withColumn("col", _cells(F.col("cx") - half_m, F.col("cx") + half_m, cell))
-    dx, dy = F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
+    return rows.withColumn("col", _cells(x0 - 1, x1 + 1, cell))
+
+
+def _right_of(px: str, py: str) -> Column:
+    """Whether an edge counts for a point's parity: it spans the point's row, to the right of it."""
+    at = F.col("x") + (F.col(py) - F.col("y")) * (F.col("nx") - F.col("x")) / (F.col("ny") - F.col("y"))
+    spans = ((F.col("y") <= F.col(py)) & (F.col(py) < F.col("ny"))) | ((F.col("ny") <= F.col(py)) & (F.col(py) < F.col("y")))
+    return spans & (F.when(F.col("y") != F.col("ny"), at) > F.col(px))
+
+
+def _touches(r: float) -> Column:
+    """Whether an edge meets the box of half side ``r`` around (cx, cy): cut by the box's sides in turn, something of it is left (Liang-Barsky)."""
     t0, t1, ok = F.lit(0.0), F.lit(1.0), F.lit(True)
-    for d, p, mid in ((dx, F.col("x"), F.col("cx")), (dy, F.col("y"), F.col("cy"))):
-        a, b = (mid - half_m - p) / F.nullif(d, F.lit(0)), (mid + half_m - p) / F.nullif(d, F.lit(0))
+    for d, p, mid in ((F.col("nx") - F.col("x"), F.col("x"), F.col("cx")), (F.col("ny") - F.col("y"), F.col("y"), F.col("cy"))):
+        a, b = (mid - r - p) / F.nullif(d, F.lit(0)), (mid + r - p) / F.nullif(d, F.lit(0))
         t0, t1 = F.greatest(t0, F.least(a, b)), F.least(t1, F.greatest(a, b))  # greatest and least pass over null
-        ok = ok & ((d != 0) | F.abs(p - mid).__le__(half_m))
-    crossed = box.join(by_cell, ["row", "col"]).where(ok & (t0 <= t1)).select("cand_id", "region_id", "kind").distinct()
-    good = inside.where("kind = 'surveyed'").join(crossed.where("kind = 'surveyed'"), ["cand_id", "region_id"], "left_anti").select("cand_id")
-    bad = inside.where("kind = 'not_flown'").select("cand_id").union(crossed.where("kind = 'not_flown'").select("cand_id"))
-    return cand.join(good, "cand_id", "left_semi").join(bad, "cand_id", "left_anti")
+        ok = ok & ((d != 0) | (F.abs(p - mid) <= r))
+    return ok & (t0 <= t1)
+
+
+def _held_by(points: DataFrame, edges: DataFrame, cell: float, keys: list[str]) -> DataFrame:
+    """(keys, region_id, kind) of points (keys, px, py) and the rings that hold them, by parity."""
+    rows = edges.withColumn("row", _cells(F.least("y", "ny"), F.greatest("y", "ny"), cell))
+    hits = points.withColumn("row", F.floor(F.col("py") / cell)).join(rows, "row").where(_right_of("px", "py"))
+    return hits.groupBy(*keys, "region_id", "kind").agg((F.count(F.lit(1)) % 2 == 1).alias("odd")).where("odd").drop("odd")
+
+
+def union_boundary(edges: DataFrame, cell: float) -> DataFrame:
+    """What of the rings' edges (region_id, kind, x, y, nx, ny) bounds their union: (x, y, nx, ny).
 
+    Edges are cut where other rings meet them. A part bounds the union if, of two points close to its middle on either
+    side, one lies in some ring and the other in none.
+    """
+    e = materialize(edges.withColumn("edge", F.monotonically_increasing_id()))
+    cells = _passed(e, cell)
+    o = cells.select(*(F.col(c).alias(f"o_{c}") for c in ("region_id", "edge", "x", "y", "nx", "ny")), "row", "col")
+    dx, dy, ox, oy = F.col("nx") - F.col("x"), F.col("ny") - F.col("y"), F.col("o_nx") - F.col("o_x"), F.col("o_ny") - F.col("o_y")
+    cross, length = dx * oy - dy * ox, F.sqrt(dx * dx + dy * dy)
+    wx, wy = F.col("o_x") - F.col("x"), F.col("o_y") - F.col("y")
+    t, u = (wx * oy - wy * ox) / F.nullif(cross, F.lit(0.0)), (wx * dy - wy * dx) / F.nullif(cross, F.lit(0.0))
+    # ends of the other edge that lie on this one, which is all that parallel edges can share
+    ends = [F.when(F.abs((F.col(f"o_{p}x") - F.col("x")) * dy - (F.col(f"o_{p}y") - F.col("y")) * dx) <= 1e-9 * length * length, ((F.col(f"o_{p}x") - F.col("x")) * dx + (F.col(f"o_{p}y") - F.col("y")) * dy) / (length * length)) for p in ("", "n")]
+    found = F.array(F.when(u.between(0, 1), t), *ends)
+    meets = cells.join(o, ["row", "col"]).where("region_id <> o_region_id").select("edge", F.explode(F.filter(found, lambda v: (v > 0) & (v < 1))).alias("t"))
+    cuts = meets.groupBy("edge").agg(F.collect_set("t").alias("ts"))  # an edge's crossings with other rings
+    at = F.array_sort(F.array_union(F.coalesce("ts", F.array().cast("array<double>")), F.array(F.lit(0.0), F.lit(1.0))))
+    parts = e.join(cuts, "edge", "left").withColumn("at", at).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("at") - 2)))
+    on = lambda c, v: F.col(c) + v * (F.col(f"n{c}") - F.col(c))
+    lo, hi = F.get("at", F.col("i")), F.get("at", F.col("i") + 1)
+    parts = parts.select("edge", "i", on("x", lo).alias("x"), on("y", lo).alias("y"), on("x", hi).alias("nx"), on("y", hi).alias("ny"), ((on("x", lo) + on("x", hi)) / 2).alias("mx"), ((on("y", lo) + on("y", hi)) / 2).alias("my"), (dy / length).alias("ux"), (-dx / length).alias("uy"))
+    parts = materialize(parts.where("ux is not null"))
+    sides = parts.withColumn("side", F.explode(F.array(F.lit(-1e-3), F.lit(1e-3)))).select("edge", "i", "side", (F.col("mx") + F.col("side") * F.col("ux")).alias("px"), (F.col("my") + F.col("side") * F.col("uy")).alias("py"))
+    held = _held_by(sides, edges, cell, ["edge", "i", "side"]).select("edge", "i", "side").distinct()
+    one = held.groupBy("edge", "i").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("edge", "i")
+    return parts.join(one, ["edge", "i"], "left_semi").select("x", "y", "nx", "ny")
+
+
+def within_region(cand: DataFrame, half_m: float, regions: DataFrame, cell: float = 10_000) -> DataFrame:
+    """Candidates (cand_id, cx, cy) whose box of half side ``half_m`` lies in the union of the surveyed rings and meets no hole.
+
+    ``regions``: (region_id, kind, k, x, y), one ring each; kind ``surveyed`` or ``not_flown``. The centre must lie in
+    a surveyed ring and in no hole, and the box must meet neither the boundary of the union nor that of a hole. Edges
+    are spread over the cells that they pass, so joins are on cells.
+    """
+    e = materialize(_edges(regions, ["region_id"]).select("region_id", "kind", "x", "y", "nx", "ny"))
+    c = cand.select("cand_id", "cx", "cy")
+    inside = _held_by(c.select("cand_id", F.col("cx").alias("px"), F.col("cy").alias("py")), e, cell, ["cand_id"])
+    bounds = union_boundary(e.where("kind = 'surveyed'"), cell).unionByName(e.where("kind = 'not_flown'").select("x", "y", "nx", "ny"))
+    box = c.withColumn("row", _cells(F.col("cy") - half_m, F.col("cy") + half_m, cell)).withColumn("col", _cells(F.col("cx") - half_m, F.col("cx") + half_m, cell))
+    crossed = box.join(_passed(bounds, cell), ["row", "col"]).where(_touches(half_m)).select("cand_id")
+    good = inside.where("kind = 'surveyed'").select("cand_id")
+    return cand.join(good, "cand_id", "left_semi").join(inside.where("kind = 'not_flown'").select("cand_id").union(crossed), "cand_id", "left_anti")
+
+
+def clear_of_features(cand: DataFrame, half_m: float, vert: DataFrame, buffer_m: float = 150, cell: float = 2_000, id_: str = "poly_id") -> DataFrame:
+    """Candidates whose box of half side half_m + buffer_m meets no feature, given as vertices (poly_id, k, x, y) of one ring each.
 
-def clear_of_features(cand: DataFrame, half_m: float, feat: DataFrame, buffer_m: float = 150, cell: float = 2_000) -> DataFrame:
-    """Candidates whose box of half side half_m + buffer_m meets no feature box (xmin, ymin, xmax, ymax)."""
+    Features whose own box is close are found by cells; of these, one meets the box if an edge does or the centre lies
+    inside. A feature of one vertex is a point.
+    """
     r = half_m + buffer_m
+    f = vert.groupBy(id_).agg(F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))
+    f = f.withColumn("gx", _cells(F.col("xmin"), F.col("xmax"), cell)).withColumn("gy", _cells(F.col("ymin"), F.col("ymax"), cell))
     c = cand.select("cand_id", "cx", "cy").withColumn("gx", _cells(F.col("cx") - r, F.col("cx") + r, cell)).withColumn("gy", _cells(F.col("cy") - r, F.col("cy") + r, cell))
-    f = feat.select("xmin", "ymin", "xmax", "ymax").withColumn("gx", _cells(F.col("xmin"), F.col("xmax"), cell)).withColumn("gy", _cells(F.col("ymin"), F.col("ymax"), cell))
-    meets = (F.col("xmin") <= F.col("cx") + r) & (F.col("xmax") >= F.col("cx") - r) & (F.col("ymin") <= F.col("cy") + r) & (F.col("ymax") >= F.col("cy") - r)
-    return cand.join(c.join(f, ["gx", "gy"]).where(meets).select("cand_id"), "cand_id", "left_anti")
+    close = (F.col("xmin") <= F.col("cx") + r) & (F.col("xmax") >= F.col("cx") - r) & (F.col("ymin") <= F.col("cy") + r) & (F.col("ymax") >= F.col("cy") - r)
+    pairs = c.join(f, ["gx", "gy"]).where(close).select("cand_id", "cx", "cy", id_).distinct()
+    tests = pairs.join(_edges(vert, [id_]), id_).groupBy("cand_id", id_).agg((F.bool_or(_touches(r)) | (F.count_if(_right_of("cx", "cy")) % 2 == 1)).alias("hit"))
+    return cand.join(tests.where("hit").select("cand_id"), "cand_id", "left_anti")
 
 
 def _near(a: DataFrame, b: DataFrame, d: float) -> DataFrame:
@@ -99,11 +153,13 @@ def spaced_sample(cand: DataFrame, d: float = 800, priority: str = "cand_id", n:
     return kept.orderBy(priority, "cand_id").limit(n) if n is not None else kept
 
 
-def confirmed_negatives(cand: DataFrame, regions: DataFrame, feat: DataFrame, centres: DataFrame, present: DataFrame, window_m: float = 300, n: int | None = None, d: float = 800) -> DataFrame:
-    """Candidates inside the survey, clear of features, spaced from tiles and each other, with imagery; as index rows."""
+def confirmed_negatives(
+    cand: DataFrame, regions: DataFrame, vert: DataFrame, centres: DataFrame, present: DataFrame, window_m: float = 300, n: int | None = None, d: float = 800, spacing: float | None = None
+) -> DataFrame:
+    """Candidates inside the survey, clear of features, ``d`` from tiles and ``spacing`` (``d``) from each other, with imagery; as index rows."""
     half = window_m / 2
-    ok = min_spacing_to(clear_of_features(within_region(cand, half, regions), half, feat), centres, d)
-    out = spaced_sample(ok.join(present.select("cand_id"), "cand_id", "left_semi"), d, "cand_id", n)
+    ok = min_spacing_to(clear_of_features(within_region(cand, half, regions), half, vert), centres, d)
+    out = spaced_sample(ok.join(present.select("cand_id"), "cand_id", "left_semi"), d if spacing is None else spacing, "cand_id", n)
     box = {"xmin": F.col("cx") - half, "ymin": F.col("cy") - half, "xmax": F.col("cx") + half, "ymax": F.col("cy") + half}
     return out.withColumns({**box, "role": F.lit("negative"), "window_m": F.lit(float(window_m))})
 
@@ -112,11 +168,17 @@ def polygon_overlap(vert_a: DataFrame, vert_b: DataFrame, cells: int = 64, id_:
     """(id, iou_raw, iou_shift, iou_scaled, shift_m, area_ratio) of polygon pairs.
 
     Both are cut into spans on a grid of ``cells`` squares over the pair's box, so the figures are as exact as
-    the grid. Shifted: b moved onto a's vertex mean; scaled: and to a's area.
+    the grid. Shifted: b's centroid moved onto a's; scaled: and b resized to a's area. The ratio is b's area to a's,
+    that of the polygon that is moved to the one that stays.
     """
     both = vert_a.select(id_, F.lit("a").alias("part"), "k", "x", "y").unionByName(vert_b.select(id_, F.lit("b").alias("part"), "k", "x", "y"))
     e = _edges(both, [id_, "part"])
-    m = e.groupBy(id_, "part").agg(F.abs(F.sum(F.col("x") * F.col("ny") - F.col("nx") * F.col("y")) / 2).alias("area"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    # centroids relative to the first vertex, so that large coordinates lose no digits
+    e = e.withColumns({"x0": F.first("x").over(Window.partitionBy(id_, "part").orderBy("k")), "y0": F.first("y").over(Window.partitionBy(id_, "part").orderBy("k"))})
+    ax, ay, bx, by = F.col("x") - F.col("x0"), F.col("y") - F.col("y0"), F.col("nx") - F.col("x0"), F.col("ny") - F.col("y0")
+    cross = ax * by - bx * ay
+    m = e.groupBy(id_, "part").agg(F.sum(cross).alias("s"), F.sum((ax + bx) * cross).alias("sx"), F.sum((ay + by) * cross).alias("sy"), F.min("x0").alias("x0"), F.min("y0").alias("y0"))
+    m = m.select(id_, "part", (F.abs("s") / 2).alias("area"), (F.col("x0") + F.col("sx") / (3 * F.col("s"))).alias("mx"), (F.col("y0") + F.col("sy") / (3 * F.col("s"))).alias("my"))
     m = m.groupBy(id_).agg(*(F.max(F.when(F.col("part") == p, F.col(c))).alias(f"{c}_{p}") for p in "ab" for c in ("area", "mx", "my")))
     v = both.join(m, id_)
     s = F.sqrt(F.col("area_a") / F.col("area_b"))
@@ -143,6 +205,15 @@ def polygon_overlap(vert_a: DataFrame, vert_b: DataFrame, cells: int = 64, id_:
     return m.join(iou, id_).select(id_, "iou_raw", "iou_shift", "iou_scaled", F.sqrt(dx * dx + dy * dy).alias("shift_m"), (F.col("area_b") / F.col("area_a")).alias("area_ratio"))
 
 
+def overlap_medians(pairs: DataFrame) -> DataFrame:
+    """One row: the medians over pairs of each figure of :func:`polygon_overlap`."""
+    out = None
+    for c in ("shift_m", "area_ratio", "iou_raw", "iou_shift", "iou_scaled"):
+        one = quantiles(pairs, c, [0.5]).select(F.get("q", F.lit(0)).alias(c))
+        out = one if out is None else out.crossJoin(one)  # one row each
+    return out
+
+
 def pair_shift_stats(pairs: DataFrame, by: str, shift: str = "shift_m") -> DataFrame:
     s = F.col(shift)
     return pairs.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.min(s).alias("min"), F.max(s).alias("max"), F.stddev_pop(s).alias("std"))

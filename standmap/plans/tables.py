@@ -39,7 +39,7 @@ POINTS_SQL = "CAST(points_json AS DOUBLE[][])"
 
 
 def _documents(v: Views):
-    shapes = v.annotations.where("version = '6.3.1'").select("tile_id", F.col("ann_id").alias("shape_no"), "label", F.from_json("points_json", annotate.POINTS).alias("points"))
+    shapes = v.annotations.where("version = '6.3.1'").select("tile_id", F.col("ann_id").alias("shape_no"), "label", F.from_json("points_json", annotate.POINTS).alias("points"), F.lit(16).alias("height"), F.lit(16).alias("width"))
     return shapes
 
 
@@ -147,13 +147,13 @@ def geo_to_pixel(v: Views):
 
 
 @query("pixels", """WITH c AS (SELECT tile_id, r/255.0::DOUBLE AS r, g/255.0::DOUBLE AS g, b/255.0::DOUBLE AS b, nir/255.0::DOUBLE AS n FROM pixels)
-SELECT tile_id, round(avg((n-r)/(n+r+1e-6)), 6) AS ndvi, round(avg((r-g)/(r+g+1e-6)), 6) AS redness, round(avg((g-r)/(g+r+1e-6)), 6) AS ngrdi, round(avg((r+g+b)/3), 6) AS brightness, round(avg((2*g-r-b)/(r+g+b+1e-6)), 6) AS exg FROM c GROUP BY tile_id""")
+SELECT tile_id, round(avg((n-r)/(n+r+1e-6)), 6) AS ndvi, round(avg((r-g)/(r+g+1e-6)), 6) AS redness, round(avg((g-r)/(g+r+1e-6)), 6) AS ngrdi, round(avg((r+g+b)/3), 6) AS brightness, round(avg(2*g-r-b), 6) AS exg, round(avg((n-r)/(n+r+1/255.0::DOUBLE)), 6) AS ndvi_bytes, round(avg((r-g)/(r+g+1e-3)), 6) AS redness_classifier FROM c GROUP BY tile_id""")
 def spectral_indices(v: Views):
-    m = {"ndvi": sp.ndvi(), "redness": sp.redness(), "ngrdi": sp.ngrdi(), "brightness": sp.brightness(), "exg": sp.excess_green()}
+    m = {"ndvi": sp.ndvi(), "redness": sp.redness(), "ngrdi": sp.ngrdi(), "brightness": sp.brightness(), "exg": sp.excess_green(), "ndvi_bytes": sp.ndvi(sp.EPSILON["bytes"]), "redness_classifier": sp.redness(sp.EPSILON["classifier"])}
     return v.pixels.groupBy("tile_id").agg(*(R(F.avg(c)).alias(n) for n, c in m.items()))
 
 
-@query("pixels", "WITH c AS (SELECT tile_id, r/255.0::DOUBLE AS r, g/255.0::DOUBLE AS g, nir/255.0::DOUBLE AS n FROM pixels) SELECT tile_id, round(avg((r-g)/(r+g+1e-6) + 0.5*greatest(0.0, 0.35 - (n-r)/(n+r+1e-6))), 6) AS score FROM c GROUP BY tile_id")
+@query("pixels", "SELECT tile_id, round(avg((r-g)/(r+g+1.0::DOUBLE) + 0.5*greatest(0.0, 0.35 - (nir-r)/(nir+r+1.0::DOUBLE))), 6) AS score FROM pixels GROUP BY tile_id")
 def damage_score(v: Views):
     return v.pixels.groupBy("tile_id").agg(R(F.avg(sp.damage_score())).alias("score"))
 
@@ -294,13 +294,14 @@ def within_region(v: Views):
     return spatial.within_region(v.neg_candidates, 150, v.survey_regions)
 
 
-def _feature_boxes(v: Views):
-    return v.poly.selectExpr("cx - r0 as xmin", "cy - r0 as ymin", "cx + r0 as xmax", "cy + r0 as ymax")
-
-
-@query("neg_candidates poly", "SELECT cand_id, cx, cy FROM neg_candidates c WHERE NOT EXISTS (SELECT 1 FROM poly p WHERE p.cx - p.r0 <= c.cx + 300 AND p.cx + p.r0 >= c.cx - 300 AND p.cy - p.r0 <= c.cy + 300 AND p.cy + p.r0 >= c.cy - 300)")
+@query("neg_candidates vert", """WITH bb AS (SELECT poly_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM vert GROUP BY poly_id),
+pr AS (SELECT cand_id, cx, cy, poly_id FROM neg_candidates JOIN bb ON x0 <= cx + 300 AND x1 >= cx - 300 AND y0 <= cy + 300 AND y1 >= cy - 300),
+ed AS (SELECT poly_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM vert WINDOW w AS (PARTITION BY poly_id ORDER BY k)),
+hit AS (SELECT cand_id FROM pr JOIN ed USING (poly_id) GROUP BY cand_id, poly_id HAVING bool_or(greatest(0.0, CASE WHEN nx = x THEN (CASE WHEN abs(x - cx) <= 300 THEN 0.0 ELSE 2.0 END) ELSE least((cx-300-x)/(nx-x), (cx+300-x)/(nx-x)) END, CASE WHEN ny = y THEN (CASE WHEN abs(y - cy) <= 300 THEN 0.0 ELSE 2.0 END) ELSE least((cy-300-y)/(ny-y), (cy+300-y)/(ny-y)) END) <= least(1.0, CASE WHEN nx = x THEN 1.0 ELSE greatest((cx-300-x)/(nx-x), (cx+300-x)/(nx-x)) END, CASE WHEN ny = y THEN 1.0 ELSE greatest((cy-300-y)/(ny-y), (cy+300-y)/(ny-y)) END))
+ OR count(*) FILTER (((y <= cy AND cy < ny) OR (ny <= cy AND cy < y)) AND x + (cy - y) * (nx - x) / (ny - y) > cx) % 2 = 1)
+SELECT cand_id, cx, cy FROM neg_candidates WHERE cand_id NOT IN (SELECT cand_id FROM hit)""")
 def clear_of_features(v: Views):
-    return spatial.clear_of_features(v.neg_candidates, 150, _feature_boxes(v))
+    return spatial.clear_of_features(v.neg_candidates, 150, v.vert)
 
 
 @query("neg_candidates poly", "SELECT cand_id, cx, cy FROM neg_candidates c WHERE NOT EXISTS (SELECT 1 FROM poly p WHERE (p.cx-c.cx)*(p.cx-c.cx) + (p.cy-c.cy)*(p.cy-c.cy) < 640000)")
@@ -310,13 +311,13 @@ def min_spacing_to(v: Views):
 
 @query()
 def spaced_sample(v: Views):
-    return spatial.spaced_sample(v.neg_candidates, 3000)
+    return spatial.spaced_sample(v.neg_candidates, 8000)
 
 
 @query()
 def confirmed_negatives(v: Views):
     present = v.neg_candidates.where("cand_id % 5 <> 0").select("cand_id")
-    return spatial.confirmed_negatives(v.neg_candidates, v.survey_regions, _feature_boxes(v), v.poly.selectExpr("cx as x", "cy as y"), present)
+    return spatial.confirmed_negatives(v.neg_candidates, v.survey_regions, v.vert, v.poly.selectExpr("cx as x", "cy as y"), present, spacing=8000)
 
 
 def _pair(v: Views):
@@ -328,7 +329,7 @@ def _pair(v: Views):
 @query()
 def polygon_overlap(v: Views):
     out = spatial.polygon_overlap(v.vert, _pair(v), 32)
-    return out.select("poly_id", *(R(c, 4).alias(c) for c in out.columns[1:]))
+    return out.select("poly_id", *(R(c, 4).alias(c) for c in out.columns[1:])).unionByName(spatial.overlap_medians(out).select(F.lit(None).cast("long").alias("poly_id"), *(R(c, 4).alias(c) for c in out.columns[1:])))
 
 
 @query("survey_pairs", "WITH s AS (SELECT checked, sqrt(dx*dx+dy*dy) AS m FROM survey_pairs) SELECT checked, count(*) AS n, round(avg(m), 6) AS mean, round(median(m), 6) AS median, round(min(m), 6) AS min, round(max(m), 6) AS max, round(stddev_pop(m), 6) AS std FROM s GROUP BY checked")
@@ -369,9 +370,9 @@ def take_until(v: Views):
     return select.take_until(v.poly, v.poly.where("poly_id % 4 <> 1"), 500, 100, [F.desc("r0"), F.col("poly_id")]).select("poly_id", "new_id")
 
 
-@query("tiles", f"WITH n AS (SELECT tile_id, source_id, {RAND.format(id='tile_id')} AS o, row_number() OVER (PARTITION BY source_id ORDER BY {RAND.format(id='tile_id')}, tile_id) AS r FROM tiles WHERE role = 'negative'), k AS (SELECT *, row_number() OVER (ORDER BY o, tile_id) AS q FROM n WHERE r <= 1) SELECT tile_id, source_id FROM k WHERE q <= (SELECT CAST(floor(0.25 * count(*)) AS INT) FROM tiles WHERE role = 'damage')")
+@query("tiles", f"WITH a AS (SELECT CAST(round_even(0.25 * count(*) FILTER (role = 'damage'), 0) AS BIGINT) AS want, count(*) FILTER (role = 'negative') AS have, count(DISTINCT source_id) FILTER (role = 'negative') AS sources FROM tiles), n AS (SELECT tile_id, source_id, {RAND.format(id='tile_id')} AS o, row_number() OVER (PARTITION BY source_id ORDER BY {RAND.format(id='tile_id')}, tile_id) AS r FROM tiles WHERE role = 'negative'), k AS (SELECT n.*, want, have, row_number() OVER (ORDER BY o, tile_id) AS q FROM n, a WHERE have <= want OR r <= greatest(1, want // greatest(1, sources) + 1)) SELECT tile_id, source_id FROM k WHERE have <= want OR q <= want")
 def capped_negatives(v: Views):
-    return select.capped_negatives(v.tiles, 1, 0.25, 42, "tile_id").select("tile_id", "source_id")
+    return select.capped_negatives(v.tiles, 0.25, 42, "tile_id").select("tile_id", "source_id")
 
 
 @query("tiles", "WITH o AS (SELECT tile_id, row_number() OVER (ORDER BY tile_id) AS rn, count(*) OVER () AS n FROM tiles) SELECT tile_id FROM o WHERE rn IN (SELECT CAST(round_even(i * ((SELECT max(n) FROM o) - 1) / 99.0::DOUBLE, 0) AS BIGINT) + 1 FROM (SELECT range AS i FROM range(100)))")
@@ -394,34 +395,57 @@ def stride_sample(v: Views):
     return select.stride_sample(v.runs.where("iou is not null").select("run_id", "iou"), [F.desc("iou"), F.col("run_id")], 25)
 
 
-@query("runs", "WITH a AS (SELECT run_id, iou, row_number() OVER (ORDER BY iou DESC, run_id) AS rn, 'best' AS kind FROM runs WHERE iou IS NOT NULL UNION ALL SELECT run_id, iou, row_number() OVER (ORDER BY iou, run_id), 'worst' FROM runs WHERE iou IS NOT NULL) SELECT run_id, iou, rn, kind, CAST(floor((rn - 1) / 36) AS BIGINT) AS page FROM a WHERE rn <= 72")
+PAGES = """x AS (SELECT run_id AS tile_id, iou, n_damage AS source, run_id % 7 = 0 AS floods, (run_id * 13 % 100)/100.0::DOUBLE AS painted FROM runs),
+a AS (SELECT tile_id, 'best' AS kind, row_number() OVER (ORDER BY iou DESC, tile_id) AS rn FROM x WHERE iou IS NOT NULL UNION ALL SELECT tile_id, 'worst', row_number() OVER (ORDER BY iou, tile_id) FROM x WHERE iou IS NOT NULL
+UNION ALL SELECT tile_id, 'flooded', row_number() OVER (ORDER BY source, iou DESC, tile_id) FROM x WHERE iou IS NOT NULL AND floods UNION ALL SELECT tile_id, 'negative', row_number() OVER (ORDER BY painted DESC, tile_id) FROM x WHERE iou IS NULL)"""
+
+
+@query("runs", f"WITH {PAGES} SELECT tile_id, kind, rn, CAST(floor((rn - 1) / 36) AS BIGINT) AS page FROM a WHERE rn <= 72")
 def extremes_pages(v: Views):
-    return select.extremes_pages(v.runs.select("run_id", "iou"), "iou", id_="run_id")
+    x = v.runs.selectExpr("run_id as tile_id", "iou", "n_damage as source", "run_id % 7 = 0 as floods", "(run_id * 13 % 100) / 100.0d as painted")
+    return select.extremes_pages(x, "iou", "source", "floods", "painted").select("tile_id", "kind", "rn", "page")
 
 
-@query("poly", "SELECT dca, count(*) AS n FROM poly GROUP BY dca")
+@query("poly", "WITH m AS (SELECT dca, damage_type, count(*) AS k FROM poly GROUP BY ALL), t AS (SELECT dca, damage_type FROM m QUALIFY row_number() OVER (PARTITION BY dca ORDER BY k DESC, damage_type) = 1), c AS (SELECT dca, count(*) AS n, round(avg(r0), 6) AS mean, min(r0) AS low, max(r0) AS high FROM poly GROUP BY dca) SELECT c.dca, n, mean, low, high, t.damage_type AS mode FROM c JOIN t ON c.dca IS NOT DISTINCT FROM t.dca")
 def value_counts(v: Views):
-    return select.value_counts(v.poly, "dca")
+    out = select.value_counts(v.poly, "dca", "r0", "damage_type")
+    return out.withColumn("mean", R("mean"))
 
 
 # --- annotation tables and sets --------------------------------------------------------------------------------
 
 
-@query("annotations", f"WITH k AS (SELECT tile_id, {KIND} AS kind FROM annotations) SELECT tile_id, CASE WHEN bool_or(kind = 'reject') THEN 'reject' WHEN bool_or(kind = 'damage') THEN 'damage' WHEN bool_or(kind = 'clean') THEN 'clean' ELSE 'untouched' END AS verdict FROM k GROUP BY tile_id")
+@query("annotations", f"WITH k AS (SELECT tile_id, {KIND} AS kind FROM annotations) SELECT tile_id, CASE WHEN bool_or(kind = 'reject') THEN 'reject' WHEN bool_or(kind = 'damage') THEN 'damage' WHEN bool_or(kind = 'clean') THEN 'clean' ELSE 'untouched' END AS verdict, CASE WHEN bool_or(kind = 'reject') THEN 'reject' WHEN bool_or(kind = 'damage') THEN 'damage' ELSE 'untouched' END AS verdict_negatives FROM k GROUP BY tile_id")
 def tile_verdict(v: Views):
-    return annotate.tile_verdict(v.annotations)
+    other = annotate.tile_verdict(v.annotations, "negatives").withColumnRenamed("verdict", "verdict_negatives")
+    return annotate.tile_verdict(v.annotations, "empty").join(other, "tile_id")
 
 
-@query("tiles buckets", "WITH r AS (SELECT tile_id, bucket, has_mask, CASE WHEN bucket = 'no_damage' THEN 'negative' ELSE role END AS role FROM tiles JOIN buckets USING (tile_id)) SELECT tile_id, bucket, has_mask, role, NOT coalesce(bucket IN ('delete', 'on_hold', 'risky'), false) AND (role = 'negative' OR has_mask) AS use, CASE WHEN role = 'damage' AND NOT has_mask THEN 'damage without mask' WHEN bucket = 'no_damage' AND has_mask THEN 'negative with mask' END AS warning FROM r")
+# two buckets for some tiles, masks without damage pixels for others, and a third of the negatives reviewed
+MANIFEST = """bk AS (SELECT tile_id, bucket, CASE bucket WHEN 'delete' THEN 0 WHEN 'risky' THEN 1 WHEN 'too_small' THEN 2 WHEN 'no_damage' THEN 3 WHEN 'treecut_ignore' THEN 4 WHEN 'damage_ignore' THEN 5 WHEN 'on_hold' THEN 6 END AS o FROM (SELECT tile_id, CASE WHEN tile_id % 20 = 11 THEN 'too_small' ELSE bucket END AS bucket FROM buckets UNION ALL SELECT tile_id, 'no_damage' FROM buckets WHERE tile_id % 20 = 5) WHERE bucket IS NOT NULL),
+lb AS (SELECT tile_id, max_by(bucket, o) AS bucket, count(DISTINCT bucket) AS nb FROM bk GROUP BY tile_id),
+mk AS (SELECT tile_id, CASE WHEN has_mask THEN CASE WHEN tile_id % 4 = 0 THEN 0 ELSE 1 + tile_id % 50 END END AS px, tile_id % 6 = 0 AS ign FROM buckets),
+mm AS (SELECT t.tile_id, coalesce(bucket, '(unlisted)') AS bucket, px IS NOT NULL AS has_mask, coalesce(px, -1) > 0 AS damage, coalesce(px, 0) AS px, coalesce(ign, false) AS ign, t.role AS ix, coalesce(nb, 0) > 1 AS twice, t.tile_id % 3 = 0 AS rev FROM tiles t LEFT JOIN lb USING (tile_id) LEFT JOIN mk USING (tile_id))"""
+
+
+@query("tiles buckets", f"""WITH {MANIFEST} SELECT tile_id, bucket, has_mask, damage, ign AS ignore,
+ CASE WHEN bucket IN ('delete', 'risky', 'too_small', 'on_hold') THEN 'exclude' WHEN bucket = 'no_damage' THEN CASE WHEN damage THEN 'damage' ELSE 'negative' END WHEN bucket = 'treecut_ignore' THEN CASE WHEN damage THEN 'damage' ELSE 'exclude' END WHEN bucket = 'damage_ignore' OR damage THEN 'damage' WHEN ix = 'negative' THEN CASE WHEN rev THEN 'negative' ELSE 'exclude' END WHEN has_mask THEN 'exclude' ELSE 'skip' END AS role,
+ CASE WHEN bucket IN ('delete', 'risky', 'too_small', 'on_hold') THEN false WHEN bucket = 'no_damage' THEN true WHEN bucket = 'treecut_ignore' THEN damage WHEN bucket = 'damage_ignore' OR damage THEN true WHEN ix = 'negative' THEN rev ELSE false END AS use,
+ concat_ws('; ', CASE WHEN twice THEN 'several buckets' END, CASE WHEN bucket = 'no_damage' AND damage THEN 'no_damage but ' || px || ' damage px' WHEN bucket = 'no_damage' AND NOT has_mask THEN 'no_damage without a mask' WHEN bucket = 'damage_ignore' AND NOT damage THEN 'damage_ignore without damage px' WHEN bucket = '(unlisted)' AND damage AND ix = 'negative' THEN 'negative in the index but ' || px || ' damage px' WHEN bucket = '(unlisted)' AND NOT damage AND ix <> 'negative' AND has_mask THEN 'empty and unlisted' END) AS warning FROM mm""")
 def build_manifest(v: Views):
-    return annotate.build_manifest(v.tiles, v.buckets)
+    b = v.buckets
+    listed = b.select("tile_id", F.when(F.col("tile_id") % 20 == 11, "too_small").otherwise(F.col("bucket")).alias("bucket")).where("bucket is not null")
+    listed = listed.unionByName(b.where("tile_id % 20 = 5").select("tile_id", F.lit("no_damage").alias("bucket")))
+    masks = b.where("has_mask").select("tile_id", F.when(F.col("tile_id") % 4 == 0, 0).otherwise(1 + F.col("tile_id") % 50).cast("long").alias("damage_px"))
+    ignored = b.where("tile_id % 6 = 0").select("tile_id")
+    return annotate.build_manifest(v.tiles, listed, masks, ignored, v.tiles.where("tile_id % 3 = 0").select("tile_id"))
 
 
-VERDICTS = f"vv AS (SELECT tile_id, CASE WHEN bool_or(kind = 'reject') THEN 'reject' WHEN bool_or(kind = 'damage') THEN 'damage' WHEN bool_or(kind = 'clean') THEN 'clean' ELSE 'untouched' END AS v FROM (SELECT tile_id, {KIND} AS kind FROM annotations WHERE ann_id % 3 = 0) GROUP BY tile_id)"
+VERDICTS = f"vv AS (SELECT tile_id, CASE WHEN bool_or(kind = 'reject') THEN 'reject' WHEN bool_or(kind = 'damage') THEN 'damage' WHEN bool_or(kind = 'clean') THEN 'clean' ELSE 'untouched' END AS v FROM (SELECT tile_id, {KIND} AS kind FROM annotations) GROUP BY tile_id)"
 
 
 def _verdicts(v: Views):
-    return annotate.tile_verdict(v.annotations.where("ann_id % 3 = 0"))
+    return annotate.tile_verdict(v.annotations)
 
 
 @query("annotations buckets", f"WITH {VERDICTS}, d AS (SELECT tile_id FROM buckets WHERE bucket = 'delete' UNION SELECT tile_id FROM vv WHERE v = 'reject'), n AS (SELECT tile_id FROM buckets WHERE bucket = 'no_damage' UNION SELECT tile_id FROM vv WHERE v = 'clean') SELECT 'delete' AS list, tile_id FROM d WHERE tile_id NOT IN (SELECT tile_id FROM vv WHERE v IN ('clean', 'damage')) UNION ALL SELECT 'no_damage', tile_id FROM n WHERE tile_id NOT IN (SELECT tile_id FROM vv WHERE v IN ('reject', 'damage'))")
