@@ -1,14 +1,15 @@
 """A hidden Markov language model, trained by Baum-Welch over the whole corpus, with exact forward scores.
 
-A state emits a word class (a hash of the word's last bytes), the class a word: p(w) = B[state, class] * p(w | class),
-with p(w | class) = (c(w) + 1) / (N_class + V_class + 1) from training counts, all unseen words of a class together
-counting as one. As the second factor doesn't depend on the state, the forward recursion runs over classes, and
-the words' part is a sum that joins with the table of counts. Each text ends with an end token of its own class.
+A state emits a word class, the class a word: p(w) = B[state, class] * p(w | class). The SINGLES most frequent words are
+classes of their own, so that states tell them apart; all others belong to a class by a hash of their last bytes, with
+p(w | class) = (c(w) + 1) / (N_class + V_class + 1) from training counts, all unseen words of a class together counting
+as one. As the second factor doesn't depend on the state, the forward recursion runs over classes, and the words' part
+is a sum that joins with the table of counts. Each text ends with an end token of its own class.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -20,8 +21,9 @@ from pyspark.sql import types as T
 
 from standmap.llm.common import materialize
 
-#: The model's size: hidden states, word classes, and the bytes of a word's end that decide its class.
-STATES, CLASSES, SUFFIX = 8, 4096, 4
+#: The model's size: hidden states, word classes, the bytes of a word's end that decide its class, and frequent words that
+#: are classes of their own.
+STATES, CLASSES, SUFFIX, SINGLES = 8, 4096, 4, 4096
 ROUNDS = 5
 #: Most words of highest count that every task holds; all others are looked up by a join. The result is the same for any value.
 HEAD_WORDS = 65_536
@@ -39,19 +41,41 @@ def word_class(word: bytes) -> int:
     return crc32(word[-SUFFIX:]) % CLASSES
 
 
+class _Numbers(dict):
+    """Words numbered as they appear."""
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        return i
+
+    def of(self, text: str | None) -> np.ndarray:
+        w = tokens(text)
+        return np.fromiter(map(self.__getitem__, w), np.int32, len(w))
+
+
 def _word_counts(batches) -> Iterator[pa.RecordBatch]:
-    def rows(c: Counter) -> pa.RecordBatch:
-        w = list(c)
-        return pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([word_class(x) for x in w], pa.int32()), pa.array(list(c.values()), pa.int64())], ["word", "class", "c"])
+    def rows(numbers: _Numbers, times: np.ndarray) -> pa.RecordBatch:
+        w = list(numbers)
+        return pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([word_class(x) for x in w], pa.int32()), pa.array(times)], ["word", "class", "c"])
+
+    numbers, waiting, size = _Numbers(), [], 0
+    times = np.zeros(0, np.int64)
+
+    def added() -> np.ndarray:
+        now = np.bincount(np.concatenate(waiting), minlength=len(numbers)) if waiting else np.zeros(len(numbers), np.int64)
+        now[: len(times)] += times
+        return now
 
-    held: Counter = Counter()
     for b in batches:
         for t in b.column(0).to_pylist():
-            held.update(tokens(t))
-            if len(held) >= HELD_WORDS:
-                yield rows(held)
-                held = Counter()
-    yield rows(held)
+            waiting.append(numbers.of(t))
+            size += len(waiting[-1])
+            if size >= STEP_TOKENS or len(numbers) >= HELD_WORDS:
+                times, waiting, size = added(), [], 0
+                if len(numbers) >= HELD_WORDS:
+                    yield rows(numbers, times)
+                    numbers, times = _Numbers(), np.zeros(0, np.int64)
+    yield rows(numbers, added())
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -214,30 +238,52 @@ _ENCODED = T.StructType(
 )
 
 
-def _encode(held: DataFrame, counts: DataFrame, denominators: np.ndarray, head_words: int) -> DataFrame:
+def _singles(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The ``most`` words of highest count, and their counts."""
+    return [(bytes(r[0]), r[1]) for r in counts.select("word", "c").orderBy(F.desc("c"), "word").limit(most).collect()]
+
+
+def _lists(of: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """``values`` as ``n`` lists; ``of`` says, in order, which list each one is in."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), values)
+
+
+def _encode(held: DataFrame, head: dict[bytes, int], singles: dict[bytes, int], denominators: np.ndarray) -> DataFrame:
     """Class sequences, the sums over words that every task knows, and how often each other word occurs in a text."""
-    shared = held.sparkSession.sparkContext.broadcast((_head(counts, head_words), denominators))
+    shared = held.sparkSession.sparkContext.broadcast((head, singles, denominators))
 
     def run(batches):
-        head, below = shared.value
-        logs = {w: np.log10(c + 1.0) for w, c in head.items()}
-        classes: dict[bytes, int] = {}
+        head, singles, below = shared.value
+        numbers, names = _Numbers(), []
+        class_of, log_of = np.zeros(0, np.uint16), np.zeros(0)
         for b in batches:
-            out = []
-            for t in b.column(3).to_pylist():
-                w = tokens(t)
-                times = Counter(w)
-                if len(classes) > HELD_WORDS:
-                    classes.clear()
-                for x in times:
-                    if x not in classes:
-                        classes[x] = word_class(x)
-                seq = np.fromiter(map(classes.__getitem__, w), np.uint16, len(w))
-                tail = [x for x in times if x not in logs]
-                known = len(w) - sum(times[x] for x in tail)
-                score = sum(n * logs[x] for x, n in times.items() if x in logs)
-                out.append((len(w) + 1, np.append(seq, np.uint16(END)).tobytes(), score, known, float(below[seq].sum()), tail, [times[x] for x in tail]))
-            columns = [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())))]
+            if len(numbers) >= HELD_WORDS:
+                numbers, names = _Numbers(), []
+                class_of, log_of = class_of[:0], log_of[:0]
+            texts = [numbers.of(t) for t in b.column(3).to_pylist()]
+            n, lengths = len(texts), np.array([len(x) for x in texts], np.int64)
+            word, text = np.concatenate([np.zeros(0, np.int32), *texts]), np.repeat(np.arange(n), lengths)
+            new = list(itertools.islice(numbers, len(names), None))
+            names += new
+            class_of = np.append(class_of, np.array([singles.get(w) or word_class(w) for w in new], np.uint16))
+            log_of = np.append(log_of, np.log10([head.get(w, -1) + 1.0 or np.nan for w in new]))
+            classes, logs = class_of[word], log_of[word]
+            tail = np.isnan(logs)
+            total = lambda x: np.bincount(text, weights=x, minlength=n).astype(np.float64)  # noqa: E731, B023
+            sequences = np.full(len(word) + n, END, np.uint16)
+            sequences[np.arange(len(word)) + text] = classes
+            ends = 2 * np.concatenate(([0], np.cumsum(lengths + 1)))
+            own, times = np.unique(text[tail] * len(names) + word[tail], return_counts=True)
+            of = own // max(1, len(names))
+            columns = [
+                pa.array(lengths + 1),
+                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(sequences)]),
+                pa.array(total(np.where(tail, 0.0, logs))),
+                pa.array(total(~tail).astype(np.int64)),
+                pa.array(total(below[classes])),
+                _lists(of, n, pa.array([names[i] for i in (own % max(1, len(names))).tolist()], pa.binary())),
+                _lists(of, n, pa.array(times.astype(np.int32))),
+            ]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], _ENCODED.names)
 
     return held.mapInArrow(run, _ENCODED)
@@ -256,12 +302,19 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     counts = materialize(count_words(train), "counts")
     ends = train.count()
     per_class = counts.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # CLASSES rows at most
-    n, v = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+    single = _singles(counts, SINGLES)
+    n, v = np.zeros(CLASSES + 1 + len(single)), np.zeros(CLASSES + 1 + len(single))
     for r in per_class:
         n[r[0]], v[r[0]] = r[1], r[2]
     n[END], v[END] = ends, int(ends > 0)
+    tokens_all, words_all = float(n.sum()), float(v.sum())
+    for i, (w, c) in enumerate(single, END + 1):
+        n[word_class(w)] -= c
+        v[word_class(w)] -= 1
+        n[i] = c  # and no other word in its class, unseen ones neither: its share there is 1
     model = Model.drawn(n, v, states, seed)
-    encoded = materialize(_encode(held, counts, model.denominators, head_words), "encoded")
+    singles = {w: i for i, (w, _) in enumerate(single, END + 1)}
+    encoded = materialize(_encode(held, _head(counts, head_words) | dict(single), singles, model.denominators), "encoded")
     model = baum_welch(encoded.where("not held_out").select("classes"), model, rounds)
     final = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -275,7 +328,6 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hidden = kept.mapInArrow(forward, T.StructType([*(f for f in kept.schema.fields if f.name != "classes"), T.StructField("hidden_log", T.DoubleType())]))
     tail = encoded.select("uid", F.explode(F.arrays_zip("words", "times")).alias("w")).select("uid", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     sums = tail.join(counts, "word").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("tail_log"), F.sum("times").alias("tail_known"))
-    tokens_all, words_all = float(n.sum()), float(v.sum())
     word_log = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0))
     end_log = float(np.log10(ends + 1.0))
     return hidden.join(sums, "uid", "left").select(
