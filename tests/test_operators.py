@@ -157,12 +157,32 @@ def test_within_region_and_holes(spark):
     assert {r.cand_id for r in spatial.within_region(cand, 5, regions, cell=30).collect()} == {1, 6}
 
 
+def test_boxes_across_touching_and_overlapping_rings_lie_in_the_union(spark):
+    ring = lambda i, pts: [(i, "surveyed", k, float(x), float(y)) for k, (x, y) in enumerate(pts)]
+    rows = ring(1, [(0, 0), (50, 0), (50, 100), (0, 100)]) + ring(2, [(50, 20), (100, 20), (100, 80), (50, 80)]) + ring(3, [(90, 30), (150, 30), (150, 70), (90, 70)])
+    regions = spark.createDataFrame(rows, "region_id long, kind string, k long, x double, y double")
+    cand = spark.createDataFrame([(1, 50.0, 50.0), (2, 50.0, 18.0), (3, 95.0, 50.0), (4, 95.0, 72.0), (5, 100.0, 50.0), (6, 52.0, 86.0), (7, 148.0, 50.0)], "cand_id long, cx double, cy double")
+    assert {r.cand_id for r in spatial.within_region(cand, 5, regions, cell=30).collect()} == {1, 3, 4, 5} - {4}
+
+
+def test_features_are_polygons_not_boxes(spark):
+    """A box beside a triangle's slope, one across it, one inside a large ring, and one around a point."""
+    v = [(1, k, x, y) for k, (x, y) in enumerate(((0.0, 0.0), (100.0, 0.0), (0.0, 100.0)))] + [(2, k, x, y) for k, (x, y) in enumerate(((200.0, 0.0), (300.0, 0.0), (300.0, 100.0), (200.0, 100.0)))] + [(3, 0, 400.0, 50.0)]
+    cand = spark.createDataFrame([(1, 80.0, 80.0), (2, 50.0, 50.0), (3, 250.0, 50.0), (4, 398.0, 52.0), (5, 180.0, 50.0)], "cand_id long, cx double, cy double")
+    got = spatial.clear_of_features(cand, 5, spark.createDataFrame(v, "poly_id long, k long, x double, y double"), 2, cell=40)
+    assert {r.cand_id for r in got.collect()} == {1, 5}
+
+
 def test_overlap_of_moved_polygons(spark):
     square = lambda i, x, y, s: [(i, k, x + s * a, y + s * b) for k, (a, b) in enumerate(((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)))]
     a = spark.createDataFrame(square(1, 0, 0, 10), "poly_id long, k long, x double, y double")
     b = spark.createDataFrame(square(1, 5, 0, 10), "poly_id long, k long, x double, y double")
     r = spatial.polygon_overlap(a, b, 64).first()
     assert abs(r.iou_raw - 1 / 3) < 0.03 and r.iou_shift == 1.0 and r.shift_m == 5 and r.area_ratio == 1
+    # centroids, not means of vertices: one more vertex on a side moves nothing
+    more = spark.createDataFrame([*square(1, 0, 0, 10), (1, 9, 0.0, 5.0)], "poly_id long, k long, x double, y double")
+    r = spatial.polygon_overlap(a, more, 64).first()
+    assert abs(r.shift_m) < 1e-9 and r.iou_shift == 1.0
 
 
 def test_interleaving_is_a_permutation_in_rounds(spark):
@@ -254,7 +274,7 @@ def test_selected_epoch_needs_a_margin(spark):
 
 def test_plans_of_spatial_joins_have_no_nested_loops(spark):
     cand = spark.range(10).selectExpr("id as cand_id", "cast(id as double) cx", "cast(id as double) cy")
-    feat = spark.range(10).selectExpr("cast(id as double) xmin", "cast(id as double) xmax", "cast(id as double) ymin", "cast(id as double) ymax")
+    feat = spark.range(10).selectExpr("id as poly_id", "0 as k", "cast(id as double) x", "cast(id as double) y")
     for df in (spatial.clear_of_features(cand, 5, feat), spatial.min_spacing_to(cand, cand.selectExpr("cx as x", "cy as y"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
@@ -266,12 +286,164 @@ def test_shares_are_taken_without_one_task(spark):
     t = spark.createDataFrame(rows, "tile_id long, source_id long, role string, pos boolean")
     key = lambda i: ((i * 7919 + 42 * 104729) % 1000003, i)
     negatives = sorted((i for i in range(400) if i % 4), key=key)
-    capped = select.capped_negatives(t, 400, 0.25, 42, "tile_id")
+    capped = select.capped_negatives(t, 0.25, 42, "tile_id")
     sample = select.ratio_sample(t, "pos", 0.25)
     held = splits.group_holdout(t, "source_id")
-    assert [r.tile_id for r in capped.collect()] == negatives[:25]
+    first = [i for n, i in enumerate(negatives) if i % 50 not in {j % 50 for j in negatives[:n]}]  # one of each source
+    assert [r.tile_id for r in capped.collect()] == first[:25]
     assert {r.tile_id for r in sample.where("not pos").collect()} == set(negatives[:25]) and sample.where("pos").count() == 100
     assert {r.source_id for r in held.where("part = 'val'").collect()} == set(sorted(range(50), key=key)[:8])
     for df in (capped, sample, held):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "GlobalLimit" not in plan and "LocalLimit" not in plan
+
+
+SIZES = {1: (24, 20), 2: (40, 40), 3: (5, 33)}
+
+
+def sized(spark, seed=0):
+    """Pixels of tiles of several sizes, and their rasters."""
+    rng = np.random.default_rng(seed)
+    v = {t: rng.random(s) for t, s in SIZES.items()}
+    m = {t: rng.random(s) < 0.3 for t, s in SIZES.items()}
+    rows = [(t, y, x, float(v[t][y, x]), bool(m[t][y, x]), int(255 * v[t][y, x]), int(255 * v[t][y, x] ** 2), 90, 120) for t, (h, w) in SIZES.items() for y in range(h) for x in range(w)]
+    return spark.createDataFrame(rows, "tile_id long, y int, x int, v double, m boolean, r int, g int, b int, nir int"), v, m
+
+
+def as_rasters(df, col):
+    out = {t: np.full(s, np.nan) for t, s in SIZES.items()}
+    for r in df.select("tile_id", "y", "x", col).collect():
+        assert np.isnan(out[r.tile_id][r.y, r.x])
+        out[r.tile_id][r.y, r.x] = float(r[col])
+    assert not any(np.isnan(a).any() for a in out.values())
+    return out
+
+
+def test_windows_take_each_tiles_own_size(spark):
+    px, v, m = sized(spark)
+    pad = lambda a, k: np.pad(a, ((k // 2, k - 1 - k // 2),) * 2, mode="symmetric")
+    box = lambda a, k: np.array([[pad(a, k)[y : y + k, x : x + k].mean() for x in range(a.shape[1])] for y in range(a.shape[0])])
+    got = as_rasters(raster.box_stats(px, "v", 9), "box_mean")
+    assert all(np.allclose(got[t], box(v[t], 9)) for t in SIZES)
+    w = np.exp(-0.5 * (np.arange(-8, 9) / 2.0) ** 2)
+    w /= w.sum()
+    smooth = lambda a: np.apply_along_axis(lambda c: np.convolve(np.pad(c, 8, mode="symmetric"), w, "valid"), 0, np.apply_along_axis(lambda c: np.convolve(np.pad(c, 8, mode="symmetric"), w, "valid"), 1, a))
+    got = as_rasters(raster.gaussian_blur(px, "v", 2.0), "blur")
+    assert all(np.allclose(got[t], smooth(v[t])) for t in SIZES)
+    for op, grow in (("dilate", True), ("erode", False)):
+        for k in (3, 4, 7):
+            wide = lambda a, k=k: np.pad(a, ((k // 2, k - 1 - k // 2),) * 2)
+            want = {t: np.array([[(np.any if grow else np.all)(wide(m[t])[y : y + k, x : x + k]) for x in range(s[1])] for y in range(s[0])]) for t, s in SIZES.items()}
+            got = as_rasters(raster.morphology(px, "m", op, "square", k=k), "m")
+            assert all((got[t] == want[t]).all() for t in SIZES)
+    got = raster.shift_mask(px, "m", 6, -3).collect()
+    assert {(r.tile_id, r.y, r.x) for r in got} == {(t, y - 3, x + 6) for t, (h, w_) in SIZES.items() for y, x in np.argwhere(m[t]).tolist() if y >= 3 and x + 6 < w_}
+    for name in ("stress", "damage_map"):
+        assert as_rasters(raster.gap_and_damage_map(px, "m"), name)[2].shape == (40, 40)
+    d = as_rasters(raster.distance_transform(px, "m"), "dist")
+    for t, (h, w_) in SIZES.items():
+        at = np.argwhere(m[t])
+        assert all(math.isclose(d[t][y, x], math.sqrt(((at - (y, x)) ** 2).sum(1).min()), abs_tol=1e-9) for y in range(h) for x in range(w_))
+
+
+def test_views_of_oblong_tiles_are_undone(spark):
+    px, v, _ = sized(spark)
+    rows = [(t, k, f, y, x, float((np.fliplr(np.rot90(v[t], k)) if f else np.rot90(v[t], k))[y, x])) for t in SIZES for k in range(4) for f in (False, True) for y in range(np.rot90(v[t], k).shape[0]) for x in range(np.rot90(v[t], k).shape[1])]
+    got = as_rasters(raster.tta_average(spark.createDataFrame(rows, "tile_id long, turns int, flip boolean, y int, x int, prob double")), "prob")
+    assert all(np.allclose(got[t], v[t]) for t in SIZES)
+
+
+def test_compositions_keep_every_pixel(spark):
+    px, _, _ = sized(spark)
+    assert as_rasters(raster.proximity_map(px, "v"), "proximity")[1].shape == (24, 20)
+    out = raster.weak_label(px, "v", shift=3)
+    assert as_rasters(out, "weak")[3].any() and as_rasters(out, "corrupt")[3].shape == (5, 33)
+    empty = px.withColumn("m", F.lit(False))
+    near = as_rasters(raster.near_prior(empty, "m", "near"), "near")
+    assert all(a.all() for a in near.values())  # without a prior, everywhere
+    one = as_rasters(raster.near_prior(px.withColumn("m", F.expr("y = 0 and x = 0")), "m", "near"), "near")
+    assert one[2][:4, :4].sum() == one[2].sum() == 16  # 15% of 40 is 6: a pixel sees from 3 before to 2 behind it
+
+
+def test_alignment_finds_a_planted_shift(spark):
+    """A block of stress, and a mask of its shape at another place: the search moves the mask onto it."""
+    rows = []
+    for y in range(40):
+        for x in range(40):
+            rows.append((1, y, x, 12 <= y < 24 and 14 <= x < 30, 1.0 if 17 <= y < 29 and 8 <= x < 24 else 0.0))
+            rows.append((2, y, x, y < 2 and x < 2, 0.5))
+    px = raster.proximity_map(spark.createDataFrame(rows, "tile_id long, y int, x int, m boolean, stress double"), "stress", pct=0)
+    got = {r.tile_id: r for r in raster.alignment_search(px, "m", "stress", radius=10, step=4, fine=4).collect()}
+    assert (got[1].dx, got[1].dy) == (-6, 5) and got[1].score > 0.6
+    assert (got[2].dx, got[2].dy, got[2].score) == (0, 0, 0.0)  # too small to move
+
+
+def test_rules_of_scores(spark):
+    """Worked by hand: paint-everything needs recall and imprecision, empty tiles pool their pixels, collapsed folds, wrapped turns."""
+    rows = [(1, 0, x, x < 2, True, False) for x in range(40)] + [(2, 0, x, x < 30, True, False) for x in range(40)] + [(3, 0, x, False, x < 1, False) for x in range(2)] + [(4, 0, x, False, False, False) for x in range(38)]
+    px = spark.createDataFrame(rows, "tile_id long, y int, x int, gt boolean, pred boolean, ign boolean")
+    assert {r.tile_id: r.paints_all for r in evaluate.recall_precision(px, "pred").collect()} == {1: True, 2: False}
+    s = evaluate.recall_precision_summary(evaluate.recall_precision(px, "pred")).first()
+    assert s.recall == 1 and math.isclose(s.precision_like, (2 / 40 + 30 / 40) / 2) and s.recall_clean == 1 and s.paints_all == 1
+    assert math.isclose(evaluate.macro_scores(px, "pred").first().false_positive_rate, 1 / 40)
+    folds = spark.createDataFrame([(f, v) for f, v in enumerate((0.5, 0.4, 0.3, 0.15, 0.04))], "fold int, iou double")
+    assert {r.fold for r in evaluate.fold_health(folds).where("collapsed").collect()} == {4}
+    log = lambda n: spark.createDataFrame([(0, e + 1, 1.0 + (0.1 if e >= n - 3 else 0.0), 0.5) for e in range(n)], "fold int, epoch long, loss double, inner_iou double")
+    assert evaluate.convergence_check(log(12)).first().rising is True
+    short = evaluate.convergence_check(log(5)).first()
+    assert short.rising is None and short.last is None
+    same = spark.createDataFrame([(1.0, i % 2 == 0) for i in range(10)], "v double, g boolean").withColumn("v", F.lit(1.0))
+    big = same.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(300_000)))).select("v", "g")
+    m = evaluate.mann_whitney(big, "v", "g").first()
+    assert m.n1 == m.n2 == 1_500_000 and m.z is None
+    q = spark.createDataFrame([(float(i), i / 10) for i in range(12)], "d double, iou double").withColumn("silent", F.lit(False))
+    assert sorted((r.quartile, r.n, r.low, r.high) for r in evaluate.quartile_report(q, "d").collect()) == [(1, 3, 0.0, 2.75), (2, 3, 2.75, 5.5), (3, 3, 5.5, 8.25), (4, 3, 8.25, 11.0)]
+    assert evaluate.quartile_report(q.withColumn("d", 100 + F.col("d") / 10), "d").count() == 0  # hardly any spread
+    turned = {"pair_id": 1, "regime": 0} | {"g" + k: x for k, x in zip(("a", "b", "tx", "c", "d", "ty"), (math.cos(3.1), 0.0, 0.0, math.sin(3.1), 1.0, 0.0), strict=True)} | {"p" + k: x for k, x in zip(("a", "b", "tx", "c", "d", "ty"), (math.cos(-3.1), math.tan(0.2), 0.0, math.sin(-3.1), 1.5, 0.0), strict=True)}
+    r = evaluate.affine_errors(spark.createDataFrame([tuple(turned.values())], list(turned))).first()
+    assert math.isclose(r.turn_deg, math.degrees(2 * math.pi - 6.2), abs_tol=1e-6) and math.isclose(r.scale, 0.25, abs_tol=1e-9) and math.isclose(r.shear_deg, math.degrees(0.2), abs_tol=1e-9)
+    e = spark.createDataFrame([(0, 1.0, 10.0), (0, 3.9, 10.0), (0, 4.0, 10.0), (1, 6.5, 10.0), (2, 8.0, 10.0)], "regime int, corner_px double, idle_px double")
+    assert {r.regime: (r.verdict, r.largest) for r in evaluate.recoverability(e).collect()} == {0: ("recovered", 10.0), 1: ("partial", None), 2: ("not recovered", None)}
+
+
+def test_quantiles_equal_sorting(spark):
+    rng = np.random.default_rng(4)
+    v = np.round(rng.random(200), 2)
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    got = evaluate.quantiles(df, "v", (0.0, 0.25, 0.5, 0.99, 1.0)).first().q
+    assert np.allclose(got, np.quantile(v, (0.0, 0.25, 0.5, 0.99, 1.0)))
+    assert evaluate.quantiles(df.where("v > 2"), "v", (0.5,)).first().q == [None]
+
+
+def test_manifest_rules(spark):
+    """A later list wins, damage pixels beat a bucket of negatives, and untrusted negatives stay out."""
+    tiles = spark.createDataFrame([(i, "negative" if i in (6, 7, 8) else "damage") for i in range(1, 13)], "tile_id long, role string")
+    buckets = spark.createDataFrame([(1, "delete"), (1, "no_damage"), (2, "no_damage"), (3, "treecut_ignore"), (4, "treecut_ignore"), (5, "damage_ignore"), (9, "too_small"), (12, "no_damage")], "tile_id long, bucket string")
+    masks = spark.createDataFrame([(2, 9), (3, 4), (4, 0), (8, 3), (9, 50), (10, 0)], "tile_id long, damage_px long")
+    out = {r.tile_id: (r.role, r.use, r.warning) for r in annotate.build_manifest(tiles, buckets, masks, tiles.limit(0), tiles.where("tile_id = 6")).collect()}
+    assert out == {
+        1: ("negative", True, "several buckets; no_damage without a mask"), 2: ("damage", True, "no_damage but 9 damage px"), 3: ("damage", True, ""), 4: ("exclude", False, ""),
+        5: ("damage", True, "damage_ignore without damage px"), 6: ("negative", True, ""), 7: ("exclude", False, ""), 8: ("damage", True, "negative in the index but 3 damage px"),
+        9: ("exclude", False, ""), 10: ("exclude", False, "empty and unlisted"), 11: ("skip", False, ""), 12: ("negative", True, "no_damage without a mask"),
+    }
+
+
+def test_clean_counts_in_the_job_of_empty_tiles_alone(spark):
+    ann = spark.createDataFrame([(1, "clean"), (2, "clean"), (2, "dead"), (3, "prior")], "tile_id long, label string")
+    by = lambda job: {r.tile_id: r.verdict for r in annotate.tile_verdict(ann, job).collect()}
+    assert by("empty") == {1: "clean", 2: "damage", 3: "untouched"} and by("negatives") == {1: "untouched", 2: "damage", 3: "untouched"}
+
+
+def test_circles_are_masked_like_brute_force(spark):
+    """Masks of all shapes against the even-odd rule at pixel centres."""
+    rows = [(1, 1, "damage", "circle", [[5.0, 5.0], [8.3, 5.0]]), (1, 2, "ignore", "circle", [[9.1, 9.2], [9.1, 12.0]]), (1, 3, "damage", "polygon", [[1.2, 9.0], [4.0, 15.0], [0.4, 14.0]])]
+    s = spark.createDataFrame(rows, "tile_id long, shape_id long, kind string, shape_type string, points array<array<double>>")
+    shapes = s.withColumn("ring", annotate.shape_to_polygon(F.col("shape_type"), F.col("points")))
+    rings = {r.shape_id: r.ring for r in shapes.collect()}
+
+    def inside(ring, x, y):
+        return sum((a[1] <= y) != (b[1] <= y) and a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) > x for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)) % 2 == 1
+
+    at = {k: {(y, x) for y in range(16) for x in range(16) if inside(ring, x + 0.5, y + 0.5)} for k, ring in rings.items()}
+    got = raster.shapes_to_masks(shapes, 16, 16).collect()
+    assert {(r.y, r.x) for r in got if r.damage} == at[1] | at[3] and {(r.y, r.x) for r in got if r.ignore} == at[2] - at[1] - at[3]
