@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from standmap.operators import evaluate as ev
 from standmap.operators import learn, report, splits
 from standmap.operators.raster import label_coverage
-from standmap.plans.rasters import _morph, blobs_sql
+from standmap.operators.select import per_class_sample
+from standmap.plans.rasters import _box_sql, _morph, blobs_sql
 from standmap.plans.registry import query
 from standmap.plans.tables import RAND
 from standmap.sources import io
@@ -69,10 +70,17 @@ def leakage_check(v: Views):
 # --- the pixel classifier --------------------------------------------------------------------------------------
 
 
-@query()
+FEATURES_SQL = _box_sql("(r/255.0::DOUBLE + g/255.0::DOUBLE + b/255.0::DOUBLE)/3", 9)
+
+
+@query("pixels", f"WITH {FEATURES_SQL}, p AS (SELECT pixels.*, r/255.0::DOUBLE AS rr, g/255.0::DOUBLE AS gg, nir/255.0::DOUBLE AS nn, sqrt(greatest(0.0, q - m*m)) AS t FROM pixels JOIN boxed USING (tile_id, y, x)) SELECT tile_id, round(avg(r), 4) AS r, round(avg(g), 4) AS g, round(avg(b), 4) AS b, round(avg((nn-rr)/(nn+rr+1e-3)), 4) AS ndvi, round(avg((rr-gg)/(rr+gg+1e-3)), 4) AS redness, round(avg((rr+gg+b/255.0::DOUBLE)/3), 4) AS brightness, round(avg(t), 4) AS texture FROM p GROUP BY tile_id")
 def pixel_features(v: Views):
     out = learn.pixel_features(v.pixels)
-    return out.groupBy("tile_id").agg(*(R(F.avg(c), 5).alias(c) for c in learn.FEATURES))
+    return out.groupBy("tile_id").agg(*(R(F.avg(c), 4).alias(c) for c in learn.FEATURES))
+
+
+#: Pixels of a tile and class that the forests of the queries learn from; all tiles are scored whole.
+PER_CLASS = 20
 
 
 def _features(v: Views):
@@ -82,18 +90,18 @@ def _features(v: Views):
 @query()
 def pixel_classifier(v: Views):
     px = _features(v)
-    scored = learn.pixel_classifier(px.where("tile_id % 2 = 0"), px.where("tile_id % 2 = 1"))
+    scored = learn.pixel_classifier(per_class_sample(px.where("tile_id % 2 = 0"), "gt", PER_CLASS), px.where("tile_id % 2 = 1"))
     return rounded(scored.groupBy("tile_id").agg(F.avg(F.when(F.col("gt"), F.col("score"))).alias("inside"), F.avg(F.when(~F.col("gt"), F.col("score"))).alias("outside")), n=4)
 
 
 @query()
 def leave_one_out_score(v: Views):
-    return learn.leave_one_out_score(_features(v), max_tiles=2, trees=5, per_class=20)
+    return learn.leave_one_out_score(_features(v), trees=20, per_class=PER_CLASS)
 
 
 @query()
 def learned_drafts(v: Views):
-    return learn.learned_drafts(_features(v), v.annotations.where("version = '6.3.1'").select("tile_id").distinct(), trees=5, per_class=20)
+    return learn.learned_drafts(_features(v), v.annotations.where("version = '6.3.1'").select("tile_id").distinct(), per_class=PER_CLASS)
 
 
 @query("pixels", "SELECT tile_id, round(avg(prob), 6) AS mean, CAST(sum(r) AS BIGINT) AS r FROM pixels GROUP BY tile_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -11,18 +12,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+_made: set[str] = set()
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (one machine), below a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("standmap.scratch", None)
+    """A new folder name below ``spark.checkpoint.dir``, which every executor can reach; the application's folder goes at its end.
+
+    Where the session names no such folder, a temporary one is made, on a single machine only.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("standmap.scratch", None)
     if not base:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="standmap-")
         spark.conf.set("standmap.scratch", base)
-    return f"{base.rstrip('/')}/standmap/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    top = f"{base.rstrip('/')}/standmap/{context.applicationId}"
+    if top not in _made:
+        path = context._jvm.org.apache.hadoop.fs.Path(top)
+        fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _made.add(top)
+    return f"{top}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, which cuts its lineage."""
-    path = scratch(df.sparkSession)
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once to the shared folder and read back: lineage ends, a lost executor costs nothing."""
+    path = f"{scratch(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
