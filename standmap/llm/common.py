@@ -1,40 +1,21 @@
-"""Helpers shared by the text operators: the shared scratch folder, written tables, ASCII tokens."""
+"""Helpers shared by the text operators: written tables, ASCII tokens, values computed once a row."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from standmap.sources.store import materialize, scratch
+
+__all__ = ["ascii_lower", "discard", "free_name", "materialize", "once", "scratch", "words"]
+
 #: Java pattern of a white-space delimited word, and of the white space between words.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, which every executor can reach.
-
-    Where the session names no such folder (a single machine, as in tests) one is made and set.
-    """
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("standmap.scratch", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="standmap-")
-        spark.conf.set("standmap.scratch", base)
-    return f"{base.rstrip('/')}/standmap/{context.applicationId}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends, a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(spark: SparkSession, df: DataFrame | None) -> None:
     """Remove the files of a table made by :func:`materialize` that nothing reads any more."""
     if df is None:
