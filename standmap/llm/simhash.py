@@ -7,7 +7,9 @@ segments of a chain and in two of the next three (one bit spoils one segment), w
 rest of the chain is checked before the full Hamming distance.
 
 :func:`keep_one` looks wider: texts whose five-word shingles have a Jaccard similarity of 0.8 differ in about eight
-bits, so its chains run at twelve (budgets 1, 3, 4, 6 and so on), and each candidate is verified by exact Jaccard.
+bits, so its chains run at twelve (budgets 1, 3, 4, 6 and so on). A first pass over fingerprints alone finds the texts
+that have a candidate; only these go on with their shingles, and the exact Jaccard similarity decides. A group is
+searched from text to text, so that a text that is joined already isn't compared again and links are fewer than texts.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +34,9 @@ WIDE, SHINGLE, SIMILARITY = 12, 5, 0.8
 BLOCK = 4096
 #: Of the third to fifth segment of a chain, the two that agree.
 _PAIRS = ((2, 3), (2, 4), (3, 4))
-#: Texts of one size class that a task compares at a wide distance, and pairs that it looks at together.
-WIDE_BLOCK, TOGETHER = 131_072, 2_000_000
+#: Texts of one size class that a task compares at a wide distance, shingles that it verifies, and pairs or shingles that
+#: it looks at together. Larger classes are cut into blocks, and each pair of blocks compared.
+WIDE_BLOCK, WIDE_SHINGLES, TOGETHER = 131_072, 2_000_000, 2_000_000
 
 
 def shingle_hashes(words: list[bytes], size: int = 3, seed: int = 42) -> np.ndarray:
@@ -90,11 +93,11 @@ def chain_keys(fps: DataFrame) -> DataFrame:
 
 
 def close(fp: np.uint64, others: np.ndarray, start: int) -> np.ndarray:
-    """Which of ``others`` link with ``fp``: the chain's budgets first, then the full Hamming distance."""
+    """Which of ``others`` link with ``fp`` by a chain from ``start``: the budget of seven segments first, then all others and the Hamming distance."""
     x = np.bitwise_xor(others, fp)
     turned = x if not start else (x << np.uint64(8 * start)) | (x >> np.uint64(BITS - 8 * start))
     chain = np.flatnonzero(np.bitwise_count(turned >> np.uint64(BITS - 8 * 7)) <= DISTANCE * 7 // SEGMENTS)
-    return chain[np.bitwise_count(x[chain]) <= DISTANCE]
+    return chain[chained(x[chain], start, DISTANCE)]
 
 
 def forest(left: np.ndarray, right: np.ndarray | None, start: int) -> Iterator[tuple[int, int]]:
@@ -165,10 +168,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
-def shingle_set(text: str | None, size: int = SHINGLE) -> set[tuple[bytes, ...]]:
-    """The distinct runs of ``size`` words; the whole sequence if it is shorter; nothing without words."""
-    w = _words(text)
-    return set(zip(*(w[i:] for i in range(size)), strict=False)) if len(w) >= size else {tuple(w)} if w else set()
+def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of runs of ``size`` words, in order; of the whole sequence if it is shorter; none without words."""
+    return np.unique(shingle_hashes(_words(text), size))
 
 
 def _sized(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
@@ -218,68 +220,119 @@ def _within(fp: np.ndarray, left: np.ndarray, right: np.ndarray, start: int, dis
             yield a[ok], b[ok]
 
 
-def wide_candidates(nodes: DataFrame, distance: int = WIDE, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b), a < b: every pair of texts (text_hash, fp, n) within ``distance`` bits whose sizes allow ``similarity``.
+def _dealt(rows: DataFrame, weight: Column, most: int, similarity: float, more: list[str], starts: bool) -> DataFrame:
+    """Rows (text_hash, fp, n, ...) as guests and at home in classes ``g`` of like sizes, and in pairs of blocks (i, j).
 
-    Texts are dealt to classes by size, so that a text can be similar to those of its class and the next ones only; a
-    class beyond WIDE_BLOCK is cut into blocks, and each pair of blocks compared by a task for each start of a chain.
+    A text can be similar to those of its class and the next ones only. A class of more than ``most`` of ``weight`` is
+    cut into blocks by hash; with ``starts``, a pair of blocks comes once for each start of a chain.
     """
     width = np.log(1.001 / similarity)
     class_ = F.when(F.col("n") == 0, -2).otherwise(F.floor(F.log("n") / F.lit(float(width)))).cast("long")
-    places = F.explode(F.array(*(F.struct((class_ + k).alias("g"), F.lit(bool(k)).alias("guest")) for k in (0, 1))))
-    rows = nodes.select("text_hash", "fp", "n", places.alias("p")).select("text_hash", "fp", "n", "p.g", "p.guest")
-    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("guest")).alias("homes")).where("homes > 0 and m > 1")
-    sizes = sizes.select("g", F.ceil(F.col("m") / WIDE_BLOCK).cast("long").alias("blocks"))  # a row for each class
+    places = F.explode(F.array(*(F.struct((class_ + k).alias("g"), F.lit(k).cast("long").alias("guest")) for k in (0, 1))))
+    kept = ["text_hash", "fp", "n", *more]
+    rows = rows.select(*kept, places.alias("p")).select(*kept, "p.g", "p.guest")
+    sizes = rows.groupBy("g").agg(F.sum(weight).alias("w"), F.count(F.lit(1)).alias("m"), F.count_if(F.col("guest") == 0).alias("homes")).where("homes > 0 and m > 1")
+    sizes = sizes.select("g", F.greatest(F.lit(1), F.ceil(F.col("w") / most)).cast("long").alias("blocks"))  # a row for each class
     rows = rows.join(F.broadcast(sizes), "g").withColumn("mine", F.pmod(F.xxhash64("text_hash", F.lit(1)), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("start", F.explode(F.array(*map(F.lit, range(SEGMENTS)))))
-    rows = rows.select("g", F.col("start").cast("long").alias("start"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", F.col("guest").cast("long").alias("guest"), "text_hash", "fp", "n")
-    rows = rows.repartition("g", "start", "i", "j").sortWithinPartitions("g", "start", "i", "j")
-
-    def compare(m: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start, i, j = (int(x) for x in m[1:4, 0])
-        guest, t, fp, n = m[5] > 0, m[6], m[7].view(np.uint64), m[8]
-        left = np.flatnonzero(m[4] == i)
-        right = left if i == j else np.flatnonzero(m[4] == j)
-        for a, b in _within(fp, left, right, start, distance):
-            ok = ~(guest[a] & guest[b]) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])) & (t[a] != t[b])
-            if ok.any():
-                x, y = t[a[ok]], t[b[ok]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumn("start", F.explode(F.array(*(F.lit(k).cast("long") for k in range(SEGMENTS if starts else 1)))))
+    keys = ["g", "start", "i", "j"]
+    rows = rows.select("g", "start", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "guest", *kept)
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def _grouped(batches, keys: int) -> Iterator[pa.Table]:
+    """Rows that come sorted by their first ``keys`` columns, in groups of equal keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        m = np.stack([b.column(k).to_numpy() for k in range(keys)])
+        edge = [0, *(np.flatnonzero((np.diff(m, axis=1) != 0).any(axis=0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(edge, edge[1:], strict=False):
+            key = tuple(m[:, lo].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def run(batches):
-        held: list[np.ndarray] = []
-        for b in itertools.chain(batches, [None]):
-            new = None if b is None else np.stack([b.column(k).to_numpy() for k in range(9)])
-            edge = [] if new is None else (np.flatnonzero((np.diff(new[:4], axis=1) != 0).any(axis=0)) + 1).tolist()
-            for part in [None] if new is None else np.split(new, edge, axis=1):
-                if held and (part is None or (held[0][:4, 0] != part[:4, 0]).any()):
-                    yield from compare(np.ascontiguousarray(np.concatenate(held, axis=1)))
-                    held = []
-                if part is not None and part.shape[1]:
-                    held.append(part)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+def wide_candidates(nodes: DataFrame, distance: int = WIDE, similarity: float = SIMILARITY) -> DataFrame:
+    """(text_hash): the texts (text_hash, fp, n) that some other one is within ``distance`` bits of, as sizes allow ``similarity``."""
 
+    def run(batches):
+        for group in _grouped(batches, 4):
+            start, i, j = (group.column(c)[0].as_py() for c in ("start", "i", "j"))
+            mine, guest, t, n = (group.column(c).to_numpy() for c in ("mine", "guest", "text_hash", "n"))
+            fp = group.column("fp").to_numpy().astype(np.int64).view(np.uint64)
+            left = np.flatnonzero(mine == i)
+            right = left if i == j else np.flatnonzero(mine == j)
+            found = np.zeros(len(t), bool)
+            for a, b in _within(fp, left, right, start, distance):
+                ok = (guest[a] + guest[b] < 2) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])) & (t[a] != t[b])
+                found[a[ok]] = found[b[ok]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(t[found])], ["text_hash"])
+
+    return _dealt(nodes, F.lit(1), WIDE_BLOCK, similarity, [], True).mapInArrow(run, "text_hash long").distinct()
+
+
+def _similar(at: int, others: np.ndarray, n: np.ndarray, ends: np.ndarray, values: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of ``others`` have a Jaccard similarity of ``similarity`` or more to text ``at``; text k has shingles [ends[k], ends[k + 1])."""
+    mine, out = values[ends[at] : ends[at + 1]], []
+    for part in np.split(others, np.flatnonzero(np.diff(np.cumsum(n[others]) // TOGETHER)) + 1):
+        theirs = np.concatenate([values[:0], *(values[ends[k] : ends[k + 1]] for k in part.tolist())])
+        of = np.repeat(np.arange(len(part)), n[part])
+        place = np.searchsorted(mine, theirs)
+        place[place == len(mine)] = 0
+        both = np.bincount(of[mine[place] == theirs] if len(mine) else of[:0], minlength=len(part))
+        out.append(part[both >= similarity * (n[at] + n[part] - both)])
+    return np.concatenate(out)
+
+
+def verified_links(nodes: DataFrame, distance: int = WIDE, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b): links that join all similar texts of ``nodes`` (text_hash, fp, n, shingles); not every link is among them."""
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose texts have an exact five-word Jaccard similarity of ``similarity`` or more."""
+    def run(batches):
+        for group in _grouped(batches, 4):
+            guest, t, n = (group.column(c).to_numpy() for c in ("guest", "text_hash", "n"))
+            fp = group.column("fp").to_numpy().astype(np.int64).view(np.uint64)
+            lists = group.column("shingles").combine_chunks()
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.int64).view(np.uint64)
+            out: list[tuple[int, int]] = []
+            waiting = np.arange(len(t))
+            while len(waiting):
+                front, waiting = [int(waiting[0])], waiting[1:]
+                while front and len(waiting):
+                    at = front.pop()
+                    ok = np.bitwise_count(fp[waiting] ^ fp[at]) <= distance
+                    ok &= (guest[waiting] + guest[at] < 2) & (np.minimum(n[waiting], n[at]) >= similarity * np.maximum(n[waiting], n[at]))
+                    hit = _similar(at, waiting[ok], n, ends, values, similarity) if ok.any() else waiting[:0]
+                    if len(hit):
+                        out += [(int(t[at]), int(t[k])) for k in hit.tolist()]
+                        front += hit.tolist()
+                        waiting = waiting[~np.isin(waiting, hit)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    return _dealt(nodes, F.greatest("n", F.lit(1)), WIDE_SHINGLES, similarity, ["shingles"], False).mapInArrow(run, "a long, b long").distinct()
+
+
+def _with_shingles(texts: DataFrame, size: int) -> DataFrame:
+    """(text_hash, fp, n, shingles) of ``texts`` (text_hash, text)."""
 
     def run(batches):
-        last, mine = None, set()
         for b in batches:
-            out = []
-            for a, z, x, y in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if a != last:
-                    last, mine = a, shingle_set(x)
-                other = shingle_set(y)
-                both = len(mine & other)
-                if both >= similarity * (len(mine) + len(other) - both):
-                    out.append((a, z))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([z for _, z in out], pa.int64())], ["a", "b"])
+            texts = b.column(1).to_pylist()
+            fps = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
+            sets = [shingle_set(t).view(np.int64) for t in texts]
+            n = np.array([len(x) for x in sets], np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array(n), lists], ["text_hash", "fp", "n", "shingles"])
 
-    named = lambda c: texts.select(F.col("text_hash").alias(c), F.col("text").alias(f"text_{c}"))
-    rows = pairs.join(named("b"), "b").join(named("a"), "a").select("a", "b", "text_a", "text_b")
-    return rows.sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+    return texts.mapInArrow(run, "text_hash long, fp long, n long, shingles array<long>")
 
 
 def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 3, distance: int = WIDE, similarity: float = SIMILARITY) -> DataFrame:
@@ -289,16 +342,10 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     similarity of their five-word shingles is ``similarity`` or more. Texts without words, null ones too, are alike.
     """
     rows = materialize(_sized(docs, doc_id, text, size), "sized")
-    pairs = materialize(wide_candidates(rows.select("text_hash", "fp", "n").distinct(), distance, similarity), "pairs")
-    wanted = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct()
-    texts = docs.select(F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text")).join(wanted, "text_hash", "left_semi")
-    texts = materialize(texts.groupBy("text_hash").agg(F.first("text").alias("text")), "texts")
-    # one pair of each text first, so that of a large group few pairs are left to verify
-    sure = materialize(_verified(pairs.groupBy("b").agg(F.min("a").alias("a")), texts, similarity), "sure")
-    near = materialize(components(sure), "near")
-    at = lambda c: near.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
-    rest = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
-    found = components(sure.unionByName(_verified(rest, texts, similarity)))
+    near = materialize(wide_candidates(rows.select("text_hash", "fp", "n").distinct(), distance, similarity), "near")
+    texts = docs.select(F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text")).join(near, "text_hash", "left_semi")
+    texts = materialize(_with_shingles(texts.groupBy("text_hash").agg(F.first("text").alias("text")), size), "shingles")
+    found = components(verified_links(texts, distance, similarity))
     return rows.join(found, rows.text_hash == found.node, "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("root"))
 
 
