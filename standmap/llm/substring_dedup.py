@@ -26,8 +26,9 @@ from standmap.llm.components import components
 
 MIN_WORDS, ANCHORS, SHINGLE, SIMILARITY = 24, 24, 5, 0.8
 BANDS, ROWS = 8, 3
-#: Paragraphs of one band that a task compares; larger buckets are cut into blocks, and each pair of blocks compared.
-BLOCK = 1024
+#: Paragraphs of one band that a task compares, and words in them; larger buckets are cut into blocks, and each pair of blocks
+#: compared. A paragraph of more words is a block of its own.
+BLOCK, BLOCK_WORDS = 1024, 250_000
 #: Words whose hashes a task remembers.
 REMEMBERED = 300_000
 
@@ -146,9 +147,8 @@ def _shared_bands(batches) -> Iterator[pa.RecordBatch]:
     last: tuple | None = None
     told = False
     for b in batches:
-        key, h = b.column(0).to_pylist(), b.column(1).to_pylist()
-        out: list[tuple[int, int]] = []
-        for row in zip(key, h, strict=True):
+        out: list[tuple[int, int, int]] = []
+        for row in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             if last is not None and row[0] == last[0]:
                 if row[1] == last[1]:
                     continue
@@ -159,14 +159,14 @@ def _shared_bands(batches) -> Iterator[pa.RecordBatch]:
             else:
                 told = False
             last = row
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["key", "h1"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int32()))], ["key", "h1", "n"])
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """(key, h1): paragraphs that share a band key with another one."""
-    lines = found.where("kind = 0 and bands is not null").groupBy("h1").agg(F.first("bands").alias("bands"))
-    rows = lines.select(F.explode("bands").alias("key"), "h1")
-    return rows.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(_shared_bands, "key long, h1 long")
+    """(key, h1, n): paragraphs that share a band key with another one, and their words."""
+    lines = found.where("kind = 0 and bands is not null").groupBy("h1").agg(F.first("bands").alias("bands"), F.first(F.col("hi") - F.col("lo")).alias("n"))
+    rows = lines.select(F.explode("bands").alias("key"), "h1", "n")
+    return rows.repartition("key").sortWithinPartitions("key", "h1").mapInArrow(_shared_bands, "key long, h1 long, n int")
 
 
 def _line_texts(batches, least: int) -> Iterator[pa.RecordBatch]:
@@ -225,8 +225,8 @@ def links(docs: DataFrame, found: DataFrame, text: str = "text", least: int = MI
     keyed = materialize(candidates(found), "candidates")
     wanted = keyed.select("h1").distinct()
     lines = docs.select(F.col(text).alias("text")).mapInArrow(lambda batches: _line_texts(batches, least), "h1 long, line binary").join(wanted, "h1", "left_semi").groupBy("h1").agg(F.first("line").alias("line"))
-    sizes = keyed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    # a bucket beyond BLOCK is dealt to blocks by hash; a block meets every block in a task of its own
+    sizes = keyed.groupBy("key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("long").alias("blocks"))
+    # a bucket beyond a block is dealt to blocks by hash; a block meets every block in a task of its own
     rows = keyed.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("h1"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "h1").join(lines, "h1")
@@ -246,7 +246,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     found = materialize(units(docs, doc_id, text, least), "units")
     near = components(links(docs, found, text, least)).withColumnRenamed("node", "h1")
     again = found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
-    wanted = again.join(near, "h1", "full")
+    wanted = materialize(again.join(near, "h1", "full"), "wanted")  # so that both sides of the join are shuffled, and a hot unit can be split
     g = F.when(F.col("component").isNull(), F.concat(F.hex("h1"), F.hex("h2"))).otherwise(F.hex("component"))
     # repeated rows of the input are dropped where few units are left
     occurrences = found.drop("bands").join(wanted, "h1").select("doc_id", "t", "kind", "lo", "hi", g.alias("component")).distinct()
