@@ -64,23 +64,22 @@ def n_repeat_words(w: Column, text: Column) -> Column:
 
 
 def n_letterless(w: Column, text: Column) -> Column:
-    """Words without a letter."""
-    return F.size(F.filter(w, lambda x: ~x.rlike(r"\p{L}"))).cast("long")
+    """Words without a letter: all but those that a pattern for words with one finds."""
+    return (F.size(w) - F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D\p{L}]*+\p{L}[^\x20\x09-\x0D]*+")), F.lit(0))).cast("long")
 
 
-def top_word(w: Column, text: Column) -> Column:
-    """How often the most frequent word occurs: the longest run of equal hashes in their order."""
+def crowded(w: Column, text: Column) -> Column:
+    """1 if more than a fifth of the words are the same one, else 0.
 
-    def step(a: Column, h: Column) -> Column:
-        run = F.when(a["h"].eqNullSafe(h), a["run"] + 1).otherwise(F.lit(1))
-        return F.struct(h.alias("h"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
-
-    zero = F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("run"), F.lit(0).alias("most"))
-    return F.aggregate(F.sort_array(F.transform(w, lambda x: F.xxhash64(x))), zero, step, lambda a: a["most"]).cast("long")
+    That word has a run of n / 5 + 1 places in the sorted hashes, so some hash equals the one n / 5 places behind it.
+    """
+    step = lambda s: F.floor(F.size(s) / 5).cast("int")
+    far = lambda s: F.exists(F.sequence(F.lit(0), F.size(s) - 1 - step(s)), lambda i: F.get(s, i) == F.get(s, i + step(s)))
+    return F.when(F.size(w) > 0, once(F.sort_array(F.transform(w, lambda x: F.xxhash64(x))), far)).otherwise(F.lit(False)).cast("long")
 
 
 FEATURES: dict[str, Callable[[Column, Column], Column]] = {
-    f.__name__: f for f in (n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_letterless, top_word)
+    f.__name__: f for f in (n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_letterless, crowded)
 }
 #: The features of the first rules, which cost a pass over the text each.
 BASE_FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -106,7 +105,7 @@ def rules(least_words: int = 50) -> tuple[Rule, ...]:
         Rule("repeated_lines", ("n_dup_lines", "n_lines"), lambda f: 10 * f["n_dup_lines"] > 3 * f["n_lines"]),
         Rule("odd_word_length", ("word_chars", "n_words"), lambda f: (f["word_chars"] < 2 * f["n_words"]) | (f["word_chars"] > 25 * f["n_words"])),
         Rule("letterless_words", ("n_words", "n_letterless"), lambda f: (f["n_words"] >= ENOUGH) & (10 * f["n_letterless"] > 3 * f["n_words"])),
-        Rule("one_word", ("n_words", "top_word"), lambda f: (f["n_words"] >= ENOUGH) & (5 * f["top_word"] > f["n_words"])),
+        Rule("one_word", ("n_words", "crowded"), lambda f: (f["n_words"] >= ENOUGH) & (f["crowded"] > 0)),
     )
 
 
