@@ -96,7 +96,7 @@ def test_decontamination(docs, none, benchmark, spark):
 
 def test_decontamination_in_blocks(docs, benchmark, monkeypatch):
     whole = {(r.doc_id, r.text): r.hits for r in decontaminate.benchmark_hits(docs, benchmark).collect()}
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 5)
+    monkeypatch.setattr(decontaminate, "MAX_NODES", 20)
     assert {(r.doc_id, r.text): r.hits for r in decontaminate.benchmark_hits(docs, benchmark).collect()} == whole
 
 
@@ -128,7 +128,7 @@ def test_substring_dedup(docs, none):
 
 
 def test_secrets(docs, none):
-    ledger = secrets.update_ledger(None, secrets.scan_unseen(docs))
+    ledger = secrets.commit(None, docs)
     out = secrets.findings_by_path(docs, ledger)
     assert out.count() == docs.count()
     assert [(f.kind, f.start, f.end) for f in out.where("doc_id = 9").first().findings] == [("assign", 0, 21)]
@@ -165,7 +165,7 @@ def test_rollup(docs, none, spark):
     body = rows()[4][1]
     assert tuple(total()) == (docs.count() - 5, before - 4 * n(body) - n(rows()[9][1]) + 2)
     # a crash between the two writes leaves no trace in the totals
-    spark.createDataFrame([(1, "s", "en", "v", 1, 99, 9)], token_rollup.LEDGER).write.parquet(f"{r.store}/ledger/4")
+    spark.createDataFrame([(1, "s", "en", "v", 1, 99, 9)], token_rollup.LEDGER).write.parquet(f"{r.store}/ledger/batch=4/bucket=3")
     assert total()[0] == docs.count() - 5
     assert r.commit("4", none.withColumn("op", F.lit("insert"))) and total()[0] == docs.count() - 5
 
