@@ -500,7 +500,10 @@ def shift_mask(px: DataFrame, mask: str, dx: int, dy: int) -> DataFrame:
 
 
 def _best_shift(mask: np.ndarray, stress: np.ndarray, near: np.ndarray, radius: int, step: int, fine: int, weights: Sequence[float]) -> tuple[int, int, float]:
-    """(dx, dy, energy) of least energy, the first of equals in the order of rows and columns; energy 999 if no shift is allowed."""
+    """(dx, dy, energy) of least energy, the first of equals in the order of rows and columns; energy 999 if no shift is allowed.
+
+    Energies have nine digits, so that equal ones don't hang on the order of a sum.
+    """
     height, width = mask.shape
     inner = np.pad(mask, 1)
     inner = inner[1:-1, 1:-1] & inner[:-2, 1:-1] & inner[2:, 1:-1] & inner[1:-1, :-2] & inner[1:-1, 2:]
@@ -520,7 +523,7 @@ def _best_shift(mask: np.ndarray, stress: np.ndarray, near: np.ndarray, radius:
                 return 999.0
             means.append(float(values[at_y[ok], at_x[ok]].mean()))
             lost = max(lost, 1 - n / len(y))
-        return weights[0] * (mean - means[0]) + weights[1] * means[1] / 20 + weights[2] * lost * 2
+        return round(weights[0] * (mean - means[0]) + weights[1] * means[1] / 20 + weights[2] * lost * 2, 9)
 
     best = (999.0, 0, 0)
     for dy in range(-radius, radius + 1, step):

@@ -232,11 +232,11 @@ def draft_guard(v: Views):
 QUEUE = "WITH ix AS (SELECT tile_id, role, tiles.dca, pct_affected FROM tiles JOIN poly ON tile_id = poly_id)"
 
 
-@query("tiles poly annotations buckets", QUEUE + " SELECT tile_id, dca, pct_affected FROM ix WHERE role = 'damage' AND pct_affected IN ('Severe (30-50%)', 'Moderate (11-29%)') AND dca IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#10') AND tile_id NOT IN (SELECT tile_id FROM annotations WHERE version = '6.3.1') AND tile_id IN (SELECT tile_id FROM buckets WHERE has_mask)")
+@query("tiles poly annotations buckets", QUEUE + " SELECT tile_id, dca, pct_affected, count(*) OVER (PARTITION BY dca) AS n FROM ix WHERE role = 'damage' AND pct_affected IN ('Severe (30-50%)', 'Moderate (11-29%)') AND dca IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#10') AND tile_id NOT IN (SELECT tile_id FROM annotations WHERE version = '6.3.1') AND tile_id IN (SELECT tile_id FROM buckets WHERE has_mask)")
 def annotation_queue(v: Views):
     ix = v.tiles.join(v.poly.select(F.col("poly_id").alias("tile_id"), "pct_affected"), "tile_id")
     out = select.annotation_queue(ix, v.annotations.where("version = '6.3.1'"), v.buckets.where("has_mask"), ["Severe (30-50%)", "Moderate (11-29%)"], ["Brand#1", "Brand#2", "Brand#3", "Brand#10"])
-    return out.select("tile_id", "dca", "pct_affected")
+    return out.select("tile_id", "dca", "pct_affected").join(select.queue_counts(out), "dca")
 
 
 @query("tiles annotations buckets", "SELECT tile_id, role FROM tiles WHERE tile_id >= 10 AND tile_id NOT IN (SELECT tile_id FROM buckets WHERE bucket IS NOT NULL) AND tile_id NOT IN (SELECT tile_id FROM annotations WHERE label = 'reject') AND tile_id NOT IN (SELECT tile_id FROM buckets WHERE has_mask)")
