@@ -203,10 +203,13 @@ def percentile_mask(px: DataFrame, score: str, pct: float, region: str | None =
 
 
 def _near(mask: str, axis: str, other: str, back: Column, ahead: Column) -> Column:
-    """Whether ``mask`` (0 or 1) holds somewhere from ``back`` lines before to ``ahead`` lines behind, along ``axis``."""
-    w = Window.partitionBy("tile_id", other).orderBy(axis)
+    """Whether ``mask`` (0 or 1) holds somewhere from ``back`` lines before to ``ahead`` lines behind, along ``axis``.
+
+    Both neighbours are running values, the next one in falling order, as a frame to the end would be read again for each row.
+    """
+    w = Window.partitionBy("tile_id", other).rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(F.col(mask) == 1, F.col(axis))
-    last, next_ = F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    last, next_ = F.last(at, True).over(w.orderBy(axis)), F.last(at, True).over(w.orderBy(F.desc(axis)))
     return F.coalesce(F.col(axis) - last <= back, F.lit(False)) | F.coalesce(next_ - F.col(axis) <= ahead, F.lit(False))
 
 

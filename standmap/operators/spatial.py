@@ -134,22 +134,24 @@ def min_spacing_to(cand: DataFrame, centres: DataFrame, d: float = 800) -> DataF
 def spaced_sample(cand: DataFrame, d: float = 800, priority: str = "cand_id", n: int | None = None) -> DataFrame:
     """Greedy thinning by ``priority``: a candidate stays if no one kept before lies within ``d``; then the first ``n``.
 
-    Close pairs are joined once. In each round a candidate is kept if all earlier neighbours are out, and out if one
-    is kept, until all are decided; this equals going through them one by one.
+    Close pairs are joined once. In each round a candidate without an earlier neighbour among the undecided is kept, its
+    later neighbours are out, and only pairs of undecided candidates go on; this equals going through them one by one.
     """
     order = F.struct(priority, "cand_id")
     c = cand.withColumn("__o", order)
     other = c.select(F.col("cand_id").alias("other"), F.col("__o").alias("__p"), F.col("cx").alias("x"), F.col("cy").alias("y"))
     pairs = _near(c, other, d).join(c.select("cand_id", "__o"), "cand_id").where(F.col("__p") < F.col("__o")).select("cand_id", "other")
-    pairs = materialize(pairs)
-    state = materialize(cand.select("cand_id", F.lit(0).alias("s")))  # 0 open, 1 kept, 2 out
+    pairs, undecided, kept = materialize(pairs), cand.select("cand_id"), None
+    as_other = lambda t: t.withColumnRenamed("cand_id", "other")
     while True:
-        seen = pairs.join(state.select(F.col("cand_id").alias("other"), "s"), "other").groupBy("cand_id").agg(F.bool_or(F.col("s") == 1).alias("hit"), F.bool_or(F.col("s") == 0).alias("open"))
-        new = F.when(F.col("s") != 0, F.col("s")).when(F.coalesce("hit", F.lit(False)), 2).when(F.coalesce("open", F.lit(False)), 0).otherwise(1)
-        state = materialize(state.join(seen, "cand_id", "left").select("cand_id", new.alias("s")))
-        if state.where("s = 0").isEmpty():
+        keep = materialize(undecided.join(pairs.select("cand_id").distinct(), "cand_id", "left_anti"))
+        kept = keep if kept is None else kept.union(keep)
+        out = pairs.join(as_other(keep), "other", "left_semi").select("cand_id")
+        undecided = materialize(undecided.join(keep.union(out).distinct(), "cand_id", "left_anti"))
+        if undecided.isEmpty():
             break
-    kept = cand.join(state.where("s = 1").select("cand_id"), "cand_id", "left_semi")
+        pairs = materialize(pairs.join(undecided, "cand_id", "left_semi").join(as_other(undecided), "other", "left_semi"))
+    kept = cand.join(kept, "cand_id", "left_semi")
     return kept.orderBy(priority, "cand_id").limit(n) if n is not None else kept
 
 
@@ -168,8 +170,7 @@ def polygon_overlap(vert_a: DataFrame, vert_b: DataFrame, cells: int = 64, id_:
     """(id, iou_raw, iou_shift, iou_scaled, shift_m, area_ratio) of polygon pairs.
 
     Both are cut into spans on a grid of ``cells`` squares over the pair's box, so the figures are as exact as
-    the grid. Shifted: b's centroid moved onto a's; scaled: and b resized to a's area. The ratio is b's area to a's,
-    that of the polygon that is moved to the one that stays.
+    the grid. Shifted: b's centroid moved onto a's; scaled: and b resized to a's area. The ratio is b's area to a's.
     """
     both = vert_a.select(id_, F.lit("a").alias("part"), "k", "x", "y").unionByName(vert_b.select(id_, F.lit("b").alias("part"), "k", "x", "y"))
     e = _edges(both, [id_, "part"])
