@@ -124,9 +124,9 @@ FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN left_ USING (doc_id)
 
 
 def op8_delta_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load all documents, take out those whose text an earlier id has, and store what had copies again, tidied.
+    """Load all documents, store those that hold a table's bars again without them, and take out those whose text an earlier id has.
 
-    The three batches are inserts, deletes and revisions; each comes twice and counts once.
+    The three batches are inserts, revisions and deletes; each comes twice and counts once.
     """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     address = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
@@ -134,12 +134,11 @@ def op8_delta_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = materialize(address.groupBy("blob").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
     copies = address.join(first, "blob").where("doc_id > first").select("doc_id")
     load = docs.withColumn("op", F.lit("insert"))
+    revised = docs.where(F.col("text").contains("|")).withColumn("text", F.regexp_replace("text", r" ?\| ?", " ")).withColumn("op", F.lit("revise"))
     gone = copies.select("doc_id", F.lit("delete").alias("op"), *(F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")))
-    tidy = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    revised = docs.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").withColumn("text", tidy).withColumn("op", F.lit("revise"))
     rollup = token_rollup.Rollup(spark, scratch(spark))
     for _ in range(2):
-        for batch, changes in (("load", load), ("copies", gone), ("tidied", revised)):
+        for batch, changes in (("load", load), ("bars", revised), ("copies", gone)):
             rollup.commit(batch, changes)
     return rollup.totals()
 
