@@ -1,13 +1,15 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised benchmark windows.
 
-The automaton reads words, not characters: the benchmark's words have numbers, all other words are 0. A window of ten
-words takes ten nodes at most, which bounds its size by the number of words that go into it.
+The automaton reads words, not characters: each of the benchmark's words is a number of two or three digits, all other
+words are the same one. As each place has digits of its own, matches begin and end with words, and a node has few
+followers, which the automaton looks through one by one. A window of ten words takes thirty nodes at most, which bounds
+its size by the number of words that go into it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import count, repeat
 
 import ahocorasick
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 
 from standmap.llm.common import free_name
 
-#: Nodes that one automaton may have, WINDOW for each word of the benchmark; a benchmark beyond is scanned in blocks of whole items.
+#: Nodes that one automaton may have, 3 * WINDOW for each word of the benchmark; a benchmark beyond is scanned in blocks of whole items.
 MAX_NODES = 4_000_000
 WINDOW = 10
 
@@ -44,21 +46,29 @@ def normal_words(text: str) -> list[bytes]:
 
 @dataclass
 class Automaton:
-    """``trie`` over word numbers; a value holds the number of words and the items that have this window."""
+    """``trie`` over words' digits, ``width`` for each; a value holds the number of words and the items that have this window."""
 
-    number: dict[bytes, int] = field(default_factory=dict)
-    trie: ahocorasick.Automaton = field(default_factory=lambda: ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE))
+    width: int
+    digits: dict[bytes, str]
+    trie: ahocorasick.Automaton = field(default_factory=ahocorasick.Automaton)
 
 
 def automaton(items: list[tuple[str, str]], window: int = WINDOW) -> Automaton:
     """Over the windows of items: ``window`` consecutive words, or all of an item's words if fewer."""
-    out, found = Automaton(), {}
+    number: dict[bytes, int] = {}
+    for _, text in items:
+        for x in normal_words(text):
+            number.setdefault(x, len(number))
+    width = 2 if len(number) <= 10_000 else 3
+    base = next(b for b in count(1) if b**width >= len(number))
+    out = Automaton(width, {x: "".join(chr(1 + p * base + n // base**p % base) for p in range(width)) for x, n in number.items()})
+    found: dict[str, set[str]] = {}
     for item, text in items:
-        w = tuple(out.number.setdefault(x, len(out.number) + 1) for x in normal_words(text))
+        w = list(map(out.digits.__getitem__, normal_words(text)))
         for i in range(max(1, len(w) - window + 1) if w else 0):
-            found.setdefault(w[i : i + window], set()).add(item)
+            found.setdefault("".join(w[i : i + window]), set()).add(item)
     for w, ids in found.items():
-        out.trie.add_word(w, (len(w), sorted(ids)))
+        out.trie.add_word(w, (len(w) // width, sorted(ids)))
     if found:
         out.trie.make_automaton()
     return out
@@ -87,9 +97,9 @@ def char_offsets(text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
 def scan(text: str, a: Automaton) -> tuple[int, int, set[str], list[list[int]]]:
     """Number of words, words hit, items that occur, and the hit spans in characters of the original text."""
     w = normal_words(text)
-    found = list(a.trie.iter(tuple(map(a.number.get, w, repeat(0))))) if w and len(a.trie) else []
+    found = list(a.trie.iter("".join(map(a.digits.get, w, repeat("\0" * a.width))))) if w and len(a.trie) else []
     merged: list[list[int]] = []
-    for lo, hi in sorted((end + 1 - n, end + 1) for end, (n, _) in found):
+    for lo, hi in sorted((end // a.width + 1 - n, end // a.width + 1) for end, (n, _) in found):
         if merged and lo <= merged[-1][1]:
             merged[-1][1] = max(merged[-1][1], hi)
         else:
@@ -101,7 +111,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, window: int):
     """The benchmark in blocks of whole items, streamed, each of ``MAX_NODES`` nodes at most (one item may have more)."""
     block, size = [], 0
     for r in benchmark.select(F.col(item_id).cast("string"), text).where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
-        nodes = window * len(normal_words(r[1]))
+        nodes = 3 * window * len(normal_words(r[1]))
         if block and size + nodes > MAX_NODES:
             yield block
             block, size = [], 0
@@ -119,13 +129,13 @@ def benchmark_hits(
     Words are lower-cased in A-Z and hold ASCII letters, digits and all characters beyond ASCII. A word is hit if an
     occurrence of any window of an item covers it. Null texts and texts without words have no hits, as have all texts
     if the benchmark is empty; items without id, text or words are passed over; equal items count under each id.
-    A benchmark of up to ``MAX_NODES / window`` words makes one automaton; documents are scanned once against each block
+    A benchmark of up to ``MAX_NODES / (3 * window)`` words makes one automaton; documents are scanned once against each block
     of a larger one, and the blocks' spans and items are merged. A column of ``docs`` called ``into`` is replaced.
     """
     docs = docs.drop(into)
     context, prior, out = docs.sparkSession.sparkContext, free_name(docs, "prior"), None
     for block in _blocks(benchmark, item_id, text, window):
-        items = context.broadcast(block)  # MAX_NODES / window words, or one item
+        items = context.broadcast(block)  # MAX_NODES / (3 * window) words, or one item
         out = _scan_block(docs if out is None else out.withColumnRenamed(into, prior), items, window, text, into, out is not None and prior)
     return _scan_block(docs, context.broadcast([]), window, text, into, None) if out is None else out
 
