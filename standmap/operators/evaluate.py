@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from standmap.functions.spectral import excess_green, ngrdi
 from standmap.functions.tails import normal_two_sided, student_two_sided
 from standmap.operators.raster import KEY, connected_components, morphology
-from standmap.sources.store import quantiles, row_numbers, running_sums
+from standmap.sources.store import materialize, quantiles, row_numbers, running_sums
 
 #: Damage beats ignore: a pixel counts unless it is ignored and not damage.
 VALID = "gt or not ign"
@@ -100,6 +100,7 @@ def recall_precision(px: DataFrame, pred: Column | str, gt: Column | str = "gt",
 def recall_precision_summary(per_tile: DataFrame) -> DataFrame:
     """Means over tiles: ``precision`` leaves silent tiles out, ``precision_like`` counts them as 0, ``recall_clean`` leaves out
     tiles that paint everything; with the medians of recall and area ratio."""
+    per_tile = materialize(per_tile)  # read once for the means and once for each median
     s = per_tile.agg(
         F.count(F.lit(1)).alias("n"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision"), F.avg(F.coalesce("precision", F.lit(0.0))).alias("precision_like"),
         F.avg(F.when(~F.col("paints_all"), F.col("recall"))).alias("recall_clean"), F.count_if("silent").alias("silent"), F.count_if("paints_all").alias("paints_all"),
@@ -261,7 +262,7 @@ def quartile_report(scores: DataFrame, driver: str, metric: str = "iou", silent:
 
     Nothing if there are fewer than ``min_rows`` or the largest value is less than ``min_ratio`` times the least.
     """
-    x = scores.where(F.col(driver).isNotNull() & F.col(metric).isNotNull())
+    x = materialize(scores.where(F.col(driver).isNotNull() & F.col(metric).isNotNull()))
     n = x.agg(F.count(F.lit(1)).alias("rows"))
     c = lambda i: F.get("c", F.lit(i))
     cut = quantiles(x, driver, (0.0, 0.25, 0.5, 0.75, 1.0), "c").crossJoin(n).where((F.col("rows") >= min_rows) & (c(4) >= min_ratio * c(0)))  # one row
@@ -316,6 +317,7 @@ def terrain_tests(tiles: DataFrame, min_group: int = 5, min_healthy: int = 20) -
     below ``min_group`` of either); against the painted share of healthy tiles (n_healthy, rho_painted, p_painted, and
     the means of the open and the closed half; null below ``min_healthy``).
     """
+    tiles = materialize(tiles)
     scored = tiles.where("iou is not null")
     one = spearman(scored, "bare", "iou").select("n", F.col("rho").alias("rho_iou"), F.col("p").alias("p_iou"))
     medians = [quantiles(scored.where(c), "bare", [0.5]).select(F.get("q", F.lit(0)).alias(f"median_{n}")) for n, c in (("silent", "silent"), ("fired", "not silent"))]
@@ -340,6 +342,7 @@ def density_contrast(px: DataFrame, region: str, prob: str = "prob") -> DataFram
 
 def density_summary(contrast: DataFrame, margin: float = 0.02) -> DataFrame:
     """(n, fired, silent, concentrating, inside, outside, contrast): those that fired concentrate above ``margin``; medians."""
+    contrast = materialize(contrast)
     s = contrast.agg(F.count(F.lit(1)).alias("n"), F.count_if("fired").alias("fired"), F.count_if(~F.col("fired")).alias("silent"), F.count_if(F.col("fired") & (F.col("contrast") > margin)).alias("concentrating"))
     for c in ("inside", "outside", "contrast"):
         s = s.crossJoin(quantiles(contrast, c, [0.5]).select(F.get("q", F.lit(0)).alias(c)))  # one row
@@ -355,6 +358,7 @@ def zone_contrast(px: DataFrame, orig: str, corr: str) -> DataFrame:
 def paired_improvement(a: DataFrame, b: DataFrame, metric: str = "iou") -> DataFrame:
     """(n, median_a, median_b, mean_a, mean_b, improved): two models on the same tiles."""
     x = a.select("tile_id", F.col(metric).alias("a")).join(b.select("tile_id", F.col(metric).alias("b")), "tile_id").where("a is not null and b is not null")
+    x = materialize(x)
     s = x.agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.count_if(F.expr("b > a")).alias("improved"))
     for c in ("a", "b"):
         s = s.crossJoin(quantiles(x, c, [0.5]).select(F.get("q", F.lit(0)).alias(f"median_{c}")))  # one row

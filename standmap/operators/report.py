@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from standmap.sources.store import quantiles
+from standmap.sources.store import materialize, quantiles
 
 
 def slice_report(scores: DataFrame, by: str, metrics: Sequence[str]) -> DataFrame:
     """(by, n, mean of each metric) with overall rows' mean and median beside; worst first by the first metric."""
+    scores = materialize(scores.select(by, *metrics))  # read for the groups, the means and each median
     over = scores.agg(*(F.avg(m).alias(f"{m}_overall") for m in metrics))
     for m in metrics:
         over = over.crossJoin(quantiles(scores, m, [0.5]).select(F.get("q", F.lit(0)).alias(f"{m}_median")))  # one row

@@ -208,7 +208,7 @@ def polygon_overlap(vert_a: DataFrame, vert_b: DataFrame, cells: int = 64, id_:
 
 def overlap_medians(pairs: DataFrame) -> DataFrame:
     """One row: the medians over pairs of each figure of :func:`polygon_overlap`."""
-    out = None
+    pairs, out = materialize(pairs), None
     for c in ("shift_m", "area_ratio", "iou_raw", "iou_shift", "iou_scaled"):
         one = quantiles(pairs, c, [0.5]).select(F.get("q", F.lit(0)).alias(c))
         out = one if out is None else out.crossJoin(one)  # one row each

@@ -10,7 +10,7 @@ from standmap.operators import annotate, select, spatial
 from standmap.plans.registry import query
 from standmap.sources import io
 from standmap.sources.fixtures import Views
-from standmap.sources.store import scratch
+from standmap.sources.store import materialize, scratch
 
 R = lambda c, n=6: F.round(c, n)
 SEVERITY = "CASE pct_affected WHEN 'Very Severe (>50%)' THEN 0 WHEN 'Severe (30-50%)' THEN 1 WHEN 'Moderate (11-29%)' THEN 2 WHEN 'Light (4-10%)' THEN 3 WHEN 'Very Light (1-3%)' THEN 4 ELSE 9 END"
@@ -328,7 +328,7 @@ def _pair(v: Views):
 
 @query()
 def polygon_overlap(v: Views):
-    out = spatial.polygon_overlap(v.vert, _pair(v), 32)
+    out = materialize(spatial.polygon_overlap(v.vert, _pair(v), 32))
     return out.select("poly_id", *(R(c, 4).alias(c) for c in out.columns[1:])).unionByName(spatial.overlap_medians(out).select(F.lit(None).cast("long").alias("poly_id"), *(R(c, 4).alias(c) for c in out.columns[1:])))
 
 
