@@ -170,14 +170,22 @@ def candidates(found: DataFrame) -> DataFrame:
 
 
 def _line_texts(batches, least: int) -> Iterator[pa.RecordBatch]:
+    """Paragraphs by hash; those that a task has met lately are not given again, so that a common one doesn't fill a bucket."""
+    met: set[bytes] = set()
     for b in batches:
         digests, text = [], []
+        if len(met) > REMEMBERED:
+            met.clear()
         for t in b.column(0).to_pylist():
             words, ranges = paragraphs(t or "")
             for lo, hi in ranges:
                 if hi - lo >= max(least, SHINGLE):
-                    digests.append(_content(words, lo, hi))
-                    text.append(b" ".join(words[lo:hi]))
+                    line = b" ".join(words[lo:hi])
+                    digest = xxhash.xxh3_128_digest(line)
+                    if digest not in met:
+                        met.add(digest)
+                        digests.append(digest)
+                        text.append(line)
         yield pa.RecordBatch.from_arrays([pa.array(_halves(digests)[:, 0].copy()), pa.array(text, pa.binary())], ["h1", "line"])
 
 
@@ -246,7 +254,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     found = materialize(units(docs, doc_id, text, least), "units")
     near = components(links(docs, found, text, least)).withColumnRenamed("node", "h1")
     again = found.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1")
-    wanted = materialize(again.join(near, "h1", "full"), "wanted")  # so that both sides of the join are shuffled, and a hot unit can be split
+    wanted = again.join(near, "h1", "full")
     g = F.when(F.col("component").isNull(), F.concat(F.hex("h1"), F.hex("h2"))).otherwise(F.hex("component"))
     # repeated rows of the input are dropped where few units are left
     occurrences = found.drop("bands").join(wanted, "h1").select("doc_id", "t", "kind", "lo", "hi", g.alias("component")).distinct()
