@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 import xxhash
 
-from standmap.llm import hmm, piece_dropout, quality, queries, sharding, simhash, substring_dedup
+from standmap.llm import decontaminate, hmm, piece_dropout, quality, queries, sharding, simhash, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -328,3 +328,34 @@ def test_repeat_words_equal_a_loop(spark):
 
     got = quality.with_features(spark.createDataFrame([(t,) for t in texts], "text string"), ("n_repeat_words",)).collect()
     assert {r.text: r.n_repeat_words for r in got} == {t: loop(t) for t in texts}
+
+
+@pytest.mark.parametrize("vocabulary", [3, 60, 12_000])
+def test_scan_equals_a_look_at_every_window(vocabulary):
+    """Words as digits of two and three places, against each window of each text."""
+    rng = np.random.default_rng(vocabulary)
+    draw = lambda n: " ".join(f"w{x}" for x in rng.integers(0, vocabulary, n))
+    items = [(str(k), draw(int(rng.integers(1, 40)))) for k in range(30)] + [("all", " ".join(f"w{x}" for x in range(vocabulary)))]
+    items += [("none", ""), ("30", items[3][1])]
+    a = decontaminate.automaton(items, 4)
+    windows = {}
+    for k, t in items:
+        w = t.split()
+        for i in range(max(1, len(w) - 3) if w else 0):
+            windows.setdefault(tuple(w[i : i + 4]), set()).add(k)
+    for _ in range(40):
+        parts = [draw(int(rng.integers(0, 6))) if rng.random() < 0.5 else items[int(rng.integers(0, 31))][1].replace(" ", "; ") for _ in range(4)]
+        text = f"é{'. Other '.join(parts)}."
+        w = [x.decode() for x in decontaminate.normal_words(text)]
+        hit = [(i, i + n) for n in range(1, 5) for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows]
+        n, covered, found, spans = decontaminate.scan(text, a)
+        assert (n, covered) == (len(w), len({j for lo, hi in hit for j in range(lo, hi)}))
+        assert found == {k for lo, hi in hit for k in windows[tuple(w[lo:hi])]}
+        assert [x for lo, hi in spans for x in decontaminate.normal_words(text[lo:hi])] == [x.encode() for j, x in enumerate(w) if any(lo <= j < hi for lo, hi in hit)]
+
+
+def test_states_raise_the_held_out_score(docs):
+    """Eight states score texts that they haven't seen better than one state does, which scores as the counts alone would."""
+    score = lambda k: docs_mean([r for r in hmm.score_documents(docs, states=k).collect() if r.held_out])
+    docs_mean = lambda rows: sum(r.score for r in rows) / sum(r.n_tokens for r in rows)
+    assert score(8) > score(1) + 0.02

@@ -98,11 +98,11 @@ def test_op8_totals(spark, docs):
     groups = {}
     for k, r in rows.items():
         groups.setdefault(r.text or "", []).append(k)
-    assert any(len(g) > 1 for g in groups.values())
+    assert any(len(g) > 1 for g in groups.values()) and any("|" in t for t in groups)
     want = Counter()
     for t, ids in groups.items():
         r = rows[min(ids)]
-        t = re.sub(r"[\x20\x09-\x0D]+", " ", t).strip(" ") if len(ids) > 1 else t
+        t = re.sub(r" ?\| ?", " ", t)
         for name, n in (("n_docs", 1), ("n_tokens", len(encoding.encode_ordinary(t))), ("n_chars", len(t))):
             want[r.source, r.lang, name] += n
     got = queries.op8_delta_rollup(spark, SF).collect()
