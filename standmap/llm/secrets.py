@@ -111,13 +111,13 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     equal texts are scanned once; an empty table gives an empty result.
     """
     blobs = versions.select(address(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))  # copies combine before they meet the ledger
     if ledger is None:
         blobs = blobs.withColumn("seen", F.array().cast("array<string>"))
     else:
         seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("seen"))  # one entry a rule version
         blobs = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
         blobs = blobs.where(F.size(F.array_except(F.array(*(F.lit(r.key) for r in rules)), "seen")) > 0)
-    blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"), F.first("seen").alias("seen"))
     fresh = [
         F.when(~F.array_contains("seen", r.key), F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans(F.col("text"), r).alias("spans")))
         for r in rules
@@ -146,6 +146,7 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Secret
     hits = ledger.where((F.size("spans") > 0) & F.concat_ws(":", "rule", "version").isin([r.key for r in rules]))
     rows = hits.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.element_at(rank, F.concat_ws(":", "rule", "version")).alias("rank"), F.col("rule").alias("kind"), s["end"].alias("end"))).alias("f"))
     by_blob = rows.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("f"))).alias(into))  # a list a rule
+    by_blob = materialize(by_blob, "by_blob")  # so that both sides of the join are shuffled, and a text of many paths can be split
     blob = free_name(versions, "blob")
     path = versions.drop(into).withColumn(blob, address(F.col(text)))
     out = path.join(by_blob.withColumnRenamed("blob", blob), blob, "left").drop(blob)
