@@ -14,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 import tokenizers
@@ -221,7 +222,7 @@ def _aligner(a_file: bytes, b_file: bytes) -> Aligner:
 
 def _portions(texts: pa.Array):
     """Lists of texts of about ``TOGETHER`` bytes."""
-    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // TOGETHER
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // TOGETHER
     cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(texts)]
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         yield lo, hi, texts.slice(lo, hi - lo).to_pylist()

@@ -14,9 +14,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from standmap.llm.common import materialize
@@ -74,7 +76,7 @@ class Shard:
     """Impact lists over some documents, numbered by id; nulls come last."""
 
     def __init__(self, ids: pa.Array, n: np.ndarray, lengths: np.ndarray, terms: np.ndarray, tf: np.ndarray, weight: np.ndarray, n_docs: int, n_terms: int):
-        order = pa.compute.sort_indices(ids, null_placement="at_end").to_numpy()
+        order = pc.sort_indices(ids, null_placement="at_end").to_numpy()
         self.ids = ids.take(pa.array(order))
         doc = np.empty(len(order), np.int64)
         doc[order] = np.arange(len(order))
@@ -186,8 +188,6 @@ def _searched(counts: DataFrame, items: dict, weight: np.ndarray, n_docs: int, n
         if parts:
             yield found(parts)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     item_arrow = to_arrow_type(item_type)
     schema = T.StructType([T.StructField("item_id", item_type), counts.schema[doc_id], T.StructField("score", T.LongType())])
     return counts.where(F.size("terms") > 0).mapInArrow(run, schema)
@@ -215,7 +215,7 @@ def ranked_search(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str
     item_type = queries.schema[item_id].dataType
     for terms, items in _blocks(queries, item_id, query_text):
         counts = materialize(count_terms(docs, terms, doc_id, text), "terms")
-        n_docs, n_terms = counts.agg(F.count_if("n > 0"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        n_docs, n_terms = counts.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
         df = np.zeros(len(terms), np.int64)
         for term, n in counts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():  # a row a term
             df[term] = n

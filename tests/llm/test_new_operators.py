@@ -97,10 +97,10 @@ def groups(tokens, text):
     raw = f" {text}".encode() if text else b""
     if b"".join(t for _, t in a) != raw or b"".join(t for _, t in b) != raw:
         return []
-    ends = lambda side: np.cumsum([len(t) for _, t in side]).tolist()
-    shared = sorted({*ends(a)} & {*ends(b)})
-    cut = lambda side: [[i for (i, _), e in zip(side, ends(side), strict=True) if lo < e <= hi] for lo, hi in zip([0, *shared], shared, strict=False)]
-    return list(zip(cut(a), cut(b), strict=True))
+    ends_a, ends_b = ([0, *np.cumsum([len(t) for _, t in side]).tolist()] for side in (a, b))
+    shared = sorted({*ends_a} & {*ends_b})
+    at_a, at_b = ({e: i for i, e in enumerate(ends)} for ends in (ends_a, ends_b))
+    return [([i for i, _ in a[at_a[lo] : at_a[hi]]], [i for i, _ in b[at_b[lo] : at_b[hi]]]) for lo, hi in zip(shared, shared[1:], strict=False)]
 
 
 STRANGE = [None, "", "a", " ", "  lead\n\nx ", "▁ a", "<|endoftext|> </s> <s>", "x" * 4000, "\x00", "é 日本 🎉🎉", "à  z", "0123456789 " * 50, "<0x41>", "\t\t  \n", "don't won't I'LL"]
