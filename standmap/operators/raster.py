@@ -1,8 +1,8 @@
 """Raster operators on pixel tables (tile_id, y, x, ...), one row for each pixel of a tile.
 
 A tile's height and width are those of its own pixels. Operators on neighbourhoods deal pixels out by ``tile_id`` once;
-their windows along rows and columns reuse that. What isn't a window (distances, blobs, the search for a shift) takes a
-tile as a group, which is as large as one raster.
+their windows along rows and columns reuse that. Distances and blobs (:mod:`standmap.operators.blocks`) go by strips and
+blocks, of which a raster may have many; the search for a shift takes a tile as a group.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from standmap.functions.spectral import brightness, excess_green
+from standmap.operators.blocks import connected_components, distance_transform
 
 KEY = ["tile_id", "y", "x"]
 
@@ -89,34 +90,48 @@ def shapes_to_masks(shapes: DataFrame, height: int, width: int) -> DataFrame:
 def crop_grid(tiles: DataFrame, gsd: float = 0.60, crop: int = 384, stride: float = 0.5, negative_stride: float = 1.0) -> DataFrame:
     """Crops of tiles (tile_id, role, window_m, size_px): full_px source pixels each, far edges always included.
 
-    Keys are (tile_id, crop_row, crop_col); the id is ``{source}_{row}_{col}``.
+    Keys are (tile_id, crop_row, crop_col); the id is ``{source}_{row}_{col}``. ``step`` and ``last`` are the distance of
+    regular offsets and the far edge's offset.
     """
     full = F.least(F.col("size_px"), F.bround(F.lit(crop * gsd) / (F.col("window_m") / F.col("size_px"))).cast("int"))
     step = F.greatest(F.lit(1), F.bround(F.col("full_px") * F.when(F.col("role") == "damage", stride).otherwise(negative_stride)).cast("int"))
     t = tiles.withColumn("full_px", full).withColumn("step", step).withColumn("last", F.col("size_px") - F.col("full_px"))
     t = t.withColumn("offsets", F.array_union(F.sequence(F.lit(0), F.col("last"), F.col("step")), F.array("last")))
     t = t.select("*", F.posexplode("offsets").alias("crop_row", "y0")).select("*", F.posexplode("offsets").alias("crop_col", "x0"))
-    return t.select("tile_id", "role", "crop_row", "crop_col", "y0", "x0", "full_px", F.concat_ws("_", F.col("tile_id").cast("string"), F.col("crop_row").cast("string"), F.col("crop_col").cast("string")).alias("crop_id"))
+    return t.select("tile_id", "role", "crop_row", "crop_col", "y0", "x0", "full_px", F.concat_ws("_", F.col("tile_id").cast("string"), F.col("crop_row").cast("string"), F.col("crop_col").cast("string")).alias("crop_id"), "step", "last")
+
+
+def _covering(place: Column) -> Column:
+    """Numbers of the crop rows (or columns) that hold a place: those of the regular offsets, by division, and the far edge's, if it is one more."""
+    full, step, last = F.col("full_px"), F.col("step"), F.col("last")
+    end = F.floor(last / step)
+    lo, hi = F.greatest(F.lit(0), F.ceil((place - full + 1) / step)).cast("int"), F.least(end, F.floor(place / step)).cast("int")
+    none = F.array().cast("array<int>")
+    return F.concat(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(none), F.when((last % step != 0) & (place >= last), F.array((end + 1).cast("int"))).otherwise(none))
 
 
 def _in_crop(px: DataFrame, grid: DataFrame) -> DataFrame:
-    """Pixels with each crop that holds them: an equi-join on the tile, then the window."""
-    inside = (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y0") + F.col("full_px")) & (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x0") + F.col("full_px"))
-    return px.join(grid, "tile_id").where(inside)
+    """Pixels with each crop of their tile's :func:`crop_grid` that holds them: (crop_row, crop_col) come from the pixel's place alone."""
+    layout = grid.select("tile_id", "full_px", "step", "last").distinct()
+    out = px.join(layout, "tile_id").withColumn("crop_row", F.explode(_covering(F.col("y")))).withColumn("crop_col", F.explode(_covering(F.col("x"))))
+    return out.drop("full_px", "step", "last")
+
+
+CROP = ["tile_id", "crop_row", "crop_col"]
 
 
 def crop_labels(grid: DataFrame, px: DataFrame, min_px: int = 64) -> DataFrame:
     """``grid`` with label_px and the crop's role; crops of damage tiles with some label but too little are dropped."""
-    n = _in_crop(px.where("gt").select(*KEY), grid.select("tile_id", "crop_id", "y0", "x0", "full_px")).groupBy("crop_id").agg(F.count(F.lit(1)).alias("label_px"))
-    out = grid.join(n, "crop_id", "left").withColumn("label_px", F.coalesce("label_px", F.lit(0).cast("long")))
+    n = _in_crop(px.where("gt").select(*KEY), grid).groupBy(*CROP).agg(F.count(F.lit(1)).alias("label_px"))
+    out = grid.join(n, CROP, "left").withColumn("label_px", F.coalesce("label_px", F.lit(0).cast("long")))
     out = out.withColumn("crop_role", F.when(F.col("label_px") >= min_px, "damage").otherwise("negative"))
     return out.where("role <> 'damage' or crop_role = 'damage'")
 
 
 def crop_pixels(grid: DataFrame, px: DataFrame) -> DataFrame:
-    """The layers of each crop in its own coordinates."""
-    out = _in_crop(px, grid.select("tile_id", "crop_id", "y0", "x0", "full_px"))
-    return out.withColumns({"y": F.col("y") - F.col("y0"), "x": F.col("x") - F.col("x0")}).drop("y0", "x0", "full_px")
+    """The layers of each crop that ``grid`` has, in its own coordinates."""
+    out = _in_crop(px, grid).join(grid.select(*CROP, "crop_id", "y0", "x0"), CROP)
+    return out.withColumns({"y": F.col("y") - F.col("y0"), "x": F.col("x") - F.col("x0")}).drop("y0", "x0", "crop_row", "crop_col")
 
 
 def resample_nearest(px: DataFrame, size: int, source: int, columns: Sequence[str]) -> DataFrame:
@@ -279,40 +294,6 @@ def _placed(pdf: pd.DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def _distances(mask: np.ndarray) -> np.ndarray:
-    """Distance of each pixel to the nearest one of ``mask``, which has some: down the columns first, then along the rows.
-
-    A row takes ever farther columns into account until none of them can be nearer than what has been found.
-    """
-    height, width = mask.shape
-    far = height + width
-    rows = np.arange(height)[:, None]
-    above = np.maximum.accumulate(np.where(mask, rows, -far), axis=0)
-    below = np.minimum.accumulate(np.where(mask, rows, 2 * far)[::-1], axis=0)[::-1]
-    g = np.minimum(rows - above, below - rows).astype(np.int64) ** 2
-    best = g.copy()
-    for o in range(1, width):
-        if o * o >= best.max():
-            break
-        best[:, o:] = np.minimum(best[:, o:], g[:, :-o] + o * o)
-        best[:, :-o] = np.minimum(best[:, :-o], g[:, o:] + o * o)
-    return np.sqrt(best)
-
-
-def distance_transform(px: DataFrame, mask: str, into: str = "dist") -> DataFrame:
-    """``px`` with the exact Euclidean distance to the nearest pixel where ``mask`` holds; null if there is none."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = _placed(pdf.assign(__m=pdf[mask].fillna(False).astype(bool)), "__m")
-        pdf[into] = _distances(held)[pdf["y"], pdf["x"]] if held.any() else None
-        return pdf[names]
-
-    px = px.drop(into)
-    schema = T.StructType([*px.schema.fields, T.StructField(into, T.DoubleType())])
-    names = schema.names
-    return px.groupBy("tile_id").applyInPandas(run, schema)
-
-
 def soft_prior(px: DataFrame, mask: str, tau: float = 16) -> DataFrame:
     """``px`` with ``soft``: 0.5 * (tanh(d / tau) + 1) of the signed distance; 0 without mask pixels, 1 without others."""
     out = distance_transform(px, mask, "__out")
@@ -342,54 +323,6 @@ def proximity_map(px: DataFrame, signal: str, pct: float = 65, sigma: float = 2,
 # --- blobs -----------------------------------------------------------------------------------------------------
 
 
-def _labels(mask: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (y, x0, x1) of a mask and, for each, the number of the first run that it hangs together with."""
-    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    y, x0 = np.nonzero(edge == 1)
-    x1 = np.nonzero(edge == -1)[1] - 1
-    up = list(range(len(y)))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    first = np.searchsorted(y, np.arange(mask.shape[0] + 1)).tolist()
-    lo, hi = x0.tolist(), x1.tolist()
-    for row in range(1, mask.shape[0]):
-        i, j = first[row - 1], first[row]
-        while i < first[row] and j < first[row + 1]:
-            if lo[i] <= hi[j] + gap and lo[j] <= hi[i] + gap:
-                a, b = root(i), root(j)
-                up[max(a, b)] = min(a, b)
-            if hi[i] < hi[j]:
-                i += 1
-            else:
-                j += 1
-    return y, x0, x1, np.array([root(i) for i in range(len(up))], np.int64)
-
-
-def connected_components(px: DataFrame, mask: str, connectivity: int = 4) -> DataFrame:
-    """(tile_id, y, x, blob, blob_px) of the mask's pixels; ``blob`` is its least y * 2^20 + x.
-
-    Runs of a row are joined with those that they touch in the row before, tile by tile.
-    """
-    gap = 1 if connectivity == 8 else 0
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x0, x1, first = _labels(_placed(pdf.assign(__m=True), "__m"), gap)
-        n = x1 - x0 + 1
-        total = np.bincount(first, weights=n, minlength=len(y)).astype(np.int64)
-        x = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(x0, n)
-        blob = y[first].astype(np.int64) * (1 << 20) + x0[first]
-        return pd.DataFrame({"tile_id": pdf["tile_id"].iloc[0], "y": np.repeat(y, n), "x": x, "blob": np.repeat(blob, n), "blob_px": np.repeat(total[first], n)})
-
-    kinds = dict(px.dtypes)
-    schema = f"tile_id {kinds['tile_id']}, y {kinds['y']}, x {kinds['x']}, blob long, blob_px long"
-    return px.where(F.col(mask)).select(*KEY).groupBy("tile_id").applyInPandas(run, schema)
-
-
 def drop_small_blobs(px: DataFrame, mask: str, min_frac: float, connectivity: int = 4) -> DataFrame:
     """``px`` with ``mask`` without blobs below a share of the tile's pixels."""
     area = px.groupBy("tile_id").agg(F.count(F.lit(1)).alias("__n"))
@@ -502,45 +435,50 @@ def shift_mask(px: DataFrame, mask: str, dx: int, dy: int) -> DataFrame:
     return out.where("y >= 0 and y < __h and x >= 0 and x < __w").drop("__h", "__w")
 
 
-def _best_shift(mask: np.ndarray, stress: np.ndarray, near: np.ndarray, radius: int, step: int, fine: int, weights: Sequence[float]) -> tuple[int, int, float]:
-    """(dx, dy, energy) of least energy, the first of equals in the order of rows and columns; energy 999 if no shift is allowed.
+def _sampled(values: np.ndarray, y: np.ndarray, x: np.ndarray, dy: np.ndarray, dx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By shift: how many of the pixels stay on the raster, and the mean of ``values`` under those; some million at a time."""
+    stay, total, rows = np.zeros(len(dy), np.int64), np.zeros(len(dy)), max(1, 4_000_000 // max(1, len(y)))
+    for lo in range(0, len(dy), rows):
+        part = slice(lo, lo + rows)
+        ty, tx = y + dy[part, None], x + dx[part, None]
+        on = (ty >= 0) & (ty < values.shape[0]) & (tx >= 0) & (tx < values.shape[1])
+        stay[part] = on.sum(1)
+        total[part] = np.where(on, values[np.where(on, ty, 0), np.where(on, tx, 0)], 0).sum(1)
+    return stay, total / np.maximum(stay, 1)
 
-    Energies have nine digits, so that equal ones don't hang on the order of a sum.
-    """
-    height, width = mask.shape
+
+def _shift_table(mask: np.ndarray, contour: np.ndarray, stress: np.ndarray, near: np.ndarray, weights: Sequence[float], dy: np.ndarray, dx: np.ndarray) -> pd.DataFrame:
+    """(energy, dy, dx) of the shifts that keep 30% of the mask's sample and of the contour, and 10 pixels, of each; nine digits."""
+    y, x = np.nonzero(mask)
+    every = max(1, len(y) // 500)
+    y, x = y[::every], x[::every]
+    cy, cx = np.nonzero(contour)
+    inner, under = _sampled(stress, y, x, dy, dx)
+    outer, beside = _sampled(near, cy, cx, dy, dx)
+    lost = 1 - np.minimum(inner / len(y), outer / len(cy))
+    energy = weights[0] * (stress.mean() - under) + weights[1] * beside / 20 + 2 * weights[2] * lost
+    ok = (inner >= np.maximum(10, 0.3 * len(y))) & (outer >= np.maximum(10, 0.3 * len(cy)))
+    return pd.DataFrame({"energy": np.round(energy, 9), "dy": dy, "dx": dx})[ok]
+
+
+def _grid(ys: np.ndarray, xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    dy, dx = np.meshgrid(ys, xs, indexing="ij")
+    return dy.ravel(), dx.ravel()
+
+
+def _best_shift(mask: np.ndarray, stress: np.ndarray, near: np.ndarray, radius: int, step: int, fine: int, weights: Sequence[float]) -> tuple[int, int, float]:
+    """(dx, dy, energy) of least energy, by rows and columns among equals, those of the coarse grid first; no shift and 0.5 if none is allowed."""
     inner = np.pad(mask, 1)
-    inner = inner[1:-1, 1:-1] & inner[:-2, 1:-1] & inner[2:, 1:-1] & inner[1:-1, :-2] & inner[1:-1, 2:]
-    every = max(1, int(mask.sum()) // 500) if mask.sum() > 500 else 1
-    parts = [(*(x[::every] for x in np.nonzero(mask)), stress), (*np.nonzero(mask & ~inner), near)]
-    if len(parts[1][0]) < 10:
+    contour = mask & ~(inner[1:-1, 1:-1] & inner[:-2, 1:-1] & inner[2:, 1:-1] & inner[1:-1, :-2] & inner[1:-1, 2:])
+    if contour.sum() < 10:
         return 0, 0, 0.5
-    mean = float(stress.mean())
-
-    def energy(dx: int, dy: int) -> float:
-        means, lost = [], 0.0
-        for y, x, values in parts:
-            at_y, at_x = y + dy, x + dx
-            ok = (at_y >= 0) & (at_y < height) & (at_x >= 0) & (at_x < width)
-            n = int(ok.sum())
-            if n < max(10, 0.3 * len(y)):
-                return 999.0
-            means.append(float(values[at_y[ok], at_x[ok]].mean()))
-            lost = max(lost, 1 - n / len(y))
-        return round(weights[0] * (mean - means[0]) + weights[1] * means[1] / 20 + weights[2] * lost * 2, 9)
-
-    best = (999.0, 0, 0)
-    for dy in range(-radius, radius + 1, step):
-        for dx in range(-radius, radius + 1, step):
-            e = energy(dx, dy)
-            if e < best[0]:
-                best = (e, dx, dy)
-    _, cx, cy = best
-    for dy in range(max(-radius, cy - fine), min(radius, cy + fine) + 1):
-        for dx in range(max(-radius, cx - fine), min(radius, cx + fine) + 1):
-            e = energy(dx, dy)
-            if e < best[0]:
-                best = (e, dx, dy)
-    return best[1], best[2], best[0]
+    coarse = np.arange(-radius, radius + 1, step)
+    first = _shift_table(mask, contour, stress, near, weights, *_grid(coarse, coarse)).nsmallest(1, ["energy", "dy", "dx"])
+    at = first[["dy", "dx"]].to_numpy().ravel() if len(first) else np.zeros(2, np.int64)
+    close = [np.arange(max(-radius, c - fine), min(radius, c + fine) + 1) for c in at.tolist()]
+    second = _shift_table(mask, contour, stress, near, weights, *_grid(*close))
+    best = pd.concat([first.assign(turn=0), second.assign(turn=1)]).nsmallest(1, ["energy", "turn", "dy", "dx"])
+    return next(((int(r.dx), int(r.dy), float(r.energy)) for r in best.itertuples()), (0, 0, 0.5))
 
 
 def alignment_search(

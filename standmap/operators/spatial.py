@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from standmap.operators.raster import polygon_spans
 from standmap.sources.store import materialize, quantiles
 
 
@@ -15,14 +14,22 @@ def _edges(vert: DataFrame, keys: list[str]) -> DataFrame:
     return vert.withColumns({"nx": F.coalesce(F.lead("x").over(w), F.min_by("x", "k").over(first)), "ny": F.coalesce(F.lead("y").over(w), F.min_by("y", "k").over(first))})
 
 
+#: Where cells begin, off the round numbers on which edges and points stand.
+SHIFT = 0.31830988618379067
+
+
+def _cell(v: Column, cell: float) -> Column:
+    return F.floor((v - SHIFT) / cell)
+
+
 def _cells(lo: Column, hi: Column, cell: float) -> Column:
-    return F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
+    return F.explode(F.sequence(_cell(lo, cell), _cell(hi, cell)))
 
 
 def _passed(e: DataFrame, cell: float) -> DataFrame:
     """Edges (x, y, nx, ny) spread over the cells (row, col) that they pass: the rows that they span, and the columns in each row."""
     rows = e.withColumn("row", _cells(F.least("y", "ny"), F.greatest("y", "ny"), cell))
-    lo_y, hi_y = F.greatest(F.least("y", "ny"), F.col("row") * cell), F.least(F.greatest("y", "ny"), (F.col("row") + 1) * cell)
+    lo_y, hi_y = F.greatest(F.least("y", "ny"), F.col("row") * cell + SHIFT), F.least(F.greatest("y", "ny"), (F.col("row") + 1) * cell + SHIFT)
     flat = F.col("y") == F.col("ny")
     on = lambda v: F.when(flat, F.col("x")).otherwise(F.col("x") + (v - F.col("y")) * (F.col("nx") - F.col("x")) / (F.col("ny") - F.col("y")))
     x0 = F.when(flat, F.least("x", "nx")).otherwise(F.least(on(lo_y), on(hi_y)))
@@ -47,15 +54,42 @@ def _touches(r: float) -> Column:
     return ok & (t0 <= t1)
 
 
-def _held_by(points: DataFrame, edges: DataFrame, cell: float, keys: list[str]) -> DataFrame:
-    """(keys, region_id, kind) of points (keys, px, py) and the rings that hold them, by parity."""
-    rows = edges.withColumn("row", _cells(F.least("y", "ny"), F.greatest("y", "ny"), cell))
-    hits = points.withColumn("row", F.floor(F.col("py") / cell)).join(rows, "row").where(_right_of("px", "py"))
-    return hits.groupBy(*keys, "region_id", "kind").agg((F.count(F.lit(1)) % 2 == 1).alias("odd")).where("odd").drop("odd")
+def cell_index(edges: DataFrame, cell: float) -> DataFrame:
+    """Rings (region_id, kind, x, y, nx, ny) by cell: (region_id, kind, row, col, x, y, nx, ny), the edges that pass a cell, and one row without an edge for each cell whose lower left corner the ring holds.
 
+    A cell without rows is outside, one with only the row without an edge is inside, one with edges is on the boundary.
+    Along the lower border of a row of cells the ring's crossings, in order, are pairs between which corners are inside.
+    """
+    w = Window.partitionBy("region_id", "kind", "row").orderBy("at")
+    up = lambda v: F.ceil((v - SHIFT) / cell)
+    lines = edges.withColumns({"lo": up(F.least("y", "ny")), "hi": up(F.greatest("y", "ny")) - 1}).where("lo <= hi").withColumn("row", F.explode(F.sequence("lo", "hi")))
+    at = F.col("x") + (F.col("row") * cell + SHIFT - F.col("y")) * (F.col("nx") - F.col("x")) / (F.col("ny") - F.col("y"))
+    spans = lines.select("region_id", "kind", "row", at.alias("at")).withColumns({"rn": F.row_number().over(w), "to": F.lead("at").over(w)}).where("rn % 2 = 1")
+    spans = spans.withColumns({"lo": up(F.col("at")), "hi": up(F.col("to")) - 1}).where("lo <= hi")
+    none = [F.lit(None).cast("double").alias(c) for c in ("x", "y", "nx", "ny")]
+    inside = spans.select("region_id", "kind", "row", F.explode(F.sequence("lo", "hi")).alias("col"), *none)
+    return inside.unionByName(_passed(edges, cell).select(*inside.columns))
+
+
+def _held_by(points: DataFrame, index: DataFrame, cell: float, keys: list[str]) -> DataFrame:
+    """(keys, region_id, kind) of points (keys, px, py) and the rings of :func:`cell_index` that hold them.
+
+    From its cell's corner a path leads up and then right to the point; an edge that it crosses turns inside to outside.
+    Points without an edge in their cell need no test.
+    """
+    here = points.withColumns({"row": _cell(F.col("py"), cell), "col": _cell(F.col("px"), cell)}).join(index, ["row", "col"])
+    x0, y0 = F.col("col") * cell + SHIFT, F.col("row") * cell + SHIFT
+    x, y, nx, ny, px, py = (F.col(c) for c in ("x", "y", "nx", "ny", "px", "py"))
+    spans = lambda a, b, v: ((a <= v) & (v < b)) | ((b <= v) & (v < a))
+    on_row, on_side = x + (py - y) * (nx - x) / F.nullif(ny - y, F.lit(0.0)), y + (x0 - x) * (ny - y) / F.nullif(nx - x, F.lit(0.0))
+    right = spans(y, ny, py) & (on_row > x0) & (on_row <= px)
+    up = spans(x, nx, x0) & (on_side > y0) & (on_side <= py)
+    turns = F.when(x.isNull(), 1).otherwise(F.coalesce(right, F.lit(False)).cast("int") + F.coalesce(up, F.lit(False)).cast("int"))
+    return here.groupBy(*keys, "region_id", "kind").agg((F.sum(turns) % 2 == 1).alias("odd")).where("odd").drop("odd")
 
-def union_boundary(edges: DataFrame, cell: float) -> DataFrame:
-    """What of the rings' edges (region_id, kind, x, y, nx, ny) bounds their union: (x, y, nx, ny).
+
+def union_boundary(edges: DataFrame, index: DataFrame, cell: float) -> DataFrame:
+    """What of the rings' edges (region_id, kind, x, y, nx, ny), with their :func:`cell_index`, bounds their union: (x, y, nx, ny).
 
     Edges are cut where other rings meet them. A part bounds the union if, of two points close to its middle on either
     side, one lies in some ring and the other in none.
@@ -79,7 +113,7 @@ def union_boundary(edges: DataFrame, cell: float) -> DataFrame:
     parts = parts.select("edge", "i", on("x", lo).alias("x"), on("y", lo).alias("y"), on("x", hi).alias("nx"), on("y", hi).alias("ny"), ((on("x", lo) + on("x", hi)) / 2).alias("mx"), ((on("y", lo) + on("y", hi)) / 2).alias("my"), (dy / length).alias("ux"), (-dx / length).alias("uy"))
     parts = materialize(parts.where("ux is not null"))
     sides = parts.withColumn("side", F.explode(F.array(F.lit(-1e-3), F.lit(1e-3)))).select("edge", "i", "side", (F.col("mx") + F.col("side") * F.col("ux")).alias("px"), (F.col("my") + F.col("side") * F.col("uy")).alias("py"))
-    held = _held_by(sides, edges, cell, ["edge", "i", "side"]).select("edge", "i", "side").distinct()
+    held = _held_by(sides, index, cell, ["edge", "i", "side"]).select("edge", "i", "side").distinct()
     one = held.groupBy("edge", "i").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("edge", "i")
     return parts.join(one, ["edge", "i"], "left_semi").select("x", "y", "nx", "ny")
 
@@ -88,13 +122,14 @@ def within_region(cand: DataFrame, half_m: float, regions: DataFrame, cell: floa
     """Candidates (cand_id, cx, cy) whose box of half side ``half_m`` lies in the union of the surveyed rings and meets no hole.
 
     ``regions``: (region_id, kind, k, x, y), one ring each; kind ``surveyed`` or ``not_flown``. The centre must lie in
-    a surveyed ring and in no hole, and the box must meet neither the boundary of the union nor that of a hole. Edges
-    are spread over the cells that they pass, so joins are on cells.
+    a surveyed ring and in no hole, and the box must meet neither the boundary of the union nor that of a hole. Cells are
+    found to be inside, outside or on a boundary once, and all joins are on cells.
     """
     e = materialize(_edges(regions, ["region_id"]).select("region_id", "kind", "x", "y", "nx", "ny"))
     c = cand.select("cand_id", "cx", "cy")
-    inside = _held_by(c.select("cand_id", F.col("cx").alias("px"), F.col("cy").alias("py")), e, cell, ["cand_id"])
-    bounds = union_boundary(e.where("kind = 'surveyed'"), cell).unionByName(e.where("kind = 'not_flown'").select("x", "y", "nx", "ny"))
+    index = materialize(cell_index(e, cell), "cells")
+    inside = _held_by(c.select("cand_id", F.col("cx").alias("px"), F.col("cy").alias("py")), index, cell, ["cand_id"])
+    bounds = union_boundary(e.where("kind = 'surveyed'"), index.where("kind = 'surveyed'"), cell).unionByName(e.where("kind = 'not_flown'").select("x", "y", "nx", "ny"))
     box = c.withColumn("row", _cells(F.col("cy") - half_m, F.col("cy") + half_m, cell)).withColumn("col", _cells(F.col("cx") - half_m, F.col("cx") + half_m, cell))
     crossed = box.join(_passed(bounds, cell), ["row", "col"]).where(_touches(half_m)).select("cand_id")
     good = inside.where("kind = 'surveyed'").select("cand_id")
@@ -166,11 +201,39 @@ def confirmed_negatives(
     return out.withColumns({**box, "role": F.lit("negative"), "window_m": F.lit(float(window_m))})
 
 
-def polygon_overlap(vert_a: DataFrame, vert_b: DataFrame, cells: int = 64, id_: str = "poly_id") -> DataFrame:
-    """(id, iou_raw, iou_shift, iou_scaled, shift_m, area_ratio) of polygon pairs.
+def shared_area(vert: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, shared): the exact area that the two simple polygons ``part`` a and b of vertices (keys, part, k, x, y) share.
 
-    Both are cut into spans on a grid of ``cells`` squares over the pair's box, so the figures are as exact as
-    the grid. Shifted: b's centroid moved onto a's; scaled: and b resized to a's area. The ratio is b's area to a's.
+    A polygon is the signed sum of the trapezoids below its edges, and two trapezoids share what lies below the lower
+    edge over their common span. Edges meet within columns of the pair's width, as many as it has vertices, so that
+    an edge meets those above and below it and not all others.
+    """
+    w, one = Window.partitionBy(*keys), Window.partitionBy(*keys, "part")
+    e = _edges(vert, [*keys, "part"]).withColumns({"x0": F.min("x").over(w), "wide": F.max("x").over(w) - F.min("x").over(w), "base": F.min("y").over(w), "n": F.count(F.lit(1)).over(w)})
+    e = e.withColumn("turn", F.signum(F.sum((F.col("x") - F.col("nx")) * (F.col("y") - F.col("base") + F.col("ny") - F.col("base"))).over(one)))
+    e = e.withColumns({"lo": F.least("x", "nx"), "hi": F.greatest("x", "nx")}).where("lo < hi")
+    at = lambda v: F.least(F.floor((v - F.col("x0")) / F.col("wide") * F.col("n")), F.col("n") - 1)
+    e = e.withColumn("column", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")))))
+    e = e.withColumns({"sign": F.col("turn") * F.signum(F.col("x") - F.col("nx")), "slope": (F.col("ny") - F.col("y")) / (F.col("nx") - F.col("x")), "y": F.col("y") - F.col("base")})
+    cut = lambda i: F.col("x0") + i * F.col("wide") / F.col("n")
+    e = e.withColumns({"lo": F.greatest("lo", cut(F.col("column"))), "hi": F.when(F.col("column") == F.col("n") - 1, F.col("hi")).otherwise(F.least("hi", cut(F.col("column") + 1)))})
+    e = e.select(*keys, "part", "column", "x", "y", "slope", "sign", "lo", "hi")
+    other = e.where("part = 'b'").select(*keys, "column", *(F.col(c).alias(f"o_{c}") for c in ("x", "y", "slope", "sign", "lo", "hi")))
+    m = e.where("part = 'a'").join(other, [*keys, "column"]).withColumns({"u": F.greatest("lo", "o_lo"), "v": F.least("hi", "o_hi")}).where("u < v")
+    line = lambda p, v: F.col(f"{p}y") + (F.col(v) - F.col(f"{p}x")) * F.col(f"{p}slope")
+    m = m.withColumns({"au": line("", "u"), "av": line("", "v"), "bu": line("o_", "u"), "bv": line("o_", "v")})
+    du, dv = F.col("au") - F.col("bu"), F.col("av") - F.col("bv")
+    t = F.when(du * dv < 0, du / (du - dv)).otherwise(1.0)  # where the lines cross, as a share of the span
+    mid = F.least(F.col("au") + t * (F.col("av") - F.col("au")), F.col("bu") + t * (F.col("bv") - F.col("bu")))
+    below = (F.col("v") - F.col("u")) / 2 * (t * (F.least("au", "bu") + mid) + (1 - t) * (mid + F.least("av", "bv")))
+    return m.groupBy(*keys).agg(F.sum(F.col("sign") * F.col("o_sign") * below).alias("shared"))
+
+
+def polygon_overlap(vert_a: DataFrame, vert_b: DataFrame, id_: str = "poly_id") -> DataFrame:
+    """(id, iou_raw, iou_shift, iou_scaled, shift_m, area_ratio) of pairs of simple polygons, exact but for rounding.
+
+    Shifted: b's centroid moved onto a's; scaled: and b resized to a's area. The ratio is b's area to a's. Polygons may
+    turn either way; pairs that only one side has, or of which one has no area, have no row.
     """
     both = vert_a.select(id_, F.lit("a").alias("part"), "k", "x", "y").unionByName(vert_b.select(id_, F.lit("b").alias("part"), "k", "x", "y"))
     e = _edges(both, [id_, "part"])
@@ -179,31 +242,23 @@ def polygon_overlap(vert_a: DataFrame, vert_b: DataFrame, cells: int = 64, id_:
     ax, ay, bx, by = F.col("x") - F.col("x0"), F.col("y") - F.col("y0"), F.col("nx") - F.col("x0"), F.col("ny") - F.col("y0")
     cross = ax * by - bx * ay
     m = e.groupBy(id_, "part").agg(F.sum(cross).alias("s"), F.sum((ax + bx) * cross).alias("sx"), F.sum((ay + by) * cross).alias("sy"), F.min("x0").alias("x0"), F.min("y0").alias("y0"))
-    m = m.select(id_, "part", (F.abs("s") / 2).alias("area"), (F.col("x0") + F.col("sx") / (3 * F.col("s"))).alias("mx"), (F.col("y0") + F.col("sy") / (3 * F.col("s"))).alias("my"))
-    m = m.groupBy(id_).agg(*(F.max(F.when(F.col("part") == p, F.col(c))).alias(f"{c}_{p}") for p in "ab" for c in ("area", "mx", "my")))
-    v = both.join(m, id_)
+    m = m.where("s <> 0").select(id_, "part", (F.abs("s") / 2).alias("area"), (F.col("x0") + F.col("sx") / (3 * F.col("s"))).alias("mx"), (F.col("y0") + F.col("sy") / (3 * F.col("s"))).alias("my"))
+    m = m.groupBy(id_).agg(*(F.max(F.when(F.col("part") == p, F.col(c))).alias(f"{c}_{p}") for p in "ab" for c in ("area", "mx", "my"))).where("area_a is not null and area_b is not null")
     s = F.sqrt(F.col("area_a") / F.col("area_b"))
+    # all three relative to a's centroid
     moved = {
-        "raw": (F.col("x"), F.col("y")),
-        "shift": (F.col("x") - F.col("mx_b") + F.col("mx_a"), F.col("y") - F.col("my_b") + F.col("my_a")),
-        "scaled": ((F.col("x") - F.col("mx_b")) * s + F.col("mx_a"), (F.col("y") - F.col("my_b")) * s + F.col("my_a")),
+        "raw": (F.col("x") - F.col("mx_a"), F.col("y") - F.col("my_a")),
+        "shift": (F.col("x") - F.col("mx_b"), F.col("y") - F.col("my_b")),
+        "scaled": ((F.col("x") - F.col("mx_b")) * s, (F.col("y") - F.col("my_b")) * s),
     }
-    rows = F.array(*(F.struct(F.lit(n).alias("how"), F.when(F.col("part") == "a", F.col("x")).otherwise(x).alias("px"), F.when(F.col("part") == "a", F.col("y")).otherwise(y).alias("py")) for n, (x, y) in moved.items()))
-    v = v.select(id_, "part", "k", F.explode(rows).alias("r")).select(id_, "part", "k", "r.*")
-    w = Window.partitionBy(id_, "how")
-    x0, y0 = F.min("px").over(w), F.min("py").over(w)
-    side = F.greatest(F.max("px").over(w) - F.min("px").over(w), F.max("py").over(w) - F.min("py").over(w))
-    v = v.withColumns({"x": (F.col("px") - x0) / side * cells, "y": (F.col("py") - y0) / side * cells})
-    spans = polygon_spans(v.select(id_, "how", "part", "k", "x", "y"), cells, cells, keys=(id_, "how", "part"))
-    sizes = spans.groupBy(id_, "how").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("both"))
-    other = spans.where("part = 'b'").select(id_, "how", "y", F.col("x0").alias("u0"), F.col("x1").alias("u1"))
-    shared = F.greatest(F.lit(0), F.least("x1", "u1") - F.greatest("x0", "u0") + 1)
-    c = spans.where("part = 'a'").join(other, [id_, "how", "y"]).groupBy(id_, "how").agg(F.sum(shared).alias("shared"))
-    c = sizes.join(c, [id_, "how"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    c = c.select(id_, "how", (F.col("shared") / (F.col("both") - F.col("shared"))).alias("iou"))
-    iou = c.groupBy(id_).agg(*(F.max(F.when(F.col("how") == h, F.col("iou"))).alias(f"iou_{h}") for h in moved))
+    of = lambda a, b: F.when(F.col("part") == "a", a).otherwise(b)
+    rows = F.array(*(F.struct(F.lit(n).alias("how"), of(moved["raw"][0], x).alias("x"), of(moved["raw"][1], y).alias("y")) for n, (x, y) in moved.items()))
+    v = both.join(m, id_).select(id_, "part", "k", F.explode(rows).alias("r")).select(id_, "part", "k", "r.*")
+    c = shared_area(v, [id_, "how"]).groupBy(id_).agg(*(F.max(F.when(F.col("how") == h, F.col("shared"))).alias(h) for h in moved))
+    iou = lambda h, b: (F.coalesce(h, F.lit(0.0)) / (F.col("area_a") + b - F.coalesce(h, F.lit(0.0)))).alias(f"iou_{h}")
     dx, dy = F.col("mx_a") - F.col("mx_b"), F.col("my_a") - F.col("my_b")
-    return m.join(iou, id_).select(id_, "iou_raw", "iou_shift", "iou_scaled", F.sqrt(dx * dx + dy * dy).alias("shift_m"), (F.col("area_b") / F.col("area_a")).alias("area_ratio"))
+    out = m.join(c, id_, "left")
+    return out.select(id_, iou("raw", F.col("area_b")), iou("shift", F.col("area_b")), iou("scaled", F.col("area_a")), F.sqrt(dx * dx + dy * dy).alias("shift_m"), (F.col("area_b") / F.col("area_a")).alias("area_ratio"))
 
 
 def overlap_medians(pairs: DataFrame) -> DataFrame:

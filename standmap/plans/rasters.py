@@ -58,7 +58,7 @@ def _grid(v: Views):
 
 @query("tiles", f"WITH {GRID} SELECT tile_id, role, crop_row, crop_col, y0, x0, full_px, crop_id FROM grid")
 def crop_grid(v: Views):
-    return _grid(v)
+    return _grid(v).drop("step", "last")
 
 
 LABELS = GRID + """, n AS (SELECT crop_id, count(*) AS n FROM grid JOIN pixels USING (tile_id) WHERE gt AND y >= y0 AND y < y0 + full_px AND x >= x0 AND x < x0 + full_px GROUP BY crop_id),
@@ -130,10 +130,11 @@ b1 AS (SELECT tile_id, y, o AS x, sum(c * n) / sum(n) AS m, sum(c * c * n) / sum
 boxed AS (SELECT tile_id, o AS y, x, sum(m * n) / sum(n) AS m, sum(q * n) / sum(n) AS q FROM b1 JOIN wk ON y = s GROUP BY 1, 2, 3)"""
 
 
-@query("pixels", f"WITH {_box_sql('r', 5)} SELECT tile_id, round(avg(m), 5) AS mean, round(avg(sqrt(greatest(0.0, q - m*m))), 4) AS std FROM boxed GROUP BY tile_id")
+@query("pixels", f"WITH {_box_sql('r', 5)} SELECT tile_id, CAST(sum(CAST(round(m * 25) AS BIGINT)) AS BIGINT) AS total, round(avg(sqrt(greatest(0.0, q - m*m))), 4) AS std FROM boxed GROUP BY tile_id")
 def box_stats(v: Views):
     out = raster.box_stats(v.pixels, "r", 5)
-    return out.groupBy("tile_id").agg(R(F.avg("box_mean"), 5).alias("mean"), R(F.avg("box_std"), 4).alias("std"))
+    # a window's sum is a whole number, so that no rounded mean hangs on the order of a sum
+    return out.groupBy("tile_id").agg(F.sum(F.round(F.col("box_mean") * 25).cast("long")).alias("total"), R(F.avg("box_std"), 4).alias("std"))
 
 
 CLIP = "least(1.0, greatest(0.0, {}))"
@@ -151,9 +152,9 @@ GREEN = "CASE WHEN g / (r + g + b + 1.0::DOUBLE) > 0.33 THEN 1 ELSE 0 END"
 GAP = _box_sql(GREEN, 15).replace("wk AS", "gk AS").replace("JOIN wk", "JOIN gk").replace("b0", "g0").replace("b1", "g1").replace("boxed", "greened")
 
 
-@query("pixels", f"WITH {STRESS}, {GAP}, d AS (SELECT st.*, CASE WHEN prior THEN 0.0 ELSE {CLIP.format('greened.m')} END AS gap FROM st JOIN greened USING (tile_id, y, x)) SELECT tile_id, round(avg(gap), 5) AS gap, round(avg(0.5*gap + 0.5*stress), 5) AS damage_map FROM d GROUP BY tile_id")
+@query("pixels", f"WITH {STRESS}, {GAP}, d AS (SELECT st.*, CASE WHEN prior THEN 0.0 ELSE {CLIP.format('greened.m')} END AS gap FROM st JOIN greened USING (tile_id, y, x)) SELECT tile_id, CAST(sum(CAST(round(gap * 225) AS BIGINT)) AS BIGINT) AS gap_px, round(avg(0.5*gap + 0.5*stress), 5) AS damage_map FROM d GROUP BY tile_id")
 def gap_and_damage_map(v: Views):
-    return raster.gap_and_damage_map(v.pixels, "prior").groupBy("tile_id").agg(R(F.avg("gap"), 5).alias("gap"), R(F.avg("damage_map"), 5).alias("damage_map"))
+    return raster.gap_and_damage_map(v.pixels, "prior").groupBy("tile_id").agg(F.sum(F.round(F.col("gap") * 225).cast("long")).alias("gap_px"), R(F.avg("damage_map"), 5).alias("damage_map"))
 
 
 CUT = "cut AS (SELECT tile_id, quantile_cont(prob, 0.65) AS c FROM pixels WHERE prior GROUP BY tile_id), sel AS (SELECT p.*, coalesce(prior AND prob > c AND prob > 0.1, false) AS selected FROM pixels p LEFT JOIN cut USING (tile_id))"

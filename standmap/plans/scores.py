@@ -357,6 +357,17 @@ def learning_curve(v: Views):
     return rounded(report.learning_curve(v.runs))
 
 
-@query("pixels", f"WITH {TILE}, s AS (SELECT count(*) AS tiles, avg(iou) AS iou, avg(prior_iou) AS prior_iou, avg(recall) AS recall, count(*) FILTER (silent) AS silent, stddev_samp(iou) AS sd FROM tm) SELECT tiles, round(iou, 6) AS iou, round(prior_iou, 6) AS prior_iou, round(recall, 6) AS recall, silent, round(sd, 6) AS sd, round(iou - prior_iou, 6) AS gain, CASE WHEN iou - prior_iou > 0.05 THEN 'beats the prior' WHEN iou - prior_iou > -0.05 THEN 'no better than the prior' ELSE 'worse than the prior' END AS verdict FROM s")
+HEADLINE = f"""{TILE}, {counts('prob > 0.3', into='zc')}, {counts('prob > 0.6', into='xc')}, zi AS (SELECT tile_id, {IOU} AS zero_iou FROM zc), xi AS (SELECT tile_id, {IOU} AS fixed_iou FROM xc),
+pn AS (SELECT tile_id, count(*) FILTER (prob > 0.5 AND (gt OR NOT ign)) / count(*) FILTER (gt OR NOT ign) AS painted FROM pixels GROUP BY 1 HAVING NOT bool_or(gt)),
+al AS (SELECT *, tile_id % 5 AS fold FROM tm JOIN zi USING (tile_id) JOIN xi USING (tile_id) LEFT JOIN pn USING (tile_id)),
+fm AS (SELECT fold, avg(iou) AS m FROM al GROUP BY 1 HAVING avg(iou) IS NOT NULL), fo AS (SELECT list(round(m, 3) ORDER BY fold) AS folds, max(m) - min(m) AS fold_range FROM fm),
+su AS (SELECT count(*) AS tiles, avg(iou) AS iou, avg(prior_iou) AS prior_iou, avg(zero_iou) AS zero_iou, avg(recall) AS recall, count(*) FILTER (silent) AS silent, stddev_samp(iou) AS sd, avg(painted) AS commission, count(painted) AS healthy, avg(fixed_iou - iou) AS ab_delta FROM al)"""
+
+
+@query("pixels", f"WITH {HEADLINE} SELECT tiles, {', '.join(f'round({c}, 6) AS {c}' for c in ('iou', 'prior_iou', 'zero_iou', 'recall', 'sd', 'commission', 'ab_delta', 'fold_range'))}, silent, healthy, round(iou - prior_iou, 6) AS gain, round(iou - zero_iou, 6) AS zero_gain, folds, CASE WHEN iou - prior_iou > 0.03 THEN 'reads damage from the imagery' ELSE 'mostly echoes the prior' END AS verdict, CASE WHEN commission < 0.05 THEN 'quiet on healthy forest' WHEN commission IS NOT NULL THEN 'paints healthy forest' END AS commission_verdict, recall > 0.5 AS recall_ok FROM su, fo")
 def headline_report(v: Views):
-    return rounded(report.headline_report(_tiles(v)))
+    px, valid = v.pixels, F.expr("gt or not ign")
+    iou = lambda pred, name: ev.iou_dice(px, pred).select("tile_id", F.col("iou").alias(name))
+    painted = px.groupBy("tile_id").agg((F.count_if(F.expr(HOT) & valid) / F.count_if(valid)).alias("painted"), F.bool_or("gt").alias("__gt")).where("not __gt").drop("__gt")
+    scores = _tiles(v).join(iou("prob > 0.3", "zero_iou"), "tile_id").join(iou("prob > 0.6", "fixed_iou"), "tile_id").join(painted, "tile_id", "left")
+    return rounded(report.headline_report(scores.withColumn("fold", F.col("tile_id") % 5)))

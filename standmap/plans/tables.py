@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from standmap.functions import geometry as geo
 from standmap.functions import spectral as sp
 from standmap.operators import annotate, select, spatial
+from standmap.operators.evaluate import iou_dice
 from standmap.plans.registry import query
 from standmap.sources import io
 from standmap.sources.fixtures import Views
@@ -70,11 +71,21 @@ def append_index(v: Views):
     return io.append_index(t.where("role = 'damage'").select("tile_id", "role", "dca"), new, ["lat", "was"]).select("tile_id", "role", "dca")
 
 
-@query("pixels", "SELECT tile_id % 5 AS fold, CAST(floor(prob*255) AS INT) AS q, count(*) AS n FROM pixels GROUP BY 1, 2")
+@query("pixels", """WITH c AS (SELECT tile_id, tile_id % 5 AS fold, count(*) FILTER ((gt OR NOT ign) AND gt AND prob > (tile_id % 5 + 2)/10.0::DOUBLE) AS i, count(*) FILTER ((gt OR NOT ign) AND (gt OR prob > (tile_id % 5 + 2)/10.0::DOUBLE)) AS u, count(*) FILTER (gt) AS g,
+ count(*) FILTER ((gt OR NOT ign) AND prob > (tile_id % 5 + 2)/10.0::DOUBLE) AS p, count(*) AS n, CAST(sum(CAST(floor(least(1.0::DOUBLE, greatest(0.0::DOUBLE, prob*1.2::DOUBLE - 0.1::DOUBLE))*255) AS BIGINT)) AS BIGINT) AS q FROM pixels GROUP BY 1, 2)
+SELECT fold, tile_id, n, q, round(CASE WHEN g > 0 THEN i/u END, 6) AS iou, round(CASE WHEN g > 0 THEN 2*i/(p+g) END, 6) AS dice, (fold + 2)/10.0::DOUBLE AS threshold FROM c""")
 def prediction_checkpoint(v: Views):
-    path = scratch(v.spark)
-    io.prediction_checkpoint(v.pixels.select("tile_id", "y", "x", "prob", (F.col("tile_id") % 5).alias("fold")), path)
-    return v.spark.read.parquet(path).groupBy(F.col("fold").cast("long").alias("fold"), F.col("q").cast("int").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    """Each fold is written by itself, as it is predicted; what a reader gets back is quantised pixels and the tiles' scores."""
+    path, fold = scratch(v.spark), (F.col("tile_id") % 5).alias("fold")
+    px = v.pixels.select("*", fold, ((F.col("tile_id") % 5 + 2) / 10).alias("threshold"))
+    scores = iou_dice(px, F.col("prob") > F.col("threshold")).select("*", fold, ((F.col("tile_id") % 5 + 2) / 10).alias("threshold"))
+    folds = v.spark.range(5).select(F.col("id").alias("fold"))
+    for r in io.unfinished_folds(folds, path).orderBy("fold").toLocalIterator():  # a row per fold
+        one = px.where(F.col("fold") == r.fold).select("tile_id", "fold", "y", "x", (F.col("prob") * 1.2 - 0.1).alias("prob"))
+        io.prediction_checkpoint(one, scores.where(F.col("fold") == r.fold), path)
+    pixels, kept = io.read_checkpoint(v.spark, path)
+    q = pixels.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("q").cast("long")).alias("q"))
+    return kept.join(q, "tile_id").select("fold", "tile_id", "n", "q", R("iou").alias("iou"), R("dice").alias("dice"), "threshold")
 
 
 @query("tiles", "SELECT role, count(*) AS n, CAST(sum(CAST(('0x' || substr(h, 1, 10)) AS BIGINT)) AS VARCHAR) AS digest_a, CAST(sum(CAST(('0x' || substr(h, 11, 10)) AS BIGINT)) AS VARCHAR) AS digest_b FROM (SELECT role, sha1(concat_ws('|', cast(tile_id AS varchar), dca, cast(source_id AS varchar))) AS h FROM tiles) GROUP BY role")
@@ -326,10 +337,28 @@ def _pair(v: Views):
     return w.select("poly_id", "k", (F.col("cx") + F.col("dx") + F.col("s") * (F.col("x") - F.col("cx"))).alias("x"), (F.col("cy") + F.col("dy") + F.col("s") * (F.col("y") - F.col("cy"))).alias("y"))
 
 
-@query()
+SIDES = """bt AS (SELECT poly_id, 'a' AS part, k, x, y FROM vert UNION ALL SELECT poly_id, 'b', k, cx + dx + s*(x - cx), cy + dy + s*(y - cy) FROM vert JOIN poly USING (poly_id) JOIN survey_pairs ON damage_area_id = poly_id),
+e0 AS (SELECT poly_id, part, k, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny, first_value(x) OVER w AS ox, first_value(y) OVER w AS oy FROM bt WINDOW w AS (PARTITION BY poly_id, part ORDER BY k)),
+e1 AS (SELECT *, (x-ox)*(ny-oy) - (nx-ox)*(y-oy) AS c FROM e0),
+m0 AS (SELECT poly_id, part, abs(sum(c))/2 AS area, sign(sum(c)) AS turn, min(ox) + sum((x-ox + nx-ox)*c)/(3*sum(c)) AS mx, min(oy) + sum((y-oy + ny-oy)*c)/(3*sum(c)) AS my FROM e1 GROUP BY 1, 2),
+m AS (SELECT a.poly_id, a.area AS area_a, b.area AS area_b, a.turn*b.turn AS turn, a.mx AS mx_a, a.my AS my_a, b.mx AS mx_b, b.my AS my_b FROM m0 a JOIN m0 b ON a.poly_id = b.poly_id AND a.part = 'a' AND b.part = 'b'),
+h0 AS (SELECT poly_id, how, part, CASE WHEN part = 'a' OR how = 'raw' THEN mx_a ELSE mx_b END AS ux, CASE WHEN part = 'a' OR how = 'raw' THEN my_a ELSE my_b END AS uy, CASE WHEN part = 'b' AND how = 'scaled' THEN sqrt(area_a/area_b) ELSE 1.0::DOUBLE END AS f, x, y, nx, ny FROM e0 JOIN m USING (poly_id), (VALUES ('raw'), ('shift'), ('scaled')) AS v(how)),
+h1 AS (SELECT poly_id, how, part, (x-ux)*f AS x, (y-uy)*f AS y, (nx-ux)*f AS nx, (ny-uy)*f AS ny FROM h0),
+h2 AS (SELECT poly_id, how, part, x, y - base AS y, (ny - y)/(nx - x) AS t, sign(x - nx) AS g, least(x, nx) AS lo, greatest(x, nx) AS hi FROM (SELECT *, min(y) OVER (PARTITION BY poly_id, how) AS base FROM h1) WHERE x <> nx),
+j AS (SELECT poly_id, how, a.g*b.g AS g, greatest(a.lo, b.lo) AS u, least(a.hi, b.hi) AS v, a.x AS ax, a.y AS ay, a.t AS at, b.x AS bx, b.y AS by_, b.t AS bt FROM h2 a JOIN h2 b USING (poly_id, how) WHERE a.part = 'a' AND b.part = 'b' AND greatest(a.lo, b.lo) < least(a.hi, b.hi)),
+l AS (SELECT poly_id, how, g, v - u AS w, ay + (u-ax)*at AS au, ay + (v-ax)*at AS av, by_ + (u-bx)*bt AS bu, by_ + (v-bx)*bt AS bv FROM j),
+o AS (SELECT poly_id, how, g*w/2*CASE WHEN (au-bu)*(av-bv) >= 0 THEN least(au, bu) + least(av, bv) ELSE (au-bu)/(au-bu-av+bv)*least(au, bu) + (av-bv)/(av-bv-au+bu)*least(av, bv) + au + (au-bu)/(au-bu-av+bv)*(av-au) END AS z FROM l),
+sh AS (SELECT poly_id, sum(z) FILTER (how = 'raw') AS raw, sum(z) FILTER (how = 'shift') AS shift, sum(z) FILTER (how = 'scaled') AS scaled FROM o GROUP BY 1),
+ov AS (SELECT poly_id, coalesce(turn*raw, 0)/(area_a + area_b - coalesce(turn*raw, 0)) AS iou_raw, turn*shift/(area_a + area_b - turn*shift) AS iou_shift, turn*scaled/(area_a + area_a - turn*scaled) AS iou_scaled, sqrt((mx_a-mx_b)*(mx_a-mx_b) + (my_a-my_b)*(my_a-my_b)) AS shift_m, area_b/area_a AS area_ratio FROM m LEFT JOIN sh USING (poly_id))"""
+OVERLAPS = ("iou_raw", "iou_shift", "iou_scaled", "shift_m", "area_ratio")
+
+
+# no area is below nothing: what disjoint polygons' terms leave of each other by rounding has no sign
+@query("poly vert survey_pairs", f"WITH {SIDES} SELECT poly_id, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in OVERLAPS)} FROM ov UNION ALL SELECT NULL, {', '.join(f'round(median({c}), 6)' for c in OVERLAPS)} FROM ov")
 def polygon_overlap(v: Views):
-    out = materialize(spatial.polygon_overlap(v.vert, _pair(v), 32))
-    return out.select("poly_id", *(R(c, 4).alias(c) for c in out.columns[1:])).unionByName(spatial.overlap_medians(out).select(F.lit(None).cast("long").alias("poly_id"), *(R(c, 4).alias(c) for c in out.columns[1:])))
+    out = materialize(spatial.polygon_overlap(v.vert, _pair(v)))
+    every = out.select("poly_id", *((R(c) + 0.0).alias(c) for c in OVERLAPS))
+    return every.unionByName(spatial.overlap_medians(out).select(F.lit(None).cast("long").alias("poly_id"), *(R(c).alias(c) for c in OVERLAPS)))
 
 
 @query("survey_pairs", "WITH s AS (SELECT checked, sqrt(dx*dx+dy*dy) AS m FROM survey_pairs) SELECT checked, count(*) AS n, round(avg(m), 6) AS mean, round(median(m), 6) AS median, round(min(m), 6) AS min, round(max(m), 6) AS max, round(stddev_pop(m), 6) AS std FROM s GROUP BY checked")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from standmap.sources.store import row_numbers
 
@@ -65,13 +66,53 @@ def append_index(prev: DataFrame, new: DataFrame, order: Sequence[str], start_id
 
 
 def quantised(prob: Column | str) -> Column:
-    """A probability in 8 bits."""
-    return F.floor(F.col(prob) * 255 if isinstance(prob, str) else prob * 255).cast("int")
+    """A probability, cut to [0, 1], in 8 bits; null stays null."""
+    p = F.col(prob) if isinstance(prob, str) else prob
+    return F.floor(F.when(p.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))) * 255).cast("int")
 
 
-def prediction_checkpoint(px: DataFrame, path: str) -> None:
-    """Quantised predictions as Parquet, one folder for each role of partition ``fold``."""
-    px.withColumn("q", quantised("prob").cast("short")).drop("prob").write.partitionBy("fold").parquet(path)
+def _folder(spark: SparkSession, path: str):
+    """The folder's file system and path, for what only the driver does."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def prediction_checkpoint(px: DataFrame, scores: DataFrame, path: str) -> None:
+    """Store the folds of ``px`` (fold, tile_id, prob, ...) and ``scores`` (fold, tile_id, and metrics and thresholds) below ``path``.
+
+    Predictions keep 8 bits. A fold that is stored already is replaced, others stay. Its marker goes first and comes back
+    last, when both tables are whole, so that a reader sees a fold whole or not at all. Tables without rows store nothing.
+    """
+    spark = px.sparkSession
+    folds = [r.fold for r in px.select("fold").unionByName(scores.select("fold")).distinct().collect()]  # a row per fold
+    for fold in folds:
+        fs, at = _folder(spark, f"{path}/done/fold={fold}")
+        fs.delete(at, True)
+    put = lambda df, name: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fold").parquet(f"{path}/{name}")
+    put(px.withColumn("q", quantised("prob").cast("short")).drop("prob"), "predictions")
+    put(scores, "scores")
+    if folds:
+        put(spark.createDataFrame([(f, True) for f in folds], T.StructType([px.schema["fold"], T.StructField("whole", T.BooleanType())])), "done")
+
+
+def _finished(spark: SparkSession, path: str) -> DataFrame | None:
+    fs, at = _folder(spark, f"{path}/done")
+    held = fs.exists(at) and any(f.getPath().getName().startswith("fold=") for f in fs.listStatus(at))
+    return spark.read.parquet(f"{path}/done").select("fold") if held else None
+
+
+def unfinished_folds(folds: DataFrame, path: str) -> DataFrame:
+    """Of ``folds`` (fold) those that aren't stored whole below ``path``: what an interrupted run has left to do."""
+    done = _finished(folds.sparkSession, path)
+    return folds if done is None else folds.join(F.broadcast(done), "fold", "left_anti")  # a row per fold
+
+
+def read_checkpoint(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Predictions (..., q) and scores of the folds that are stored whole; raises if none is."""
+    done = _finished(spark, path)
+    if done is None:
+        raise FileNotFoundError(f"no whole fold below {path}")
+    return tuple(spark.read.parquet(f"{path}/{t}").join(F.broadcast(done), "fold", "left_semi") for t in ("predictions", "scores"))  # a row per fold
 
 
 def dataset_fingerprint(rows: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
@@ -89,9 +130,12 @@ def presence_guard(manifest: DataFrame, present: DataFrame, max_missing: float =
     p = present.select("tile_id", F.lit(1).alias("__p")).distinct()
     out = manifest.join(p, "tile_id", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("__p").isNull()).alias("missing"))
     out = out.withColumn("ratio", F.col("missing") / F.col("n")).withColumn("ok", F.coalesce(F.col("missing") / F.col("n"), F.lit(0.0)) <= max_missing)
-    if fail and not (r := out.first())["ok"]:
+    if not fail:
+        return out
+    r = out.first()  # the one row, so that the join runs once
+    if not r["ok"]:
         raise ValueError(f"{r['missing']} of {r['n']} rasters are missing")
-    return out
+    return manifest.sparkSession.createDataFrame([r], out.schema)
 
 
 def request_plan(tiles: DataFrame, bands: str = "0,1,2,3", cap_px: int = 4000) -> DataFrame:

@@ -177,12 +177,80 @@ def test_overlap_of_moved_polygons(spark):
     square = lambda i, x, y, s: [(i, k, x + s * a, y + s * b) for k, (a, b) in enumerate(((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)))]
     a = spark.createDataFrame(square(1, 0, 0, 10), "poly_id long, k long, x double, y double")
     b = spark.createDataFrame(square(1, 5, 0, 10), "poly_id long, k long, x double, y double")
-    r = spatial.polygon_overlap(a, b, 64).first()
-    assert abs(r.iou_raw - 1 / 3) < 0.03 and r.iou_shift == 1.0 and r.shift_m == 5 and r.area_ratio == 1
+    r = spatial.polygon_overlap(a, b).first()
+    assert abs(r.iou_raw - 1 / 3) < 1e-12 and abs(r.iou_shift - 1) < 1e-12 and r.shift_m == 5 and r.area_ratio == 1
     # centroids, not means of vertices: one more vertex on a side moves nothing
     more = spark.createDataFrame([*square(1, 0, 0, 10), (1, 9, 0.0, 5.0)], "poly_id long, k long, x double, y double")
-    r = spatial.polygon_overlap(a, more, 64).first()
-    assert abs(r.shift_m) < 1e-9 and r.iou_shift == 1.0
+    r = spatial.polygon_overlap(a, more).first()
+    assert abs(r.shift_m) < 1e-9 and abs(r.iou_shift - 1) < 1e-9
+    # a diamond of area 50 whose corners touch the square's sides, far from the origin, one of them the other way round
+    far = 1e6
+    diamond = [(1, k, far + x, far + y) for k, (x, y) in enumerate(((5.0, 0.0), (0.0, 5.0), (5.0, 10.0), (10.0, 5.0)))]
+    star = [(1, k, far + x, far + y) for k, (x, y) in enumerate(((0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (5.0, 2.0), (0.0, 10.0)))]  # area 60
+    table = lambda rows: spark.createDataFrame(rows, "poly_id long, k long, x double, y double")
+    r = spatial.polygon_overlap(table(square(1, far, far, 10)), table(diamond)).first()
+    assert abs(r.iou_raw - 0.5) < 1e-9 and abs(r.iou_scaled - shared_square_diamond()) < 1e-9 and r.area_ratio == 0.5
+    r = spatial.polygon_overlap(table(square(1, far, far, 5)), table(star)).first()
+    assert abs(r.iou_raw - 22.1875 / (25 + 60 - 22.1875)) < 1e-9  # the notch takes 3 * 1.875 / 2 from the square's upper right
+    assert spatial.polygon_overlap(table(square(1, 0, 0, 1)), table(square(1, 5, 5, 1))).first().iou_raw == 0
+
+
+def shared_square_diamond():
+    """A square of area 100 and a diamond of the same: the diamond's corners stand out by r - 5 each."""
+    r = math.sqrt(50)
+    shared = 100 - 4 * (r - 5) ** 2
+    return shared / (200 - shared)
+
+
+def test_checkpoints_resume_after_a_crash(spark, tmp_path, monkeypatch):
+    """A run that dies while it stores a fold leaves that one to do, also where an older one stood there before."""
+    path, every = str(tmp_path / "cache"), spark.createDataFrame([(0,), (1,), (2,)], "fold long")
+    px = lambda f, p: spark.createDataFrame([(10 * f + t, f, 0, x, p) for t in range(2) for x in range(3)], "tile_id long, fold long, y int, x int, prob double")
+    scores = lambda f, s: spark.createDataFrame([(10 * f + t, f, s, 0.4) for t in range(2)], "tile_id long, fold long, iou double, threshold double")
+    todo = lambda: sorted(r.fold for r in io.unfinished_folds(every, path).collect())
+    with pytest.raises(FileNotFoundError):
+        io.read_checkpoint(spark, path)
+    assert todo() == [0, 1, 2]
+    io.prediction_checkpoint(px(0, 1.7), scores(0, 0.1), path)
+    io.prediction_checkpoint(px(1, -0.2), scores(1, 0.2), path)
+    assert todo() == [2]
+    writes = []
+
+    def dying(self, *a, **k):
+        writes.append(a[0])
+        if "scores" in a[0]:
+            raise KeyboardInterrupt
+        return real(self, *a, **k)
+
+    from pyspark.sql import DataFrameWriter
+
+    real = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", dying)
+    for fold in (1, 2):
+        with pytest.raises(KeyboardInterrupt):
+            io.prediction_checkpoint(px(fold, 0.5), scores(fold, 0.9), path)
+    monkeypatch.undo()
+    assert len(writes) == 4 and todo() == [1, 2]
+    pixels, kept = io.read_checkpoint(spark, path)
+    assert {(r.fold, r.q) for r in pixels.collect()} == {(0, 255)} and {(r.fold, r.iou, r.threshold) for r in kept.collect()} == {(0, 0.1, 0.4)}
+    for fold in todo():
+        io.prediction_checkpoint(px(fold, 0.5), scores(fold, 0.9), path)
+    pixels, kept = io.read_checkpoint(spark, path)
+    assert todo() == [] and sorted((r.fold, r.q) for r in pixels.collect()) == [(0, 255)] * 6 + [(1, 127)] * 6 + [(2, 127)] * 6
+    assert {(r.fold, r.iou) for r in kept.collect()} == {(0, 0.1), (1, 0.9), (2, 0.9)}
+
+
+def test_headline_by_hand(spark):
+    from standmap.operators import report
+
+    rows = [(1, 0, 0.30, 0.20, 0.10, 0.25, 0.6, False, None), (2, 0, 0.10, 0.20, 0.10, 0.15, 0.2, False, None), (3, 1, 0.35, 0.20, 0.05, 0.35, 1.0, False, None), (4, 1, None, None, None, None, None, True, 0.0), (5, 2, None, None, None, None, None, False, 0.08)]
+    names = "tile_id long, fold long, iou double, prior_iou double, zero_iou double, fixed_iou double, recall double, silent boolean, painted double"
+    r = report.headline_report(spark.createDataFrame(rows, names)).first()
+    assert (r.tiles, r.silent, r.healthy, r.folds) == (5, 1, 2, [0.2, 0.35]) and math.isclose(r.iou, 0.25) and math.isclose(r.gain, 0.05) and math.isclose(r.zero_gain, 1 / 6)
+    assert math.isclose(r.commission, 0.04) and abs(r.ab_delta) < 1e-12 and math.isclose(r.fold_range, 0.15) and r.recall_ok
+    assert (r.verdict, r.commission_verdict) == ("reads damage from the imagery", "quiet on healthy forest")
+    r = report.headline_report(spark.createDataFrame([(1, 0, 0.22, 0.20, 0.1, 0.2, 0.5, False, None), (2, 0, None, None, None, None, None, False, 0.05)], names)).first()
+    assert (r.verdict, r.commission_verdict, r.recall_ok) == ("mostly echoes the prior", "paints healthy forest", False)
 
 
 def test_interleaving_is_a_permutation_in_rounds(spark):
@@ -447,3 +515,75 @@ def test_circles_are_masked_like_brute_force(spark):
     at = {k: {(y, x) for y in range(16) for x in range(16) if inside(ring, x + 0.5, y + 0.5)} for k, ring in rings.items()}
     got = raster.shapes_to_masks(shapes, 16, 16).collect()
     assert {(r.y, r.x) for r in got if r.damage} == at[1] | at[3] and {(r.y, r.x) for r in got if r.ignore} == at[2] - at[1] - at[3]
+
+
+def test_cell_index_holds_points_like_parity(spark):
+    """A ring of 10,000 edges and one within it, points on whole numbers, cells of several sizes; joins are on both row and column."""
+    n = 10_000
+    r = np.random.default_rng(2).uniform(300, 500, n).tolist()
+    a = [k * 2 * math.pi / n for k in range(n)]
+    ring = [(1, "surveyed", k, round(500 + r[k] * math.cos(a[k]), 2), round(500 + r[k] * math.sin(a[k]), 2)) for k in range(n)]
+    ring += [(2, "not_flown", k, x, y) for k, (x, y) in enumerate(((400.0, 400.0), (600.0, 400.0), (600.0, 600.0), (400.0, 600.0)))]
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.random.default_rng(3).integers(-50, 1050, (400, 2)).tolist())]
+
+    def parity(p, of):
+        v = [(x, y) for i, _, _, x, y in ring if i == of]
+        return sum(((y0 <= p[2] < y1) or (y1 <= p[2] < y0)) and x0 + (p[2] - y0) * (x1 - x0) / (y1 - y0) > p[1] for (x0, y0), (x1, y1) in zip(v, v[1:] + v[:1], strict=True)) % 2
+
+    want = {(p[0], of) for p in pts for of in (1, 2) if parity(p, of)}
+    e = spatial._edges(spark.createDataFrame(ring, "region_id long, kind string, k long, x double, y double"), ["region_id"])
+    points = spark.createDataFrame(pts, "id long, px double, py double")
+    for cell in (37.0, 400.0):
+        held = spatial._held_by(points, spatial.cell_index(e, cell), cell, ["id"])
+        assert {(r.id, r.region_id) for r in held.collect()} == want
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert "row" in plan.split("Join Inner")[1].split("\n")[0] and "col" in plan.split("Join Inner")[1].split("\n")[0]
+
+
+def test_crops_of_a_large_tile_hold_their_pixels(spark):
+    """Each pixel of a 2,048-pixel tile's sample meets just the crops that hold it, and no window is filtered after the join."""
+    tiles = spark.createDataFrame([(7, "damage", 1500.0, 2048), (8, "negative", 300.0, 700)], "tile_id long, role string, window_m double, size_px int")
+    grid = raster.crop_grid(tiles, gsd=0.60, crop=384)
+    rng = np.random.default_rng(4)
+    at = [(7, *map(int, rng.integers(0, 2048, 2)), True) for _ in range(3000)] + [(7, y, x, True) for y in (0, 2047) for x in (0, 1000, 2047)] + [(8, *map(int, rng.integers(0, 700, 2)), True) for _ in range(300)]
+    px = spark.createDataFrame(sorted(set(at)), "tile_id long, y int, x int, gt boolean")
+    crops = grid.collect()
+    want = sorted((c.crop_id, y - c.y0, x - c.x0) for t, y, x, _ in set(at) for c in crops if c.tile_id == t and c.y0 <= y < c.y0 + c.full_px and c.x0 <= x < c.x0 + c.full_px)
+    out = raster.crop_pixels(grid, px)
+    assert sorted((r.crop_id, r.y, r.x) for r in out.collect()) == want and len(want) > 5000
+    counts = {r.crop_id: r.label_px for r in raster.crop_labels(grid, px, 0).collect()}
+    assert counts == {c.crop_id: sum(w[0] == c.crop_id for w in want) for c in crops}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(">=" in line and "y0" in line for line in plan.split("\n"))
+
+
+def test_large_rasters_go_by_strips_and_blocks(spark, monkeypatch):
+    """Distances of a 3,000-pixel raster in strips, and blobs whatever the blocks, against plain loops."""
+    from standmap.operators import blocks
+
+    rng = np.random.default_rng(6)
+    spots = {tuple(map(int, rng.integers(0, 3000, 2))) for _ in range(12)}
+    on = spark.createDataFrame([(y, x, True) for y, x in spots], "y long, x long, m boolean")
+    px = spark.range(3000).select(F.col("id").alias("y")).crossJoin(spark.range(3000).select(F.col("id").alias("x"))).join(F.broadcast(on), ["y", "x"], "left").select(F.lit(1).alias("tile_id"), F.col("y").cast("int"), F.col("x").cast("int"), "m")
+    near = F.array_min(F.array(*(F.sqrt((F.col("y") - y) * (F.col("y") - y) + (F.col("x") - x) * (F.col("x") - x)) for y, x in spots)))
+    assert raster.distance_transform(px, "m").agg(F.max(F.abs(F.col("dist") - near)), F.count("dist")).first()[:] == (0.0, 9_000_000)
+    shape = (rng.random((70, 90)) < 0.45).tolist()
+    small = pixels(spark, {1: ["".join(".#"[v] for v in row) for row in shape], 2: ["###", "..#"], 3: ["..."]})
+    monkeypatch.setattr(blocks, "TOGETHER", 500)
+    for connectivity in (4, 8):
+        of = lambda block: sorted(map(tuple, raster.connected_components(small, "m", connectivity, block).select("tile_id", "y", "x", "blob", "blob_px").collect()))  # noqa: B023, E731
+        whole = of(512)
+        assert whole == of(7) == of(16) and {b for t, *_, b, _ in whole if t == 2} == {0}
+
+
+def test_spirals_are_one_blob_over_blocks(spark):
+    n = 25
+    grid, y, x, dy, dx = np.zeros((n, n), bool), 0, 0, 0, 1
+    for _ in range(4 * n):
+        grid[y, x] = True
+        if not (0 <= y + dy < n and 0 <= x + dx < n) or (0 <= y + 2 * dy < n and 0 <= x + 2 * dx < n and grid[y + 2 * dy, x + 2 * dx]):
+            dy, dx = dx, -dy
+        y, x = y + dy, x + dx
+    px = pixels(spark, {1: ["".join(".#"[v] for v in row) for row in grid.tolist()]})
+    got = raster.connected_components(px, "m", 4, 4).collect()
+    assert {r.blob for r in got} == {0} and {r.blob_px for r in got} == {len(got)} == {int(grid.sum())}
