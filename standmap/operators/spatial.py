@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +18,8 @@ def _edges(vert: DataFrame, keys: list[str]) -> DataFrame:
     return vert.withColumns({"nx": F.coalesce(F.lead("x").over(w), F.min_by("x", "k").over(first)), "ny": F.coalesce(F.lead("y").over(w), F.min_by("y", "k").over(first))})
 
 
+#: Sides of the blocks of candidates that are thinned at a time, in distances.
+BLOCK = 64
 #: Where cells begin, off the round numbers on which edges and points stand.
 SHIFT = 0.31830988618379067
 
@@ -166,27 +172,44 @@ def min_spacing_to(cand: DataFrame, centres: DataFrame, d: float = 800) -> DataF
     return cand.join(_near(cand, centres.select("x", "y"), d).select("cand_id"), "cand_id", "left_anti")
 
 
+def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Candidates of a block in order, each with its earlier neighbours that are undecided: who stays, who goes, and who waits for another block."""
+    state: dict = {}
+    for c, near in zip(pdf["cand_id"].tolist(), pdf["near"].tolist(), strict=True):
+        found = [state.get(o, "wait") for o in near]
+        state[c] = "out" if "keep" in found else "wait" if "wait" in found else "keep"
+    return pd.DataFrame({"cand_id": list(state), "state": list(state.values())})
+
+
 def spaced_sample(cand: DataFrame, d: float = 800, priority: str = "cand_id", n: int | None = None) -> DataFrame:
     """Greedy thinning by ``priority``: a candidate stays if no one kept before lies within ``d``; then the first ``n``.
 
-    Close pairs are joined once. In each round a candidate without an earlier neighbour among the undecided is kept, its
-    later neighbours are out, and only pairs of undecided candidates go on; this equals going through them one by one.
+    Close pairs are joined once. In each round every block of ``BLOCK`` distances goes through its undecided candidates
+    in order, as far as they don't hang on another block's; what stays puts its later neighbours out everywhere. So a
+    chain of close candidates takes as many rounds as it crosses blocks, and the result is that of going through all of
+    them one by one. Ids are unique; candidates without a place stay out.
     """
-    order = F.struct(priority, "cand_id")
-    c = cand.withColumn("__o", order)
+    order, side = F.struct(F.col(priority).alias("p"), F.col("cand_id").alias("id")), BLOCK * d
+    c = cand.where("cx is not null and cy is not null").withColumn("__o", order)
     other = c.select(F.col("cand_id").alias("other"), F.col("__o").alias("__p"), F.col("cx").alias("x"), F.col("cy").alias("y"))
     pairs = _near(c, other, d).join(c.select("cand_id", "__o"), "cand_id").where(F.col("__p") < F.col("__o")).select("cand_id", "other")
-    pairs, undecided, kept = materialize(pairs), cand.select("cand_id"), None
-    as_other = lambda t: t.withColumnRenamed("cand_id", "other")
-    while True:
-        keep = materialize(undecided.join(pairs.select("cand_id").distinct(), "cand_id", "left_anti"))
-        kept = keep if kept is None else kept.union(keep)
-        out = pairs.join(as_other(keep), "other", "left_semi").select("cand_id")
-        undecided = materialize(undecided.join(keep.union(out).distinct(), "cand_id", "left_anti"))
-        if undecided.isEmpty():
-            break
-        pairs = materialize(pairs.join(undecided, "cand_id", "left_semi").join(as_other(undecided), "other", "left_semi"))
-    kept = cand.join(kept, "cand_id", "left_semi")
+    pairs, undecided, parts, rounds = materialize(pairs), materialize(c.select("cand_id", "cx", "cy", F.col(priority).alias("__first"))), [], 0
+    kind = dict(cand.dtypes)["cand_id"]
+    while not undecided.isEmpty():
+        rounds += 1
+        near = pairs.groupBy("cand_id").agg(F.collect_list("other").alias("near"))  # neighbours within d
+        rows = undecided.join(near, "cand_id", "left").withColumn("near", F.coalesce("near", F.array().cast(f"array<{kind}>")))
+        rows = rows.withColumns({"bx": F.floor(F.col("cx") / side), "by": F.floor(F.col("cy") / side)})
+        told = materialize(rows.groupBy("bx", "by").applyInPandas(lambda pdf: _settled(pdf.sort_values(["__first", "cand_id"], na_position="first")), f"cand_id {kind}, state string"), "told")
+        keep = told.where("state = 'keep'").select("cand_id")
+        parts.append(keep)
+        out = pairs.join(keep.withColumnRenamed("cand_id", "other"), "other", "left_semi").select("cand_id")
+        gone = out.unionByName(told.where("state <> 'wait'").select("cand_id")).distinct()
+        undecided = materialize(undecided.join(gone, "cand_id", "left_anti"))
+        live = undecided.select("cand_id")
+        pairs = materialize(pairs.join(live, "cand_id", "left_semi").join(live.withColumnRenamed("cand_id", "other"), "other", "left_semi"))
+    logging.getLogger("standmap").info("spaced_sample: %d rounds", rounds)
+    kept = cand.join(reduce(DataFrame.unionByName, parts) if parts else cand.select("cand_id"), "cand_id", "left_semi")
     return kept.orderBy(priority, "cand_id").limit(n) if n is not None else kept
 
 

@@ -22,12 +22,27 @@ def spatial_clusters(feat: DataFrame, k: int = 10, seeds: Sequence[int] = (1, 2,
 
 
 def spatial_folds(tiles: DataFrame, source: str, k: int = 5, seed: int = 42, columns: tuple[str, str] = ("lon", "lat")) -> DataFrame:
-    """``tiles`` with ``fold``: sources are clustered and their members inherit it; sources without place go round-robin."""
+    """``tiles`` with ``fold`` 0 to k - 1 and ``spatial``: sources are clustered and their members inherit it; sources without place go round-robin.
+
+    Where fewer than ``k`` sources have a place, all go by seeded order instead, and ``spatial`` is false: scores of such
+    folds are optimistic. Rows without a source have no fold.
+    """
     a, b = columns
-    s = tiles.groupBy(source).agg(F.avg(a).alias("__a"), F.avg(b).alias("__b"))
-    near = spatial_clusters(s.where("__a is not null and __b is not null"), k, (seed, seed + 1, seed + 2), ("__a", "__b"), "fold").select(source, "fold")
-    rest = row_numbers(s.where("__a is null or __b is null").select(source), [source]).select(source, ((F.col("rn") - 1) % k).cast("int").alias("fold"))
-    return tiles.join(near.unionByName(rest), source)
+    s = tiles.where(F.col(source).isNotNull()).groupBy(source).agg(F.avg(a).alias("__a"), F.avg(b).alias("__b"))
+    located = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    if s.where(located).limit(k).count() < k:
+        n = row_numbers(s.select(source), [seeded(source, seed), F.col(source)])
+        return tiles.join(n.select(source, ((F.col("rn") - 1) % k).cast("int").alias("fold"), F.lit(False).alias("spatial")), source, "left")
+    near = spatial_clusters(s.where(located), k, (seed, seed + 1, seed + 2), ("__a", "__b"), "fold").select(source, "fold")
+    rest = row_numbers(s.where(~located).select(source), [source]).select(source, ((F.col("rn") - 1) % k).cast("int").alias("fold"))
+    return tiles.join(near.unionByName(rest).withColumn("spatial", F.lit(True)), source, "left")
+
+
+def fold_sizes(folds: DataFrame) -> DataFrame:
+    """(fold, tiles, spatial, uneven): rows of each fold; ``uneven`` on all of them if the largest has over three times the smallest, so that per-fold numbers are noisy."""
+    n = folds.where("fold is not null").groupBy("fold").agg(F.count(F.lit(1)).alias("tiles"), F.bool_and("spatial").alias("spatial"))
+    most = n.agg((F.max("tiles") > 3 * F.min("tiles")).alias("uneven"))
+    return n.crossJoin(F.broadcast(most))  # one row
 
 
 def random_folds(df: DataFrame, k: int, seed: int, id_: str = "tile_id") -> DataFrame:

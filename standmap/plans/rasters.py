@@ -252,9 +252,24 @@ def drop_small_blobs(v: Views):
     return digest(raster.drop_small_blobs(v.pixels.select("tile_id", "y", "x", F.expr(HOT).alias("m")), "m", 0.02), "m")
 
 
-@query()
+# corners of a blob: points around which one or three pixels are its own, and twice those where two meet at the point alone
+OUTLINE = f"""{blobs_sql('prior')}, bp AS (SELECT tile_id, blob, blob_px, y, x FROM blobs),
+sd AS (SELECT tile_id, blob, count(*) AS kin FROM bp a JOIN bp b USING (tile_id, blob) WHERE abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY 1, 2),
+pt AS (SELECT tile_id, blob, y + dy AS y, x + dx AS x, count(*) AS n, sum(2*dy + dx) AS s FROM bp, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS d(dy, dx) GROUP BY 1, 2, 3, 4),
+co AS (SELECT tile_id, blob, CAST(sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND s = 3 THEN 2 ELSE 0 END) AS BIGINT) AS corners FROM pt GROUP BY 1, 2),
+bs AS (SELECT tile_id, blob, count(*) AS blob_px FROM bp GROUP BY 1, 2)"""
+
+
+@query("pixels", f"WITH RECURSIVE {OUTLINE} SELECT tile_id, blob, blob_px, CAST(blob_px AS DOUBLE) AS area, 4*blob_px - coalesce(kin, 0) AS perimeter, corners FROM bs LEFT JOIN sd USING (tile_id, blob) JOIN co USING (tile_id, blob)")
 def mask_to_polygons(v: Views):
-    return raster.mask_to_polygons(v.pixels.select("tile_id", "y", "x", "prior"), "prior", simplify=0.5)
+    """Blobs of the prior have no holes, so that a ring's area is the blob's pixels."""
+    out = raster.mask_to_polygons(v.pixels.select("tile_id", "y", "x", "prior"), "prior")
+    p, n = F.col("points"), F.size("points")
+    ends = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(p, i).alias("a"), F.get(p, (i + 1) % n).alias("b")))
+    over = lambda f: F.aggregate(ends, F.lit(0.0), lambda s, e: s + f(F.get(e["a"], F.lit(0)), F.get(e["a"], F.lit(1)), F.get(e["b"], F.lit(0)), F.get(e["b"], F.lit(1))))
+    area = over(lambda ax, ay, bx, by: (ax * by - bx * ay) / 2)
+    length = over(lambda ax, ay, bx, by: F.abs(ax - bx) + F.abs(ay - by))
+    return out.select("tile_id", "blob", "blob_px", area.alias("area"), length.cast("long").alias("perimeter"), n.cast("long").alias("corners"))
 
 
 @query()

@@ -44,7 +44,7 @@ def spatial_clusters(v: Views):
 @query()
 def spatial_folds(v: Views):
     t = v.tiles.withColumn("lon", F.when(F.col("source_id") % 40 != 0, F.col("lon")))
-    return splits.spatial_folds(t, "source_id").select("tile_id", "source_id", "fold")
+    return splits.spatial_folds(t, "source_id").select("tile_id", "source_id", "fold", "spatial")
 
 
 @query("tiles", f"SELECT tile_id, CAST(ntile(7) OVER (ORDER BY {RAND.format(id='tile_id')}, tile_id) AS INT) AS fold FROM tiles")
@@ -96,7 +96,7 @@ def pixel_classifier(v: Views):
 
 @query()
 def leave_one_out_score(v: Views):
-    return learn.leave_one_out_score(_features(v), trees=20, per_class=PER_CLASS)
+    return learn.leave_one_out_score(_features(v), per_class=PER_CLASS)
 
 
 @query()

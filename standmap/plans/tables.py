@@ -98,6 +98,17 @@ def presence_guard(v: Views):
     return io.presence_guard(v.tiles, v.buckets.where("has_mask"), fail=False).withColumn("ratio", R("ratio"))
 
 
+@query("pixels", "SELECT tile_id, y, " + ", ".join(f"CAST(sum({c} * (x + 1)) AS BIGINT) AS {c}" for c in ("r", "g", "b", "nir")) + ", " + ", ".join(f"CAST(sum(CASE WHEN {c} THEN 1 << x ELSE 0 END) AS BIGINT) AS {c}" for c in ("gt", "prior", "ign")) + ", count(*) AS n FROM pixels GROUP BY 1, 2")
+def read_raster_layers(v: Views):
+    """All pixels written as PNG layers and read back, by line: bands by place, and flags as bits."""
+    root = scratch(v.spark).removeprefix("file://")
+    io.write_raster_layers(v.pixels, root)
+    px = io.read_raster_layers(v.spark, root)
+    bands = [F.sum(F.col(c) * (F.col("x") + 1)).cast("long").alias(c) for c in ("r", "g", "b", "nir")]
+    flags = [F.sum(F.when(F.col(c), F.expr("shiftleft(1L, x)")).otherwise(0)).cast("long").alias(c) for c in ("gt", "prior", "ign")]
+    return px.groupBy(F.col("tile_id").cast("long").alias("tile_id"), "y").agg(*bands, *flags, F.count(F.lit(1)).alias("n"))
+
+
 BOXES = """boxes AS (SELECT poly_id AS tile_id, cx - 150 AS xmin, cy - 150 AS ymin, cx + 150 AS xmax, cy + 150 AS ymax, r0 * 20 AS size_px FROM poly)"""
 
 
@@ -320,7 +331,11 @@ def min_spacing_to(v: Views):
     return spatial.min_spacing_to(v.neg_candidates, v.poly.selectExpr("cx as x", "cy as y"), 800)
 
 
-@query()
+# a fold over all candidates in order: [id, earlier ids within reach ...] joins the kept ones unless it has one of them
+@query("neg_candidates", """WITH nb AS (SELECT a.cand_id, list(b.cand_id) AS near FROM neg_candidates a JOIN neg_candidates b ON b.cand_id < a.cand_id AND abs(a.cx - b.cx) < 8000 AND abs(a.cy - b.cy) < 8000 AND (a.cx-b.cx)*(a.cx-b.cx) + (a.cy-b.cy)*(a.cy-b.cy) < 64000000 GROUP BY 1),
+xs AS (SELECT list(list_prepend(c.cand_id, coalesce(near, [])) ORDER BY c.cand_id) AS l FROM neg_candidates c LEFT JOIN nb USING (cand_id)),
+kp AS (SELECT unnest(list_reduce(l, lambda acc, x: CASE WHEN list_has_any(acc, x[2:]) THEN acc ELSE list_append(acc, x[1]) END, CAST([] AS BIGINT[]))) AS cand_id FROM xs)
+SELECT cand_id, cx, cy FROM neg_candidates SEMI JOIN kp USING (cand_id)""")
 def spaced_sample(v: Views):
     return spatial.spaced_sample(v.neg_candidates, 8000)
 
@@ -345,8 +360,8 @@ m AS (SELECT a.poly_id, a.area AS area_a, b.area AS area_b, a.turn*b.turn AS tur
 h0 AS (SELECT poly_id, how, part, CASE WHEN part = 'a' OR how = 'raw' THEN mx_a ELSE mx_b END AS ux, CASE WHEN part = 'a' OR how = 'raw' THEN my_a ELSE my_b END AS uy, CASE WHEN part = 'b' AND how = 'scaled' THEN sqrt(area_a/area_b) ELSE 1.0::DOUBLE END AS f, x, y, nx, ny FROM e0 JOIN m USING (poly_id), (VALUES ('raw'), ('shift'), ('scaled')) AS v(how)),
 h1 AS (SELECT poly_id, how, part, (x-ux)*f AS x, (y-uy)*f AS y, (nx-ux)*f AS nx, (ny-uy)*f AS ny FROM h0),
 h2 AS (SELECT poly_id, how, part, x, y - base AS y, (ny - y)/(nx - x) AS t, sign(x - nx) AS g, least(x, nx) AS lo, greatest(x, nx) AS hi FROM (SELECT *, min(y) OVER (PARTITION BY poly_id, how) AS base FROM h1) WHERE x <> nx),
-j AS (SELECT poly_id, how, a.g*b.g AS g, greatest(a.lo, b.lo) AS u, least(a.hi, b.hi) AS v, a.x AS ax, a.y AS ay, a.t AS at, b.x AS bx, b.y AS by_, b.t AS bt FROM h2 a JOIN h2 b USING (poly_id, how) WHERE a.part = 'a' AND b.part = 'b' AND greatest(a.lo, b.lo) < least(a.hi, b.hi)),
-l AS (SELECT poly_id, how, g, v - u AS w, ay + (u-ax)*at AS au, ay + (v-ax)*at AS av, by_ + (u-bx)*bt AS bu, by_ + (v-bx)*bt AS bv FROM j),
+j AS (SELECT poly_id, how, a.g*b.g AS g, greatest(a.lo, b.lo) AS u, least(a.hi, b.hi) AS v, a.x AS ax, a.y AS ay, a.t AS a_t, b.x AS bx, b.y AS b_y, b.t AS b_t FROM h2 a JOIN h2 b USING (poly_id, how) WHERE a.part = 'a' AND b.part = 'b' AND greatest(a.lo, b.lo) < least(a.hi, b.hi)),
+l AS (SELECT poly_id, how, g, v - u AS w, ay + (u-ax)*a_t AS au, ay + (v-ax)*a_t AS av, b_y + (u-bx)*b_t AS bu, b_y + (v-bx)*b_t AS bv FROM j),
 o AS (SELECT poly_id, how, g*w/2*CASE WHEN (au-bu)*(av-bv) >= 0 THEN least(au, bu) + least(av, bv) ELSE (au-bu)/(au-bu-av+bv)*least(au, bu) + (av-bv)/(av-bv-au+bu)*least(av, bv) + au + (au-bu)/(au-bu-av+bv)*(av-au) END AS z FROM l),
 sh AS (SELECT poly_id, sum(z) FILTER (how = 'raw') AS raw, sum(z) FILTER (how = 'shift') AS shift, sum(z) FILTER (how = 'scaled') AS scaled FROM o GROUP BY 1),
 ov AS (SELECT poly_id, coalesce(turn*raw, 0)/(area_a + area_b - coalesce(turn*raw, 0)) AS iou_raw, turn*shift/(area_a + area_b - turn*shift) AS iou_shift, turn*scaled/(area_a + area_a - turn*scaled) AS iou_scaled, sqrt((mx_a-mx_b)*(mx_a-mx_b) + (my_a-my_b)*(my_a-my_b)) AS shift_m, area_b/area_a AS area_ratio FROM m LEFT JOIN sh USING (poly_id))"""

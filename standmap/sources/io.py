@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import struct
+import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from standmap.sources.store import row_numbers
+from standmap.sources.store import materialize, row_numbers
 
 INDEX = "tile_id string, role string, window_m double, region_id bigint, dca string, lat double, lon double, source_id bigint"
 SHAPE = "struct<label:string,shape_type:string,points:array<array<double>>>"
@@ -145,19 +150,67 @@ def request_plan(tiles: DataFrame, bands: str = "0,1,2,3", cap_px: int = 4000) -
     return tiles.select("tile_id", box.alias("bbox"), F.concat_ws(",", px.cast("string"), px.cast("string")).alias("size"), F.lit(bands).alias("bands"), F.lit("tiff").alias("format"), (F.col("size_px") > cap_px).alias("capped"))
 
 
+#: Layers of the pixel table: a picture of three bands, a band, or a flag as 0 and 255.
+LAYERS = {"images": ("r", "g", "b"), "masks": ("gt",), "priors": ("prior",), "ignore": ("ign",), "nir": ("nir",)}
+FLAGS = ("masks", "priors", "ignore")
+
+
+def _png(bands: np.ndarray) -> bytes:
+    """A PNG file of bytes (height, width, 1 or 3)."""
+    height, width, n = bands.shape
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), bands.reshape(height, width * n)], axis=1)  # a line begins with its filter: none
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2 if n == 3 else 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines.tobytes(), 6)) + part(b"IEND", b"")
+
+
+def write_raster_layers(px: DataFrame, root: str, layers: Sequence[str] = tuple(LAYERS)) -> DataFrame:
+    """Write PNG files ``root/{layer}/{tile_id}.png`` and return (tile_id, layer, bytes) of those written.
+
+    Pixels that a tile lacks are 0, a band that is null all over a tile has no file. A file is one tile's layer, so a
+    group is one raster. ``root`` is a folder that all executors reach: a shared path, or a URI of a store that Arrow
+    knows. Files are written under another name and moved, so that a repeated task leaves whole files.
+    """
+    kind = dict(px.dtypes)["tile_id"]
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        store, top = (pa_fs.LocalFileSystem(), root) if root.startswith("/") else pa_fs.FileSystem.from_uri(root)
+        tile, shape, made = pdf["tile_id"].iloc[0], (int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1), []
+        for layer in layers:
+            bands = LAYERS[layer]
+            if pdf[list(bands)].isna().all(axis=None):
+                continue
+            out = np.zeros((*shape, len(bands)), np.uint8)
+            for i, c in enumerate(bands):
+                v = pdf[c].fillna(0).to_numpy()
+                out[pdf["y"], pdf["x"], i] = v.astype(bool) * 255 if layer in FLAGS else v.astype(np.uint8)
+            data, name = _png(out), f"{top}/{layer}/{tile}.png"
+            part = f"{top}/{layer}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
+                f.write(data)
+            store.move(part, name)
+            made.append((tile, layer, len(data)))
+        return pd.DataFrame(made, columns=["tile_id", "layer", "bytes"])
+
+    here, top = (pa_fs.LocalFileSystem(), root) if root.startswith("/") else pa_fs.FileSystem.from_uri(root)
+    for layer in layers:
+        here.create_dir(f"{top}/{layer}", recursive=True)
+    columns = ["tile_id", "y", "x", *(c for n in layers for c in LAYERS[n])]
+    return materialize(px.select(*columns).groupBy("tile_id").applyInPandas(write, f"tile_id {kind}, layer string, bytes long"), "written")
+
+
 def read_raster_layers(spark: SparkSession, root: str, layers: Sequence[str] = ("images", "masks", "priors", "ignore", "nir")) -> DataFrame:
     """Pixels (tile_id, y, x, r, g, b, gt, prior, ign, nir) of PNG layers below ``root``; the tile id is the file's stem.
 
     An absent layer is false (nir: null). Spark's image source gives rows of bytes in blue, green, red order.
     """
     out = None
-    flags = {"masks": "gt", "priors": "prior", "ignore": "ign"}
     for layer in layers:
         raw = spark.read.format("image").option("dropInvalid", True).load(f"{root}/{layer}").select("image.*")
-        names = ["r", "g", "b"] if layer == "images" else ["nir" if layer == "nir" else flags[layer]]
-        kind = "boolean" if layer in flags else "int"
-        files = raw.select(F.regexp_extract("origin", r"([^/]+)\.\w+$", 1).alias("tile_id"), "height", "width", "nChannels", "data")
-        one = files.mapInArrow(lambda batches, names=names, layer=layer: _pixels(batches, names, layer in flags), f"tile_id string, y int, x int, {', '.join(f'{n} {kind}' for n in names)}")
+        names = list(LAYERS[layer])
+        kind = "boolean" if layer in FLAGS else "int"
+        stem = F.url_decode(F.replace(F.regexp_extract("origin", r"([^/]+)\.\w+$", 1), F.lit("+"), F.lit("%2B")))  # the origin is a URI
+        files = raw.select(stem.alias("tile_id"), "height", "width", "nChannels", "data")
+        one = files.mapInArrow(lambda batches, names=names, layer=layer: _pixels(batches, names, layer in FLAGS), f"tile_id string, y int, x int, {', '.join(f'{n} {kind}' for n in names)}")
         out = one if out is None else out.join(one, ["tile_id", "y", "x"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("gt", "prior", "ign") if c in out.columns})
 

@@ -150,6 +150,18 @@ def test_spaced_sample_equals_the_loop(spark):
     assert [r.cand_id for r in spatial.spaced_sample(spark.createDataFrame(pts, "cand_id long, cx double, cy double"), 80, n=5).collect()] == [p[0] for p in kept[:5]]
 
 
+def test_a_chain_of_candidates_takes_few_rounds(spark, caplog):
+    """2,000 candidates along a line, each close to the next, in order: every third stays, in as many rounds as the line has blocks."""
+    n, d = 2000, 100.0
+    line = spark.createDataFrame([(i, 40.0 * i, 7.0) for i in range(n)], "cand_id long, cx double, cy double")
+    with caplog.at_level("INFO", "standmap"):
+        got = sorted(r.cand_id for r in spatial.spaced_sample(line, d).collect())
+    assert got == list(range(0, n, 3))
+    rounds = [r.args[0] for r in caplog.records if "rounds" in r.getMessage()]
+    assert rounds and rounds[0] <= 40.0 * n / (spatial.BLOCK * d) + 2
+    assert spatial.spaced_sample(line.limit(0), d).count() == 0
+
+
 def test_within_region_and_holes(spark):
     ring = lambda i, kind, pts: [(i, kind, k, float(x), float(y)) for k, (x, y) in enumerate(pts)]
     regions = spark.createDataFrame(ring(1, "surveyed", [(0, 0), (100, 0), (100, 100), (0, 100)]) + ring(2, "not_flown", [(40, 40), (60, 40), (60, 60), (40, 60)]), "region_id long, kind string, k long, x double, y double")
@@ -297,6 +309,18 @@ def test_folds_never_split_a_source(spark):
     assert sorted(x["count"] for x in r) == [8, 8, 8, 9]
 
 
+def test_fold_sizes_and_the_fallback(spark):
+    rows = [(i, i // 2, float(i // 2 % 7), float(i // 14)) for i in range(40)] + [(100, 90, None, None)]
+    t = spark.createDataFrame(rows, "tile_id long, source_id long, lon double, lat double")
+    folds = splits.spatial_folds(t, "source_id", 3)
+    r = splits.fold_sizes(folds).collect()
+    assert sum(x.tiles for x in r) == 41 and {x.spatial for x in r} == {True} and len({x.uneven for x in r}) == 1
+    few = splits.spatial_folds(t.where("source_id in (0, 1, 90)"), "source_id", 3)
+    assert {x.spatial for x in few.collect()} == {False} and few.groupBy("source_id").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+    lop = spark.createDataFrame([(i, min(i // 5, 1), True) for i in range(25)], "tile_id long, fold int, spatial boolean")
+    assert {(x.fold, x.tiles, x.uneven) for x in splits.fold_sizes(lop).collect()} == {(0, 5, True), (1, 20, True)}
+
+
 def test_presence_guard_fails_on_many_missing(spark):
     m = spark.createDataFrame([(i,) for i in range(10)], "tile_id long")
     assert io.presence_guard(m, m).first().missing == 0
@@ -334,6 +358,19 @@ def test_raster_layers_from_png(spark, tmp_path):
     assert got == {(0, 0): ("0007", 1, 2, 3, True), (0, 1): ("0007", 4, 5, 6, False), (1, 0): ("0007", 7, 8, 9, False), (1, 1): ("0007", 10, 11, 12, True)}
 
 
+def test_layers_written_are_layers_read(spark, tmp_path):
+    """Tiles of several shapes, one without near infrared, and a layer that isn't written."""
+    rows = [(t, y, x, (7 * x + len(t)) % 256, (31 * y) % 256, 255, x > y, y == 0, False, None if t == "0002" else x + y) for t, h, w in (("0001", 5, 9), ("0002", 1, 3), ("a b", 16, 16)) for y in range(h) for x in range(w)]
+    px = spark.createDataFrame(rows, "tile_id string, y int, x int, r int, g int, b int, gt boolean, prior boolean, ign boolean, nir int")
+    root = str(tmp_path / "layers")
+    made = io.write_raster_layers(px.repartition(3), root)
+    assert {(r.tile_id, r.layer) for r in made.collect()} == {(t, n) for t in ("0001", "0002", "a b") for n in ("images", "masks", "priors", "ignore", "nir")} - {("0002", "nir")}
+    back = io.read_raster_layers(spark, root).select(px.columns)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
+    io.write_raster_layers(px.where("tile_id = '0001'"), str(tmp_path / "one"), ["images", "masks"])
+    assert io.read_raster_layers(spark, str(tmp_path / "one"), ["images", "masks"]).where("gt").count() == sum(r[6] for r in rows if r[0] == "0001")
+
+
 def test_selected_epoch_needs_a_margin(spark):
     log = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.5), (0, 3, 0.503), (0, 4, 0.51)], "fold int, epoch long, inner_iou double")
     assert evaluate.select_epoch(log, 0.5).first().epoch == 4
@@ -587,3 +624,26 @@ def test_spirals_are_one_blob_over_blocks(spark):
     px = pixels(spark, {1: ["".join(".#"[v] for v in row) for row in grid.tolist()]})
     got = raster.connected_components(px, "m", 4, 4).collect()
     assert {r.blob for r in got} == {0} and {r.blob_px for r in got} == {len(got)} == {int(grid.sum())}
+
+
+def test_outlines_walk_around_pinches_and_pass_holes(spark):
+    """A ring with a hole, two pixels that meet at a point (one blob by 8), and a staircase; clockwise from the upper left."""
+    px = pixels(spark, {1: ["###..", "#.#..", "###.."], 2: ["##..", "##..", "..##", "..##"], 3: ["#..", "##.", "###"]})
+    got = {(r.tile_id, r.blob): r for r in raster.mask_to_polygons(px, "m", connectivity=8).collect()}
+    assert got[1, 0].points == [[0, 0], [3, 0], [3, 3], [0, 3]] and got[1, 0].blob_px == 8
+    assert got[2, 0].points == [[0, 0], [2, 0], [2, 2], [4, 2], [4, 4], [2, 4], [2, 2], [0, 2]]
+    assert got[3, 0].points == [[0, 0], [1, 0], [1, 1], [2, 1], [2, 2], [3, 2], [3, 3], [0, 3]] and len(got) == 3
+    four = raster.mask_to_polygons(px.where("tile_id = 2"), "m").collect()
+    assert sorted(tuple(map(tuple, r.points)) for r in four) == [((0, 0), (2, 0), (2, 2), (0, 2)), ((2, 2), (4, 2), (4, 4), (2, 4))]
+    thin = raster.mask_to_polygons(px, "m", simplify=0.8, connectivity=8).where("tile_id = 3").first().points
+    assert thin == [[0, 0], [2, 2], [3, 3], [0, 3]]
+    assert raster.mask_to_polygons(px.where("false"), "m").count() == 0
+
+
+def test_a_long_outline_is_ranked(spark):
+    """A comb of 60 teeth: its outline has a corner for each step, in order, and thinning keeps within its tolerance."""
+    n = 60
+    rows = ["#" * (2 * n)] + ["".join("#." for _ in range(n))] * 5
+    r = raster.mask_to_polygons(pixels(spark, {1: rows}), "m").first()
+    assert len(r.points) == 4 * n + 2 and all((a[0] == b[0]) != (a[1] == b[1]) for a, b in zip(r.points, r.points[1:] + r.points[:1], strict=True))
+    assert raster.mask_to_polygons(pixels(spark, {1: rows}), "m", simplify=20.0).first().points[0] == [0, 0]
