@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,39 +10,43 @@ from pyspark.sql import functions as F
 
 from standmap.llm.common import free_name, once, words
 
-#: Rows on which costs and selectivities are estimated, the share of rows that the sample is drawn from, and the
-#: characters that a text of the sample may have: they bound what reaches the driver, and decide the order of rules alone.
-SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_CHARS = 500, 0.1, 20_000
+#: Rows, about, on which rejection and cost are estimated. They decide the order of rules alone.
+SAMPLE_ROWS = 500
 
 
-def n_words(w: Column, text: Column) -> Column:
-    return F.size(w).cast("long")
+def lines(text: Column) -> Column:
+    """Lines that hold a word; none for null."""
+    return F.coalesce(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), F.array().cast("array<string>"))
 
 
-def word_chars(w: Column, text: Column) -> Column:
-    """Code points in words."""
-    return F.length(F.array_join(w, "")).cast("long")
+#: What features are made of, by name: ``text``, and ``words`` and ``lines`` of it.
+Held = Mapping[str, Column]
+SHARED: dict[str, Callable[[Column], Column]] = {"words": words, "lines": lines}
+
+
+def n_words(held: Held) -> Column:
+    return F.size(held["words"]).cast("long")
 
 
-def n_symbols(w: Column, text: Column) -> Column:
-    return F.coalesce(F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]", "")), F.lit(0)).cast("long")
+def word_chars(held: Held) -> Column:
+    """Code points in words."""
+    return F.length(F.array_join(held["words"], "")).cast("long")
 
 
-def _lines(text: Column) -> Column:
-    """Lines that hold a word."""
-    return F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+def n_symbols(held: Held) -> Column:
+    return F.coalesce(F.length(held["text"]) - F.length(F.regexp_replace(held["text"], r"[#*$%&|<>]", "")), F.lit(0)).cast("long")
 
 
-def n_lines(w: Column, text: Column) -> Column:
-    return F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long")
+def n_lines(held: Held) -> Column:
+    return F.size(held["lines"]).cast("long")
 
 
-def n_dup_lines(w: Column, text: Column) -> Column:
+def n_dup_lines(held: Held) -> Column:
     """Lines with a word that equal an earlier line."""
-    return F.coalesce(F.size(_lines(text)) - F.size(F.array_distinct(_lines(text))), F.lit(0)).cast("long")
+    return (F.size(held["lines"]) - F.size(F.array_distinct(held["lines"]))).cast("long")
 
 
-def n_repeat_words(w: Column, text: Column) -> Column:
+def n_repeat_words(held: Held) -> Column:
     """Words in 3-word windows that are found twice or more in the text, first ones included.
 
     Windows are sorted by hash, those with an equal neighbour kept, and the words that their starts cover counted.
@@ -60,27 +63,32 @@ def n_repeat_words(w: Column, text: Column) -> Column:
         zero = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
         return F.aggregate(r, zero, lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")), lambda a: a["n"])
 
-    return once(w, lambda v: once(starts(v), lambda t: covered(repeated(t)))).cast("long")
+    return once(held["words"], lambda v: once(starts(v), lambda t: covered(repeated(t)))).cast("long")
 
 
-def n_letterless(w: Column, text: Column) -> Column:
+def n_letterless(held: Held) -> Column:
     """Words without a letter: all but those that a pattern for words with one finds."""
-    return (F.size(w) - F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D\p{L}]*+\p{L}[^\x20\x09-\x0D]*+")), F.lit(0))).cast("long")
+    return (F.size(held["words"]) - F.coalesce(F.regexp_count(held["text"], F.lit(r"[^\x20\x09-\x0D\p{L}]*+\p{L}[^\x20\x09-\x0D]*+")), F.lit(0))).cast("long")
 
 
-def crowded(w: Column, text: Column) -> Column:
+def crowded(held: Held) -> Column:
     """1 if more than a fifth of the words are the same one, else 0.
 
     That word has a run of n / 5 + 1 places in the sorted hashes, so some hash equals the one n / 5 places behind it.
     """
     step = lambda s: F.floor(F.size(s) / 5).cast("int")
     far = lambda s: F.exists(F.sequence(F.lit(0), F.size(s) - 1 - step(s)), lambda i: F.get(s, i) == F.get(s, i + step(s)))
-    return F.when(F.size(w) > 0, once(F.sort_array(F.transform(w, lambda x: F.xxhash64(x))), far)).otherwise(F.lit(False)).cast("long")
+    return F.when(F.size(held["words"]) > 0, once(F.sort_array(F.transform(held["words"], lambda x: F.xxhash64(x))), far)).otherwise(F.lit(False)).cast("long")
 
 
-FEATURES: dict[str, Callable[[Column, Column], Column]] = {
-    f.__name__: f for f in (n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_letterless, crowded)
-}
+FEATURES: dict[str, Callable[[Held], Column]] = {f.__name__: f for f in (n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_letterless, crowded)}
+#: Which of :data:`SHARED` a feature reads.
+READS = {"n_words": ("words",), "word_chars": ("words",), "n_symbols": (), "n_lines": ("lines",), "n_dup_lines": ("lines",), "n_repeat_words": ("words",), "n_letterless": ("words",), "crowded": ("words",)}
+#: Steps that each takes, in (passes over characters, passes over words, times that words are sorted).
+STEPS = {
+    "words": (4, 0, 0), "lines": (2, 0, 0), "n_words": (0, 0, 0), "word_chars": (1, 1, 0), "n_symbols": (2, 0, 0), "n_lines": (0, 0, 0), "n_dup_lines": (1, 0, 0),
+    "n_repeat_words": (1, 8, 2), "n_letterless": (4, 0, 0), "crowded": (1, 2, 1),
+}
 #: The features of the first rules, which cost a pass over the text each.
 BASE_FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 #: Words from which a share of the words says something about a text.
@@ -112,71 +120,84 @@ def rules(least_words: int = 50) -> tuple[Rule, ...]:
 RULES = rules()
 
 
-def with_features(docs: DataFrame, names: list[str] | tuple[str, ...] = tuple(FEATURES), text: str = "text") -> DataFrame:
-    """``docs`` with the named features as long columns; a null text counts as empty. Columns so called are replaced."""
-    w = free_name(docs, "words")
-    held = docs.drop(*(set(names) - {text})).withColumn(w, words(F.col(text)))
-    return held.select(*(c for c in held.columns if c != w), *(FEATURES[n](F.col(w), F.col(text)).alias(n) for n in names))
+def with_features(docs: DataFrame, names: list[str] | tuple[str, ...] = tuple(FEATURES), text: str = "text", held: Mapping[str, str] | None = None) -> DataFrame:
+    """``docs`` with the named features as long columns; a null text counts as empty. Columns so called are replaced.
+
+    ``held``: columns of ``docs`` that have its words or lines already. What isn't held is made once a row.
+    """
+    out, at = docs.drop(*(set(names) - {text})), dict(held or {})
+    more = [s for s in SHARED if s not in at and any(s in READS[n] for n in names)]
+    for s in more:
+        at[s] = free_name(out, s)
+        out = out.withColumn(at[s], SHARED[s](F.col(text)))
+    values = {"text": F.col(text)} | {s: F.col(c) for s, c in at.items()}
+    return out.select(*(c for c in out.columns if c not in [at[s] for s in more]), *(FEATURES[n](values).alias(n) for n in names))
+
+
+def _cost(rule: Rule, given: tuple[str, ...], chars: Column, n: Column) -> Column:
+    """Steps that a rule takes on a text of so many characters and words, of which ``given`` features and values take none."""
+    own = [f for f in rule.features if f not in given]
+    parts = [STEPS[x] for x in {*own, *(s for f in own for s in READS[f] if s not in given)}]
+    a, b, c = (sum(x) for x in zip((0, 0, 0), *parts, strict=True))
+    return 1 + a * chars + n * (b + c * F.log2(n + 2))
 
 
 def calibrate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, text: str = "text", given: tuple[str, ...] = ()) -> list[tuple[Rule, float, float]]:
-    """Rules with their rejected share and seconds per row on a sample, by rejection per cost, best first.
+    """Rules with their rejected share and steps per row on a sample, by rejection per cost, best first, then by name.
 
-    Features that are ``given`` cost nothing. The sample has ``rows`` rows at most, of SAMPLE_CHARS characters at most,
-    drawn from a seeded tenth of the table's first partitions. It decides only the order of evaluation: a document is
-    kept if no rule fails it, in any order. An empty sample leaves the order as given.
+    Steps are counted, not timed, so that equal tables give equal orders. The sample is a seeded draw of about ``rows``
+    rows out of all, of whole texts; only its sums reach the driver. Features and values that are ``given`` cost nothing.
+    It decides only the order of evaluation: a document is kept if no rule fails it, in any order. An empty sample leaves
+    the order as given.
     """
-    spark = docs.sparkSession
-    short = docs.select(F.col(text).alias("text")).where(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS)
-    drawn = short.sample(False, SAMPLE_SHARE, 17).take(rows) or short.take(rows)
-    if not drawn:
+    short = docs.select(F.col(text).alias("text"))
+    sample = short.sample(False, min(1.0, rows / max(1, docs.count())), 17)
+    n, chars = F.col("n_words").cast("double"), F.coalesce(F.length("text"), F.lit(0)).cast("double")
+    f = with_features(sample, tuple(FEATURES))
+    named = {x: F.col(x) for x in FEATURES}
+    sums = f.agg(F.count(F.lit(1)), *(x for r in rules for x in (F.sum(r.fails(named).cast("int")), F.sum(_cost(r, given, chars, n))))).first()
+    if not sums[0]:
         return [(r, 0.0, 0.0) for r in rules]
-    sample = spark.createDataFrame(drawn, "text string").coalesce(1)
-    if given:
-        known = with_features(sample, given)
-        sample = spark.createDataFrame(known.collect(), known.schema).coalesce(1)
-
-    def seconds(frame: DataFrame) -> tuple[float, int]:
-        best, hit = float("inf"), 0
-        for _ in range(2):
-            began = time.perf_counter()
-            hit = frame.first()[0] or 0
-            best = min(best, time.perf_counter() - began)
-        return best, hit
-
-    idle, _ = seconds(sample.select(F.sum(F.length("text"))))
-    found = []
-    for r in rules:
-        f = with_features(sample, tuple(n for n in r.features if n not in given))
-        took, hit = seconds(f.select(F.sum(r.fails({n: F.col(n) for n in r.features}).cast("int"))))
-        found.append((r, hit / len(drawn), max(took - idle, 1e-4) / len(drawn)))
+    found = [(r, sums[1 + 2 * i] / sums[0], sums[2 + 2 * i] / sums[0]) for i, r in enumerate(rules)]
     return sorted(found, key=lambda x: (-x[1] / x[2], x[0].name))
 
 
-def first_failure(order: list[Rule] | tuple[Rule, ...], features: dict[str, Column]) -> Column:
-    """Name of the first rule in ``order`` that fails a document, else null; later branches are not evaluated."""
-    out = F.lit(None).cast("string")
-    for r in reversed(order):
-        out = F.when(r.fails(features), r.name).otherwise(out)
-    return out
+def first_failure(order: list[Rule] | tuple[Rule, ...], held: Held, given: Held) -> Column:
+    """Name of the first rule in ``order`` that fails a document, else null.
+
+    Later branches are not evaluated. Words and lines are made where the first rule that reads them stands, once, for
+    it and all that follow.
+    """
+    if not order:
+        return F.lit(None).cast("string")
+    rule = order[0]
+    for s in (s for n in rule.features if n not in given for s in READS[n] if s not in held):
+        return once(SHARED[s](held["text"]), lambda v: first_failure(order, {**held, s: v}, given))
+    values = {n: given[n] if n in given else FEATURES[n](held) for n in rule.features}
+    return F.when(rule.fails(values), rule.name).otherwise(first_failure(order[1:], held, given))
 
 
 def quality_cascade(
-    docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[Rule] | None = None, text: str = "text", into: str = "failed_rule", given: tuple[str, ...] = ()
+    docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[Rule] | None = None, text: str = "text", into: str = "failed_rule", given: tuple[str, ...] = (), held: Mapping[str, str] | None = None
 ) -> DataFrame:
     """``docs`` with ``into``: the first rule that fails a document, null if it passes all of them.
 
-    Each feature is computed in the branch that needs it, so a document leaves the cascade at its first failure; those
-    ``given`` are columns of ``docs`` already. Null and empty texts have no words; equal rows fare alike; an empty table
-    gives an empty result. A column called ``into`` is replaced, all others stay.
+    Rules go by :func:`calibrate`'s order, equal ones by name, so that of several rules that fail a text the same one is
+    named each time on the same table. Words, lines and features are made in the branch that needs them, so a document
+    leaves the cascade at its first failure; features ``given``, and words or lines ``held`` in a column, are at hand
+    already. Null and empty texts have no words; equal rows fare alike; an empty table gives an empty result. A column
+    called ``into`` is replaced, all others stay.
     """
-    order = order or [r for r, _, _ in calibrate(docs, rules, text=text, given=given)]
-    needed = [n for r in order for n in r.features]
-    failed = once(words(F.col(text)), lambda w: first_failure(order, {n: F.col(n) if n in given else FEATURES[n](w, F.col(text)) for n in needed}))
+    held = held or {}
+    order = order or [r for r, _, _ in calibrate(docs, rules, text=text, given=(*given, *held))]
+    failed = first_failure(order, {"text": F.col(text)} | {s: F.col(c) for s, c in held.items()}, {n: F.col(n) for n in given})
     return docs.drop(*({into} - {text})).withColumn(into, failed)
 
 
 def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass every rule, with their columns as they are."""
+    """The documents that pass every rule, with their columns as they are.
+
+    Null texts count as empty, equal rows stay or go together, and an empty table stays empty.
+    """
     into = free_name(docs, "failed_rule")
     return quality_cascade(docs, rules, into=into).where(F.col(into).isNull()).select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standmap.llm import align, chat, decontaminate, hmm, lexical_search, line_dedup, piece_dropout, quality, secrets, sharding, simhash, substring_dedup, token_rollup
-from standmap.llm.common import materialize, scratch
+from standmap.llm.common import materialize, scratch, words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,12 +37,13 @@ def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cascade finds the base features at hand, computes those of its other rules only for texts that come so far, and decides.
+    """The contract's features are made for every row; of the cascade's own work what its two other rules need is left to be skipped.
 
-    Which rule fails a text first depends on measured costs, so that the operator's ``failed_rule`` is no column here.
+    Words are made once a row for both. A null or empty text has none and fails; equal rows fare alike.
     """
-    docs = quality.with_features(_table(spark, sf_dir, "documents").select("doc_id", "text"), quality.BASE_FEATURES)
-    f = quality.quality_cascade(docs, given=quality.BASE_FEATURES)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = quality.with_features(docs.withColumn("words", words(F.col("text"))), quality.BASE_FEATURES, held={"words": "words"})
+    f = quality.quality_cascade(docs, given=quality.BASE_FEATURES, held={"words": "words"})
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.col("failed_rule").isNull().alias("kept"), "n_lines")
 

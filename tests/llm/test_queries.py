@@ -290,3 +290,16 @@ def test_simhash_of_many_starts_equals_hamming():
     x = rng.integers(0, 1 << 63, 4000, dtype=np.uint64) & rng.integers(0, 1 << 63, 4000, dtype=np.uint64) & rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
     any_start = np.any([simhash.chained(x, s, 12) for s in range(8)], axis=0)
     assert (any_start == (np.bitwise_count(x) <= 12)).all()
+
+
+def test_words_are_made_once_and_where_they_are_needed(spark, docs):
+    """One tokenisation in the query's plan; none before a rule that needs no words, and the order is the same each time."""
+    plan = queries.op4_quality_cascade(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    tokenised = r"[^\x20\x09-\x0D]+, 0)"
+    assert plan.count(tokenised) == 1 and plan.count("split(") == 1
+    symbols = quality.Rule("all_symbols", ("n_symbols",), lambda f: f["n_symbols"] > 10)
+    out = quality.quality_cascade(docs, (symbols, *quality.RULES), order=[symbols, *quality.RULES])
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count(tokenised) == 1 and text.index("all_symbols") < text.index(tokenised)
+    orders = [[(r.name, hit, cost) for r, hit, cost in quality.calibrate(docs)] for _ in range(2)]
+    assert orders[0] == orders[1]
