@@ -303,3 +303,44 @@ def test_words_are_made_once_and_where_they_are_needed(spark, docs):
     assert text.count(tokenised) == 1 and text.index("all_symbols") < text.index(tokenised)
     orders = [[(r.name, hit, cost) for r, hit, cost in quality.calibrate(docs)] for _ in range(2)]
     assert orders[0] == orders[1]
+
+
+def test_a_rollup_survives_crashes_and_compaction(spark, docs, monkeypatch):
+    """A commit that dies counts nothing and its lock is gone; two writers exclude each other; merged batches stay known."""
+    store = queries.scratch(spark)
+    load = docs.select("doc_id", "source", "lang", "text").withColumn("op", F.lit("insert"))
+    key = lambda r: sorted(map(repr, r.totals().collect()))
+    r = token_rollup.Rollup(spark, store, buckets=5)
+    parts = [load.where(f"doc_id % 3 = {i}") for i in range(3)]
+    assert r.commit("a", parts[0]) and r.commit("b", parts[1])
+    real = token_rollup.Rollup._write
+
+    def dying(self, batch, signed):
+        real(self, batch, signed)
+        fs, at = self._path(f"totals/{batch}")
+        fs.delete(at, True)
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(token_rollup.Rollup, "_write", dying)
+    before = key(r)
+    for act in (lambda: r.commit("c", parts[2]), r.compact):
+        with pytest.raises(KeyboardInterrupt):
+            act()
+    monkeypatch.undo()
+    again = token_rollup.Rollup(spark, store, buckets=99)
+    assert again.buckets == 5 and key(again) == before and not again.commit("b", parts[1])
+    assert again.commit("c", parts[2])
+    whole = token_rollup.Rollup(spark, queries.scratch(spark))
+    whole.commit("all", load)
+    assert key(again) == key(whole)
+    with again._alone(), pytest.raises(RuntimeError):
+        r.commit("d", parts[0])
+    base = again.compact()
+    assert base.startswith("base-") and again._committed() == [base] and again.compact() is None and key(again) == key(whole)
+    assert not any(again.commit(n, parts[0]) for n in "abc") and again.commit("gone", load.where("doc_id % 3 <> 0").withColumn("op", F.lit("delete")))
+    assert again.compact() and not again.commit("a", parts[0])
+    first = token_rollup.Rollup(spark, queries.scratch(spark))
+    first.commit("a", parts[0])
+    assert key(again) == key(first) and spark.read.parquet(f"{store}/ledger").select("bucket").distinct().count() == 5
+    with pytest.raises(ValueError):
+        again.commit("base-7", load)
