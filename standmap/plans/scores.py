@@ -364,10 +364,11 @@ fm AS (SELECT fold, avg(iou) AS m FROM al GROUP BY 1 HAVING avg(iou) IS NOT NULL
 su AS (SELECT count(*) AS tiles, avg(iou) AS iou, avg(prior_iou) AS prior_iou, avg(zero_iou) AS zero_iou, avg(recall) AS recall, count(*) FILTER (silent) AS silent, stddev_samp(iou) AS sd, avg(painted) AS commission, count(painted) AS healthy, avg(fixed_iou - iou) AS ab_delta FROM al)"""
 
 
-@query("pixels", f"WITH {HEADLINE} SELECT tiles, {', '.join(f'round({c}, 6) AS {c}' for c in ('iou', 'prior_iou', 'zero_iou', 'recall', 'sd', 'commission', 'ab_delta', 'fold_range'))}, silent, healthy, round(iou - prior_iou, 6) AS gain, round(iou - zero_iou, 6) AS zero_gain, folds, CASE WHEN iou - prior_iou > 0.03 THEN 'reads damage from the imagery' ELSE 'mostly echoes the prior' END AS verdict, CASE WHEN commission < 0.05 THEN 'quiet on healthy forest' WHEN commission IS NOT NULL THEN 'paints healthy forest' END AS commission_verdict, recall > 0.5 AS recall_ok FROM su, fo")
+@query("pixels", f"WITH {HEADLINE} SELECT tiles, {', '.join(f'round({c}, 6) AS {c}' for c in ('iou', 'prior_iou', 'zero_iou', 'recall', 'sd', 'commission', 'ab_delta', 'fold_range'))}, silent, healthy, round(iou - prior_iou, 6) AS gain, round(iou - zero_iou, 6) AS zero_gain, len(folds) AS n_folds, list_min(folds) AS worst_fold, list_max(folds) AS best_fold, CASE WHEN iou - prior_iou > 0.03 THEN 'reads damage from the imagery' ELSE 'mostly echoes the prior' END AS verdict, CASE WHEN commission < 0.05 THEN 'quiet on healthy forest' WHEN commission IS NOT NULL THEN 'paints healthy forest' END AS commission_verdict, recall > 0.5 AS recall_ok FROM su, fo")
 def headline_report(v: Views):
     px, valid = v.pixels, F.expr("gt or not ign")
     iou = lambda pred, name: ev.iou_dice(px, pred).select("tile_id", F.col("iou").alias(name))
     painted = px.groupBy("tile_id").agg((F.count_if(F.expr(HOT) & valid) / F.count_if(valid)).alias("painted"), F.bool_or("gt").alias("__gt")).where("not __gt").drop("__gt")
     scores = _tiles(v).join(iou("prob > 0.3", "zero_iou"), "tile_id").join(iou("prob > 0.6", "fixed_iou"), "tile_id").join(painted, "tile_id", "left")
-    return rounded(report.headline_report(scores.withColumn("fold", F.col("tile_id") % 5)))
+    out = report.headline_report(scores.withColumn("fold", F.col("tile_id") % 5))
+    return rounded(out.withColumns({"n_folds": F.size("folds").cast("long"), "worst_fold": F.array_min("folds"), "best_fold": F.array_max("folds")}).drop("folds"))
