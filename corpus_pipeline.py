@@ -13,27 +13,27 @@ from standmap.llm.simhash import keep_one
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that some rule rejects go; short ones stay, if they have a word."""
+    """Documents that some rule rejects go; short ones stay, if they have a word. Null texts and texts without a word go; equal rows fare alike."""
     return keep_quality(docs, rules(least_words=1))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows are cut; documents of which nothing is left go."""
+    """Later occurrences of three-line windows are cut; documents of which nothing is left go. Of equal texts the one of the least id stays whole; null texts stay null."""
     return keep_first_lines(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that of the least id; of repeated rows one. Null and wordless texts are one group."""
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go. Null texts hold none; without a benchmark all stay."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their pieces, which decode to the text."""
+    """Documents with their pieces, which decode to the text. A null text has null ids, an empty one none; repeated rows get equal pieces."""
     return encode_pieces(docs)
 
 

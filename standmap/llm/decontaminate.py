@@ -175,6 +175,6 @@ def _merged(text: str, before: dict, ids: set[str], spans: list[list[int]]) -> t
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents in which no window of the benchmark occurs, with their columns as they are."""
+    """The documents in which no window of the benchmark occurs, with their columns as they are. Null texts stay, and all without a benchmark; repeated rows fare alike."""
     into = free_name(docs, "hits")
     return benchmark_hits(docs, benchmark, window, into=into).where(F.col(into)["n_hit"] == 0).select(*docs.columns)

@@ -76,7 +76,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", int
 
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:
-    """The documents with repeated lines cut, without those of which nothing is left, with their columns as they are."""
+    """The documents with repeated lines cut, without those of which nothing is left, with their columns as they are.
+
+    Null and empty texts that lose nothing stay; of equal texts the one of the least id stays whole, of repeated rows one.
+    """
     into = free_name(docs, "removed_lines")
     out = dedup_lines(docs, into=into).where((F.col(into) == 0) | (F.length("text") > 0))
     if "n_chars" in docs.columns:

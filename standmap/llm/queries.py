@@ -28,10 +28,12 @@ def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts are an end alone; repeated rows score alike, and each of those in training counts."""
     return hmm.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text has null ids and 0 pieces, an empty one no ids; rows of equal id and text get equal pieces."""
     out = piece_dropout.encode_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_pieces", "lossless", "ids")
 
@@ -67,6 +69,7 @@ FROM g
 
 
 def op5_pigeonring_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without words, null among them, have fingerprint zero and are linked; repeated rows share their component."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -106,6 +109,7 @@ FROM d LEFT JOIN g USING (doc_id)
 
 
 def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts stay null with nothing removed; of equal texts the one of the least id stays whole."""
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "removed_lines", "text")
 
@@ -145,6 +149,7 @@ def op8_delta_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have 8 bytes and the checksum of nothing; repeated rows are dealt out one by one."""
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = _table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     out = sharding.hypergeometric_shards(rows, 24)
@@ -152,6 +157,7 @@ def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have no words; items without words are passed over; repeated rows fare alike."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.benchmark_hits(docs, _table(spark, sf_dir, "benchmark"))
     h = F.col("hits")
