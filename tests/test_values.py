@@ -3,10 +3,11 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from standmap.functions import geometry as geo
-from standmap.operators import learn, raster, spatial, splits
+from standmap.operators import learn, raster, select, spatial, splits
 
 
 def table(spark, **bands):
@@ -164,3 +165,45 @@ def test_the_forest_learns_and_drafts_are_the_damage(spark):
         assert (min(xs), max(xs), min(ys), max(ys)) == (5 + r.tile_id % 3, 15 + r.tile_id % 3, 6, 16) and r.blob_px == 88  # opened twice, a corner loses three pixels
     held = learn.leave_one_out_score(px, max_tiles=2, trees=10, per_class=100).collect()
     assert len(held) == 2 and all(r.iou > 0.85 for r in held)
+
+
+def test_held_out_trees_equal_separate_fits(spark):
+    """With a fold a tile, scores are those of forests fitted by hand without the tile; with fewer folds no forest sees a tile that it scores."""
+    px = learn.pixel_features(forest_pixels(spark, range(5))).cache()
+    held = spark.createDataFrame([(0,), (2,), (4,), (4,)], "tile_id long")
+    fold = {r.tile_id: r.fold[0] for r in learn.held_out_folds(held, 20).collect()}
+    assert sorted(fold) == [0, 2, 4] and sorted(fold.values()) == [0, 1, 2]
+    got = {(r.tile_id, r.y, r.x): r.score for r in learn.held_out_scores(px, held, trees=6, per_class=60).collect()}
+    assert len(got) == 3 * 24 * 24
+    for t, f in fold.items():
+        alone = learn.pixel_classifier(select.per_class_sample(px.where(F.col("tile_id") != t), "gt", 60), px.where(F.col("tile_id") == t), trees=6, seed=42 + f)
+        want = [(r.score, got[r.tile_id, r.y, r.x]) for r in alone.collect()]
+        assert sum(abs(a - b) < 0.2 for a, b in want) > 0.98 * len(want)  # bags are drawn by partition, so trees differ a little
+    for folds, draws in ((2, 1), (2, 3), (3, 2)):
+        dealt = learn.held_out_folds(px, folds, draws).collect()
+        for d in range(draws):
+            sizes = [sum(r.fold[d] == f for r in dealt) for f in range(folds)]
+            assert sum(sizes) == 5 and max(sizes) - min(sizes) <= 1
+    every = learn.leave_one_out_score(px, max_tiles=None, trees=6, per_class=100, folds=2, draws=2).collect()
+    assert sorted(r.tile_id for r in every) == list(range(5)) and all(r.iou > 0.85 for r in every)
+    assert learn.leave_one_out_score(px.limit(0), trees=4).count() == 0
+    with pytest.raises(ValueError):
+        learn.held_out_scores(px, held, trees=5, draws=2)
+
+
+def test_no_forest_sees_the_tile_that_it_scores(spark, monkeypatch):
+    """The tiles that each forest learns from and those that it scores are disjoint, and each tile is scored once a draw."""
+    seen = []
+
+    def spy(train, score, trees, seed):
+        tiles = [{r[0] for r in df.select("tile_id").distinct().collect()} for df in (train, score)]
+        seen.append((*tiles, trees))
+        return score.withColumn("score", F.lit(0.5))
+
+    monkeypatch.setattr(learn, "pixel_classifier", spy)
+    px = learn.pixel_features(forest_pixels(spark, range(7)))
+    held = spark.createDataFrame([(t,) for t in range(6)], "tile_id long")
+    out = learn.held_out_scores(px, held, folds=3, draws=2, trees=12, per_class=5)
+    assert out.count() == 6 * 24 * 24 and len(seen) == 6 and {n for _, _, n in seen} == {6}
+    assert all(a | b == set(range(7)) and not a & b and 6 in a for a, b, _ in seen)
+    assert sorted(t for _, b, _ in seen for t in b) == sorted([*range(6)] * 2)
