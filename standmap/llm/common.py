@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standmap.sources.store import materialize, scratch
 
-__all__ = ["ascii_lower", "discard", "free_name", "materialize", "once", "scratch", "words"]
+__all__ = ["BatchStore", "ascii_lower", "discard", "free_name", "materialize", "once", "scratch", "words"]
 
 #: Java pattern of a white-space delimited word, and of the white space between words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,3 +49,38 @@ def free_name(df: DataFrame, name: str) -> str:
 def once(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then`` of ``value``, computed once for a row however often ``then`` reads it, and wherever a plan moves it."""
     return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+class BatchStore:
+    """A folder ``store`` that all executors reach, with one writer at a time, held by a lock file."""
+
+    def __init__(self, spark: SparkSession, store: str):
+        self.spark, self.store = spark, store.rstrip("/")
+
+    def _path(self, name: str):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.store}/{name}")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _names(self, folder: str) -> list[str]:
+        fs, at = self._path(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    @contextmanager
+    def _alone(self):
+        """Hold the store's lock file, which is created at once or not at all."""
+        fs, at = self._path("_writer")
+        fs.mkdirs(at.getParent())
+        try:
+            fs.create(at, False).close()
+        except Py4JJavaError as e:
+            raise RuntimeError(f"another writer holds {at}; if it has died, release() the store") from e
+        try:
+            yield
+        finally:
+            fs.delete(at, False)
+
+    def release(self) -> None:
+        """Take away the lock of a writer that has died."""
+        fs, at = self._path("_writer")
+        fs.delete(at, False)

@@ -81,9 +81,10 @@ def op6_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     earlier = docs.where(F.xxhash64("doc_id") < 0)  # the history's first commit; the second has every row
-    ledger = secrets.commit(None, earlier, secrets.EARLIER_RULES)
-    ledger = secrets.commit(ledger, docs, secrets.RULES)
-    found = secrets.findings_by_path(docs, ledger)
+    ledger = secrets.Ledger(spark, scratch(spark))
+    ledger.commit("earlier", earlier, secrets.EARLIER_RULES, path="doc_id")
+    ledger.commit("present", docs, secrets.RULES, path="doc_id")
+    found = secrets.findings_by_path(docs, ledger.rows())
     base = F.filter("findings", lambda f: f["kind"].isin([r.kind for r in secrets.BASE_RULES]))
     n = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
     return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(_spans_text(base).cast("binary"), 256).alias("base_sha256"), _spans_text(F.col("findings")).alias("spans"))

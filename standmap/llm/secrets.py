@@ -2,17 +2,18 @@
 
 Every version of every path is addressed by the SHA-256 of its text. Only (blob, rule version) pairs that the
 ledger doesn't have are scanned, each blob once however many paths share it, and findings are joined back to all
-paths.
+paths. A :class:`Ledger` keeps this between applications.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from standmap.llm.common import free_name, materialize, once
+from standmap.llm.common import BatchStore, free_name, materialize, once
 
 
 def _either_case(word: str) -> str:
@@ -51,6 +52,8 @@ EARLIER_RULES = (BASE_RULES[0], BASE_RULES[1], SecretRule("hex", "[0-9a-f]{40,}"
 
 SPANS = "array<struct<start:long,end:long>>"
 LEDGER = f"blob string, rule string, version int, spans {SPANS}"
+VERSIONS = "path string, blob string"
+FINDINGS = "array<struct<start:long,rank:int,kind:string,end:long>>"
 
 
 def _ends(lengths: Column) -> Column:
@@ -142,12 +145,69 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: tuple[Secret
     Every row of ``versions`` is kept, equal ones and those with a null text or path too. Only blobs with findings are
     joined. A column called ``into`` is replaced.
     """
+    blob = free_name(versions, "blob")
+    return _with_findings(versions.drop(into).withColumn(blob, address(F.col(text))), ledger, rules, blob, into).drop(blob)
+
+
+def _with_findings(versions: DataFrame, ledger: DataFrame, rules: tuple[SecretRule, ...], blob: str, into: str) -> DataFrame:
     rank = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))))
     hits = ledger.where((F.size("spans") > 0) & F.concat_ws(":", "rule", "version").isin([r.key for r in rules]))
     rows = hits.select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.element_at(rank, F.concat_ws(":", "rule", "version")).alias("rank"), F.col("rule").alias("kind"), s["end"].alias("end"))).alias("f"))
     by_blob = rows.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list("f"))).alias(into))  # a list a rule
     by_blob = materialize(by_blob, "by_blob")  # so that both sides of the join are shuffled, and a text of many paths can be split
-    blob = free_name(versions, "blob")
-    path = versions.drop(into).withColumn(blob, address(F.col(text)))
-    out = path.join(by_blob.withColumnRenamed("blob", blob), blob, "left").drop(blob)
-    return out.withColumn(into, F.coalesce(into, F.array().cast("array<struct<start:long,rank:int,kind:string,end:long>>")))
+    out = versions.join(by_blob.withColumnRenamed("blob", blob), blob, "left")
+    return out.withColumn(into, F.coalesce(into, F.array().cast(FINDINGS)))
+
+
+class Ledger(BatchStore):
+    """A ledger of blobs in ``store``, which further commits and applications add to.
+
+    A commit is written to folders of its own, and an empty file that is put below ``commits`` last makes it count. One
+    that a crash has cut short is passed over and can be sent again; one that counts is passed over when it comes again.
+    """
+
+    def commits(self) -> list[str]:
+        """Names of the commits that count, in their order."""
+        return [n.split(".", 1)[1] for n in self._names("commits")]
+
+    def _read(self, table: str, schema: str) -> DataFrame:
+        paths = [f"{self.store}/{table}/{n}" for n in self._names("commits")]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def rows(self) -> DataFrame:
+        """(blob, rule, version, spans), one row for each blob and rule version that has been scanned."""
+        return self._read("scanned", LEDGER)
+
+    def commit(self, name: str, versions: DataFrame, rules: tuple[SecretRule, ...] = RULES, path: str = "path", text: str = "text") -> bool:
+        """Add the ``versions`` (path, text) of a commit, scanned under ``rules`` for what no commit has scanned; false if ``name`` counts already.
+
+        Every row is kept as a version of its path, equal rows and null paths too; null texts are empty ones. Further
+        columns are passed over. Names are letters, digits, ``_`` and ``-``. A second writer fails while one is at work.
+        """
+        if not re.fullmatch(r"[\w-]+", name, re.ASCII):
+            raise ValueError(f"no name for a commit: {name!r}")
+        with self._alone():
+            had = self.commits()
+            if name in had:
+                return False
+            at = f"{len(had):08d}.{name}"
+            scan_unseen(versions, self.rows() if had else None, rules, text).write.mode("overwrite").parquet(f"{self.store}/scanned/{at}")
+            kept = versions.select(F.col(path).cast("string").alias("path"), address(F.col(text)).alias("blob"))
+            kept.write.mode("overwrite").parquet(f"{self.store}/versions/{at}")
+            fs, marker = self._path(f"commits/{at}")
+            fs.create(marker, False).close()
+        return True
+
+    def history(self, rules: tuple[SecretRule, ...] = RULES, into: str = "findings") -> DataFrame:
+        """Every version of every path: ``commit``, ``place`` (the commit's number, from 0), ``path``, ``blob``, ``pending`` and the findings of ``rules``.
+
+        ``pending`` names the rule versions that the blob hasn't been scanned under, ``kind:version``; findings have
+        nothing of those, until a commit brings the text again.
+        """
+        parts = self._read("versions", VERSIONS).withColumn("__at", F.try_element_at(F.split(F.input_file_name(), "/"), F.lit(-2)))
+        parts = parts.select(F.substring_index("__at", ".", -1).alias("commit"), F.substring_index("__at", ".", 1).cast("int").alias("place"), "path", "blob")
+        rows = self.rows()
+        done = rows.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "version")).alias("__done"))  # one entry a rule version
+        every = F.array(*(F.lit(r.key) for r in rules))
+        out = _with_findings(parts.join(done, "blob", "left"), rows, rules, "blob", into)
+        return out.select("commit", "place", "path", "blob", F.array_except(every, F.coalesce("__done", F.array().cast("array<string>"))).alias("pending"), into)

@@ -11,16 +11,14 @@ from __future__ import annotations
 
 import base64
 import re
-from contextlib import contextmanager
 
 import pyarrow as pa
 import tiktoken
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from standmap.llm.common import materialize
+from standmap.llm.common import BatchStore, materialize
 
 #: Where the vocabulary is by default; every function takes another path.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -66,7 +64,7 @@ def counted(docs: DataFrame, version: str, vocabulary: str = VOCABULARY) -> Data
     return held.mapInArrow(run, LEDGER)
 
 
-class Rollup:
+class Rollup(BatchStore):
     """Token totals kept in ``store``, a folder that all executors reach.
 
     A new store gets ``buckets`` buckets, an old one keeps its own. A bucket of a batch is written by as many tasks as
@@ -74,20 +72,11 @@ class Rollup:
     """
 
     def __init__(self, spark: SparkSession, store: str, vocabularies: dict[str, str] | None = None, buckets: int = BUCKETS):
-        self.spark, self.store = spark, store.rstrip("/")
+        super().__init__(spark, store)
         self.vocabularies = vocabularies or {"byte_bpe_50k/1": VOCABULARY}
         had = [int(n.removeprefix("buckets=")) for n in self._names("layout")]
         self.buckets = had[0] if had else buckets
 
-    def _path(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.store}/{name}")
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
-
-    def _names(self, folder: str) -> list[str]:
-        fs, at = self._path(folder)
-        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
-
     def _committed(self) -> list[str]:
         """Batches that make up the totals: those with whole totals that no compaction has merged."""
         whole = [n for n in self._names("totals") if self._is_whole(n)]
@@ -103,26 +92,9 @@ class Rollup:
         bases = [f"{self.store}/merged/{n}" for n in whole if n.startswith("base-")]
         return {r[0] for r in self.spark.read.text(bases).collect()} if bases else set()
 
-    @contextmanager
-    def _alone(self):
-        """Hold the store's lock file, which is created at once or not at all."""
-        fs, at = self._path("_writer")
-        fs.mkdirs(at.getParent())
-        try:
-            fs.create(at, False).close()
-        except Py4JJavaError as e:
-            raise RuntimeError(f"another writer holds {at}; if it has died, release() the store") from e
-        try:
-            layout_fs, layout = self._path(f"layout/buckets={self.buckets}")
-            layout_fs.mkdirs(layout)
-            yield
-        finally:
-            fs.delete(at, False)
-
-    def release(self) -> None:
-        """Take away the lock of a writer that has died."""
-        fs, at = self._path("_writer")
-        fs.delete(at, False)
+    def _lay_out(self) -> None:
+        fs, layout = self._path(f"layout/buckets={self.buckets}")
+        fs.mkdirs(layout)
 
     def documents(self, buckets: list[int] | None = None) -> DataFrame:
         """What each document adds to the totals now, by id, source, language and tokenizer version; of some buckets only."""
@@ -162,6 +134,7 @@ class Rollup:
         if not re.fullmatch(r"(?!base-)[\w-]+", batch, re.ASCII):
             raise ValueError(f"no name for a batch: {batch!r}")
         with self._alone():
+            self._lay_out()
             whole = [n for n in self._names("totals") if self._is_whole(n)]
             if batch in whole or batch in self._merged(whole):
                 return False

@@ -344,3 +344,45 @@ def test_a_rollup_survives_crashes_and_compaction(spark, docs, monkeypatch):
     assert key(again) == key(first) and spark.read.parquet(f"{store}/ledger").select("bucket").distinct().count() == 5
     with pytest.raises(ValueError):
         again.commit("base-7", load)
+
+
+def test_ledger_of_two_sessions_with_a_crash_between(spark, tmp_path, monkeypatch):
+    """Commits count once, a cut one leaves nothing, another session scans only what is new, and every version keeps its findings."""
+    key = "AKIA" + "A" * 16
+    first = spark.createDataFrame([("a", "password = hunter22"), ("b", "plain"), ("b", "plain"), (None, None)], "path string, text string")
+    second = spark.createDataFrame([("a", "nothing now", 1), ("c", "plain", 2), ("d", f"x {key}", 3)], "path string, text string, blob int")
+    store = f"{tmp_path}/ledger"
+    ledger = secrets.Ledger(spark, store)
+    assert ledger.commits() == [] and ledger.rows().count() == ledger.history().count() == 0
+    assert ledger.commit("one", first, secrets.EARLIER_RULES) and not ledger.commit("one", second)
+    before = {tuple(r) for r in ledger.rows().select("blob", "rule", "version").collect()}
+    assert len(before) == 3 * len(secrets.EARLIER_RULES)
+
+    scan = secrets.scan_unseen
+    other = spark.newSession()
+    again = secrets.Ledger(other, store)
+    with monkeypatch.context() as m:  # dies after what it found is written, before its versions are
+        m.setattr(secrets, "address", lambda text: 1 / 0)
+        m.setattr(secrets, "scan_unseen", lambda *a: first.select("path"))
+        with pytest.raises(ZeroDivisionError):
+            again.commit("two", second)
+    assert again.commits() == ["one"] and {tuple(r) for r in again.rows().select("blob", "rule", "version").collect()} == before
+
+    rows = []
+    monkeypatch.setattr(secrets, "scan_unseen", lambda *a: rows.append(scan(*a)) or rows[-1])
+    assert again.commit("two", second)
+    per_blob = sorted(r["count"] for r in rows[0].groupBy("blob").count().collect())
+    assert per_blob == [2, len(secrets.RULES), len(secrets.RULES)]  # "plain" for the changed rule and the added one, two new texts for all
+    assert ledger.commits() == ["one", "two"] and not ledger.commit("two", first)
+    got = sorted((r.place, r.commit, r.path or "", len(r.pending), [(f.start, f.kind, f.end) for f in r.findings]) for r in ledger.history().collect())
+    assert got == [
+        (0, "one", "", 2, []), (0, "one", "a", 2, [(0, "assign", 19)]), (0, "one", "b", 0, []), (0, "one", "b", 0, []),
+        (1, "two", "a", 0, []), (1, "two", "c", 0, []), (1, "two", "d", 0, [(2, "access", 22)]),
+    ]
+    n = ledger.rows()
+    assert n.count() == n.select("blob", "rule", "version").distinct().count()
+    with again._alone(), pytest.raises(RuntimeError, match="another writer"):
+        ledger.commit("three", first)
+    with pytest.raises(ValueError):
+        ledger.commit("../three", first)
+    assert ledger.commit("three", first.limit(0)) and ledger.history().where("place = 2").count() == 0
