@@ -96,7 +96,7 @@ def pixel_classifier(v: Views):
 
 @query()
 def leave_one_out_score(v: Views):
-    return learn.leave_one_out_score(_features(v), max_tiles=None, per_class=PER_CLASS, folds=2, draws=4)
+    return learn.leave_one_out_score(_features(v), max_tiles=None, per_class=PER_CLASS, folds=4, draws=4)
 
 
 @query()
