@@ -359,3 +359,46 @@ def test_states_raise_the_held_out_score(docs):
     score = lambda k: docs_mean([r for r in hmm.score_documents(docs, states=k).collect() if r.held_out])
     docs_mean = lambda rows: sum(r.score for r in rows) / sum(r.n_tokens for r in rows)
     assert score(8) > score(1) + 0.02
+
+
+def test_one_automaton_of_a_large_benchmark(spark, monkeypatch):
+    """200,000 words of benchmark are one automaton, and one pass over the documents finds what windows looked up in a set find."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    draw = lambda n: [vocabulary[k] for k in rng.zipf(1.4, n) % 3000]
+    items = [(k, draw(int(rng.integers(1, 400)))) for k in range(1000)]
+    assert sum(len(w) for _, w in items) > 190_000
+    windows = {}
+    for k, w in items:
+        for i in range(max(1, len(w) - 9)):
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(str(k))
+    sizes = {len(w) for w in windows}
+    docs = []
+    for k in range(60):
+        w = draw(int(rng.integers(0, 300)))
+        for _ in range(int(rng.integers(0, 4))):
+            item = items[int(rng.integers(0, 1000))][1]
+            lo = int(rng.integers(0, len(item)))
+            w[len(w) // 2 : len(w) // 2] = item[lo : lo + int(rng.integers(5, 40))]
+        docs.append((k, w))
+    scans, one = [], decontaminate._scan_block
+    monkeypatch.setattr(decontaminate, "_scan_block", lambda *a: scans.append(1) or one(*a))
+    got = decontaminate.benchmark_hits(spark.createDataFrame([(k, " ".join(w)) for k, w in docs], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"))
+    got = {r.doc_id: r.hits for r in got.collect()}
+    assert len(scans) == 1
+    for k, w in docs:
+        hit = [(i, i + n) for n in sizes for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows]
+        assert (got[k].n_words, got[k].n_hit) == (len(w), len({j for lo, hi in hit for j in range(lo, hi)}))
+        assert got[k].item_ids == sorted({x for lo, hi in hit for x in windows[tuple(w[lo:hi])]})
+
+
+def test_lanes_and_portions_leave_no_seam(monkeypatch):
+    """Texts of several lanes, and lanes of any length, are hit alike."""
+    rng = np.random.default_rng(6)
+    items = [(str(k), " ".join(f"w{x}" for x in rng.integers(0, 3, int(rng.integers(1, 9))))) for k in range(9)]
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 4, n)) for n in (0, 1, 63, 64, 65, 700)]
+    a = decontaminate.automaton(items, 5)
+    want = decontaminate.scan_all(texts, a)
+    for lane in (1, 7, 10_000):
+        monkeypatch.setattr(decontaminate, "LANE", lane)
+        assert decontaminate.scan_all(texts, a) == want == [decontaminate.scan(t, a) for t in texts]
