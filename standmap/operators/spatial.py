@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from standmap.sources.store import materialize, quantiles
+from standmap.sources.store import materialize, quantiles, row_numbers
 
 
 def _edges(vert: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,13 +47,6 @@ def _passed(e: DataFrame, cell: float) -> DataFrame:
     return rows.withColumn("col", _cells(x0 - 1, x1 + 1, cell))
 
 
-def _right_of(px: str, py: str) -> Column:
-    """Whether an edge counts for a point's parity: it spans the point's row, to the right of it."""
-    at = F.col("x") + (F.col(py) - F.col("y")) * (F.col("nx") - F.col("x")) / (F.col("ny") - F.col("y"))
-    spans = ((F.col("y") <= F.col(py)) & (F.col(py) < F.col("ny"))) | ((F.col("ny") <= F.col(py)) & (F.col(py) < F.col("y")))
-    return spans & (F.when(F.col("y") != F.col("ny"), at) > F.col(px))
-
-
 def _touches(r: float) -> Column:
     """Whether an edge meets the box of half side ``r`` around (cx, cy): cut by the box's sides in turn, something of it is left (Liang-Barsky)."""
     t0, t1, ok = F.lit(0.0), F.lit(1.0), F.lit(True)
@@ -142,20 +139,93 @@ def within_region(cand: DataFrame, half_m: float, regions: DataFrame, cell: floa
     return cand.join(good, "cand_id", "left_semi").join(inside.where("kind = 'not_flown'").select("cand_id").union(crossed), "cand_id", "left_anti")
 
 
-def clear_of_features(cand: DataFrame, half_m: float, vert: DataFrame, buffer_m: float = 150, cell: float = 2_000, id_: str = "poly_id") -> DataFrame:
+def _struck(cand: DataFrame, other: DataFrame, reach: float, cell: float, hit: Callable) -> DataFrame:
+    """Ids of candidates (cand_id, cx, cy) that one of ``other`` strikes: rows with xmin, ymin, xmax, ymax, and what ``hit`` needs.
+
+    Others are dealt to all cells within ``reach``. In its cell a candidate goes through them, some at a time, until one
+    strikes it, so that dense others cost no more pairs than it takes. ``hit(prepared, i, px, py)`` says whether others i strike
+    points; ``hit.prepare(table)`` reads a cell's others.
+    """
+    kind, prepare = dict(cand.dtypes)["cand_id"], hit.prepare
+    c = cand.where("cx is not null and cy is not null").select("cand_id", "cx", "cy", _cell(F.col("cx"), cell).alias("gx"), _cell(F.col("cy"), cell).alias("gy"))
+    o = other.withColumn("gx", _cells(F.col("xmin") - reach - 1, F.col("xmax") + reach + 1, cell)).withColumn("gy", _cells(F.col("ymin") - reach - 1, F.col("ymax") + reach + 1, cell))
+
+    def run(points: pa.Table, others: pa.Table) -> pa.Table:
+        px, py = (points.column(c).to_numpy().astype(float) for c in ("cx", "cy"))
+        x0, y0, x1, y1 = (others.column(c).to_numpy().astype(float) for c in ("xmin", "ymin", "xmax", "ymax"))
+        alive, struck, at, ready = np.arange(len(px)), np.zeros(len(px), bool), 0, prepare(others)
+        while len(alive) and at < len(x0):
+            some = slice(at, at + max(1, min(64, 4_000_000 // len(alive))))
+            at, ax, ay = some.stop, px[alive, None], py[alive, None]
+            close = (x0[some] <= ax + reach) & (x1[some] >= ax - reach) & (y0[some] <= ay + reach) & (y1[some] >= ay - reach)
+            p, i = np.nonzero(close)
+            who = alive[p]
+            struck[who[hit(ready, i + some.start, px[who], py[who])]] = True
+            alive = alive[~struck[alive]]
+        return pa.table({"cand_id": points.column("cand_id").filter(pa.array(struck))})
+
+    return c.groupBy("gx", "gy").cogroup(o.groupBy("gx", "gy")).applyInArrow(run, f"cand_id {kind}")
+
+
+class _Rings:
+    """Whether rings (xs, ys) meet the box of half side ``r`` around points: an edge is cut by it, or the ring holds the point."""
+
+    def __init__(self, r: float):
+        self.r = r
+
+    def prepare(self, table: pa.Table) -> tuple[np.ndarray, ...]:
+        n = pc.list_value_length(table.column("xs")).to_numpy().astype(np.int64)
+        x, y = (pc.list_flatten(table.column(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("xs", "ys"))
+        first = np.cumsum(n) - n
+        after = np.arange(1, len(x) + 1)
+        after[first + n - 1] = first
+        return first, n, x, y, x[after], y[after]
+
+    def __call__(self, ready: tuple[np.ndarray, ...], i: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        first, n, *ends = ready
+        size = n[i]
+        if not len(i):
+            return np.zeros(0, bool)
+        begin = np.cumsum(size) - size
+        edge = np.arange(size.sum()) + np.repeat(first[i] - begin, size)
+        x, y, nx, ny = (e[edge] for e in ends)
+        px, py = np.repeat(px, size), np.repeat(py, size)
+        t0, t1, ok = np.zeros(len(edge)), np.ones(len(edge)), np.ones(len(edge), bool)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for d, p, mid in ((nx - x, x, px), (ny - y, y, py)):  # Liang-Barsky, as in _touches
+                a, b = (mid - self.r - p) / d, (mid + self.r - p) / d
+                moves = d != 0
+                t0, t1 = np.where(moves, np.maximum(t0, np.minimum(a, b)), t0), np.where(moves, np.minimum(t1, np.maximum(a, b)), t1)
+                ok &= moves | (np.abs(p - mid) <= self.r)
+            spans = ((y <= py) & (py < ny)) | ((ny <= py) & (py < y))
+            right = spans & (x + (py - y) * (nx - x) / (ny - y) > px)
+        return np.logical_or.reduceat(ok & (t0 <= t1), begin) | (np.add.reduceat(right.astype(np.int64), begin) % 2 == 1)
+
+
+class _Close:
+    """Whether centres (xmin, ymin) are closer to points than ``d``."""
+
+    def __init__(self, d: float):
+        self.d = d
+
+    def prepare(self, table: pa.Table) -> tuple[np.ndarray, ...]:
+        return tuple(table.column(c).to_numpy().astype(float) for c in ("xmin", "ymin"))
+
+    def __call__(self, ready: tuple[np.ndarray, ...], i: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        dx, dy = px - ready[0][i], py - ready[1][i]
+        return dx * dx + dy * dy < self.d * self.d
+
+
+def clear_of_features(cand: DataFrame, half_m: float, vert: DataFrame, buffer_m: float = 150, cell: float = 4_000, id_: str = "poly_id") -> DataFrame:
     """Candidates whose box of half side half_m + buffer_m meets no feature, given as vertices (poly_id, k, x, y) of one ring each.
 
     Features whose own box is close are found by cells; of these, one meets the box if an edge does or the centre lies
     inside. A feature of one vertex is a point.
     """
     r = half_m + buffer_m
-    f = vert.groupBy(id_).agg(F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))
-    f = f.withColumn("gx", _cells(F.col("xmin"), F.col("xmax"), cell)).withColumn("gy", _cells(F.col("ymin"), F.col("ymax"), cell))
-    c = cand.select("cand_id", "cx", "cy").withColumn("gx", _cells(F.col("cx") - r, F.col("cx") + r, cell)).withColumn("gy", _cells(F.col("cy") - r, F.col("cy") + r, cell))
-    close = (F.col("xmin") <= F.col("cx") + r) & (F.col("xmax") >= F.col("cx") - r) & (F.col("ymin") <= F.col("cy") + r) & (F.col("ymax") >= F.col("cy") - r)
-    pairs = c.join(f, ["gx", "gy"]).where(close).select("cand_id", "cx", "cy", id_).distinct()
-    tests = pairs.join(_edges(vert, [id_]), id_).groupBy("cand_id", id_).agg((F.bool_or(_touches(r)) | (F.count_if(_right_of("cx", "cy")) % 2 == 1)).alias("hit"))
-    return cand.join(tests.where("hit").select("cand_id"), "cand_id", "left_anti")
+    f = vert.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("p"), F.min("x").alias("xmin"), F.min("y").alias("ymin"), F.max("x").alias("xmax"), F.max("y").alias("ymax"))
+    f = f.where("xmin is not null and ymin is not null").select("xmin", "ymin", "xmax", "ymax", F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
+    return cand.join(_struck(cand, f, r, cell, _Rings(r)), "cand_id", "left_anti")
 
 
 def _near(a: DataFrame, b: DataFrame, d: float) -> DataFrame:
@@ -169,7 +239,8 @@ def _near(a: DataFrame, b: DataFrame, d: float) -> DataFrame:
 
 def min_spacing_to(cand: DataFrame, centres: DataFrame, d: float = 800) -> DataFrame:
     """Candidates at least ``d`` from every centre (x, y)."""
-    return cand.join(_near(cand, centres.select("x", "y"), d).select("cand_id"), "cand_id", "left_anti")
+    o = centres.where("x is not null and y is not null").select(F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax"))
+    return cand.join(_struck(cand, o, d, 5.0 * d, _Close(d)), "cand_id", "left_anti")
 
 
 def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -181,20 +252,40 @@ def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cand_id": list(state), "state": list(state.values())})
 
 
-def spaced_sample(cand: DataFrame, d: float = 800, priority: str = "cand_id", n: int | None = None) -> DataFrame:
+def spaced_sample(cand: DataFrame, d: float = 800, priority: str = "cand_id", n: int | None = None, first: int = 4096) -> DataFrame:
     """Greedy thinning by ``priority``: a candidate stays if no one kept before lies within ``d``; then the first ``n``.
 
+    Candidates go in order, ``first`` of them, then eight times as many, and so on: those close to one that was kept drop
+    out before any pairs are made, so that dense candidates, which soon cover the ground, have few pairs left. The
+    result is that of going through all of them one by one. Ids are unique; candidates without a place stay out.
+    """
+    c = cand.where("cx is not null and cy is not null").select("cand_id", "cx", "cy", F.col(priority).alias("__first"))
+    c = materialize(row_numbers(c, ["__first", "cand_id"], "__rn"))
+    total, at, size, parts = c.count(), 0, first, []
+    while at < total:
+        some = c.where(F.col("__rn").between(at + 1, at + size)).drop("__rn")
+        if parts:
+            kept = reduce(DataFrame.unionByName, parts).select(F.col("cx").alias("x"), F.col("cy").alias("y"))
+            some = some.join(_near(some, kept, d).select("cand_id").distinct(), "cand_id", "left_anti")
+        parts.append(_thinned(materialize(some), d))
+        at, size = at + size, size * 8
+    kept = cand.join(reduce(DataFrame.unionByName, parts).select("cand_id") if parts else cand.select("cand_id").limit(0), "cand_id", "left_semi")
+    return kept.orderBy(priority, "cand_id").limit(n) if n is not None else kept
+
+
+def _thinned(c: DataFrame, d: float) -> DataFrame:
+    """What stays of written candidates (cand_id, cx, cy, __first), with its place.
+
     Close pairs are joined once. In each round every block of ``BLOCK`` distances goes through its undecided candidates
     in order, as far as they don't hang on another block's; what stays puts its later neighbours out everywhere. So a
-    chain of close candidates takes as many rounds as it crosses blocks, and the result is that of going through all of
-    them one by one. Ids are unique; candidates without a place stay out.
+    chain of close candidates takes as many rounds as it crosses blocks.
     """
-    order, side = F.struct(F.col(priority).alias("p"), F.col("cand_id").alias("id")), BLOCK * d
-    c = cand.where("cx is not null and cy is not null").withColumn("__o", order)
-    other = c.select(F.col("cand_id").alias("other"), F.col("__o").alias("__p"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-    pairs = _near(c, other, d).join(c.select("cand_id", "__o"), "cand_id").where(F.col("__p") < F.col("__o")).select("cand_id", "other")
-    pairs, undecided, parts, rounds = materialize(pairs), materialize(c.select("cand_id", "cx", "cy", F.col(priority).alias("__first"))), [], 0
-    kind = dict(cand.dtypes)["cand_id"]
+    order, side = F.struct(F.col("__first").alias("p"), F.col("cand_id").alias("id")), BLOCK * d
+    own = c.withColumn("__o", order)
+    other = own.select(F.col("cand_id").alias("other"), F.col("__o").alias("__p"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    pairs = _near(c, other, d).join(own.select("cand_id", "__o"), "cand_id").where(F.col("__p") < F.col("__o")).select("cand_id", "other")
+    pairs, undecided, parts, rounds = materialize(pairs), c, [], 0
+    kind = dict(c.dtypes)["cand_id"]
     while not undecided.isEmpty():
         rounds += 1
         near = pairs.groupBy("cand_id").agg(F.collect_list("other").alias("near"))  # neighbours within d
@@ -209,8 +300,7 @@ def spaced_sample(cand: DataFrame, d: float = 800, priority: str = "cand_id", n:
         live = undecided.select("cand_id")
         pairs = materialize(pairs.join(live, "cand_id", "left_semi").join(live.withColumnRenamed("cand_id", "other"), "other", "left_semi"))
     logging.getLogger("standmap").info("spaced_sample: %d rounds", rounds)
-    kept = cand.join(reduce(DataFrame.unionByName, parts) if parts else cand.select("cand_id"), "cand_id", "left_semi")
-    return kept.orderBy(priority, "cand_id").limit(n) if n is not None else kept
+    return materialize(c.join(reduce(DataFrame.unionByName, parts), "cand_id", "left_semi").select("cand_id", "cx", "cy")) if parts else c.select("cand_id", "cx", "cy")
 
 
 def confirmed_negatives(

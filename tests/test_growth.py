@@ -55,3 +55,28 @@ def test_squares_of_a_raster_give_what_the_whole_gives(block, spark):
     at = lambda i, n: -1 - i if i < 0 else 2 * n - 1 - i if i >= n else i
     v = {(r.y, r.x): r.v for r in px.collect()}
     assert out == {(y, x): sum(v[at(y + i, 13), at(x + j, 11)] for i in range(-2, 3) for j in range(-2, 3)) for y in range(13) for x in range(11)}
+
+
+def test_struck_points_make_no_pairs(spark):
+    from standmap.operators import spatial
+
+    cand = spark.range(4000).selectExpr("id as cand_id", "id % 60 * 1.0d as cx", "id div 60 * 1.0d as cy")
+    found = plan(spatial.min_spacing_to(cand, cand.selectExpr("cx as x", "cy as y"), 800))
+    assert "Join [gx" not in found and spatial.min_spacing_to(cand, cand.selectExpr("cx as x", "cy as y"), 800).count() == 0
+
+
+@pytest.mark.parametrize("first", [1, 7, 4096])
+def test_thinning_in_parts_is_thinning_in_order(first, spark, monkeypatch):
+    from standmap.operators import spatial
+
+    given = []
+    near = spatial._near
+    monkeypatch.setattr(spatial, "_near", lambda a, b, d: given.append(a.count()) or near(a, b, d))
+    rows = [(i, float(i * 7919 % 401), float(i * 104729 % 397)) for i in range(600)]
+    want = []
+    for i, x, y in rows:
+        if all((x - a) ** 2 + (y - b) ** 2 >= 1600 for _, a, b in want):
+            want.append((i, x, y))
+    out = spatial.spaced_sample(spark.createDataFrame(rows, "cand_id long, cx double, cy double"), 40, first=first)
+    assert sorted(map(tuple, out.collect())) == want
+    assert first == 4096 or max(given) <= 600 * 7 // 8
