@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from standmap.sources.store import materialize, quantiles, row_numbers
+from standmap.operators.blocks import new_groups, whole
+from standmap.sources.store import dealt, materialize, quantiles, row_numbers
 
 
 def _edges(vert: DataFrame, keys: list[str]) -> DataFrame:
@@ -314,64 +315,119 @@ def confirmed_negatives(
     return out.withColumns({**box, "role": F.lit("negative"), "window_m": F.lit(float(window_m))})
 
 
-def shared_area(vert: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, shared): the exact area that the two simple polygons ``part`` a and b of vertices (keys, part, k, x, y) share.
+#: Vertices whose pairs go through numpy together, and pieces of edges that are held against each other at a time.
+VERTICES, PIECES = 1 << 15, 1 << 20
+
+
+def _columns(pair: np.ndarray, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, turn: np.ndarray, x0: np.ndarray, wide: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges cut at the borders of their pair's ``n`` columns: (column, pair, x, y, slope, sign, lo, hi), upright ones left out."""
+    use = (x < nx) | (x > nx)
+    pair, x, y, nx, ny, turn = (v[use] for v in (pair, x, y, nx, ny, turn))
+    lo, hi = np.minimum(x, nx), np.maximum(x, nx)
+    at = lambda v: np.clip(np.floor((v - x0[pair]) / wide[pair] * n[pair]).astype(np.int64), 0, n[pair] - 1)
+    first = at(lo)
+    times = at(hi) - first + 1
+    of = np.repeat(np.arange(len(x)), times)
+    p = pair[of]
+    i = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + first[of]
+    cut = lambda i: x0[p] + i * wide[p] / n[p]
+    lo, hi = np.maximum(lo[of], cut(i)), np.where(i == n[p] - 1, hi[of], np.minimum(hi[of], cut(i + 1)))
+    slope, sign = (ny - y) / (nx - x), turn * np.sign(x - nx)
+    return (np.cumsum(n) - n)[p] + i, p, x[of], y[of], slope[of], sign[of], lo, hi
+
+
+def shared_area(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], pairs: int) -> np.ndarray:
+    """The exact areas that pairs of simple polygons share, of their edges (pair, x, y, nx, ny, turn), all of a pair's coordinates known.
 
     A polygon is the signed sum of the trapezoids below its edges, and two trapezoids share what lies below the lower
-    edge over their common span. Edges meet within columns of the pair's width, as many as it has vertices, so that
-    an edge meets those above and below it and not all others.
+    edge over their common span. Edges meet within columns of the pair's width, one for eight vertices, so that an edge
+    meets those above and below it and not all others.
     """
-    w, one = Window.partitionBy(*keys), Window.partitionBy(*keys, "part")
-    e = _edges(vert, [*keys, "part"]).withColumns({"x0": F.min("x").over(w), "wide": F.max("x").over(w) - F.min("x").over(w), "base": F.min("y").over(w), "n": F.count(F.lit(1)).over(w)})
-    e = e.withColumn("turn", F.signum(F.sum((F.col("x") - F.col("nx")) * (F.col("y") - F.col("base") + F.col("ny") - F.col("base"))).over(one)))
-    e = e.withColumns({"lo": F.least("x", "nx"), "hi": F.greatest("x", "nx")}).where("lo < hi")
-    at = lambda v: F.least(F.floor((v - F.col("x0")) / F.col("wide") * F.col("n")), F.col("n") - 1)
-    e = e.withColumn("column", F.explode(F.sequence(at(F.col("lo")), at(F.col("hi")))))
-    e = e.withColumns({"sign": F.col("turn") * F.signum(F.col("x") - F.col("nx")), "slope": (F.col("ny") - F.col("y")) / (F.col("nx") - F.col("x")), "y": F.col("y") - F.col("base")})
-    cut = lambda i: F.col("x0") + i * F.col("wide") / F.col("n")
-    e = e.withColumns({"lo": F.greatest("lo", cut(F.col("column"))), "hi": F.when(F.col("column") == F.col("n") - 1, F.col("hi")).otherwise(F.least("hi", cut(F.col("column") + 1)))})
-    e = e.select(*keys, "part", "column", "x", "y", "slope", "sign", "lo", "hi")
-    other = e.where("part = 'b'").select(*keys, "column", *(F.col(c).alias(f"o_{c}") for c in ("x", "y", "slope", "sign", "lo", "hi")))
-    m = e.where("part = 'a'").join(other, [*keys, "column"]).withColumns({"u": F.greatest("lo", "o_lo"), "v": F.least("hi", "o_hi")}).where("u < v")
-    line = lambda p, v: F.col(f"{p}y") + (F.col(v) - F.col(f"{p}x")) * F.col(f"{p}slope")
-    m = m.withColumns({"au": line("", "u"), "av": line("", "v"), "bu": line("o_", "u"), "bv": line("o_", "v")})
-    du, dv = F.col("au") - F.col("bu"), F.col("av") - F.col("bv")
-    t = F.when(du * dv < 0, du / (du - dv)).otherwise(1.0)  # where the lines cross, as a share of the span
-    mid = F.least(F.col("au") + t * (F.col("av") - F.col("au")), F.col("bu") + t * (F.col("bv") - F.col("bu")))
-    below = (F.col("v") - F.col("u")) / 2 * (t * (F.least("au", "bu") + mid) + (1 - t) * (mid + F.least("av", "bv")))
-    return m.groupBy(*keys).agg(F.sum(F.col("sign") * F.col("o_sign") * below).alias("shared"))
+    x0, base, x1, out = np.full(pairs, np.inf), np.full(pairs, np.inf), np.full(pairs, -np.inf), np.zeros(pairs)
+    for pair, x, y, *_ in (a, b):
+        np.minimum.at(x0, pair, x)
+        np.minimum.at(base, pair, y)
+        np.maximum.at(x1, pair, x)
+    n = np.maximum(1, (np.bincount(a[0], minlength=pairs) + np.bincount(b[0], minlength=pairs)) // 8)
+    ca, cb = (_columns(p, x, y - base[p], nx, ny - base[p], turn, x0, x1 - x0, n) for p, x, y, nx, ny, turn in (a, b))
+    order = np.argsort(cb[0], kind="stable")
+    cb = tuple(v[order] for v in cb)
+    begin = np.searchsorted(cb[0], ca[0], "left")
+    times = np.searchsorted(cb[0], ca[0], "right") - begin
+    ends, at = np.cumsum(times), 0
+    while at < len(times):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + PIECES, "right")))
+        i = np.repeat(np.arange(at, to), times[at:to])
+        j = np.arange(len(i)) - np.repeat(ends[at:to] - times[at:to] - done, times[at:to]) + begin[i]
+        at = to
+        u, v = np.maximum(ca[6][i], cb[6][j]), np.minimum(ca[7][i], cb[7][j])
+        meet = u < v
+        i, j, u, v = i[meet], j[meet], u[meet], v[meet]
+        line = lambda e, k, w: e[3][k] + (w - e[2][k]) * e[4][k]
+        au, av, bu, bv = line(ca, i, u), line(ca, i, v), line(cb, j, u), line(cb, j, v)
+        du, dv = au - bu, av - bv
+        t = np.divide(du, du - dv, out=np.ones_like(du), where=du * dv < 0)  # where the lines cross, as a share of the span
+        mid = np.minimum(au + t * (av - au), bu + t * (bv - bu))
+        below = (v - u) / 2 * (t * (np.minimum(au, bu) + mid) + (1 - t) * (mid + np.minimum(av, bv)))
+        out += np.bincount(ca[1][i], ca[5][i] * cb[5][j] * below, pairs)
+    return out
+
+
+def _overlaps(table: pa.Table, id_: str) -> pa.Table:
+    """The rows of :func:`polygon_overlap` of whole pairs (id, part, k, x, y), sorted."""
+    first = np.flatnonzero(new_groups(table, [id_, "part"]))
+    x, y = (table.column(c).to_numpy().astype(float) for c in ("x", "y"))
+    size = np.diff(first, append=len(x))
+    ring, after = np.repeat(np.arange(len(first)), size), np.arange(len(x)) + 1
+    after[first + size - 1] = first
+    # centroids relative to the first vertex, so that large coordinates lose no digits
+    ax, ay = x - x[first][ring], y - y[first][ring]
+    bx, by = ax[after], ay[after]
+    cross = ax * by - bx * ay
+    known = ~np.isnan(cross)
+    s, sx, sy = (np.add.reduceat(np.where(known, v, 0.0), first) for v in (cross, (ax + bx) * cross, (ay + by) * cross))
+    second = table.column("part").to_numpy(zero_copy_only=False)[first]
+    same = ~new_groups(table, [id_])[first[1:]]
+    a = np.flatnonzero(same & ~second[:-1] & second[1:] & (s[:-1] != 0) & (s[1:] != 0))
+    b, area = a + 1, np.abs(s) / 2
+    mx, my = (v[first] + np.divide(w, 3 * s, out=np.zeros_like(s), where=s != 0) for v, w in ((x, sx), (y, sy)))
+    pair = np.full(len(first), -1)
+    pair[a] = pair[b] = np.arange(len(a))
+    rows = [np.flatnonzero(known & np.isin(ring, rings)) for rings in (a, b)]
+    own = [pair[ring[r]] for r in rows]
+    # all three relative to a's centroid
+    moved = {"raw": (mx[a], my[a], np.ones(len(a))), "shift": (mx[b], my[b], np.ones(len(a))), "scaled": (mx[b], my[b], np.sqrt(area[a] / area[b]))}
+    shared = {}
+    for how, (ux, uy, f) in moved.items():
+        sides = []
+        for r, p, (cx, cy, g) in zip(rows, own, ((mx[a], my[a], np.ones(len(a))), (ux, uy, f)), strict=True):
+            sides.append((p, (x[r] - cx[p]) * g[p], (y[r] - cy[p]) * g[p], (x[after[r]] - cx[p]) * g[p], (y[after[r]] - cy[p]) * g[p], np.sign(s[ring[r]])))
+        shared[how] = shared_area(*sides, len(a))
+    iou = [shared[h] / (area[a] + area[o] - shared[h]) for h, o in (("raw", b), ("shift", b), ("scaled", a))]
+    dx, dy = mx[a] - mx[b], my[a] - my[b]
+    out = [*iou, np.sqrt(dx * dx + dy * dy), area[b] / area[a]]
+    return pa.Table.from_arrays([table.column(id_).take(pa.array(first[a])), *map(pa.array, out)], [id_, *FIGURES])
+
+
+FIGURES = ("iou_raw", "iou_shift", "iou_scaled", "shift_m", "area_ratio")
 
 
 def polygon_overlap(vert_a: DataFrame, vert_b: DataFrame, id_: str = "poly_id") -> DataFrame:
     """(id, iou_raw, iou_shift, iou_scaled, shift_m, area_ratio) of pairs of simple polygons, exact but for rounding.
 
     Shifted: b's centroid moved onto a's; scaled: and b resized to a's area. The ratio is b's area to a's. Polygons may
-    turn either way; pairs that only one side has, or of which one has no area, have no row.
+    turn either way; pairs that only one side has, that have no id, or of which one has no area, have no row. Vertices
+    are shuffled once, by pair, and many pairs go through numpy together.
     """
-    both = vert_a.select(id_, F.lit("a").alias("part"), "k", "x", "y").unionByName(vert_b.select(id_, F.lit("b").alias("part"), "k", "x", "y"))
-    e = _edges(both, [id_, "part"])
-    # centroids relative to the first vertex, so that large coordinates lose no digits
-    e = e.withColumns({"x0": F.first("x").over(Window.partitionBy(id_, "part").orderBy("k")), "y0": F.first("y").over(Window.partitionBy(id_, "part").orderBy("k"))})
-    ax, ay, bx, by = F.col("x") - F.col("x0"), F.col("y") - F.col("y0"), F.col("nx") - F.col("x0"), F.col("ny") - F.col("y0")
-    cross = ax * by - bx * ay
-    m = e.groupBy(id_, "part").agg(F.sum(cross).alias("s"), F.sum((ax + bx) * cross).alias("sx"), F.sum((ay + by) * cross).alias("sy"), F.min("x0").alias("x0"), F.min("y0").alias("y0"))
-    m = m.where("s <> 0").select(id_, "part", (F.abs("s") / 2).alias("area"), (F.col("x0") + F.col("sx") / (3 * F.col("s"))).alias("mx"), (F.col("y0") + F.col("sy") / (3 * F.col("s"))).alias("my"))
-    m = m.groupBy(id_).agg(*(F.max(F.when(F.col("part") == p, F.col(c))).alias(f"{c}_{p}") for p in "ab" for c in ("area", "mx", "my"))).where("area_a is not null and area_b is not null")
-    s = F.sqrt(F.col("area_a") / F.col("area_b"))
-    # all three relative to a's centroid
-    moved = {
-        "raw": (F.col("x") - F.col("mx_a"), F.col("y") - F.col("my_a")),
-        "shift": (F.col("x") - F.col("mx_b"), F.col("y") - F.col("my_b")),
-        "scaled": ((F.col("x") - F.col("mx_b")) * s, (F.col("y") - F.col("my_b")) * s),
-    }
-    of = lambda a, b: F.when(F.col("part") == "a", a).otherwise(b)
-    rows = F.array(*(F.struct(F.lit(n).alias("how"), of(moved["raw"][0], x).alias("x"), of(moved["raw"][1], y).alias("y")) for n, (x, y) in moved.items()))
-    v = both.join(m, id_).select(id_, "part", "k", F.explode(rows).alias("r")).select(id_, "part", "k", "r.*")
-    c = shared_area(v, [id_, "how"]).groupBy(id_).agg(*(F.max(F.when(F.col("how") == h, F.col("shared"))).alias(h) for h in moved))
-    iou = lambda h, b: (F.coalesce(h, F.lit(0.0)) / (F.col("area_a") + b - F.coalesce(h, F.lit(0.0)))).alias(f"iou_{h}")
-    dx, dy = F.col("mx_a") - F.col("mx_b"), F.col("my_a") - F.col("my_b")
-    out = m.join(c, id_, "left")
-    return out.select(id_, iou("raw", F.col("area_b")), iou("shift", F.col("area_b")), iou("scaled", F.col("area_a")), F.sqrt(dx * dx + dy * dy).alias("shift_m"), (F.col("area_b") / F.col("area_a")).alias("area_ratio"))
+    side = lambda v, second: v.where(F.col(id_).isNotNull()).select(id_, F.lit(second).alias("part"), "k", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    both = dealt(side(vert_a, False).unionByName(side(vert_b, True)), id_).sortWithinPartitions(id_, "part", "k")
+
+    def each(batches):
+        for table in whole(batches, [id_], VERTICES):
+            yield from _overlaps(table, id_).to_batches()
+
+    return both.mapInArrow(each, f"{id_} {dict(both.dtypes)[id_]}, " + ", ".join(f"{c} double" for c in FIGURES))
 
 
 def overlap_medians(pairs: DataFrame) -> DataFrame:

@@ -80,3 +80,33 @@ def test_thinning_in_parts_is_thinning_in_order(first, spark, monkeypatch):
     out = spatial.spaced_sample(spark.createDataFrame(rows, "cand_id long, cx double, cy double"), 40, first=first)
     assert sorted(map(tuple, out.collect())) == want
     assert first == 4096 or max(given) <= 600 * 7 // 8
+
+
+def test_pairs_of_polygons_are_shuffled_once(spark):
+    from standmap.operators import spatial
+
+    v = spark.range(80).selectExpr("id div 8 as poly_id", "id % 8 as k", "cos(id % 8 * pi() / 4) as x", "sin(id % 8 * pi() / 4) as y")
+    assert plan(spatial.polygon_overlap(v, v.selectExpr("poly_id", "k", "x + 0.5 as x", "y"))).count("Exchange") == 1
+
+
+@pytest.mark.parametrize("pieces", [1, 7, 1 << 20])
+def test_overlaps_of_many_cornered_pairs(pieces, spark, monkeypatch):
+    """Combs of 40 teeth, one of them turned the other way, against their areas; a pair without an id, or with one side, has no row."""
+    import numpy as np
+    import pyarrow as pa
+
+    from standmap.operators import spatial
+
+    monkeypatch.setattr(spatial, "PIECES", pieces)
+    teeth = [(x, y) for i in range(40) for x, y in ((i, 0), (i, 1 + i % 3), (i + 0.5, 1 + i % 3), (i + 0.5, 0))] + [(40, 0), (40, -1), (0, -1)]
+    area = 40 + sum(0.5 * (1 + i % 3) for i in range(40))
+    rows = [(1, part, k, x, y + d) for part, d, ps in ((False, 0.0, teeth), (True, 0.5, teeth[::-1])) for k, (x, y) in enumerate(ps)]
+    rows += [(2, False, k, x, y) for k, (x, y) in enumerate(teeth)]
+    table = pa.table({c: [r[i] for r in rows] for i, c in enumerate(("poly_id", "part", "k", "x", "y"))})
+    (got,) = spatial._overlaps(table, "poly_id").to_pylist()
+    # moved up by 0.5: the back shares half its height, each tooth its height less 0.5, and a tooth's foot half of the back's rest
+    shared = 20 + sum(0.5 * (0.5 + i % 3) for i in range(40)) + 40 * 0.5 * 0.5
+    assert got["poly_id"] == 1 and np.isclose(got["iou_raw"], shared / (2 * area - shared)) and np.isclose(got["iou_shift"], 1) and np.isclose(got["iou_scaled"], 1)
+    assert np.isclose(got["shift_m"], 0.5) and np.isclose(got["area_ratio"], 1)
+    v = spark.createDataFrame([(None if i == 1 else i, k, float(x), float(y)) for i in (1, 2) for k, (x, y) in enumerate(teeth)], "poly_id long, k long, x double, y double")
+    assert [r.poly_id for r in spatial.polygon_overlap(v, v).collect()] == [2]
