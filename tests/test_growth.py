@@ -110,3 +110,54 @@ def test_overlaps_of_many_cornered_pairs(pieces, spark, monkeypatch):
     assert np.isclose(got["shift_m"], 0.5) and np.isclose(got["area_ratio"], 1)
     v = spark.createDataFrame([(None if i == 1 else i, k, float(x), float(y)) for i in (1, 2) for k, (x, y) in enumerate(teeth)], "poly_id long, k long, x double, y double")
     assert [r.poly_id for r in spatial.polygon_overlap(v, v).collect()] == [2]
+
+
+@pytest.mark.parametrize("rows", [1, 3, 100])
+def test_rasters_come_whole_whatever_the_frames(rows):
+    import pandas as pd
+
+    from standmap.operators.blocks import whole_rasters
+
+    ids = [1] * 4 + [2] + [3] * 7 + [None] * 2 + [5]
+    all_ = pd.DataFrame({"tile_id": pd.array(ids, dtype="object"), "x": range(len(ids))})
+    found = [t for ts in whole_rasters(iter([all_.iloc[i : i + rows] for i in range(0, len(ids), rows)])) for t in ts]
+    assert [t["x"].tolist() for t in found] == [[0, 1, 2, 3], [4], list(range(5, 12)), [12, 13], [14]]
+
+
+@pytest.mark.parametrize("name", ["score_tiles", "alignment_search"])
+def test_tiles_have_no_group_of_their_own(name, spark):
+    found = plan(QUERIES[name](spark, SF))
+    assert "FlatMapGroups" not in found and "REPARTITION_BY_COL" not in found
+
+
+def test_views_are_not_sorted(spark):
+    found = plan(QUERIES["tta_average"](spark, SF))
+    assert "Window" not in found and "SortMergeJoin" not in found and "REPARTITION_BY_COL" not in found
+
+
+def test_both_distances_of_the_prior_go_together(spark):
+    assert plan(QUERIES["soft_prior"](spark, SF)).count("MapInArrow") == 2
+
+
+def test_parts_grow_with_tiles(spark, monkeypatch):
+    """A task's pixels stay as many however many tiles there are, and neighbourhoods still need no shuffle."""
+    from standmap.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "TILES", 10)
+    n = -(-spark.read.parquet(f"{SF}/part.parquet").count() // 10)
+    try:
+        assert fixtures.Views(spark, SF).pixels.rdd.getNumPartitions() == n > 4
+        assert "REPARTITION_BY_COL" not in plan(QUERIES["box_stats"](spark, SF)) and f", {n})" in plan(QUERIES["box_stats"](spark, SF))
+    finally:
+        spark.conf.unset("standmap.parts")
+
+
+@pytest.mark.parametrize("name", ["crop_labels", "crop_summary", "crop_pixels"])
+def test_tiles_are_dealt_out_before_they_are_spread_into_crops(name, spark):
+    lines = plan(QUERIES[name](spark, SF)).splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    crops = [i for i, line in enumerate(lines) if "Generate posexplode" in line]
+    assert crops
+    for i in crops:  # between crops and the file they come from lies an exchange by tile
+        below = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(lines[i])), len(lines))
+        assert any("hashpartitioning(tile_id" in line for line in lines[i:below])
