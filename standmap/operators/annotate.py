@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,14 +22,28 @@ def label_taxonomy(label: Column | str) -> Column:
 
 
 def shape_to_polygon(shape_type: Column, points: Column, circle_n: int = 48) -> Column:
-    """Ring of a shape: a polygon of three points or more, a rectangle's corners, a circle as a 48-gon; else null."""
-    p = lambda i, j: F.get(F.get(points, F.lit(i)), F.lit(j))
-    radius = F.sqrt((p(1, 0) - p(0, 0)) * (p(1, 0) - p(0, 0)) + (p(1, 1) - p(0, 1)) * (p(1, 1) - p(0, 1)))
-    turn = lambda k: F.lit(2 * math.pi) * k / circle_n
-    circle = F.transform(F.sequence(F.lit(0), F.lit(circle_n - 1)), lambda k: F.array(p(0, 0) + radius * F.cos(turn(k)), p(0, 1) + radius * F.sin(turn(k))))
-    corners = F.array(F.array(p(0, 0), p(0, 1)), F.array(p(1, 0), p(0, 1)), F.array(p(1, 0), p(1, 1)), F.array(p(0, 0), p(1, 1)))
-    n = F.size(points)
-    return F.when((shape_type == "polygon") & (n >= 3), points).when((shape_type == "rectangle") & (n == 2), corners).when((shape_type == "circle") & (n == 2), circle)
+    """Ring of a shape: a polygon of three points or more, a rectangle's corners, a circle as a 48-gon; else null.
+
+    ``points`` is bound once, so that what it is parsed from isn't parsed again for each number of a ring.
+    """
+
+    def ring(points: Column) -> Column:
+        p = lambda i, j: F.get(F.get(points, F.lit(i)), F.lit(j))
+        radius = F.sqrt((p(1, 0) - p(0, 0)) * (p(1, 0) - p(0, 0)) + (p(1, 1) - p(0, 1)) * (p(1, 1) - p(0, 1)))
+        turns = [F.lit(2 * math.pi) * k / circle_n for k in range(circle_n)]
+        units = F.array(*(F.struct(F.cos(t).alias("c"), F.sin(t).alias("s")) for t in turns))
+        size = F.struct(p(0, 0).alias("x"), p(0, 1).alias("y"), radius.alias("r"))
+        circle = _bound(size, lambda o: F.transform(units, lambda u: F.array(o["x"] + o["r"] * u["c"], o["y"] + o["r"] * u["s"])))
+        corners = F.array(F.array(p(0, 0), p(0, 1)), F.array(p(1, 0), p(0, 1)), F.array(p(1, 0), p(1, 1)), F.array(p(0, 0), p(1, 1)))
+        n = F.size(points)
+        return F.when((shape_type == "polygon") & (n >= 3), points).when((shape_type == "rectangle") & (n == 2), corners).when((shape_type == "circle") & (n == 2), circle)
+
+    return _bound(points, ring)
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is computed once, however often ``f`` reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def annotation_precedence(docs: DataFrame, source: str, order: Sequence[str], id_: str = "ann_id") -> DataFrame:

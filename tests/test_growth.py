@@ -161,3 +161,33 @@ def test_tiles_are_dealt_out_before_they_are_spread_into_crops(name, spark):
     for i in crops:  # between crops and the file they come from lies an exchange by tile
         below = next((j for j in range(i + 1, len(lines)) if depth(lines[j]) <= depth(lines[i])), len(lines))
         assert any("hashpartitioning(tile_id" in line for line in lines[i:below])
+
+
+def test_shapes_are_parsed_once_and_fill_without_windows(spark):
+    """The JSON of a shape isn't parsed again for each number of its ring, crossings are neither shuffled nor sorted."""
+    found = plan(QUERIES["shapes_to_masks"](spark, SF))
+    assert 1 <= found.count("from_json") <= 2 and "Window" not in found and "Sort " not in found
+    assert "Window" not in plan(QUERIES["rasterize"](spark, SF))
+
+
+@pytest.mark.parametrize("together", [1, 40, 1 << 20])
+def test_fills_in_parts_are_parity_at_centres(together, spark, monkeypatch):
+    """Rings within rings, rings beyond the raster, vertices on centres, unknown vertices and ids, however many polygons go together."""
+    import numpy as np
+
+    monkeypatch.setattr(raster, "CROSSINGS", together)
+    draw = np.random.default_rng(7)
+    rings = {(None if t == 3 else t, ring): [(float(x), float(y)) for x, y in draw.integers(-6, 40, (n, 2)) / 2] for t in range(6) for ring, n in ((0, 5 + t), (1, 4))}
+    rows = [(t, ring, k, x, y) for (t, ring), ps in rings.items() for k, (x, y) in enumerate(ps)] + [(9, 0, k, None, float(k)) for k in range(4)]
+    draw.shuffle(rows)
+    v = spark.createDataFrame([(None if t is None else int(t), int(r), int(k), None if x is None else float(x), float(y)) for t, r, k, x, y in rows], "tile_id long, ring int, k int, x double, y double")
+
+    def inside(t, y, x):  # the crossings to the left of a centre, those on it included
+        n = 0
+        for (of, _), ps in rings.items():
+            if of == t:
+                n += sum((ay <= y + 0.5) != (by <= y + 0.5) and ax + (y + 0.5 - ay) * (bx - ax) / (by - ay) <= x + 0.5 for (ax, ay), (bx, by) in zip(ps, ps[1:] + ps[:1], strict=True))
+        return n % 2 == 1
+
+    got = [tuple(r) for r in raster.rasterize(v.repartition(3), 13, 11).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(t, y, x) for t in (0, 1, 2, None, 4, 5) for y in range(13) for x in range(11) if inside(t, y, x)}
