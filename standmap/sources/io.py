@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from standmap.sources.store import materialize, row_numbers
+from standmap.operators.blocks import STRIP, new_groups, whole
+from standmap.sources.store import dealt, materialize, row_numbers
 
 INDEX = "tile_id string, role string, window_m double, region_id bigint, dca string, lat double, lon double, source_id bigint"
 SHAPE = "struct<label:string,shape_type:string,points:array<array<double>>>"
@@ -167,62 +169,117 @@ def write_raster_layers(px: DataFrame, root: str, layers: Sequence[str] = tuple(
     """Write PNG files ``root/{layer}/{tile_id}.png`` and return (tile_id, layer, bytes) of those written.
 
     Pixels that a tile lacks are 0, a band that is null all over a tile has no file. A file is one tile's layer, so a
-    group is one raster. ``root`` is a folder that all executors reach: a shared path, or a URI of a store that Arrow
-    knows. Files are written under another name and moved, so that a repeated task leaves whole files.
+    task holds whole rasters, many small ones together. ``root`` is a folder that all executors reach: a shared path, or
+    a URI of a store that Arrow knows. Files are written under another name and moved, so that a repeated task leaves whole files.
     """
     kind = dict(px.dtypes)["tile_id"]
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = (pa_fs.LocalFileSystem(), root) if root.startswith("/") else pa_fs.FileSystem.from_uri(root)
-        tile, shape, made = pdf["tile_id"].iloc[0], (int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1), []
-        for layer in layers:
-            bands = LAYERS[layer]
-            if pdf[list(bands)].isna().all(axis=None):
-                continue
-            out = np.zeros((*shape, len(bands)), np.uint8)
-            for i, c in enumerate(bands):
-                v = pdf[c].fillna(0).to_numpy()
-                out[pdf["y"], pdf["x"], i] = v.astype(bool) * 255 if layer in FLAGS else v.astype(np.uint8)
-            data, name = _png(out), f"{top}/{layer}/{tile}.png"
-            part = f"{top}/{layer}/.{uuid.uuid4().hex}"
-            with store.open_output_stream(part) as f:
-                f.write(data)
-            store.move(part, name)
-            made.append((tile, layer, len(data)))
-        return pd.DataFrame(made, columns=["tile_id", "layer", "bytes"])
+        for table in whole(batches, ["tile_id"]):
+            first = np.flatnonzero(new_groups(table, ["tile_id"]))
+            tiles, y, x = table.column("tile_id").take(pa.array(first)), table.column("y").to_numpy(), table.column("x").to_numpy()
+            known = {c: ~pc.is_null(table.column(c), nan_is_null=True).to_numpy() for n in layers for c in LAYERS[n]}
+            value = {c: np.where(k, pc.fill_null(table.column(c), False if pa.types.is_boolean(table.column(c).type) else 0).to_numpy(), 0) for c, k in known.items()}
+            made = []
+            for tile, lo, hi in zip(tiles.to_pylist(), first, np.append(first[1:], table.num_rows), strict=True):
+                ty, tx = y[lo:hi], x[lo:hi]
+                for layer in layers:
+                    bands = LAYERS[layer]
+                    if not any(known[c][lo:hi].any() for c in bands):
+                        continue
+                    out = np.zeros((int(ty.max()) + 1, int(tx.max()) + 1, len(bands)), np.uint8)
+                    for i, c in enumerate(bands):
+                        v = value[c][lo:hi]
+                        out[ty, tx, i] = v.astype(bool) * 255 if layer in FLAGS else v.astype(np.uint8)
+                    data, name = _png(out), f"{top}/{layer}/{tile}.png"
+                    part = f"{top}/{layer}/.{uuid.uuid4().hex}"
+                    with store.open_output_stream(part) as f:
+                        f.write(data)
+                    store.move(part, name)
+                    made.append((tile, layer, len(data)))
+            ids = pa.array([m[0] for m in made], tiles.type)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.int64())], ["tile_id", "layer", "bytes"])
 
     here, top = (pa_fs.LocalFileSystem(), root) if root.startswith("/") else pa_fs.FileSystem.from_uri(root)
     for layer in layers:
         here.create_dir(f"{top}/{layer}", recursive=True)
     columns = ["tile_id", "y", "x", *(c for n in layers for c in LAYERS[n])]
-    return materialize(px.select(*columns).groupBy("tile_id").applyInPandas(write, f"tile_id {kind}, layer string, bytes long"), "written")
+    return materialize(dealt(px.select(*columns), "tile_id").sortWithinPartitions("tile_id").mapInArrow(write, f"tile_id {kind}, layer string, bytes long"), "written")
 
 
 def read_raster_layers(spark: SparkSession, root: str, layers: Sequence[str] = ("images", "masks", "priors", "ignore", "nir")) -> DataFrame:
     """Pixels (tile_id, y, x, r, g, b, gt, prior, ign, nir) of PNG layers below ``root``; the tile id is the file's stem.
 
-    An absent layer is false (nir: null). Spark's image source gives rows of bytes in blue, green, red order.
+    An absent layer is false (nir: null). Spark's image source gives rows of bytes in blue, green, red order. Lines of a
+    tile's layers meet as bytes, some at a time, and are spread into pixels there, so that no pixels are joined.
     """
-    out = None
-    for layer in layers:
+    strips = None
+    for i, layer in enumerate(layers):
         raw = spark.read.format("image").option("dropInvalid", True).load(f"{root}/{layer}").select("image.*")
-        names = list(LAYERS[layer])
-        kind = "boolean" if layer in FLAGS else "int"
         stem = F.url_decode(F.replace(F.regexp_extract("origin", r"([^/]+)\.\w+$", 1), F.lit("+"), F.lit("%2B")))  # the origin is a URI
-        files = raw.select(stem.alias("tile_id"), "height", "width", "nChannels", "data")
-        one = files.mapInArrow(lambda batches, names=names, layer=layer: _pixels(batches, names, layer in FLAGS), f"tile_id string, y int, x int, {', '.join(f'{n} {kind}' for n in names)}")
-        out = one if out is None else out.join(one, ["tile_id", "y", "x"], "left")
+        size = F.col("width") * F.col("nChannels")
+        cut = raw.where("height > 0 and width > 0").select(stem.alias("tile_id"), "width", "nChannels", "data", size.alias("__s"), F.explode(F.sequence(F.lit(0), F.col("height") - 1, F.lit(STRIP))).alias("y"))
+        one = cut.select("tile_id", "y", F.lit(i).alias("layer"), "width", "nChannels", F.expr(f"substring(data, y * __s + 1, {STRIP} * __s)").alias("data"))
+        strips = one if strips is None else strips.unionByName(one)
+    kinds = ", ".join(f"{c} {'boolean' if n in FLAGS else 'int'}" for n in layers for c in LAYERS[n])
+    rows = dealt(strips, "tile_id", "y").sortWithinPartitions("tile_id", "y", "layer")
+    out = rows.mapInArrow(lambda batches: _pixels(batches, layers), f"tile_id string, y int, x int, {kinds}")
     return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("gt", "prior", "ign") if c in out.columns})
 
 
-def _pixels(batches, names: list[str], flag: bool) -> Iterator[pa.RecordBatch]:
-    """One row for each pixel of images (tile id, height, width, channels, bytes); a flag is a first channel above 128."""
+def _pixels(batches: Iterator[pa.RecordBatch], layers: Sequence[str], together: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """One row for each pixel of the first layer, with the others' values there, of sorted strips (tile id, first line, layer, width, channels, bytes); a flag is a first channel above 128."""
+    names = [c for n in layers for c in LAYERS[n]]
+    held: list[tuple[str, int, list[np.ndarray | None]]] = []
+
+    def spread() -> pa.RecordBatch:
+        shapes = [found[0].shape for _, _, found in held]
+        sizes = [h * w for h, w, _ in shapes]
+        ids = pa.array([tile for tile, _, _ in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), sizes)))
+        columns = [ids, pa.array(np.concatenate([np.repeat(np.arange(y, y + h, dtype=np.int32), w) for (_, y, _), (h, w, _) in zip(held, shapes, strict=True)])), pa.array(np.concatenate([np.tile(np.arange(w, dtype=np.int32), h) for h, w, _ in shapes]))]
+        for i, layer in enumerate(layers):
+            bands, lack = len(LAYERS[layer]), np.zeros(sum(sizes), bool)
+            out = np.zeros((len(lack), 3 if bands == 3 else 1), np.uint8)
+            lo = 0
+            for (_, _, found), (h, w, _), n in zip(held, shapes, sizes, strict=True):
+                v = found[i]
+                if v is None:
+                    lack[lo : lo + n] = True
+                else:
+                    v = v[..., [min(c, v.shape[2] - 1) for c in (2, 1, 0)]] if bands == 3 else v[..., :1]
+                    if v.shape[:2] == (h, w):
+                        out[lo : lo + n] = v.reshape(n, -1)
+                    else:
+                        th, tw = min(h, v.shape[0]), min(w, v.shape[1])
+                        out[lo : lo + n].reshape(h, w, -1)[:th, :tw] = v[:th, :tw]
+                        beyond = lack[lo : lo + n].reshape(h, w)
+                        beyond[th:], beyond[:, tw:] = True, True
+                lo += n
+            columns += [pa.array(out[:, c] > 128 if layer in FLAGS else out[:, c].astype(np.int32), mask=lack) for c in range(bands)]
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, ["tile_id", "y", "x", *names])
+
+    size, at, found = 0, None, [[] for _ in layers]
+
+    def end() -> int:
+        """Files of one name and layer are rows of their own, each with each of other layers; lines without a first layer are none."""
+        held.extend((*at, list(one)) for one in itertools.product(*(f or [None] for f in found)) if found[0])
+        return sum(f.shape[0] * f.shape[1] for f in found[0])
+
     for b in batches:
-        for tile, height, width, n, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            v = np.frombuffer(data, np.uint8).reshape(height * width, n)
-            at = np.arange(height * width, dtype=np.int32)
-            bands = [v[:, 0] > 128] if flag else [v[:, min(c, n - 1)].astype(np.int32) for c in ((2, 1, 0) if len(names) == 3 else (0,))]
-            yield pa.RecordBatch.from_arrays([pa.array([tile] * len(at), pa.string()), pa.array(at // width), pa.array(at % width), *map(pa.array, bands)], ["tile_id", "y", "x", *names])
+        for tile, y, layer, width, n, data in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            if at != (tile, y):
+                size += end() if at else 0
+                if size >= together:
+                    yield spread()
+                    size = 0
+                at, found = (tile, y), [[] for _ in layers]
+            found[layer].append(np.frombuffer(data, np.uint8).reshape(-1, width, n))
+    if at:
+        end()
+    if held:
+        yield spread()
 
 
 def tile_metrics_table(*per_tile: DataFrame) -> DataFrame:

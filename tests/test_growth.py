@@ -191,3 +191,30 @@ def test_fills_in_parts_are_parity_at_centres(together, spark, monkeypatch):
 
     got = [tuple(r) for r in raster.rasterize(v.repartition(3), 13, 11).collect()]
     assert len(got) == len(set(got)) and set(got) == {(t, y, x) for t in (0, 1, 2, None, 4, 5) for y in range(13) for x in range(11) if inside(t, y, x)}
+
+
+def test_layers_meet_as_bytes_and_no_tile_is_a_group(spark):
+    import re
+
+    found = plan(QUERIES["read_raster_layers"](spark, SF))
+    assert "Join" not in found and "Broadcast" not in found and len(re.findall("MapInArrow", found)) == 1
+
+
+@pytest.mark.parametrize("together", [1, 1 << 17])
+def test_layers_of_other_sizes_than_the_picture(together, spark, tmp_path, monkeypatch):
+    """More lines than a strip, a mask larger and a prior smaller than the picture, and layers of a tile without picture."""
+    import functools
+
+    from standmap.sources import io as layers
+
+    monkeypatch.setattr(layers, "_pixels", functools.partial(layers._pixels, together=together))
+    sizes = {"images": (130, 3), "masks": (140, 5), "priors": (70, 2), "nir": (130, 3)}
+    rows = [(1, y, x, name) for name, (h, w) in sizes.items() for y in range(h) for x in range(w)] + [(2, 0, 0, "masks"), (3, 0, 0, "images")]
+    v = "(7 * y + x) % 256"
+    px = spark.createDataFrame(rows, "tile_id long, y int, x int, name string").selectExpr("*", f"{v} as r", f"{v} as g", f"{v} as b", f"{v} as nir", "(y + x) % 3 = 0 as gt", "(y + x) % 3 = 0 as prior", "false as ign")
+    for name in sizes:
+        layers.write_raster_layers(px.where(f"name = '{name}'"), str(tmp_path), [name])
+    got = {(r.tile_id, r.y, r.x): (r.r, r.g, r.b, r.gt, r.prior, r.nir) for r in layers.read_raster_layers(spark, str(tmp_path), list(sizes)).collect()}
+    value, flag = lambda y, x: (7 * y + x) % 256, lambda y, x: (y + x) % 3 == 0
+    want = {("1", y, x): (*[value(y, x)] * 3, flag(y, x), y < 70 and x < 2 and flag(y, x), value(y, x)) for y in range(130) for x in range(3)}
+    assert got == want | {("3", 0, 0): (0, 0, 0, False, False, None)}
