@@ -218,3 +218,13 @@ def test_layers_of_other_sizes_than_the_picture(together, spark, tmp_path, monke
     value, flag = lambda y, x: (7 * y + x) % 256, lambda y, x: (y + x) % 3 == 0
     want = {("1", y, x): (*[value(y, x)] * 3, flag(y, x), y < 70 and x < 2 and flag(y, x), value(y, x)) for y in range(130) for x in range(3)}
     assert got == want | {("3", 0, 0): (0, 0, 0, False, False, None)}
+
+
+def test_a_forest_learns_in_parts_that_its_rows_alone_decide(spark):
+    """Large samples are dealt out, and how the rows came doesn't change the forest."""
+    from standmap.operators import learn
+
+    assert learn._parts(0) == learn._parts(5_000) == 1 and learn._parts(400_000) == 24 and learn._parts(100_000_000) == 100
+    px = spark.range(22_000).selectExpr("id div 100 as tile_id", "cast(id div 10 % 10 as int) as y", "cast(id % 10 as int) as x", "id * 7919 % 251 < 90 as gt", *(f"cast(id * {m} % 251 as double) as {c}" for m, c in zip((7, 31, 101, 7919, 13, 57, 83), learn.FEATURES, strict=True)))
+    score = lambda train: [r.score for r in learn.pixel_classifier(train, px.where("tile_id < 3"), trees=3, depth=4).orderBy("tile_id", "y", "x").collect()]
+    assert score(px.coalesce(1)) == score(px.orderBy("r").repartition(5))
