@@ -228,3 +228,14 @@ def test_a_forest_learns_in_parts_that_its_rows_alone_decide(spark):
     px = spark.range(22_000).selectExpr("id div 100 as tile_id", "cast(id div 10 % 10 as int) as y", "cast(id % 10 as int) as x", "id * 7919 % 251 < 90 as gt", *(f"cast(id * {m} % 251 as double) as {c}" for m, c in zip((7, 31, 101, 7919, 13, 57, 83), learn.FEATURES, strict=True)))
     score = lambda train: [r.score for r in learn.pixel_classifier(train, px.where("tile_id < 3"), trees=3, depth=4).orderBy("tile_id", "y", "x").collect()]
     assert score(px.coalesce(1)) == score(px.orderBy("r").repartition(5))
+
+
+def test_proximity_takes_one_pass_and_is_that_of_strips(spark):
+    """Rasters of two shapes, one with too little signal and one with unknown values; strips are taken if rasters are cut."""
+    rows = [(t, y, x, None if t == 3 and x == 4 else float(t != 2) * ((7 * y * y + 13 * x + t) % 97) / (600 if (y // 5 + x // 6) % 2 else 97)) for t, h, w in ((1, 20, 31), (2, 20, 31), (3, 23, 17), (4, 20, 31)) for y in range(h) for x in range(w)]
+    px = spark.createDataFrame(rows, "tile_id long, y int, x int, v double")
+    one, strips = (raster.proximity_map(px, "v", sigma=1.5, least_boundary=2, block=b) for b in (1024, 16))
+    assert plan(one).count("MapInArrow") == 1 and plan(strips).count("MapInArrow") > 1
+    got, want = ({(r.tile_id, r.y, r.x): r.proximity for r in d.collect()} for d in (one, strips))
+    assert got == pytest.approx(want) and len({v for (t, *_), v in got.items() if t == 1}) > 5 and {v for (t, *_), v in got.items() if t == 2} == {50.0}
+    assert raster.proximity_map(px.where("false"), "v").count() == 0
