@@ -239,3 +239,12 @@ def test_proximity_takes_one_pass_and_is_that_of_strips(spark):
     got, want = ({(r.tile_id, r.y, r.x): r.proximity for r in d.collect()} for d in (one, strips))
     assert got == pytest.approx(want) and len({v for (t, *_), v in got.items() if t == 1}) > 5 and {v for (t, *_), v in got.items() if t == 2} == {50.0}
     assert raster.proximity_map(px.where("false"), "v").count() == 0
+
+
+def test_weak_labels_take_one_pass_and_are_those_of_squares(spark):
+    rows = [(t, y, x, None if t == 3 and x == 4 else (7 * y * y + 13 * x + t) % 97 / 97) for t, h, w in ((1, 20, 31), (2, 23, 17), (3, 20, 31), (4, 20, 31), (5, 23, 17)) for y in range(h) for x in range(w)]
+    px = spark.createDataFrame(rows, "tile_id long, y int, x int, v double")
+    one, squares = (raster.weak_label(px, "v", pct=70, shift=6, block=b) for b in (1024, 16))
+    assert one.columns == squares.columns and plan(one).count("MapInArrow") == 1 and plan(squares).count("MapInArrow") > 1
+    got, want = (sorted(map(tuple, d.select("tile_id", "y", "x", "weak", "corrupt").collect())) for d in (one, squares))
+    assert got == want and {r[3:] for r in got} == {(a, b) for a in (False, True) for b in (False, True)}
