@@ -269,7 +269,7 @@ def test_outlines_take_one_pass_and_are_those_of_blocks(connectivity, more, spar
 
 
 def test_drafts_take_one_pass_and_are_those_of_squares(spark):
-    px = _masks(spark).withColumn("m", F.col("m") & (F.col("tile_id") != 3))
+    px = _masks(spark).withColumns({"m": F.col("m") & (F.col("tile_id") != 3), "v": F.expr("if(x = 8, null, (y div 5 + x div 6) % 2 * 0.5 + (7 * y + 3 * x) % 10 / 100)")})
     one, blocks = (raster.draft_regions(px, "v", "m", 40, near=0.1, opened=1, closed=1, block=b) for b in (1024, 16))
     got, want = (sorted((r.tile_id, r.blob, r.blob_px, r.points) for r in d.collect()) for d in (one, blocks))
     assert got == want and len({t for t, *_ in got}) > 2 and one.dtypes == blocks.dtypes
