@@ -279,3 +279,17 @@ def test_drafts_take_one_pass_and_are_those_of_squares(spark):
 def test_polygons_of_small_rasters_are_neither_written_nor_joined(name, spark):
     found = plan(QUERIES[name](spark, SF))
     assert found.count("MapInArrow") == 1 and "SortMergeJoin" not in found and "REPARTITION_BY_COL" not in found
+
+
+def test_pixels_meet_their_crops_by_tile(spark):
+    """Crops that the grid lacks, a far edge off the regular offsets, unknown layers; pixels are never shuffled by crop."""
+    sizes = {1: 10, 2: 7, 3: 4, 4: 9}
+    px = spark.createDataFrame([(t, y, x, None if x == 3 else 100 * y + x) for t, n in sizes.items() for y in range(n) for x in range(n)], "tile_id long, y int, x int, v int")
+    tiles = spark.createDataFrame([(t, "damage" if t < 4 else "negative", float(n), n) for t, n in sizes.items()], "tile_id long, role string, window_m double, size_px int")
+    grid = raster.crop_grid(tiles, gsd=1.0, crop=4).where("tile_id <> 2 and (crop_row + crop_col) % 3 <> 1")
+    out = raster.crop_pixels(grid, px)
+    want = {(g.tile_id, y, x, None if g.x0 + x == 3 else 100 * (g.y0 + y) + g.x0 + x, g.crop_id) for g in grid.collect() for y in range(4) for x in range(4)}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want and {t for t, *_ in got} == {1, 3, 4} and out.columns == ["tile_id", "y", "x", "v", "crop_id"]
+    assert not any("crop_row" in line for line in plan(out).splitlines() if "Exchange" in line)
+    assert "hashpartitioning(crop_id" not in plan(QUERIES["crop_pixels"](spark, SF))
