@@ -293,3 +293,11 @@ def test_pixels_meet_their_crops_by_tile(spark):
     assert len(got) == len(want) and set(got) == want and {t for t, *_ in got} == {1, 3, 4} and out.columns == ["tile_id", "y", "x", "v", "crop_id"]
     assert not any("crop_row" in line for line in plan(out).splitlines() if "Exchange" in line)
     assert "hashpartitioning(crop_id" not in plan(QUERIES["crop_pixels"](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["stress_map", "box_stats"])
+def test_squares_are_not_sent_to_python(name, spark):
+    """A pass over pixels costs by their columns: squares are taken where the means are."""
+    lines = plan(QUERIES[name](spark, SF)).splitlines()
+    at = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    assert not any("__q#" in line for line in lines[at + 1 :])
