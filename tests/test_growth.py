@@ -39,6 +39,11 @@ def test_patches_are_not_broadcast(spark):
     assert found and all("SortMergeJoin" in j for j in found)
 
 
+def test_sizes_of_patches_are_not_broadcast(spark):
+    """Tiles are few bytes a row on disk, so that their patches passed for a small table."""
+    assert "Broadcast" not in plan(QUERIES["merge_patch_boxes"](spark, SF))
+
+
 @pytest.mark.parametrize("block", [4, 6, 512])
 def test_squares_of_a_raster_give_what_the_whole_gives(block, spark):
     from pyspark.sql import types as T
